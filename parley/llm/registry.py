@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parley.llm.decontaminate import op1_winnowing
+from parley.llm.pack import op2_vector_packing
 
 
 def queries():
@@ -10,6 +11,7 @@ def queries():
 
     return {
         "op1_winnowing": op1_winnowing,
+        "op2_vector_packing": op2_vector_packing,
         "pipeline": run,
     }
 
