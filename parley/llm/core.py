@@ -15,27 +15,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.session import ready as tune
+
 SLICE_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that rows of any length fit a Python worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        if not 0 < int(spark.conf.get(key)) <= BATCH_BYTES:
-            spark.conf.set(key, str(BATCH_BYTES))
-    except Exception:  # a Spark without this setting: the row limit alone holds
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-
-
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that spark.checkpoint.dir names; only where that is unset (tests) in an own one."""
     spark = df.sparkSession
