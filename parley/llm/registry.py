@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parley.llm.decontaminate import op1_winnowing
 from parley.llm.pack import op2_vector_packing
+from parley.llm.toxicity import op10_toxicity
 
 
 def queries():
@@ -12,6 +13,7 @@ def queries():
     return {
         "op1_winnowing": op1_winnowing,
         "op2_vector_packing": op2_vector_packing,
+        "op10_toxicity": op10_toxicity,
         "pipeline": run,
     }
 
