@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parley.llm.decontaminate import op1_winnowing
 from parley.llm.pack import op2_vector_packing
+from parley.llm.quality import op6_quality
 from parley.llm.toxicity import op10_toxicity
 
 
@@ -13,6 +14,7 @@ def queries():
     return {
         "op1_winnowing": op1_winnowing,
         "op2_vector_packing": op2_vector_packing,
+        "op6_quality": op6_quality,
         "op10_toxicity": op10_toxicity,
         "pipeline": run,
     }
