@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from parley.llm.decontaminate import op1_winnowing
+from parley.llm.langid import op8_language
+from parley.llm.lines import op7_line_labels
 from parley.llm.pack import op2_vector_packing
 from parley.llm.quality import op6_quality
 from parley.llm.toxicity import op10_toxicity
@@ -15,6 +17,8 @@ def queries():
         "op1_winnowing": op1_winnowing,
         "op2_vector_packing": op2_vector_packing,
         "op6_quality": op6_quality,
+        "op7_line_labels": op7_line_labels,
+        "op8_language": op8_language,
         "op10_toxicity": op10_toxicity,
         "pipeline": run,
     }
