@@ -7,6 +7,7 @@ from parley.llm.langid import op8_language
 from parley.llm.lines import op7_line_labels
 from parley.llm.pack import op2_vector_packing
 from parley.llm.quality import op6_quality
+from parley.llm.substrings import op5_suffix_array
 from parley.llm.toxicity import op10_toxicity
 
 
@@ -16,6 +17,7 @@ def queries():
     return {
         "op1_winnowing": op1_winnowing,
         "op2_vector_packing": op2_vector_packing,
+        "op5_suffix_array": op5_suffix_array,
         "op6_quality": op6_quality,
         "op7_line_labels": op7_line_labels,
         "op8_language": op8_language,
