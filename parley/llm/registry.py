@@ -5,6 +5,7 @@ from __future__ import annotations
 from parley.llm.decontaminate import op1_winnowing
 from parley.llm.langid import op8_language
 from parley.llm.lines import op7_line_labels
+from parley.llm.nearjoin import op4_jaccard_join
 from parley.llm.pack import op2_vector_packing
 from parley.llm.quality import op6_quality
 from parley.llm.substrings import op5_suffix_array
@@ -17,6 +18,7 @@ def queries():
     return {
         "op1_winnowing": op1_winnowing,
         "op2_vector_packing": op2_vector_packing,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_suffix_array": op5_suffix_array,
         "op6_quality": op6_quality,
         "op7_line_labels": op7_line_labels,
