@@ -8,6 +8,7 @@ document and not the batch.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -36,6 +37,17 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(column, n: int):
     """crc32 of the id's decimal text modulo ``n``; a null id counts as remainder of the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

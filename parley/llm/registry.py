@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parley.llm.decontaminate import op1_winnowing
 from parley.llm.langid import op8_language
+from parley.llm.langmodel import op9_maximum_entropy
 from parley.llm.lines import op7_line_labels
 from parley.llm.nearjoin import op4_jaccard_join
 from parley.llm.pack import op2_vector_packing
@@ -23,6 +24,7 @@ def queries():
         "op6_quality": op6_quality,
         "op7_line_labels": op7_line_labels,
         "op8_language": op8_language,
+        "op9_maximum_entropy": op9_maximum_entropy,
         "op10_toxicity": op10_toxicity,
         "pipeline": run,
     }
