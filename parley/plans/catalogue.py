@@ -1,15 +1,478 @@
-"""The registered queries of the conversation engine and the SQL that states each of them."""
+"""The registered queries of the conversation engine, and the SQL that states each of them.
+
+The tables at hand stand in for meetings: conversations and documents cut at line feeds are lines, events are voice turns
+and words. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.functions import text as X
+from parley.functions import wordlists as W
+from parley.operators import evaluate, flags, glossary, names, record, report, topics, turns
+from parley.session import ready
+from parley.sources import readers as R
+from parley.sources import sinks
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(ready(spark), sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ------------------------------------------------------------------------------------------------------ SQL pieces
+
+
+def _norm(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _in(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+CONV = """conv AS (SELECT conv_id AS meeting_id, CAST(turn AS INT) AS line, turn * 7.5::DOUBLE AS start, turn * 7.5::DOUBLE + 7.0::DOUBLE AS "end", text,
+  (length(text) % 100) / 100.0::DOUBLE AS no_speech_prob, -(length(text) % 17) / 10.0::DOUBLE AS avg_logprob, (length(text) % 31) / 10.0::DOUBLE AS compression_ratio, role AS speaker FROM conversations)"""
+DOCS = r"""doc AS (SELECT doc_id AS meeting_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"""
+TOKENS = r"list_filter(regexp_split_to_array({c}, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{85}}\x{{1680}}]+'), lambda x: x <> '')"
+EVENTS = f"""turns AS (SELECT user_id AS meeting_id, event_type AS speaker, s AS start, e AS "end", ix AS turn_idx FROM (
+    SELECT user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS s, row_number() OVER w - 1 AS ix,
+      least(lead(epoch_us(ts) / 1e6::DOUBLE) OVER w, epoch_us(ts) / 1e6::DOUBLE + 3600.0::DOUBLE) AS e
+    FROM events WHERE event_type IN ({_in(R.TURN_EVENTS)}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE e > s),
+  words AS (SELECT user_id AS meeting_id, event_id AS line, epoch_us(ts) / 1e6::DOUBLE AS start, epoch_us(ts) / 1e6::DOUBLE + floor(abs(value)) * 60.0::DOUBLE AS "end"
+    FROM events WHERE event_type NOT IN ({_in(R.TURN_EVENTS)}))"""
+FLAGS = f"""{CONV},
+  ph AS (SELECT DISTINCT p FROM (SELECT {_norm('text')} AS p FROM benchmark UNION ALL SELECT unnest([{_in(W.EXTRA_PHANTOMS)}])) WHERE p NOT IN ({_in(W.MEETING_PHRASES)})),
+  dur AS (SELECT meeting_id, max("end") AS duration_s FROM conv GROUP BY 1),
+  n AS (SELECT *, {_norm('text')} AS norm FROM conv),
+  i AS (SELECT *, CASE WHEN lag(norm) OVER (PARTITION BY meeting_id ORDER BY line) = norm THEN 0 ELSE 1 END AS nw FROM n),
+  j AS (SELECT *, sum(nw) OVER (PARTITION BY meeting_id ORDER BY line) AS isl FROM i),
+  r AS (SELECT *, CASE WHEN norm = '' THEN 1 ELSE count(*) OVER (PARTITION BY meeting_id, isl) END AS run FROM j),
+  s AS (SELECT r.*, ph.p IS NOT NULL AS phantom, list_filter([{_in(W.SUBTITLE_PHRASES)}], lambda x: contains(' ' || norm || ' ', ' ' || x || ' '))[1] AS sub, duration_s
+    FROM r LEFT JOIN ph ON ph.p = r.norm JOIN dur USING (meeting_id)),
+  m AS (SELECT *, run >= 2 AND start < duration_s * 0.9 AND (phantom OR sub IS NOT NULL OR run >= 3) AS mid, no_speech_prob > 0.6 OR avg_logprob < -1.0 AS low, compression_ratio > 2.4 AS looping FROM s),
+  f AS (SELECT meeting_id, line, speaker, text, start, "end", no_speech_prob, avg_logprob, compression_ratio,
+    CAST((CASE WHEN sub IS NOT NULL THEN 2 ELSE 0 END) + (phantom)::INT + (run >= 2)::INT + (mid)::INT + (low)::INT + (looping)::INT AS INT) AS score,
+    array_to_string(list_filter([CASE WHEN sub IS NOT NULL THEN 'subtitle/YouTube phrase "' || sub || '"' END, CASE WHEN phantom THEN 'only a known Whisper phantom phrase' END,
+      CASE WHEN run >= 2 THEN 'repeated ' || run || CASE WHEN mid THEN 'x mid-meeting' ELSE 'x' END END, CASE WHEN low THEN 'low confidence' END, CASE WHEN looping THEN 'looping text' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM m)"""
+TERMS = r"""t AS (SELECT conv_id AS meeting_id, turn * 1000 + i AS ord, trim(p, E' \t\n\r') AS text, CASE i % 3 WHEN 0 THEN 'pack' WHEN 1 THEN 'user' ELSE 'inferred' END AS source, '' AS heard_as
+    FROM (SELECT conv_id, turn, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[,;\n]') AS ps FROM conversations))),
+  k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k, CASE source WHEN 'user' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END AS p FROM t WHERE text <> ''),
+  o AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, k ORDER BY p, ord) AS r FROM k WHERE k <> ''),
+  g AS (SELECT meeting_id, text, source, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY p, ord) - 1 AS INT) AS pos FROM o WHERE r = 1)"""
+
+
+def _flagged(spark, d):
+    lines = R.conversation_lines(spark, d)
+    meetings = lines.groupBy("meeting_id").agg(F.max("end").alias("duration_s"), F.lit(False).alias("diarized"))
+    phrases = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("text").alias("prediction"))
+    return lines, flags.flag_lines(lines, meetings, flags.phantom_phrases(phrases, spark))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flag counts and talk time of every speaker of every conversation."""
+    lines, flagged = _flagged(ready(spark), sf_dir)
+    counts = lines.join(flagged, ["meeting_id", "line"]).groupBy("meeting_id", "speaker").agg(F.count_if("flagged").alias("flagged"), F.sum("score").alias("score"))
+    return counts.join(turns.speaker_summary(lines), ["meeting_id", "speaker"])
+
+
+# --------------------------------------------------------------------------------------------------------- queries
+
+
+@query(f"WITH {CONV} SELECT meeting_id, line, {_norm('text')} AS norm FROM conv")
+def line_norm(spark, d):
+    return R.conversation_lines(spark, d).select("meeting_id", "line", X.norm(F.col("text")).alias("norm"))
+
+
+@query(f"""WITH {DOCS}, n AS (SELECT *, {_norm('text')} AS norm FROM doc),
+  i AS (SELECT *, CASE WHEN lag(norm) OVER (PARTITION BY meeting_id ORDER BY line) = norm THEN 0 ELSE 1 END AS nw FROM n),
+  j AS (SELECT *, sum(nw) OVER (PARTITION BY meeting_id ORDER BY line) AS isl FROM i)
+  SELECT meeting_id, line, CAST(CASE WHEN norm = '' THEN 1 ELSE count(*) OVER (PARTITION BY meeting_id, isl) END AS INT) AS run FROM j""")
+def repeat_runs(spark, d):
+    return flags.repeat_runs(R.document_lines(spark, d)).select("meeting_id", "line", "run")
+
+
+@query(f"""WITH {DOCS}, ph AS (SELECT DISTINCT {_norm('l')} AS p FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark) UNION SELECT unnest([{_in(W.EXTRA_PHANTOMS)}]))
+  SELECT meeting_id, line FROM doc WHERE {_norm('text')} IN (SELECT p FROM ph WHERE p NOT IN ({_in(W.MEETING_PHRASES)}))""")
+def phantom_semi_join(spark, d):
+    phrases = flags.phantom_phrases(spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split("text", "\n")).alias("prediction")), spark)
+    return R.document_lines(spark, d).withColumn("phrase", X.norm(F.col("text"))).join(phrases, "phrase", "left_semi").select("meeting_id", "line")
+
+
+PHRASES = ("the and", "of the", "in the", "to be", "de la", "la de", "que de", "und die", "der die", "the")
+
+
+@query(f"SELECT doc_id, list_filter([{_in(PHRASES)}], lambda x: contains(' ' || {_norm('text')} || ' ', ' ' || x || ' '))[1] AS phrase FROM documents")
+def phrase_contains(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.first_phrase(X.norm(F.col("text")), PHRASES).alias("phrase"))
+
+
+@query(f"WITH {FLAGS} SELECT meeting_id, line, score, score >= 2 AS flagged, reasons FROM f")
+def flag_score(spark, d):
+    return _flagged(spark, d)[1].withColumn("reasons", F.array_join("reasons", ", "))
+
+
+@query(f"WITH {FLAGS} SELECT meeting_id, count(*) AS lines, count_if(score >= 2) AS flagged, CAST(sum(score) AS BIGINT) AS score FROM f GROUP BY 1")
+def flag_summary(spark, d):
+    return _flagged(spark, d)[1].groupBy("meeting_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("flagged").alias("flagged"), F.sum("score").alias("score"))
+
+
+@query(f"""WITH {DOCS}, n AS (SELECT *, {_norm('text')} AS norm FROM doc), i AS (SELECT *, CASE WHEN lag(norm) OVER (PARTITION BY meeting_id ORDER BY line) = norm THEN 0 ELSE 1 END AS nw FROM n),
+  j AS (SELECT *, sum(nw) OVER (PARTITION BY meeting_id ORDER BY line) AS isl FROM i), r AS (SELECT meeting_id, CASE WHEN norm = '' THEN 1 ELSE count(*) OVER (PARTITION BY meeting_id, isl) END AS run FROM j),
+  m AS (SELECT meeting_id, max(run) >= 2 AS repeats FROM r GROUP BY 1)
+  SELECT quality, repeats, count(*) AS n FROM labels JOIN m ON doc_id = meeting_id GROUP BY 1, 2""")
+def flag_vs_label(spark, d):
+    runs = flags.repeat_runs(R.document_lines(spark, d)).groupBy("meeting_id").agg((F.max("run") >= 2).alias("repeats"))
+    return spark.read.parquet(f"{d}/labels.parquet").join(runs, F.col("doc_id") == F.col("meeting_id")).groupBy("quality", "repeats").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {DOCS}, t AS (SELECT meeting_id, line, CAST(floor(len({TOKENS.format(c='text')}) * 1.3::DOUBLE) AS INT) + 1 AS tokens FROM doc) SELECT meeting_id, line, tokens, CAST(sum(tokens) OVER (PARTITION BY meeting_id ORDER BY line) AS BIGINT) AS total FROM t")
+def running_tokens(spark, d):
+    return topics.running_tokens(R.document_lines(spark, d))
+
+
+BAG = f"""bag AS (SELECT meeting_id, line, w AS word, count(*) AS n FROM (SELECT meeting_id, line, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM {{src}}) WHERE length(w) > 2 AND w NOT IN ({_in(W.STOPWORDS)}) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {CONV}, {BAG.format(src='conv')} SELECT * FROM bag")
+def bag_of_words(spark, d):
+    return topics.bag_of_words(R.conversation_lines(spark, d))
+
+
+GAPS = f"""{BAG.format(src='doc')}, e AS (SELECT meeting_id, word, n, line, unnest(range(line - 3, line + 5)) AS gap FROM bag),
+  sides AS (SELECT meeting_id, gap, word, sum(CASE WHEN line < gap THEN n ELSE 0 END) AS b, sum(CASE WHEN line >= gap THEN n ELSE 0 END) AS a FROM e GROUP BY 1, 2, 3),
+  c AS (SELECT meeting_id, gap, sum(a * b) / nullif(sqrt(sum(b * b)) * sqrt(sum(a * a)), 0) AS s FROM sides GROUP BY 1, 2)"""
+
+
+@query(f"WITH {DOCS}, {GAPS} SELECT meeting_id, line AS gap, round(CASE WHEN line = 0 THEN 1.0 ELSE coalesce(s, 0.0) END, 6)::DOUBLE AS similarity FROM doc LEFT JOIN c USING (meeting_id) WHERE c.gap = line OR c.gap IS NULL UNION ALL SELECT meeting_id, line, CASE WHEN line = 0 THEN 1.0 ELSE 0.0 END FROM doc d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.meeting_id = d.meeting_id AND c.gap = d.line) AND EXISTS (SELECT 1 FROM c WHERE c.meeting_id = d.meeting_id)")
+def gap_similarity(spark, d):
+    return topics.gap_similarity(R.document_lines(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def topic_parts(spark, d):
+    return topics.topic_parts(R.document_lines(spark, d), max_tokens=300)
+
+
+@query(f'WITH {CONV} SELECT meeting_id, speaker, round(sum("end" - start), 1) AS talk_s, count(*) AS lines FROM conv GROUP BY 1, 2')
+def speaker_summary(spark, d):
+    return turns.speaker_summary(R.conversation_lines(spark, d))
+
+
+@query("""WITH v AS (SELECT user_id AS meeting_id, event_id AS ord, epoch_us(ts) / 1e6::DOUBLE AS start, epoch_us(ts) / 1e6::DOUBLE + floor(value) AS "end", event_type AS label FROM events),
+  k AS (SELECT * FROM v WHERE "end" > start), f AS (SELECT meeting_id, label, min((start, "end", ord)) AS first FROM k GROUP BY 1, 2),
+  l AS (SELECT meeting_id, label, 'S' || dense_rank() OVER (PARTITION BY meeting_id ORDER BY first) AS speaker FROM f)
+  SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY start, "end", ord) - 1 AS INT) AS turn_idx, speaker FROM k JOIN l USING (meeting_id, label)""")
+def relabel_first_seen(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    s = R.seconds(F.col("ts"))
+    return turns.relabel(e.select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("ord"), s.alias("start"), (s + F.floor("value")).alias("end"), F.col("event_type").alias("label"))).select("meeting_id", "turn_idx", "speaker")
+
+
+@query(f"""WITH {CONV}, i AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY meeting_id ORDER BY line) = speaker THEN 0 ELSE 1 END AS nw FROM conv),
+  j AS (SELECT *, sum(nw) OVER (PARTITION BY meeting_id ORDER BY line) - 1 AS turn FROM i)
+  SELECT meeting_id, CAST(turn AS BIGINT) AS turn, any_value(speaker) AS label, min(line) AS first_line, max(line) AS last_line, string_agg(text, ' ' ORDER BY line) FILTER (text <> '') AS text FROM j GROUP BY 1, 2""")
+def turn_merge(spark, d):
+    return turns.conversation_turns(R.conversation_lines(spark, d))
+
+
+OVERLAP = f"""{EVENTS}, p AS (SELECT w.meeting_id, w.line, t.speaker, t.turn_idx, least(w."end", t."end") - greatest(w.start, t.start) AS sh FROM words w JOIN turns t USING (meeting_id)),
+  ov AS (SELECT meeting_id, line, speaker, sum(sh) AS total, max(turn_idx) AS last FROM p WHERE sh > 0 GROUP BY 1, 2, 3),
+  a AS (SELECT meeting_id, line, arg_max(speaker, (total, last)) AS sp FROM ov GROUP BY 1, 2),
+  b AS (SELECT meeting_id, line, arg_min(speaker, (-sh, turn_idx)) AS sp FROM p WHERE sh <= 0 AND sh >= {{reach}} GROUP BY 1, 2)"""
+REACH = 900.0
+
+
+@query(f"WITH {OVERLAP.format(reach=-REACH)} SELECT w.meeting_id, w.line, coalesce(a.sp, b.sp) AS speaker FROM words w LEFT JOIN a USING (meeting_id, line) LEFT JOIN b USING (meeting_id, line)")
+def overlap_or_nearest_speaker(spark, d):
+    return turns.spans_to_speakers(R.event_words(spark, d), R.event_turns(spark, d), ["meeting_id", "line"], REACH, 3600.0).select("meeting_id", "line", "speaker")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ({_in(R.TURN_EVENTS)}) THEN event_type END AS speaker FROM events)
+  SELECT user_id, event_id, coalesce(last_value(speaker IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(speaker IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS speaker FROM e""")
+def fill_gaps(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.struct("ts", "event_id").alias("o"), F.when(F.col("event_type").isin(*R.TURN_EVENTS), F.col("event_type")).alias("speaker"))
+    return turns.fill_gaps(e, "speaker", ["user_id"], "o").select("user_id", "event_id", "speaker")
+
+
+@query(f"""WITH {OVERLAP.format(reach=-0.5)}, w2 AS (SELECT w.*, floor(start / 21600) AS h, coalesce(a.sp, b.sp) AS sp FROM words w LEFT JOIN a USING (meeting_id, line) LEFT JOIN b USING (meeting_id, line)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, h ORDER BY start, line) AS pos FROM w2),
+  i AS (SELECT *, CASE WHEN pos > 1 AND sp IS NOT DISTINCT FROM lag(sp) OVER (PARTITION BY meeting_id, h ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM f),
+  j AS (SELECT *, sum(nw) OVER (PARTITION BY meeting_id, h ORDER BY pos) AS isl FROM i),
+  g AS (SELECT meeting_id, h, isl, any_value(sp) AS speaker, count(*) AS n FROM j GROUP BY 1, 2, 3), heard AS (SELECT DISTINCT meeting_id FROM turns)
+  SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY h, isl) - 1 AS INT) AS line, speaker, CAST(n AS INT) AS n_words FROM g JOIN heard USING (meeting_id)""")
+def split_at_change(spark, d):
+    words = R.event_words(spark, d).withColumn("h", F.floor(F.col("start") / 21600))
+    word = F.struct(F.col("start"), F.col("line").alias("id"), F.col("end"))
+    lines = words.groupBy("meeting_id", "h").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    lines = lines.select("meeting_id", F.col("h").cast("int").alias("line"), F.get("w", F.lit(0))["start"].alias("start"), F.element_at("w", -1)["end"].alias("end"), F.lit("").alias("text"), F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["id"].cast("string").alias("text"), F.lit(1.0).alias("probability"))).alias("words"))
+    heard = R.event_turns(spark, d)
+    out = turns.assign_speakers(lines, heard, smooth=False).join(heard.select("meeting_id").distinct(), "meeting_id", "left_semi")
+    return out.select("meeting_id", F.col("line").cast("int").alias("line"), "speaker", F.size("words").alias("n_words"))
+
+
+@query(f"WITH {OVERLAP.format(reach=-REACH)} SELECT w.meeting_id, coalesce(a.sp, b.sp) AS speaker, e.event_type AS gold, count(*) AS n FROM words w LEFT JOIN a USING (meeting_id, line) LEFT JOIN b USING (meeting_id, line) JOIN events e ON e.event_id = w.line WHERE coalesce(a.sp, b.sp) IS NOT NULL GROUP BY 1, 2, 3")
+def word_confusion(spark, d):
+    gold = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("line"), F.col("event_type").alias("gold"))
+    return evaluate.pair_counts(overlap_or_nearest_speaker(spark, d).join(gold, "line"))
+
+
+@query(f"""WITH {EVENTS}, p AS (SELECT w.meeting_id, w.line, t.speaker, t.start AS ts, t."end" AS te, least(w."end", t."end") - greatest(w.start, t.start) AS sc FROM words w JOIN turns t USING (meeting_id))
+  SELECT w.meeting_id, w.line, (SELECT arg_max(p.speaker, (p.sc, -p.ts, -p.te)) FROM p WHERE p.meeting_id = w.meeting_id AND p.line = w.line AND p.sc > -900) AS gold FROM words w""")
+def gold_nearest(spark, d):
+    return evaluate.gold_speakers(R.event_words(spark, d), R.event_turns(spark, d), ["meeting_id", "line"], REACH).select("meeting_id", "line", "gold")
+
+
+def _terms(spark, d):
+    parts = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.posexplode(F.split("text", "[,;\n]")).alias("i", "p"))
+    source = F.when(F.col("i") % 3 == 0, "pack").when(F.col("i") % 3 == 1, "user").otherwise("inferred")
+    return parts.select(F.col("conv_id").alias("meeting_id"), (F.col("turn") * 1000 + F.col("i")).alias("ord"), F.trim("p").alias("text"), source.alias("source"), F.lit("").alias("heard_as")).where("text != ''")
+
+
+@query(f"WITH {TERMS} SELECT * FROM g")
+def term_merge_priority(spark, d):
+    return glossary.merge_terms(_terms(spark, d)).select("meeting_id", "text", "source", "pos")
+
+
+@query(f"""WITH {TERMS}, l AS (SELECT *, sum(length(text) + CASE WHEN pos > 0 THEN 2 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY pos) AS len FROM g),
+  v AS (SELECT meeting_id, min(pos) FILTER (pos >= 50 OR len > 600) AS stop FROM l GROUP BY 1)
+  SELECT meeting_id, string_agg(text, ', ' ORDER BY pos) AS hotwords, count(*) AS n FROM l JOIN v USING (meeting_id) WHERE stop IS NULL OR pos < stop GROUP BY 1""")
+def hotword_cap(spark, d):
+    return glossary.hotwords(_terms(spark, d))
+
+
+@query(rf"""WITH {CONV}, t AS (SELECT meeting_id, line, {TOKENS.format(c='text')} AS w FROM conv), e AS (SELECT meeting_id, line, w, list_transform(w, lambda x: regexp_matches(x, '[.?!]["'')]*$')) AS c, unnest(range(len(w))) AS first FROM t),
+  s AS (SELECT *, unnest(range(first + 1, least(first + 5, len(w)) + 1)) AS stop FROM e)
+  SELECT meeting_id, line, CAST(first AS INT) AS first, CAST(stop AS INT) AS "end", array_to_string(w[first + 1 : stop], ' ') AS heard FROM s WHERE NOT list_contains(c[first + 1 : stop - 1], true)""")
+def candidate_spans(spark, d):
+    return glossary.candidate_spans(R.conversation_lines(spark, d)).select("meeting_id", "line", "first", "end", "heard")
+
+
+def _hint_inputs(spark, d):
+    lines = R.conversation_lines(spark, d)
+    # a meeting's glossary: its longest words, a letter doubled, as misheard terms
+    words = lines.select("meeting_id", F.explode(X.tokens(F.col("text"))).alias("w")).select("meeting_id", X.clean_token(F.col("w")).alias("w")).where(F.length("w") >= 12).distinct()
+    terms = words.select("meeting_id", F.xxhash64("w").alias("ord"), F.concat(F.substring("w", 1, 6), F.lit("e"), F.substring("w", 7, 99)).alias("text"), F.lit("user").alias("source"), F.lit("").alias("heard_as"))
+    return lines, glossary.merge_terms(terms), _flagged(spark, d)[1].where("flagged").select("meeting_id", "line")
+
+
+@query()
+def fuzzy_hints(spark, d):
+    return glossary.find_hints(*_hint_inputs(spark, d))
+
+
+@query()
+def guard_edits(spark, d):
+    lines, terms, doubtful = _hint_inputs(spark, d)
+    hints = glossary.find_hints(lines, terms, doubtful)
+    answer = hints.groupBy("meeting_id", "line").agg(F.min_by(F.struct("heard", "term"), "first").alias("h")).join(lines.select("meeting_id", "line", "text"), ["meeting_id", "line"])
+    answer = answer.groupBy("meeting_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("line").cast("string"), F.replace("text", F.col("h.heard"), F.col("h.term"))))).alias("lines"))).alias("reply"))
+    return glossary.refine(lines, terms, hints, answer)["edits"]
+
+
+def _quotes(lines):
+    words = F.split("n", " ")
+    return lines.withColumn("n", X.norm(F.col("text"))).where("line % 3 = 0").select("meeting_id", F.array_join(F.slice(words, 2, 5), " ").alias("quote")).where("quote != ''").distinct()
+
+
+@query(f"""WITH {DOCS}, n AS (SELECT meeting_id, line, {_norm('text')} AS n FROM doc), k AS (SELECT * FROM n WHERE n <> ''),
+  o AS (SELECT *, coalesce(sum(length(n) + 1) OVER (PARTITION BY meeting_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM k),
+  t AS (SELECT meeting_id, string_agg(n, ' ' ORDER BY line) AS text FROM k GROUP BY 1),
+  q AS (SELECT DISTINCT meeting_id, array_to_string(string_split(n, ' ')[2:6], ' ') AS quote FROM n WHERE line % 3 = 0),
+  f AS (SELECT meeting_id, quote, instr(text, quote) - 1 AS pos FROM q JOIN t USING (meeting_id) WHERE quote <> '')
+  SELECT meeting_id, quote, CAST(pos AS INT) AS pos, CAST((SELECT max(o.line) FROM o WHERE o.meeting_id = f.meeting_id AND o.off <= f.pos) AS INT) AS line FROM f WHERE pos >= 0""")
+def quote_exact_line(spark, d):
+    lines = R.document_lines(spark, d).withColumns({"start": F.lit(None).cast("double"), "label": F.lit(None).cast("string")})
+    none = lines.select("meeting_id", "line").where("false")
+    return record.find_quotes(_quotes(lines), record.quote_index(lines, none), record.meeting_labels(lines), exact_only=True).select("meeting_id", "quote", "pos", "line")
+
+
+@query()
+def quote_fuzzy_line(spark, d):
+    lines = R.conversation_lines(spark, d)
+    none = lines.select("meeting_id", "line").where("false")
+    quotes = _quotes(lines).withColumn("quote", F.concat(F.substring("quote", 1, 12), F.substring("quote", 14, 200)))
+    return record.find_quotes(quotes, record.quote_index(lines, none), record.meeting_labels(lines)).select("meeting_id", "quote", "pos", "line")
+
+
+@query(f"""WITH {CONV}, c AS (SELECT *, length(text) % 7 = 0 AS dbt, {_norm('text')} AS n FROM conv)
+  SELECT a.meeting_id, a.line, (SELECT arg_max(b.speaker, b.line) FROM c b WHERE b.meeting_id = a.meeting_id AND b.line BETWEEN a.line - 4 AND a.line - 1 AND NOT b.dbt AND b.speaker <> a.speaker) AS before,
+    (SELECT arg_min(b.speaker, b.line) FROM c b WHERE b.meeting_id = a.meeting_id AND b.line BETWEEN a.line + 1 AND a.line + 4 AND NOT b.dbt AND b.speaker <> a.speaker AND b.n NOT IN ({_in(W.NAMING_BACKCHANNELS)})) AS after FROM c a""")
+def neighbour_speakers(spark, d):
+    lines = R.conversation_lines(spark, d)
+    return names.neighbour_speakers(lines, lines.where(F.length("text") % 7 == 0).select("meeting_id", "line"))
+
+
+@query(rf"""WITH {CONV}, n AS (SELECT *, {_norm('text')} AS n FROM conv)
+  SELECT meeting_id, line, regexp_matches(n, '{W.NEGATED}') AS negated, regexp_matches(n, '{W.HEDGED}') AS hedged, n IN ({_in(W.RECORD_BACKCHANNELS)}) AS backchannel,
+    n <> '' AND NOT regexp_matches(n, '{W.HEDGED}') AND NOT contains(text, '?') AND NOT regexp_matches(n, '{W.NEGATED}') AS settled FROM n""")
+def wording_class(spark, d):
+    n = X.norm(F.col("text"))
+    return R.conversation_lines(spark, d).select("meeting_id", "line", X.negated(n).alias("negated"), X.hedged(n).alias("hedged"), n.isin(*W.RECORD_BACKCHANNELS).alias("backchannel"), X.settled(F.col("text"), F.lit("")).alias("settled"))
+
+
+@query("""WITH q AS (SELECT conv_id AS meeting_id, turn % 2 AS item, CASE length(text) % 3 WHEN 0 THEN 'agreement' WHEN 1 THEN 'rejection' ELSE 'settled' END AS kind, length(text) AS pos FROM conversations),
+  g AS (SELECT meeting_id, item, coalesce(max(pos) FILTER (kind = 'agreement'), -1) AS y, coalesce(max(pos) FILTER (kind = 'rejection'), -1) AS n, coalesce(max(pos) FILTER (kind = 'settled'), -1) AS s FROM q GROUP BY 1, 2)
+  SELECT meeting_id, item, CASE WHEN y > n THEN 'agreed' WHEN s > n THEN 'uncontested' WHEN n >= 0 THEN 'rejected' ELSE 'open' END AS status FROM g""")
+def decision_status(spark, d):
+    size = F.length("text")
+    kind = F.when(size % 3 == 0, "agreement").when(size % 3 == 1, "rejection").otherwise("settled")
+    return record.decision_status(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("meeting_id"), (F.col("turn") % 2).alias("item"), kind.alias("kind"), size.alias("pos")))
+
+
+@query()
+def greedy_names(spark, d):
+    lines = R.conversation_lines(spark, d)
+    speakers = lines.select("meeting_id", F.concat(F.lit("S"), F.when(F.col("speaker") == "user", 1).when(F.col("speaker") == "assistant", 2).otherwise(3)).alias("speaker")).distinct()
+    name = F.initcap(F.regexp_extract(F.lower("text"), r"([a-z]{4,})", 1))
+    claimed = F.concat(F.lit("S"), F.when(F.col("speaker") == "user", 1).when(F.col("speaker") == "assistant", 2).otherwise(3))
+    evidence = lines.select("meeting_id", F.col("line").alias("ord"), claimed.alias("speaker"), name.alias("name"), F.when(F.col("line") % 2 == 0, "self").otherwise("addressed").alias("kind"), F.lit(True).alias("accepted"), F.lit("").alias("role")).where("name != ''")
+    return names.assign_names_and_roles(speakers, evidence)
+
+
+@query("""SELECT source, count(*) AS proposed, count_if(n_chars > 1000) AS kept, round_even(count_if(n_chars > 1000)::DOUBLE / nullif(count(*), 0), 3) AS rate FROM documents GROUP BY 1""")
+def support_rate(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("proposed"), F.count_if(F.col("n_chars") > 1000).alias("kept")).withColumn("rate", F.bround(F.col("kept") / F.nullif(F.col("proposed"), F.lit(0)), 3))
+
+
+@query(f"""WITH e AS (SELECT conv_id AS meeting_id, CAST(turn % 3 AS INT) AS line, turn, substr(text, 1, 2) AS quote FROM conversations),
+  u AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, line, {_norm('quote')} ORDER BY turn) AS r FROM e)
+  SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY line, turn) - 1 AS INT) AS ord, line, quote FROM u WHERE r = 1""")
+def evidence_dedup(spark, d):
+    e = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("meeting_id"), "turn", F.struct(F.lit("task").alias("role"), F.substring("text", 1, 2).alias("quote"), (F.col("turn") % 3).cast("int").alias("line"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("string").alias("speaker")).alias("e"))
+    g = e.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "e"))), lambda x: x["e"]).alias("ev"))
+    return g.select("meeting_id", F.posexplode(record.unique_evidence(F.col("ev"))).alias("ord", "e")).select("meeting_id", "ord", "e.line", "e.quote")
+
+
+def _drafts(spark, d):
+    """A draft for each conversation: every third turn is a proposal, the next one agrees or objects."""
+    lines = R.conversation_lines(spark, d)
+    nxt = lines.select("meeting_id", (F.col("line") - 1).alias("line"), F.col("text").alias("reply"))
+    rows = lines.join(nxt, ["meeting_id", "line"], "left").withColumn("q", F.substring("text", 1, 60))
+    item = F.struct(F.col("line"), F.struct(F.concat(F.lit("Decide "), F.col("line")).alias("text"), F.col("q").alias("proposal_quote"), F.array(F.substring(F.coalesce("reply", F.lit("")), 1, 50)).alias("agreement_quotes"), F.array(F.when(F.col("line") % 2 == 0, F.lit("never said this at all")).otherwise(F.lit("mm hmm"))).alias("rejection_quotes"), F.lit("").alias("settled_quote")).alias("x"))
+    act = F.struct(F.col("line"), F.struct(F.concat(F.lit("Do "), F.col("line")).alias("task"), F.col("q").alias("task_quote"), F.col("speaker").alias("owner"), F.lit("not there").alias("owner_quote"), F.lit("unspecified").alias("deadline"), F.lit("").alias("deadline_quote"), F.substring(F.coalesce("reply", F.lit("")), 1, 50).alias("agreement_quote")).alias("x"))
+    ask = F.struct(F.col("line"), F.struct(F.lit("What then").alias("question"), F.col("q").alias("quote")).alias("x"))
+    take = lambda c, k: F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("line") % 3 == k, c)), lambda z: z.isNotNull())), lambda z: z["x"])
+    one = rows.groupBy("meeting_id").agg(take(item, 0).alias("decisions"), take(act, 1).alias("action_items"), take(ask, 2).alias("open_questions"))
+    empty = F.array()
+    draft = F.struct(empty.cast("array<struct<fact:string,quote:string>>").alias("given"), F.lit("A summary").alias("summary"), F.array(F.lit("One point")).alias("minutes"), empty.cast("array<struct<topic:string,verdict:string,quote:string>>").alias("assessments"), "decisions", "action_items", "open_questions")
+    return lines, one.select("meeting_id", draft.cast(record.DRAFT).alias("draft"))
+
+
+def _record(spark, d):
+    lines, drafts = _drafts(spark, d)
+    return lines, drafts, record.verify(drafts, lines, lines.select("meeting_id", "line").where("false"))
+
+
+@query()
+def record_checks(spark, d):
+    return _record(spark, d)[2]["checks"]
+
+
+@query()
+def record_json(spark, d):
+    _, _, tables = _record(spark, d)
+    return sinks.decisions_json(tables).select("meeting_id", F.to_json("decisions").alias("json"))
+
+
+@query()
+def draft_merge(spark, d):
+    _, drafts = _drafts(spark, d)
+    parts = drafts.withColumn("part", F.lit(0)).unionByName(drafts.withColumn("part", F.lit(1)))
+    return record.merge_drafts(parts).select("meeting_id", F.size("draft.decisions").alias("decisions"), F.size("draft.action_items").alias("actions"), F.size("draft.minutes").alias("points"))
+
+
+@query(r"""SELECT conv_id AS meeting_id, CAST(turn AS INT) AS line, regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', chr(1), 'g'), '\bde\b', 'the', 'g'), chr(1), 'de', 'g') AS text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F](the|de)|(the|de)[^\x00-\x7F]')""")
+def label_replace(spark, d):
+    lines = R.conversation_lines(spark, d).select("meeting_id", "line", "text").where(~F.col("text").rlike(r"[^\x00-\x7F](the|de)|(the|de)[^\x00-\x7F]"))
+    ids = lines.select("meeting_id").distinct()
+    changes = ids.select("meeting_id", F.lit("the").alias("old"), F.lit("de").alias("new")).unionByName(ids.select("meeting_id", F.lit("de").alias("old"), F.lit("the").alias("new")))
+    return names.replace_labels(lines, changes, "text")
+
+
+@query("SELECT conv_id AS meeting_id, turn, printf('%02d:%05.2f', CAST(floor(turn * 37.25 / 60) AS INT), turn * 37.25 - 60 * floor(turn * 37.25 / 60)) AS time FROM conversations")
+def timestamp_format(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("meeting_id"), "turn", X.clock(F.col("turn") * F.lit(37.25)).alias("time"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def json_proposals(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("reply", F.concat(F.lit("Here it is:\n"), F.col("props"), F.lit("\nBye")))
+    return R.json_replies(e, "struct<k:int>", "k").where("problem is null").select("event_id", F.col("data.k").alias("k"))
+
+
+@query(f"""WITH {FLAGS}, l AS (SELECT meeting_id, '[' || printf('%02d:%05.2f', CAST(floor(start / 60) AS INT), start - 60 * floor(start / 60)) || '] ' || speaker || ': ' || text AS s, line FROM f) SELECT meeting_id, string_agg(s, chr(10) ORDER BY line) AS text FROM l GROUP BY 1""")
+def transcript_text(spark, d):
+    return sinks.transcript_text(R.conversation_lines(spark, d))
+
+
+@query(f"""WITH {FLAGS} SELECT meeting_id, line, printf('%02d:%05.2f', CAST(floor(start / 60) AS INT), start - 60 * floor(start / 60)) AS start, printf('%02d:%05.2f', CAST(floor("end" / 60) AS INT), "end" - 60 * floor("end" / 60)) AS "end",
+  speaker AS label, score, score >= 2 AS flagged, reasons FROM f""")
+def segment_rows(spark, d):
+    lines, flagged = _flagged(spark, d)
+    return report.segment_rows(lines, flagged).select("meeting_id", "line", "start", "end", "label", "score", "flagged", "reasons")
+
+
+@query("""WITH f AS (SELECT conv_id AS meeting_id, role AS label, min(turn) AS l FROM conversations GROUP BY 1, 2) SELECT meeting_id, label, CAST((row_number() OVER (PARTITION BY meeting_id ORDER BY l) - 1) % 10 AS INT) AS colour FROM f""")
+def label_colours(spark, d):
+    return report.label_colours(R.conversation_lines(spark, d))
+
+
+@query("""SELECT url AS path, CASE WHEN length(html) = 0 THEN 'file is missing or empty' WHEN lower(string_split(url, '.')[-1]) NOT IN ('wav', 'mp3', 'm4a', 'flac', 'ogg', 'webm', 'mp4') THEN 'unsupported format'
+  WHEN page_id % 3 = 0 THEN 'no audio stream' WHEN page_id % 5 = 0 THEN 'too short' WHEN page_id % 7 = 0 THEN 'silent' END AS problem FROM (SELECT page_id, html, url || CASE WHEN page_id % 2 = 0 THEN '.wav' ELSE '.txt' END AS url FROM pages)""")
+def audio_admission(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    files = p.select(F.concat("url", F.when(F.col("page_id") % 2 == 0, ".wav").otherwise(".txt")).alias("path"), F.length("html").cast("long").alias("length"), (F.col("page_id") % 3 != 0).alias("has_audio"), F.when(F.col("page_id") % 5 == 0, 0.5).otherwise(60.0).alias("duration_s"), F.when(F.col("page_id") % 7 == 0, -60.0).otherwise(-10.0).alias("peak_db"))
+    return R.admit_audio(files).select("path", "problem")
+
+
+@query("""WITH q AS (SELECT DISTINCT lang, source FROM documents), k AS (SELECT lang, source, sha256(to_json(['text', lang, 'system', source])) AS key FROM q)
+  SELECT lang, source, key FROM k WHERE lang <> 'en'""")
+def reply_cache_misses(spark, d):
+    q = spark.read.parquet(f"{d}/documents.parquet").select("lang", "source").distinct().select(F.lit("text").alias("kind"), F.col("lang").alias("model"), F.lit("system").alias("system"), F.col("source").alias("user"))
+    keyed = q.withColumn("key", R.reply_key(F.col("kind"), F.col("model"), F.col("system"), F.col("user")))
+    _, missing = R.cached_replies(q, keyed.where("model = 'en'").select("key", F.lit("{}").alias("reply")))
+    return missing.select(F.col("model").alias("lang"), F.col("user").alias("source"), "key")
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+@query()
+def word_error_rate(spark, d):
+    lines = R.conversation_lines(spark, d)
+    nxt = lines.select("meeting_id", (F.col("line") - 2).alias("line"), F.col("text").alias("heard"))
+    pairs = lines.select("meeting_id", "line", F.col("text").alias("gold")).join(nxt, ["meeting_id", "line"]).groupBy("meeting_id").agg(F.min_by("gold", "line").alias("gold"), F.min_by("heard", "line").alias("heard"))
+    return evaluate.word_errors(pairs)
 
 
-def queries():
-    return {}
+@query()
+def diarization_error(spark, d):
+    gold = R.event_turns(spark, d)
+    ours = gold.withColumns({"start": F.col("start") + 30, "speaker": F.upper("speaker")})
+    return evaluate.diarization_errors(gold, ours, 0.25, True)
 
 
-def oracle_sql():
-    return {}
+@query()
+def speaker_mapping(spark, d):
+    return evaluate.speaker_mapping(word_confusion(spark, d))
