@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from parley.llm import oracles
+from parley.llm import oracles
 from parley.llm.decontaminate import op1_winnowing
 from parley.llm.langid import op8_language
 from parley.llm.langmodel import op9_maximum_entropy
@@ -11,6 +13,7 @@ from parley.llm.pack import op2_vector_packing
 from parley.llm.quality import op6_quality
 from parley.llm.substrings import op5_suffix_array
 from parley.llm.toxicity import op10_toxicity
+from parley.llm.units import op3_line_hashing
 
 
 def queries():
@@ -19,6 +22,7 @@ def queries():
     return {
         "op1_winnowing": op1_winnowing,
         "op2_vector_packing": op2_vector_packing,
+        "op3_line_hashing": op3_line_hashing,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_suffix_array": op5_suffix_array,
         "op6_quality": op6_quality,
@@ -31,4 +35,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from corpus_pipeline import ORACLE_SQL
+
+    return oracles.SQL | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
