@@ -9,11 +9,14 @@ groups that links connect.
    unlike texts meet, for a part holds some seven shingles.
 2. A region picks pivots, and every member's distance to each is computed: members within the radius are linked. Each other
    member belongs to the Voronoi region of its nearest pivot p and, by the triangle inequality, is also needed in the
-   region of pivot q if d(x, q) <= d(x, p) + 2 * RADIUS. Pivots are done; the regions are joined the same way, down to a
-   few members, which are compared directly. Members already connected need no comparison with each other, and a region
-   whose members are all connected is finished.
+   region of pivot q if d(x, q) <= d(x, p) + 2 * RADIUS. Pivots are done; the regions are joined the same way. Up to
+   ``WINDOWED`` members are compared within windows: two can only link if their distances to every pivot differ by no more
+   than the radius. Members already connected need no comparison with each other, and a region whose members are all
+   connected is finished.
 3. Regions of up to ``REGION_SHINGLES`` shingles recurse within a task. Larger ones do a round of step 2 across the
-   cluster (members stay spread by a salt; only the pivots' sets, a bounded number, go to all of them) and recurse.
+   cluster (members stay spread by a salt; only the pivots' sets, a bounded number, go to all of them) and recurse. There
+   the regions are parted further into rings of the radius around the pivot and into size classes; who is near an edge
+   goes to both sides, so linked members still meet.
 
 Nothing is dropped or capped. Shingles and sets are known by 64-bit hashes.
 
@@ -41,6 +44,7 @@ SPARE = 2  #: parts beyond those that can differ, so that texts may leave out th
 FIRST_SIZE, SIZE_RATIO = 9, 1.5  #: smaller sets link only with equal ones
 REGION_SHINGLES = 1 << 20
 PIVOTS, FEW = 8, 12
+WINDOWED = 4096  #: members that windows on pivot distances compare at once
 SALTS = 32
 
 
@@ -169,19 +173,48 @@ class Region:
             if len(members) <= FEW:
                 self._direct(members)
                 continue
-            # pivots from the small parts first: these are what is still to be connected
-            rank = count[np.searchsorted(values, roots)]
-            pivots = members[np.argsort(rank, kind="stable")[:PIVOTS]]
-            d = np.empty((len(members), len(pivots)))
-            for k, p in enumerate(pivots.tolist()):
+            # the first pivot from the smallest part: small parts are what is still to be connected; the next ones far off
+            at = int(count[np.searchsorted(values, roots)].argmin())
+            near = np.full(len(members), np.inf)
+            d = np.empty((len(members), PIVOTS))
+            chosen = []
+            for k in range(PIVOTS):
+                p = int(members[at])
+                chosen.append(at)
                 c = self.common(p, members)
                 d[:, k] = 1 - c / (self.size[members] + self.size[p] - c)
                 for i in members[linked(c, self.size[members], self.size[p])].tolist():
                     self.link(i, p)
-            rest = ~np.isin(members, pivots)
-            todo += [members[rest][r] for r in voronoi(d[rest])]
+                near = np.minimum(near, d[:, k])
+                near[chosen] = -1
+                at = int(near.argmax())
+            rest = np.ones(len(members), bool)
+            rest[chosen] = False
+            if len(members) <= WINDOWED:
+                self._windows(members[rest], d[rest])
+            else:
+                todo += [members[rest][r] for r in voronoi(d[rest])]
         return self.links
 
+    def _windows(self, members: np.ndarray, d: np.ndarray) -> None:
+        """Compare members whose sizes and distances to every pivot allow a link: by the triangle inequality these differ by
+        no more than the radius."""
+        order = np.argsort(self.size[members], kind="stable")
+        members, d = members[order], d[order]
+        size = self.size[members]
+        last = np.searchsorted(NUMERATOR * size, DENOMINATOR * size, "right")
+        for i, m in enumerate(members.tolist()):
+            lo, hi = i + 1, int(last[i])
+            if lo >= hi:
+                continue
+            close = np.flatnonzero((np.abs(d[lo:hi] - d[i]) <= RADIUS + 1e-9).all(1)) + lo
+            mine = self.root(m)
+            close = [int(j) for j in members[close].tolist() if self.root(j) != mine]
+            if close:
+                close = np.array(close)
+                for j in close[linked(self.common(m, close), self.size[m], self.size[close])].tolist():
+                    self.link(m, j)
+
     def _direct(self, members: np.ndarray) -> None:
         order = members[np.argsort(self.size[members], kind="stable")].tolist()
         for k, i in enumerate(order):
@@ -307,9 +340,13 @@ def _round(members: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if is_pivot:
                     continue
                 needed = np.flatnonzero(d <= d.min() + 2 * RADIUS + 1e-9)
+                bin_ = int(np.floor(np.log(n) / -np.log(NUMERATOR / DENOMINATOR) + 1e-9))
                 for k in needed.tolist():
-                    child = int.from_bytes(hashlib.blake2b(f"{region}/{pivots[k]['e']}".encode(), digest_size=8).digest(), "little", signed=True)
-                    put(child, e, part, n, s, None, None)
+                    ring = int(np.floor(d[k] / (RADIUS + 1e-9)))
+                    for r in (ring, ring + 1):
+                        for c in (bin_, bin_ + 1):
+                            child = int.from_bytes(hashlib.blake2b(f"{region}/{pivots[k]['e']}/{r}/{c}".encode(), digest_size=8).digest(), "little", signed=True)
+                            put(child, e, part, n, s, None, None)
             yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "set" else pa.int64()) for c in out], list(out))
 
     done = shared_checkpoint(joined.mapInArrow(run, "region long, e long, part long, n long, set binary, a long, b long"))
