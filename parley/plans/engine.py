@@ -1,4 +1,4 @@
-"""The whole run over many meetings: tables in, tables out, all lazy and keyed by meeting.
+"""The whole run over many meetings: tables in, tables out, keyed by meeting, stage by stage.
 
 Models propose (replies are input tables), columns verify. A meeting without lines or without a readable draft only fails
 its own stages.
@@ -6,13 +6,14 @@ its own stages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators import flags, glossary, names, record, report, turns
-from parley.session import ready
+from parley.session import ready, stored
 from parley.sources import readers, sinks
 
 
@@ -46,7 +47,9 @@ class Run:
         return sinks.deliverables(raw, t["labelled"], self.record, t.get("drafts"), t.get("roles"), t["status"])
 
 
-def run(inputs: Inputs) -> Run:
+def run(inputs: Inputs, keep: Callable[[DataFrame], DataFrame] = stored) -> Run:
+    """``keep`` is applied to the tables that later stages read again. As it stands they are written to the shared folder:
+    plans stay small, nothing is computed twice, and a lost executor costs nothing that is done."""
     spark = inputs.meetings.sparkSession
     ready(spark)
     t: dict[str, DataFrame] = {}
@@ -58,10 +61,10 @@ def run(inputs: Inputs) -> Run:
         lines = turns.assign_speakers(lines, t["turns"])
     elif "speaker" not in lines.columns:
         lines = lines.withColumn("speaker", F.lit(None).cast("string"))
-    t["lines"] = lines
+    lines = t["lines"] = keep(lines)
     t["summary"] = turns.speaker_summary(lines)
 
-    t["flags"] = flags.flag_lines(lines, inputs.meetings, flags.phantom_phrases(inputs.phrases, spark))
+    t["flags"] = keep(flags.flag_lines(lines, inputs.meetings, flags.phantom_phrases(inputs.phrases, spark)))
     doubtful = t["doubtful"] = flags.doubtful(t["flags"])
 
     terms = glossary.typed_terms(inputs.meetings) if "typed" in inputs.meetings.columns else empty("meeting_id long, ord int, text string, source string, heard_as string")
@@ -72,19 +75,21 @@ def run(inputs: Inputs) -> Run:
         terms = terms.unionByName(glossary.inferred_terms(inputs.term_replies, glossary.transcript_for_inference(lines, doubtful)))
     if inputs.pack_terms is not None:
         terms = terms.unionByName(inputs.pack_terms)
-    t["glossary"] = glossary.merge_terms(terms)
-    t["hints"] = glossary.find_hints(lines, t["glossary"], doubtful)
+    t["glossary"] = keep(glossary.merge_terms(terms))
+    t["hints"] = keep(glossary.find_hints(lines, t["glossary"], doubtful))
     t |= glossary.refine(lines, t["glossary"], t["hints"], inputs.line_replies if inputs.line_replies is not None else empty("meeting_id long, reply string"))
 
-    refined = lines.drop("text").join(t["refined"], ["meeting_id", "line"])
+    refined = keep(lines.drop("text").join(t["refined"], ["meeting_id", "line"]))
     claims = inputs.name_claims if inputs.name_claims is not None else empty("meeting_id long, ord int, speaker string, name string, role string, kind string, line string, quote string")
     attendees = inputs.meetings.select("meeting_id", "attendees") if "attendees" in inputs.meetings.columns else None
-    t["evidence"] = names.check_claims(claims, refined, doubtful, attendees)
+    t["evidence"] = keep(names.check_claims(claims, refined, doubtful, attendees))
     t["speakers"] = names.assign_names_and_roles(t["summary"].select("meeting_id", "speaker"), t["evidence"])
     changes = None
     if inputs.speaker_edits is not None:
-        t["speakers"], changes = names.rename_speakers(t["speakers"], inputs.speaker_edits)
-    labelled = t["labelled"] = turns.line_labels(refined, t["speakers"])
+        t["speakers"], changes = names.rename_speakers(keep(t["speakers"]), inputs.speaker_edits)
+    t["speakers"] = keep(t["speakers"])
+    changes = keep(changes) if changes is not None else None
+    labelled = t["labelled"] = keep(turns.line_labels(refined, t["speakers"]))
     t["labels"] = labelled.select("meeting_id", "line", "label")
     t["roles"] = names.roles_view(t["speakers"], t["evidence"])
     t["conversation"] = turns.conversation_turns(labelled)
@@ -97,7 +102,8 @@ def run(inputs: Inputs) -> Run:
         t["drafts"] = record.merge_drafts(good if "part" in good.columns else good.withColumn("part", F.lit(0)))
         if changes is not None:
             t["drafts"] = record.relabel_drafts(t["drafts"], changes)
-        out.record = record.verify(t["drafts"], labelled, doubtful, t["roles"])
+        t["drafts"] = keep(t["drafts"])
+        out.record = record.verify(t["drafts"], labelled, doubtful, t["roles"], keep)
         t["faithfulness"] = report.faithfulness(out.record["checks"], t["edits"], t["speakers"], t["evidence"])
     t["status"] = report.stage_status(inputs.meetings, {k: t[k] for k in ("lines", "speakers", "flags", "edits", "hints", "evidence") if k in t} | ({"drafts": t["parsed"]} if "parsed" in t else {}))
     return out

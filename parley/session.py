@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 BATCH_BYTES = 8 << 20
@@ -25,6 +26,15 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that spark.checkpoint.dir names (an own one only where that is unset) and its lineage cut."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def build(app: str = "parley", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; ``conf`` keys use __ for dots."""
     builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
