@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import flags, record
 from parley.plans import engine
+from parley.session import stored
 from parley.sources import readers, schemas, sinks
 
 LINES = ["Hello, let us begin.", "I propose we use rubber for the case.", "Yes, let's use rubber.", "No, rubber is too expensive.", "Sarah will send the report by Friday.", "I can do that.", "What about the battery?", "We are done then.", "Who will test the prototype?", "Ghost line about titanium."]
@@ -35,7 +36,7 @@ def verified(spark, d, texts=LINES, speakers=None, doubtful=(9,), roles=None):
     lines, dd = table(spark, texts, speakers, doubtful)
     drafts = record.parse_drafts(spark.createDataFrame([(1, "reply: " + json.dumps(d))], schemas.REPLIES))
     r = spark.createDataFrame([(1, k, v) for k, v in (roles or {}).items()], "meeting_id long, label string, role string")
-    return record.verify(drafts, lines, dd, r)
+    return record.verify(drafts, lines, dd, r, stored)
 
 
 def test_decisions(spark):
