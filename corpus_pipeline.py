@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 return the columns of documents. ``run`` writes each result as Parquet in the shared folder and reads it for the next.
 
 1. toxicity: documents that the classifier rejects go.
-2. n-gram Jaccard join: of each group of near copies the document with the smallest id stays.
+2. n-gram Jaccard join: of each group of near copies (eight tenths of their shingles of five words in common) the
+   document with the smallest id stays.
 3. suffix-array dedup: bytes of strings of 400 bytes that occur elsewhere too are taken out of the texts.
 4. benchmark decontamination: documents that share ten words in a row with a benchmark item (or hold a whole shorter
    item) go.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.core import shared_table
 from parley.llm.decontaminate import decontaminate
-from parley.llm.nearjoin import keep_one
+from parley.llm.nearjoin import CORPUS, keep_one
 from parley.llm.pack import pack_documents
 from parley.llm.substrings import strip_repeats
 from parley.llm.toxicity import drop_toxic
@@ -28,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, rule=CORPUS)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """N-gram Jaccard join in metric space: pivots, Voronoi regions, triangle windows, exact recursion.
 
-Jaccard distance d between the sets of 3-word shingles is a metric; documents link when d <= ``RADIUS``. Wanted are the
-groups that links connect.
+Jaccard distance d between the sets of word shingles is a metric; documents link when d is within the radius of the
+``Rule``: words in a shingle and least share in common. The default is op4's contract, 3 words and nine tenths; the
+pipeline joins by ``CORPUS``, 5 words and eight tenths. Wanted are the groups that links connect.
 
 1. Documents with the same set are one point. Points start in regions by signatures: two sets within the radius differ in
-   at most a ninth of the smaller, so if the shingles are dealt by hash to some more parts than that, at least one part is
-   equal in both. Points with an equal part, and what they connect to, are one region; no linked pair is apart. Hardly any
-   unlike texts meet, for a part holds some seven shingles.
+   at most a ninth of the smaller (a quarter, at eight tenths), so if the shingles are dealt by hash to some more parts than
+   that, at least one part is equal in both. Points with an equal part, and what they connect to, are one region; no linked
+   pair is apart. Hardly any unlike texts meet, for a part holds some seven shingles (three or four). Regions too large
+   for a task are dealt anew first, which parts what met by chance.
 2. A region picks pivots, and every member's distance to each is computed: members within the radius are linked. Each other
    member belongs to the Voronoi region of its nearest pivot p and, by the triangle inequality, is also needed in the
-   region of pivot q if d(x, q) <= d(x, p) + 2 * RADIUS. Pivots are done; the regions are joined the same way. Up to
+   region of pivot q if d(x, q) <= d(x, p) + 2 * radius. Pivots are done; the regions are joined the same way. Up to
    ``WINDOWED`` members are compared within windows: two can only link if their distances to every pivot differ by no more
    than the radius. Members already connected need no comparison with each other, and a region whose members are all
    connected is finished.
@@ -20,14 +22,15 @@ groups that links connect.
 
 Nothing is dropped or capped. Shingles and sets are known by 64-bit hashes.
 
-Defined results: a null or wordless text has the empty set, links with nothing and is its own component; fewer than three
-words are one shingle; repeated rows are one point, and so one group; a null id groups as the largest; other columns are
+Defined results: a null or wordless text has the empty set, links with nothing and is its own component; fewer
+words than a shingle has are one shingle; repeated rows are one point, and so one group; a null id groups as the largest; other columns are
 carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +42,54 @@ from parley.llm.graph import components
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100  #: least share of the union that two sets have in common
-RADIUS = 1 - NUMERATOR / DENOMINATOR
-SPARE = 2  #: parts beyond those that can differ, so that texts may leave out their empty ones
-FIRST_SIZE, SIZE_RATIO = 9, 1.5  #: smaller sets link only with equal ones
+SPARE = 2  #: parts beyond those that can differ, at least, so that texts may leave out their empty ones
+SIZE_RATIO = 1.5
 REGION_SHINGLES = 1 << 20
 PIVOTS, FEW = 8, 12
 WINDOWED = 4096  #: members that windows on pivot distances compare at once
 SALTS = 32
+DEALS = 2  #: times that large regions are dealt anew
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """When two texts are near copies, and how much a size class spans (at least what two linked sizes can differ by)."""
+
+    words: int = SHINGLE
+    numerator: int = NUMERATOR
+    denominator: int = DENOMINATOR
+    size_ratio: float = SIZE_RATIO
+
+    def __post_init__(self):
+        if self.words < 1 or not 0 < self.numerator < self.denominator or self.size_ratio * self.numerator < self.denominator:
+            raise ValueError(f"no join by {self}")
+
+    @property
+    def radius(self) -> float:
+        return 1 - self.numerator / self.denominator
+
+    def differing(self, smaller: int) -> int:
+        """Most shingles that are in one only of two linked sets."""
+        return smaller * (self.denominator - self.numerator) // self.numerator
+
+    def linked(self, common, a, b):
+        return self.denominator * common >= self.numerator * (a + b - common)
+
+
+CONTRACT = Rule()
+CORPUS = Rule(5, 80, 100, 1.25)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingle hashes of each text, one after the other; where each text's begin)."""
     n = len(offsets) - 1
     starts, ends, row = words_of(data, offsets, NOT_SPACE)
     words = word_hashes(data, starts, ends)
     count = per_row(row, n)
-    inside = grams_inside(row, SHINGLE)
-    hashes, rows = [gram_hashes(words, SHINGLE)[inside]], [row[: len(inside)][inside]]
+    inside = grams_inside(row, shingle)
+    hashes, rows = [gram_hashes(words, shingle)[inside]], [row[: len(inside)][inside]]
     first = np.searchsorted(row, np.arange(n))
-    for k in range(1, SHINGLE):
+    for k in range(1, shingle):
         short = np.flatnonzero(count == k)
         if len(short):
             hashes.append(gram_hashes(words[first[short][:, None] + np.arange(k)].T, k, k)[0])
@@ -71,32 +103,56 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return h, np.searchsorted(r, np.arange(n + 1))
 
 
-def size_classes(most: int) -> np.ndarray:
-    out = [FIRST_SIZE]
+def size_classes(most: int, rule: Rule = CONTRACT) -> np.ndarray:
+    # smaller sets link only with equal ones
+    out = [-(-rule.numerator // (rule.denominator - rule.numerator))]
     while out[-1] <= most:
-        out.append(int(np.ceil(out[-1] * SIZE_RATIO)))
+        out.append(int(np.ceil(out[-1] * rule.size_ratio)))
     return np.array(out)
 
 
-def signatures(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of the parts of each set: for its size class, and for the class below if a partner can be there."""
+def class_parts(bounds: np.ndarray, rule: Rule = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, spare ones) of each size class: so many that, but for rare texts, more parts are filled than can differ."""
+    parts, spares = [], []
+    for low, above in zip(bounds.tolist(), bounds[1:].tolist()):
+        need, spare = rule.differing(above - 1) + 1, SPARE
+        while spare < 4 * low:
+            load = low / (need + spare)
+            empty = np.exp(-load)
+            if (need + spare) * (1 - empty) - 3 * np.sqrt((need + spare) * (empty - (1 + load) * empty**2)) >= need:
+                break
+            spare += max(1, spare // 16)
+        parts.append(need + spare)
+        spares.append(spare)
+    return np.array(parts, np.int64), np.array(spares, np.int64)
+
+
+def signatures(h: np.ndarray, cut: np.ndarray, rule: Rule = CONTRACT, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of the parts of each set: for its size class, and for the class below if a partner can be there.
+
+    Of the parts that two linked sets have equal there is one more than are spare. Each set leaves out as many as are
+    spare, those of fewest shingles (of these, of smallest signature). The last of the equal parts in that order has all
+    the others before it, so neither leaves it out."""
     size = np.diff(cut)
-    bounds = size_classes(int(size.max(initial=0)))
+    bounds = size_classes(int(size.max(initial=0)), rule)
+    class_size, class_spare = class_parts(bounds, rule)
     own = np.searchsorted(bounds, size, "right") - 1
     rows, out = [], []
     for shift in (0, 1):
         k = own - shift
-        some = (k >= 0) if not shift else (k >= 0) & (-(-size * NUMERATOR // DENOMINATOR) < bounds[np.maximum(own, 0)])
+        some = (k >= 0) if not shift else (k >= 0) & (-(-size * rule.numerator // rule.denominator) < bounds[np.maximum(own, 0)])
         r = np.flatnonzero(some)
         if not len(r):
             continue
         parts = np.zeros(len(size), np.int64)
-        parts[r] = (bounds[k[r] + 1] - 1) // 9 + 1 + SPARE
+        parts[r] = class_size[k[r]]
+        spare = np.zeros(len(size), np.int64)
+        spare[r] = class_spare[k[r]]
         base = np.append(0, np.cumsum(parts))
         element_row = np.repeat(np.arange(len(size)), size)
         use = some[element_row]
         e, er = h[use], element_row[use]
-        mixed = mix(e ^ np.uint64(0x51ED270B0F0E1B23))
+        mixed = mix(e ^ np.uint64(0x51ED270B0F0E1B23 + deal))
         slot = base[er] + ((mixed >> np.uint64(32)).astype(np.int64) % parts[er])
         order = np.argsort(slot, kind="stable")
         slot, mixed = slot[order], mix(mixed[order])
@@ -104,13 +160,12 @@ def signatures(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         filled = slot[first]
         total = np.zeros(base[-1], np.uint64)
         total[filled] = np.add.reduceat(mixed, first)
-        full = np.zeros(base[-1], bool)
-        full[filled] = True
+        held = np.bincount(slot, minlength=base[-1])
         part_row = np.repeat(np.arange(len(size)), parts)
-        empty = parts - np.bincount(part_row[filled], minlength=len(size))
-        keep = full | (empty > SPARE)[part_row]
         part = np.arange(base[-1]) - base[part_row]
         sig = mix(total ^ mix(part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + k[part_row].astype(np.uint64) + np.uint64(1)))
+        ranked = np.lexsort((sig, held, part_row))
+        keep = np.sort(ranked[part >= spare[part_row]])
         rows.append(part_row[keep])
         out.append(sig[keep])
     return (np.concatenate(rows), np.concatenate(out)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -125,14 +180,11 @@ def point_ids(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------------------------------------- within a region
 
 
-def linked(common, a, b):
-    return DENOMINATOR * common >= NUMERATOR * (a + b - common)
-
-
 class Region:
     """Sets laid out one after the other, with their connected parts."""
 
-    def __init__(self, sets: list[np.ndarray], part: list[int]):
+    def __init__(self, sets: list[np.ndarray], part: list[int], rule: Rule = CONTRACT):
+        self.rule = rule
         self.h = np.concatenate(sets)
         self.size = np.array([len(s) for s in sets])
         self.cut = np.append(0, np.cumsum(self.size))
@@ -183,7 +235,7 @@ class Region:
                 chosen.append(at)
                 c = self.common(p, members)
                 d[:, k] = 1 - c / (self.size[members] + self.size[p] - c)
-                for i in members[linked(c, self.size[members], self.size[p])].tolist():
+                for i in members[self.rule.linked(c, self.size[members], self.size[p])].tolist():
                     self.link(i, p)
                 near = np.minimum(near, d[:, k])
                 near[chosen] = -1
@@ -193,7 +245,7 @@ class Region:
             if len(members) <= WINDOWED:
                 self._windows(members[rest], d[rest])
             else:
-                todo += [members[rest][r] for r in voronoi(d[rest])]
+                todo += [members[rest][r] for r in voronoi(d[rest], self.rule.radius)]
         return self.links
 
     def _windows(self, members: np.ndarray, d: np.ndarray) -> None:
@@ -202,17 +254,17 @@ class Region:
         order = np.argsort(self.size[members], kind="stable")
         members, d = members[order], d[order]
         size = self.size[members]
-        last = np.searchsorted(NUMERATOR * size, DENOMINATOR * size, "right")
+        last = np.searchsorted(self.rule.numerator * size, self.rule.denominator * size, "right")
         for i, m in enumerate(members.tolist()):
             lo, hi = i + 1, int(last[i])
             if lo >= hi:
                 continue
-            close = np.flatnonzero((np.abs(d[lo:hi] - d[i]) <= RADIUS + 1e-9).all(1)) + lo
+            close = np.flatnonzero((np.abs(d[lo:hi] - d[i]) <= self.rule.radius + 1e-9).all(1)) + lo
             mine = self.root(m)
             close = [int(j) for j in members[close].tolist() if self.root(j) != mine]
             if close:
                 close = np.array(close)
-                for j in close[linked(self.common(m, close), self.size[m], self.size[close])].tolist():
+                for j in close[self.rule.linked(self.common(m, close), self.size[m], self.size[close])].tolist():
                     self.link(m, j)
 
     def _direct(self, members: np.ndarray) -> None:
@@ -221,15 +273,15 @@ class Region:
             a = int(self.size[i])
             for j in order[k + 1 :]:
                 b = int(self.size[j])
-                if NUMERATOR * b > DENOMINATOR * a:
+                if self.rule.numerator * b > self.rule.denominator * a:
                     break
                 if self.root(i) != self.root(j):
                     c = len(np.intersect1d(self.h[self.cut[i] : self.cut[i + 1]], self.h[self.cut[j] : self.cut[j + 1]], assume_unique=True))
-                    if linked(c, a, b):
+                    if self.rule.linked(c, a, b):
                         self.link(i, j)
 
 
-def voronoi(d: np.ndarray, radius: float = RADIUS) -> list[np.ndarray]:
+def voronoi(d: np.ndarray, radius: float = CONTRACT.radius) -> list[np.ndarray]:
     """Members (rows) of each pivot's region with its boundary; one region if some region holds all."""
     if not len(d):
         return []
@@ -244,14 +296,14 @@ def voronoi(d: np.ndarray, radius: float = RADIUS) -> list[np.ndarray]:
 # ---------------------------------------------------------------------------------------------------- over a cluster
 
 
-def _points(keyed: DataFrame, signs: bool) -> DataFrame:
+def _points(keyed: DataFrame, signs: bool, rule: Rule) -> DataFrame:
     """Each text's (k1, k2, point, size), or the distinct (signature, point) of a slice."""
 
     def run(batches):
         for b in batches:
             k1, k2 = b.column(1), b.column(2)
             for lo, hi, data, offsets in slices(b.column(0)):
-                h, cut = shingle_sets(data, offsets)
+                h, cut = shingle_sets(data, offsets, rule.words)
                 e = point_ids(h, cut)
                 if not signs:
                     yield pa.RecordBatch.from_arrays([k1.slice(lo, hi - lo), k2.slice(lo, hi - lo), pa.array(e), pa.array(np.diff(cut))], ["k1", "k2", "e", "n"])
@@ -261,19 +313,55 @@ def _points(keyed: DataFrame, signs: bool) -> DataFrame:
                 first = np.sort(first)
                 size = np.diff(cut)[first]
                 at = np.repeat(cut[first] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
-                row, sig = signatures(h[at], np.append(0, np.cumsum(size)))
+                row, sig = signatures(h[at], np.append(0, np.cumsum(size)), rule)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(e[first][row])], ["sig", "e"])
 
     return keyed.select("text", "k1", "k2").mapInArrow(run, "sig long, e long" if signs else "k1 long, k2 int, e long, n long")
 
 
-def _with_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+def _shared(signs: DataFrame) -> DataFrame:
+    """(a, b): each point that shares a signature, with the smallest point of that signature; one shuffle, in a stream."""
+
+    def run(batches):
+        sig, low = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            s, e = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.append(s[0] != sig, s[1:] != s[:-1])
+            at = np.flatnonzero(new)
+            lows = e[at] if new[0] else np.append(low, e[at])
+            smallest = lows[np.cumsum(new) - new[0]]
+            sig, low = s[-1], smallest[-1]
+            other = e != smallest
+            pairs = np.unique(np.stack([e[other], smallest[other]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return signs.repartition("sig").sortWithinPartitions("sig", "e").mapInArrow(run, "a long, b long")
+
+
+def _redeal(members: DataFrame, rule: Rule, deal: int) -> DataFrame:
+    """(e, region) of regions dealt anew: linked points share a part however shingles are dealt, chance meetings end."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                sets = [np.frombuffer(s, np.uint64) for s in b.column(2).to_pylist()]
+                row, sig = signatures(np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])), rule, deal)
+                within = mix(sig ^ mix(b.column(0).to_numpy().view(np.uint64))[row])
+                yield pa.RecordBatch.from_arrays([pa.array(within.view(np.int64)), pa.array(b.column(1).to_numpy()[row])], ["sig", "e"])
+
+    edges = _shared(members.select("region", "e", "set").mapInArrow(run, "sig long, e long"))
+    return components(edges).select(F.col("node").alias("e"), F.col("component").alias("region"))
+
+
+def _with_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(region, e, part, n, set) of the wanted (k1, k2, region, e)."""
 
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in slices(b.column(0)):
-                h, cut = shingle_sets(data, offsets)
+                h, cut = shingle_sets(data, offsets, rule.words)
                 raw, at = h.tobytes(), (cut * 8).tolist()
                 e = b.column(2).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), e, e, pa.array(np.diff(cut)), pa.array([raw[a:z] for a, z in zip(at, at[1:])], pa.binary())], ["region", "e", "part", "n", "set"])
@@ -281,14 +369,14 @@ def _with_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "region", "e").mapInArrow(run, "region long, e long, part long, n long, set binary")
 
 
-def _join_small(members: DataFrame) -> DataFrame:
+def _join_small(members: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) within regions that fit a task."""
 
     def emit(held):
         out: tuple[list, list] = ([], [])
         for rows in held:
             if len(rows) > 1:
-                for i, j in Region([np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows]).join():
+                for i, j in Region([np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows], rule).join():
                     out[0].append(rows[i][0])
                     out[1].append(rows[j][0])
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
@@ -308,7 +396,7 @@ def _join_small(members: DataFrame) -> DataFrame:
     return members.repartition("region").sortWithinPartitions("region", "e").mapInArrow(run, "a long, b long")
 
 
-def _round(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """One round of pivots for large regions: (links, members of the new regions)."""
     parts = members.groupBy("region", "part").agg(F.count(F.lit(1)).alias("weight"))
     ranked = members.join(parts, ["region", "part"])
@@ -335,14 +423,14 @@ def _round(members: DataFrame) -> tuple[DataFrame, DataFrame]:
                     is_pivot |= p["e"] == e
                     c = len(np.intersect1d(x, np.frombuffer(p["set"], np.uint64), assume_unique=True))
                     d[k] = 1 - c / (n + p["n"] - c)
-                    if p["e"] != e and linked(c, n, p["n"]):
+                    if p["e"] != e and rule.linked(c, n, p["n"]):
                         put(None, None, None, None, None, e, p["e"])
                 if is_pivot:
                     continue
-                needed = np.flatnonzero(d <= d.min() + 2 * RADIUS + 1e-9)
-                bin_ = int(np.floor(np.log(n) / -np.log(NUMERATOR / DENOMINATOR) + 1e-9))
+                needed = np.flatnonzero(d <= d.min() + 2 * rule.radius + 1e-9)
+                bin_ = int(np.floor(np.log(n) / -np.log(rule.numerator / rule.denominator) + 1e-9))
                 for k in needed.tolist():
-                    ring = int(np.floor(d[k] / (RADIUS + 1e-9)))
+                    ring = int(np.floor(d[k] / (rule.radius + 1e-9)))
                     for r in (ring, ring + 1):
                         for c in (bin_, bin_ + 1):
                             child = int.from_bytes(hashlib.blake2b(f"{region}/{pivots[k]['e']}/{r}/{c}".encode(), digest_size=8).digest(), "little", signed=True)
@@ -361,33 +449,39 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(open_, "region", "left_semi")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region_shingles: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region_shingles: int = REGION_SHINGLES, rule: Rule = CONTRACT) -> tuple[DataFrame, DataFrame]:
     """(documents with keys k1, k2, decisions (k1, k2, id, n_shingles, component_id))."""
     spark = docs.sparkSession
     tune(spark)
     keyed = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns({"k1": F.xxhash64(doc_id, text), "k2": F.hash(doc_id, text)})
     slim = keyed.select(F.col("_text").alias("text"), "k1", "k2")
     ids = keyed.select("k1", "k2", F.col(doc_id).alias("id")).distinct()
-    points = shared_checkpoint(_points(slim, False).distinct().join(ids, ["k1", "k2"]))
+    points = shared_checkpoint(_points(slim, False, rule).distinct().join(ids, ["k1", "k2"]))
 
-    signs = _points(slim, True)
-    low = signs.groupBy("sig").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo != hi").select("sig", "lo")
-    edges = signs.join(low, "sig").where("e != lo").select(F.col("e").alias("a"), F.col("lo").alias("b"))
+    signs = _points(slim, True, rule)
+    edges = _shared(signs)
     regions = components(edges).select(F.col("node").alias("e"), F.col("component").alias("region"))
 
     one = points.groupBy("e").agg(F.min(F.struct("k1", "k2")).alias("k"))
     wanted = regions.join(one, "e").select("k.k1", "k.k2", "region", "e")
-    members = shared_checkpoint(_with_sets(slim, wanted))
+    members = shared_checkpoint(_with_sets(slim, wanted, rule))
+    for deal in range(1, DEALS + 1):
+        large = members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > region_shingles).select("region")
+        if large.isEmpty():
+            break
+        hold = members.join(large, "region", "left_semi")
+        again = hold.drop("region").join(_redeal(hold, rule, deal), "e").select(*members.columns)
+        members = shared_checkpoint(members.join(large, "region", "left_anti").unionByName(again))
     links = None
     while True:
         sizes = members.groupBy("region").agg(F.sum("n").alias("total"))
         large = sizes.where(F.col("total") > region_shingles).select("region")
         some = not large.isEmpty()
-        small = _join_small(members.join(large, "region", "left_anti") if some else members)
+        small = _join_small(members.join(large, "region", "left_anti") if some else members, rule)
         links = shared_checkpoint(small if links is None else links.unionByName(small))
         if not some:
             break
-        more, members = _round(members.join(large, "region", "left_semi"))
+        more, members = _round(members.join(large, "region", "left_semi"), rule)
         links = shared_checkpoint(links.unionByName(more))
         members = shared_checkpoint(_relabel(members, links))
         if members.isEmpty():
@@ -400,10 +494,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reg
     return keyed.drop("_text"), named
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """One document of each group: the one with the smallest id (of repeated rows one); documents without words all stay."""
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    keyed, named = near_groups(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items())), inner[doc_id], inner[text])
+    keyed, named = near_groups(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items())), inner[doc_id], inner[text], rule=rule)
     # equal ids with unlike texts of one group: the smallest key stays
     keep = named.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("r")).select("r.k1", "r.k2")
     first = keyed.join(keep, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
@@ -418,7 +512,7 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return keyed.select("k1", "k2", "doc_id").join(named.drop("id"), ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
 
 
-def brute(docs: list[tuple]) -> dict:
+def brute(docs: list[tuple], rule: Rule = CONTRACT) -> dict:
     """Plain restatement for tests: {doc_id: (n_shingles, component_id)}."""
     import re
 
@@ -426,7 +520,7 @@ def brute(docs: list[tuple]) -> dict:
     sets, up = {}, {}
     for d, t in docs:
         w = low(t)
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + rule.words]) for i in range(len(w) - rule.words + 1)} if len(w) >= rule.words else ({tuple(w)} if w else set())
         up[d] = d
 
     def root(x):
@@ -437,9 +531,9 @@ def brute(docs: list[tuple]) -> dict:
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if sets[a] and sets[b] and 10 * min(len(sets[a]), len(sets[b])) >= 9 * max(len(sets[a]), len(sets[b])):
+            if sets[a] and sets[b] and rule.denominator * min(len(sets[a]), len(sets[b])) >= rule.numerator * max(len(sets[a]), len(sets[b])):
                 c = len(sets[a] & sets[b])
-                if 100 * c >= 90 * (len(sets[a]) + len(sets[b]) - c):
+                if rule.linked(c, len(sets[a]), len(sets[b])):
                     x, y = root(a), root(b)
                     up[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d)) for d in ids}

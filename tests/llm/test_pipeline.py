@@ -1,5 +1,7 @@
 """The pipeline's stages one after the other, each against what its contract says of its own input."""
 
+import random
+
 import corpus_pipeline as P
 from parley.llm import decontaminate, nearjoin, substrings
 
@@ -38,3 +40,24 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11) if k != 3)
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_near_copies_by_five_words_and_eight_tenths(spark):
+    rule = nearjoin.Rule(5, 80, 100, 1.25)
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for k in range(40):
+        w = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([5, 8, 12, 30, 90, 400]))]
+        rows.append((10_000 + 10 * k, " ".join(w)))
+        for c in range(1, 6):
+            x = list(w)
+            for _ in range(rng.choice([0, 1, len(x) // 50, len(x) // 45])):
+                x[rng.randrange(len(x))] = "edited"
+            rows.append((10_000 + 10 * k + c, " ".join(x + [f"more{i}" for i in range(rng.choice([0, len(w) // 9, len(w) // 5]))])))
+    got = {r["doc_id"] for r in P.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    keeps = lambda groups: {d for d, (n, c) in groups.items() if c == d or not n}
+    assert got == keeps(nearjoin.brute(rows, rule)) and len(got) < len(keeps(nearjoin.brute(rows)))
+    small = [(d, t) for d, t in rows if d >= 10_000]
+    _, named = nearjoin.near_groups(spark.createDataFrame(small, "doc_id long, text string"), region_shingles=300, rule=rule)
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in named.collect()} == nearjoin.brute(small, rule)
