@@ -2,7 +2,7 @@
 
 A unit is a line, cut further behind closing marks (. ! ?), so that a passage inside a longer line is found too; with
 ``sentences=False`` whole lines. It is normalised to its words in lower case; the digest is two 64-bit hashes of these. Units
-under ``MIN_WORDS`` words always stay.
+under ``min_words`` words always stay; op3 has no such bound, so a repeated line goes whole, whatever its sentences are.
 
 First only digests are counted (a sum with map-side combination); those met once, nearly all, are done. The places of the
 others are grouped by the whole digest, again by sums, for the earliest place: smallest id, then smallest offset. A join,
@@ -118,7 +118,7 @@ def dedup_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
 def op3_line_hashing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done, name = dedup_units(docs)
+    done, name = dedup_units(docs, min_words=1)
     return done.select("doc_id", f"`{name}`.*").withColumnRenamed("kept", "text")
 
 

@@ -378,3 +378,13 @@ def test_units_of_an_empty_table_and_clashing_columns(spark):
     done, name = units.dedup_units(d)
     assert {r["doc_id"]: r["n_removed"] for r in done.select("doc_id", f"{name}.n_removed").collect()} == {2: 0, None: 1}
     assert units.dedup_units(d.limit(0))[0].count() == 0
+
+
+def test_line_hashing_takes_short_lines_and_short_sentences(spark, tmp_path):
+    from parley.llm import units
+
+    rows = [(1, "All rights reserved.\nHome\nNo. Not yet. Come back later."), (2, "Other text stands here\nall  rights reserved.\nHOME"), (3, "No. Not yet. Come back later.\n\u8fd9\u662f\u4e00\u884c"), (4, "\u8fd9\u662f\u4e00\u884c\nown line"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in units.op3_line_hashing(spark, str(tmp_path)).collect()}
+    assert {d: (r["n_units"], r["text"]) for d, r in got.items()} == units.brute(rows, 1)
+    assert {d: r["n_removed"] for d, r in got.items()} == {1: 0, 2: 2, 3: 3, 4: 1, 5: 0}
