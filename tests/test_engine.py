@@ -271,3 +271,27 @@ def test_evaluation():
     assert evaluate.diarization_error(gold, gold.assign(speaker=["x", "y"]))[0] == 0
     wrong, total = evaluate.diarization_error(gold, pd.DataFrame({"start": [0.0], "end": [10.0], "speaker": ["x"]}))
     assert (wrong, total) == (5.0, 10.0)
+
+
+def test_word_error_rate_reads_every_line(spark, tmp_path):
+    from parley.plans import catalogue
+
+    turns = [(1, 0, "user", "a b c"), (1, 1, "assistant", "d e"), (1, 2, "user", "a x c"), (1, 3, "user", "It's f"), (1, 4, "user", "d e g"), (2, 0, "user", "only one line"), (2, 1, "user", "and another"), (3, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["meeting_id"]: (r["errors"], r["words"]) for r in catalogue.queries()["word_error_rate"](spark, str(tmp_path)).collect()}
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for m in (1, 2, 3):
+        own = sorted((t, x.lower()) for c, t, _, x in turns if c == m)
+        gold, heard = " ".join(x for _, x in own).split(), " ".join(x for t, x in own if t >= 2).split()
+        want[m] = (brute(gold, heard), len(gold))
+    assert got == want
