@@ -295,7 +295,7 @@ def guard_edits(spark, d):
 
 def _quotes(lines):
     words = F.split("n", " ")
-    return lines.withColumn("n", X.norm(F.col("text"))).where("line % 3 = 0").select("meeting_id", F.array_join(F.slice(words, 2, 5), " ").alias("quote")).where("quote != ''").distinct()
+    return lines.withColumn("n", X.norm(F.col("text"))).select("meeting_id", F.array_join(F.slice(words, 2, 5), " ").alias("quote")).where("quote != ''").distinct()
 
 
 @query(f"""WITH {DOCS}, n AS (SELECT meeting_id, line, {_norm('text')} AS n FROM doc), k AS (SELECT * FROM n WHERE n <> ''),
@@ -307,7 +307,7 @@ def _quotes(lines):
 def quote_exact_line(spark, d):
     lines = R.document_lines(spark, d).withColumns({"start": F.lit(None).cast("double"), "label": F.lit(None).cast("string")})
     none = lines.select("meeting_id", "line").where("false")
-    return record.find_quotes(_quotes(lines), record.quote_index(lines, none), record.meeting_labels(lines), exact_only=True).select("meeting_id", "quote", "pos", "line")
+    return record.find_quotes(_quotes(lines.where("line % 3 = 0")), record.quote_index(lines, none), record.meeting_labels(lines), exact_only=True).select("meeting_id", "quote", "pos", "line")
 
 
 @query()

@@ -295,3 +295,12 @@ def test_word_error_rate_reads_every_line(spark, tmp_path):
         gold, heard = " ".join(x for _, x in own).split(), " ".join(x for t, x in own if t >= 2).split()
         want[m] = (brute(gold, heard), len(gold))
     assert got == want
+
+
+def test_fuzzy_quotes_come_from_every_line(spark, tmp_path):
+    from parley.plans import catalogue
+
+    said = ["first we should discuss the budget", "then marketing presents their findings today", "afterwards engineering explains battery problems", "finally everybody agrees about colours"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalogue.queries()["quote_fuzzy_line"](spark, str(tmp_path)).collect()
+    assert sorted(r["line"] for r in got) == [0, 1, 2, 3]
