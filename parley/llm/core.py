@@ -48,6 +48,65 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class KeyFilter:
+    """A table of bits over 64-bit keys: says no only to keys that were not put in. Broadcast; at most 2**MOST bits.
+
+    It only spares shuffles: what passes is joined exactly, so a table too small for the keys costs time, not results."""
+
+    MOST = 28
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table = bits, table
+
+    @staticmethod
+    def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+        return mix(keys.view(U64) ^ U64(0x8A5CD789635D2DFF)) >> U64(64 - bits)
+
+    def might(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots(np.ascontiguousarray(keys), self.bits)
+        return (self.table[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
+
+
+def key_filter(keys: DataFrame, column: str, n: int):
+    """Broadcast KeyFilter of a long column of some ``n`` keys. Each task fills its own stretch of the table."""
+    bits = min(KeyFilter.MOST, max(16, int(n * 16).bit_length()))
+    part = 16  # bits of a stretch
+
+    def spread(batches):
+        for b in batches:
+            k = b.column(0)
+            at = KeyFilter.slots(k.filter(k.is_valid()).to_numpy(), bits)
+            at = np.unique(at)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(part)).astype(np.int32)), pa.array((at & U64((1 << part) - 1)).astype(np.int32))], ["p", "at"])
+
+    def fill(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            p, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.argsort(p, kind="stable")
+            p, at = p[order], at[order]
+            first = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else []
+            for a, z in zip(first, [*first[1:], len(p)]):
+                held.setdefault(int(p[a]), np.zeros(1 << part, bool))[at[a:z]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in held.values()], pa.binary())], ["p", "bits"])
+
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for r in keys.select(column).mapInArrow(spread, "p int, at int").repartition("p").mapInArrow(fill, "p int, bits binary").toLocalIterator():
+        table[r["p"] << (part - 3) : (r["p"] + 1) << (part - 3)] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(KeyFilter(bits, table))
+
+
+def passing(df: DataFrame, column: str, shared, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose long ``column`` may be (``inside``) or can't be among the keys of the broadcast filter."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(shared.value.might(b.column(at).to_numpy(zero_copy_only=False)) == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_mod(column, n: int):
     """crc32 of the id's decimal text modulo ``n``; a null id counts as remainder of the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

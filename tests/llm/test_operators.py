@@ -207,13 +207,45 @@ def test_repeats_match_brute_force(spark, sample):
     assert repeats(spark, rows) == sorted(substrings.brute(rows), key=str)
 
 
-@pytest.mark.parametrize("length, gram, hot", [(40, 12, 4 << 20), (100, 30, 3000)])
-def test_repeats_of_short_strings_periods_and_hot_groups(spark, length, gram, hot):
+@pytest.mark.parametrize("unit, hot", [(substrings.Unit(False, 40, 12, 2, 4), 4 << 20), (substrings.Unit(False, 100, 30, 4, 8), 3000), (substrings.Unit(False, 12, 3, 1, 2), 4 << 20)])
+def test_repeats_of_short_strings_periods_and_hot_groups(spark, unit, hot):
     rng = random.Random(2)
     base = ["".join(rng.choice("ab cdé\n") for _ in range(300)) for _ in range(6)]
     rows = [(i, "".join(rng.choice([rng.choice(base), rng.choice(base)[: rng.randint(1, 200)], "xy" * rng.randint(1, 90), "q"]) for _ in range(rng.randint(0, 5)))) for i in range(90)]
     rows += [(1, base[0] + base[1]), (1, base[0] + base[1]), (None, "abc" * 100), (-3, "z" * 999)]
-    assert repeats(spark, rows, length=length, gram=gram, hot_bytes=hot) == sorted(substrings.brute(rows, length), key=str)
+    assert repeats(spark, rows, units=(unit,), hot_bytes=hot) == sorted(substrings.brute(rows, unit.length), key=str)
+
+
+@pytest.mark.parametrize("unit", [substrings.Unit(False, 40, 12, 2, 4), substrings.Unit(False, 9, 2, 1, 1), substrings.Unit(False, 64, 20, 3, 6)])
+def test_array_neighbours_decide_repeats(unit):
+    rng = random.Random(7)
+    for _ in range(60):
+        base = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 120))) for _ in range(4)] + ["ab" * 60, "c" * 90]
+        texts = ["".join(rng.choice(base) for _ in range(rng.randint(1, 4))).encode() for _ in range(rng.randint(1, 12))]
+        texts = [t for t in dict.fromkeys(texts) if len(t) >= unit.length]
+        if not texts:
+            continue
+        count = {}
+        for t in texts:
+            for i in range(len(t) - unit.length + 1):
+                count[t[i : i + unit.length]] = count.get(t[i : i + unit.length], 0) + 1
+        found = substrings.repeated_windows(texts, np.ones(len(texts), np.int64), unit)
+        assert [f.tolist() for f in found] == [[i for i in range(len(t) - unit.length + 1) if count[t[i : i + unit.length]] > 1] for t in texts]
+
+
+def test_passages_of_fifty_words(spark, sample):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    shared = [some(n) for n in (49, 50, 51, 60, 200)]
+    rows = [*sample, (None, None), (-1, "")]
+    for k in range(40):
+        rows.append((10_000 + k, f"{some(rng.randint(1, 80))}\n {rng.choice(shared).upper() if k % 3 else rng.choice(shared)}\t{some(rng.randint(1, 80))} {shared[k % 5]}"))
+    done, name = substrings.remove_repeats(docs_of(spark, rows), units=(substrings.BYTES, substrings.WORDS), cut=(substrings.BYTES,))
+    got = sorted((tuple(r) for r in done.select("doc_id", f"{name}.word_starts", f"{name}.word_ends").collect()), key=str)
+    want = [(d, [a for a, _ in s], [z for _, z in s]) for (d, _), s in zip(rows, substrings.brute_words(rows), strict=True)]
+    assert got == sorted(want, key=str) and any(a for _, a, _ in want)
+    assert sorted((tuple(r) for r in done.select("doc_id", f"{name}.n_bytes", f"{name}.n_removed", F.size(f"{name}.starts"), f"{name}.kept_sha256").collect()), key=str) == sorted(substrings.brute(rows), key=str)
 
 
 def test_strip_repeats_keeps_columns_and_characters(spark):
