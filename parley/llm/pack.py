@@ -1,16 +1,18 @@
 """Packing by vector bin packing.
 
-An example demands tokens, one segment and its loss-bearing tokens (the last ``loss`` of its tokens; of a plain document
-all). A sequence holds at most ``Limits``. One sequence is open at a time; of the pooled examples that fit it, the one with
+An example demands tokens, one segment and its loss-bearing tokens (the last ones of its tokens: as many as a column of
+the table says, without one all). A sequence holds at most ``Limits``. One sequence is open at a time; of the pooled examples that fit it, the one with
 the greatest dot product of demand and what is left (each in shares of its limit, weighted by the pool's mean demand) is
 placed next. When none fits, the largest is cut so as to fill the sequence. A sequence that closes with tokens left is cut
 into lengths that are powers of two, which need no padding, so nothing is ever padded.
 
-Each task packs its own rows through a pool of bounded size: no shuffle, and a lost task is simply redone with the same
-ids. Long documents give full sequences first and pool the rest.
+Each task packs its own rows through a pool of ``POOL`` examples (fewer, if they are very long): no shuffle, and a lost task
+is simply redone with the same ids. The pool is emptied by what was counted into it, so a task's sequences follow from its
+rows alone. Long documents give full sequences first and pool the rest.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed once each; an empty table gives no
-piece; a null id is carried along; other columns are ignored.
+piece; a null id is carried along; a null, negative or too large number of loss-bearing tokens is none, none or all; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm.core import slices, tune
@@ -28,6 +31,7 @@ from parley.llm.tokens import SLICE, default_vocabulary, encoder
 
 END_ID = 1
 POOL = 384
+POOL_IDS = 8 << 20  #: ids of pooled examples that a task holds
 
 
 @dataclass(frozen=True)
@@ -130,7 +134,7 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits(), vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits(), vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = False, loss: str | None = None) -> DataFrame:
     """Pieces of the documents' ids in gapless sequences; with_ids adds the ids themselves."""
     tune(docs.sparkSession)
     path = vocabulary or default_vocabulary()
@@ -149,7 +153,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         code = encoder(path)
         held: dict[int, tuple] = {}  # examples with ids still to be placed: (id, ids)
         pending: list[tuple] = []
-        count = 0
+        count = held_ids = 0
 
         def flush():
             rows = packer.taken()
@@ -165,23 +169,27 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            keys = batch.column(batch.schema.get_field_index(doc_id)).to_pylist()
+            column = batch.column(batch.schema.get_field_index("text"))
+            keys = batch.column(batch.schema.get_field_index("id")).to_pylist()
+            bearing = batch.column(batch.schema.get_field_index("loss")).to_pylist() if loss else None
             for row, end, data, offsets in slices(column, SLICE):
-                for d, raw in zip(keys[row:end], code.encode(data, offsets), strict=True):
+                for i, raw in enumerate(code.encode(data, offsets), row):
                     raw += tail
-                    held[count] = (d, raw)
-                    pending.append((count, len(raw) // 2, len(raw) // 2))
+                    n = len(raw) // 2
+                    held[count] = (keys[i], raw)
+                    pending.append((count, n, min(n, max(0, bearing[i] or 0)) if loss else n))
                     count += 1
-                while len(pending) >= POOL or pending and end - row == 1:
-                    packer.add(pending[:POOL])
-                    pending = pending[POOL:]
-                    yield flush()
+                    held_ids += n
+                    if len(pending) >= POOL or held_ids >= POOL_IDS:
+                        packer.add(pending)
+                        pending, held_ids = [], 0
+                        yield flush()
         packer.add(pending)
         packer.finish()
         yield flush()
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    columns = [F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{loss}`").cast("long").alias("loss")] if loss else [])]
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def op2_vector_packing(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,16 @@ is encoded once and a text is a join of stored ids, gathered with numpy. The cut
 pattern always starts a new piece at a space that a visible character follows. Texts where white space stands on both sides
 of a space (or before a last space) could be cut otherwise and are encoded whole. Chunks are known by a 64-bit hash; two
 chunks in one table share one with odds of about 1e-13 a lookup.
+
+The vocabulary's added strings (its file of JSON names them) are one id wherever they stand; what is between them is
+encoded as a text of its own.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,21 +37,31 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_added() -> dict[str, int]:
+    """The strings that the vocabulary adds, with their ids."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, default_added() if path == default_vocabulary() else {})
 
 
 class Encoder:
-    """Encodes texts to 16-bit ids; special strings are ordinary text."""
+    """Encodes texts to 16-bit ids; without ``added`` strings all text is ordinary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
+        self.added = dict(added or {})
+        self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        if max(ranks.values()) > 65535:
+        if max(*ranks.values(), *self.added.values()) > 65535:
             raise ValueError("ids must fit 16 bits")
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.spaced = np.zeros(65536, bool)
@@ -102,8 +117,9 @@ class Encoder:
         known = np.searchsorted(self.keys, keys)
         known[known == len(self.keys)] = 0
         new = np.flatnonzero(self.keys[known] != keys) if len(self.keys) else np.arange(len(keys))
+        raw = data.tobytes()
         if len(new):
-            raw, e = data.tobytes(), example[new]
+            e = example[new]
             is_first = np.zeros(len(starts), bool)
             is_first[first] = True
             self._learn(keys[new], [raw[a:b] for a, b in zip(starts[e].tolist(), ends[e].tolist(), strict=True)], ~is_first[e])
@@ -112,8 +128,8 @@ class Encoder:
         total = np.append(0, np.cumsum(n))
         flat = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
         cut = (total[np.append(first, len(starts))] * 2).tolist()
-        raw = flat.tobytes()
-        out = [raw[a:b] for a, b in zip(cut, cut[1:])]
+        ids = flat.tobytes()
+        out = [ids[a:b] for a, b in zip(cut, cut[1:])]
         if len(space):
             last = np.zeros(len(data) + 1, bool)
             last[offsets[1:]] = True
@@ -124,4 +140,10 @@ class Encoder:
             odd = odd[_BEFORE[data[odd - 1]]]
             for d in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
                 out[d] = self._ids(data[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")).tobytes()
+        if any(raw.find(t.encode()) >= 0 for t in self.added):
+            for d, (a, z) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+                text = raw[a:z]
+                if any(t.encode() in text for t in self.added):
+                    parts = self.splits.split(text.decode("utf-8", "replace"))
+                    out[d] = b"".join([np.array([self.added[p]], np.uint16).tobytes() if p in self.added else self._ids(p).tobytes() for p in parts if p])
         return out

@@ -68,9 +68,8 @@ def test_token_ids_are_those_of_the_library(sample):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rng = random.Random(1)
-    odd = ["", " ", "a   b", "a\n  b", "a \n b", "x  ", "x\n ", "<|endoftext|> a"] + ["".join(rng.choice(["a", "b", " ", " ", "\n", "\t", "'s", "1", "é", "à", "　", "\x85"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    odd = ["", " ", "a   b", "a\n  b", "a \n b", "x  ", "x\n ", "<|endoftext|> a", "<|endoftext|> a <|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|", "<|endoftext|>"] + ["".join(rng.choice(["a", "b", " ", " ", "\n", "\t", "'s", "1", "é", "à", "　", "\x85"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     texts = odd + [t for _, t in sample[:40]]
     got = tokens.encoder(tokens.default_vocabulary()).encode(*core.text_buffers(pa.array(texts)))
     assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -111,6 +110,27 @@ def test_packing_keeps_the_loss_limit_and_prefers_whole_examples():
     assert {k for k, _, _, s, _ in p.pieces if s in {x[3] for x in p.pieces if x[0] == 0}} >= {0, 1}
 
 
+def test_packing_reads_loss_bearing_tokens_and_ignores_batches(spark, sample):
+    rows = [(d, t, k % 9 * 20 - 20, "x") for k, (d, t) in enumerate(sample[:60])] + [(-1, "<|endoftext|> a", None, "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, start int, loss string").coalesce(1)
+    limits = pack.Limits(256, 6, 90)
+    pieces = pack.pack_documents(d, limits=limits, loss="start").collect()
+    bearing = {r[0]: max(0, r[2] or 0) for r in rows}
+    total: dict = {}
+    for p in pieces:
+        first = p["doc_tokens"] - min(bearing[p["doc_id"]], p["doc_tokens"])
+        total[p["sequence_id"]] = total.get(p["sequence_id"], 0) + max(0, p["start"] + p["length"] - max(p["start"], first))
+    assert max(total.values()) <= 90 and sum(total.values()) == sum(min(bearing[p["doc_id"]], p["doc_tokens"]) for p in pieces if p["start"] == 0)
+    assert next(p["doc_tokens"] for p in pieces if p["doc_id"] == -1) == 3
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert sorted(pack.pack_documents(d, limits=limits, loss="start").collect()) == sorted(pieces)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_packing_an_empty_table(spark):
     assert pack.pack_documents(spark.createDataFrame([], DOC)).count() == 0
 
