@@ -172,7 +172,12 @@ def gap_similarity(spark, d):
     return topics.gap_similarity(R.document_lines(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DOCS}, {GAPS}, t AS (SELECT meeting_id, line, sum(CAST(floor(len({TOKENS.format(c='text')}) * 1.3::DOUBLE) AS INT) + 1) OVER (PARTITION BY meeting_id ORDER BY line) AS total FROM doc),
+  m AS (SELECT t.meeting_id, count(*) AS n, list_prepend(0, list(total ORDER BY line)) AS tot, list(CASE WHEN line = 0 THEN 1.0 ELSE coalesce(s, 0.0) END ORDER BY line) AS sim FROM t LEFT JOIN c ON c.meeting_id = t.meeting_id AND c.gap = t.line GROUP BY 1),
+  r AS (SELECT meeting_id, 0 AS part, 0::BIGINT AS a, n, tot, sim FROM m UNION ALL
+    SELECT meeting_id, part + 1, CASE WHEN len(ok) > 0 THEN -list_min(list_transform(ok, lambda g: {{'s': sim[g + 1], 'g': -g}})).g WHEN len(fit) > 0 THEN fit[-1] ELSE a + 1 END, n, tot, sim
+    FROM (SELECT *, list_filter(fit, lambda g: tot[g + 1] - tot[a + 1] >= 150) AS ok FROM (SELECT *, list_filter(range(a + 1, n), lambda g: tot[g + 1] - tot[a + 1] <= 300) AS fit FROM r WHERE a < n AND tot[n + 1] - tot[a + 1] > 300)))
+  SELECT meeting_id, part, CAST(a AS INT) AS first_line, CAST(lead(a, 1, n) OVER (PARTITION BY meeting_id ORDER BY part) AS INT) AS end_line FROM r WHERE a < n""")
 def topic_parts(spark, d):
     return topics.topic_parts(R.document_lines(spark, d), max_tokens=300)
 
