@@ -7,6 +7,8 @@ document and not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -48,6 +50,27 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more; they else stay until the driver's JVM
+    happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow; the worker, which lives on, gives its free memory back at the end of a task."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another libc keeps no such arenas
+            pass
+
+    return tidied
+
+
 class KeyFilter:
     """A table of bits over 64-bit keys: says no only to keys that were not put in. Broadcast; at most 2**MOST bits.
 
@@ -91,7 +114,7 @@ def key_filter(keys: DataFrame, column: str, n: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in held.values()], pa.binary())], ["p", "bits"])
 
     table = np.zeros(1 << (bits - 3), np.uint8)
-    for r in keys.select(column).mapInArrow(spread, "p int, at int").repartition("p").mapInArrow(fill, "p int, bits binary").toLocalIterator():
+    for r in keys.select(column).mapInArrow(tidy(spread), "p int, at int").repartition("p").mapInArrow(tidy(fill), "p int, bits binary").toLocalIterator():
         table[r["p"] << (part - 3) : (r["p"] + 1) << (part - 3)] = np.frombuffer(r["bits"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(KeyFilter(bits, table))
 
@@ -104,7 +127,7 @@ def passing(df: DataFrame, column: str, shared, inside: bool = True) -> DataFram
         for b in batches:
             yield b.filter(pa.array(shared.value.might(b.column(at).to_numpy(zero_copy_only=False)) == inside))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def crc_mod(column, n: int):
@@ -180,7 +203,7 @@ def append_result(df: DataFrame, text: str, make: Callable[[], Callable], result
                 part = batch.slice(row, end - row)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), out], [*names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def list_array(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:

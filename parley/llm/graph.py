@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.core import shared_checkpoint
+from parley.llm.core import free, shared_checkpoint
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,20 +19,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = shared_checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     mark = _mark(now)
     while True:
-        # large star: of each node, larger neighbours go to the smallest of node and neighbours
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star: of each node, smaller neighbours and itself go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = shared_checkpoint(small)
+        now = shared_checkpoint(_stars(now))
+        free(now.sparkSession)
         last, mark = mark, _mark(now)
         if mark == last:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _stars(now: DataFrame) -> DataFrame:
+    # large star: of each node, larger neighbours go to the smallest of node and neighbours
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    # small star: of each node, smaller neighbours and itself go to the smallest of them
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+
+
 def _mark(edges: DataFrame):
     r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return r[0], r[1]

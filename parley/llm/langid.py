@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import BASE, append_result, crc_mod, free_name, mix, per_row, tune
+from parley.llm.core import BASE, append_result, crc_mod, free_name, mix, per_row, tidy, tune
 from parley.llm.labelled import code_points
 
 MARK = "▁"
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["k", "w", "c"])
 
     counts: dict[str, Counter] = {k: Counter() for k in documents}
-    for r in drawn.mapInArrow(run, "k string, w string, c long").groupBy("k", "w").agg(F.sum("c").alias("c")).orderBy("k", "w").toLocalIterator():
+    for r in drawn.mapInArrow(tidy(run), "k string, w string, c long").groupBy("k", "w").agg(F.sum("c").alias("c")).orderBy("k", "w").toLocalIterator():
         counts[r["k"]][r["w"]] = r["c"]
     return learn(vocabulary or default_vocabulary(), counts, documents)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import NOT_SPACE, append_result, free_name, gram_hashes, grams_inside, mix, per_row, prefix_sums, slices, span_hashes, tune, word_hashes, words_of
+from parley.llm.core import NOT_SPACE, append_result, free_name, gram_hashes, grams_inside, mix, per_row, prefix_sums, slices, span_hashes, tidy, tune, word_hashes, words_of
 from parley.llm.labelled import labelled_sample
 
 WINDOW = 8
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
                 x = lines.x.astype(np.int8)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.string()), b.column(2).slice(lo, hi - lo), pa.array([x[a : a + k].tobytes() for a, k in zip(lines.first, lines.length)], pa.binary())], ["id", "y", "x"])
 
-    rows = labelled_sample(docs, labels, label, sample, doc_id, text).repartition(PARTS, "id").mapInArrow(run, "id string, y int, x binary").collect()
+    rows = labelled_sample(docs, labels, label, sample, doc_id, text).repartition(PARTS, "id").mapInArrow(tidy(run), "id string, y int, x binary").collect()
     rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["id"], r["y"], r["x"]))
     if len({r["y"] for r in rows}) < 2:
         return default_chain()

@@ -7,18 +7,19 @@ pipeline joins by ``CORPUS``, 5 words and eight tenths. Wanted are the groups th
 1. Documents with the same set are one point. Points start in regions by signatures: two sets within the radius differ in
    at most a ninth of the smaller (a quarter, at eight tenths), so if the shingles are dealt by hash to some more parts than
    that, at least one part is equal in both. Points with an equal part, and what they connect to, are one region; no linked
-   pair is apart. Hardly any unlike texts meet, for a part holds some seven shingles (three or four). Regions too large
-   for a task are dealt anew first, which parts what met by chance.
-2. A region picks pivots, and every member's distance to each is computed: members within the radius are linked. Each other
-   member belongs to the Voronoi region of its nearest pivot p and, by the triangle inequality, is also needed in the
-   region of pivot q if d(x, q) <= d(x, p) + 2 * radius. Pivots are done; the regions are joined the same way. Up to
-   ``WINDOWED`` members are compared within windows: two can only link if their distances to every pivot differ by no more
-   than the radius. Members already connected need no comparison with each other, and a region whose members are all
-   connected is finished.
-3. Regions of up to ``REGION_SHINGLES`` shingles recurse within a task. Larger ones do a round of step 2 across the
-   cluster (members stay spread by a salt; only the pivots' sets, a bounded number, go to all of them) and recurse. There
-   the regions are parted further into rings of the radius around the pivot and into size classes; who is near an edge
-   goes to both sides, so linked members still meet.
+   pair is apart.
+2. A region too large for a task is first parted by its rare shingles: in the order of how many members hold a shingle, two
+   linked sets must share one among the first of each (those beyond the least share in common). Unlike texts that met by
+   chance share no rare shingle, so they part; copies stay together.
+3. A region picks pivots, and every member's distance to each is computed: members within the radius are linked. Pivots far
+   from each other create Voronoi regions: a member belongs to the nearest pivot p within reach (``reach``) and, by the
+   triangle inequality, is also needed in the region of pivot q if d(x, q) <= d(x, p) + 2 * radius. Members out of every
+   pivot's reach are a region of their own, with a boundary of the radius. Pivots are done; the regions are joined the same
+   way. Members already connected need no comparison with each other, and a region whose members are all connected is
+   finished. Where regions no longer part (all members near each other), members are compared within windows: two can only
+   link if their distances to every pivot differ by no more than the radius.
+4. Regions of up to ``REGION_SHINGLES`` shingles recurse within a task. Larger ones do a round of steps 2 and 3 across the
+   cluster (members stay spread in blocks of bounded size; only the pivots' sets, a bounded number, go to all of them).
 
 Nothing is dropped or capped. Shingles and sets are known by 64-bit hashes.
 
@@ -37,18 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.core import NOT_SPACE, gram_hashes, grams_inside, mix, per_row, shared_checkpoint, slices, tune, word_hashes, words_of
+from parley.llm.core import NOT_SPACE, free, gram_hashes, grams_inside, key_filter, mix, passing, per_row, shared_checkpoint, shared_table, slices, tidy, tune, word_hashes, words_of
 from parley.llm.graph import components
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100  #: least share of the union that two sets have in common
 SPARE = 2  #: parts beyond those that can differ, at least, so that texts may leave out their empty ones
 SIZE_RATIO = 1.5
-REGION_SHINGLES = 1 << 20
-PIVOTS, FEW = 8, 12
-WINDOWED = 4096  #: members that windows on pivot distances compare at once
-SALTS = 32
-DEALS = 2  #: times that large regions are dealt anew
+REGION_SHINGLES = 1 << 21
+PIVOTS = 8
+ROUND_PIVOTS = 32  #: of a region that is spread over the cluster
+BLOCK_SHINGLES = 1 << 18  #: of such a region's blocks and of the stretches its shingles are counted in
+COPIED = 1.5  #: regions that need more copies of their members than this do not part
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,15 @@ class Rule:
         """Most shingles that are in one only of two linked sets."""
         return smaller * (self.denominator - self.numerator) // self.numerator
 
+    @property
+    def reach(self) -> float:
+        """Most distance from a member to the pivot it belongs to; unlike texts, at distance 1, are out of reach."""
+        return 1 - 2 * self.radius
+
+    def first(self, n):
+        """Of n shingles in one order for all sets: among how many of the first two linked sets share one."""
+        return n - -(-n * self.numerator // self.denominator) + 1
+
     def linked(self, common, a, b):
         return self.denominator * common >= self.numerator * (a + b - common)
 
@@ -127,7 +137,7 @@ def class_parts(bounds: np.ndarray, rule: Rule = CONTRACT) -> tuple[np.ndarray,
     return np.array(parts, np.int64), np.array(spares, np.int64)
 
 
-def signatures(h: np.ndarray, cut: np.ndarray, rule: Rule = CONTRACT, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, cut: np.ndarray, rule: Rule = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of the parts of each set: for its size class, and for the class below if a partner can be there.
 
     Of the parts that two linked sets have equal there is one more than are spare. Each set leaves out as many as are
@@ -152,7 +162,7 @@ def signatures(h: np.ndarray, cut: np.ndarray, rule: Rule = CONTRACT, deal: int
         element_row = np.repeat(np.arange(len(size)), size)
         use = some[element_row]
         e, er = h[use], element_row[use]
-        mixed = mix(e ^ np.uint64(0x51ED270B0F0E1B23 + deal))
+        mixed = mix(e ^ np.uint64(0x51ED270B0F0E1B23))
         slot = base[er] + ((mixed >> np.uint64(32)).astype(np.int64) % parts[er])
         order = np.argsort(slot, kind="stable")
         slot, mixed = slot[order], mix(mixed[order])
@@ -222,15 +232,12 @@ class Region:
             values, count = np.unique(roots, return_counts=True)
             if len(values) < 2:
                 continue
-            if len(members) <= FEW:
-                self._direct(members)
-                continue
             # the first pivot from the smallest part: small parts are what is still to be connected; the next ones far off
             at = int(count[np.searchsorted(values, roots)].argmin())
             near = np.full(len(members), np.inf)
-            d = np.empty((len(members), PIVOTS))
+            d = np.empty((len(members), min(PIVOTS, len(members))))
             chosen = []
-            for k in range(PIVOTS):
+            for k in range(d.shape[1]):
                 p = int(members[at])
                 chosen.append(at)
                 c = self.common(p, members)
@@ -242,10 +249,13 @@ class Region:
                 at = int(near.argmax())
             rest = np.ones(len(members), bool)
             rest[chosen] = False
-            if len(members) <= WINDOWED:
+            if not rest.any():
+                continue
+            cells = voronoi(d[rest][:, apart(d[chosen], self.rule)], self.rule)
+            if sum(map(len, cells)) > COPIED * rest.sum() or max(map(len, cells)) == rest.sum():
                 self._windows(members[rest], d[rest])
             else:
-                todo += [members[rest][r] for r in voronoi(d[rest], self.rule.radius)]
+                todo += [members[rest][r] for r in cells]
         return self.links
 
     def _windows(self, members: np.ndarray, d: np.ndarray) -> None:
@@ -267,30 +277,28 @@ class Region:
                 for j in close[self.rule.linked(self.common(m, close), self.size[m], self.size[close])].tolist():
                     self.link(m, j)
 
-    def _direct(self, members: np.ndarray) -> None:
-        order = members[np.argsort(self.size[members], kind="stable")].tolist()
-        for k, i in enumerate(order):
-            a = int(self.size[i])
-            for j in order[k + 1 :]:
-                b = int(self.size[j])
-                if self.rule.numerator * b > self.rule.denominator * a:
-                    break
-                if self.root(i) != self.root(j):
-                    c = len(np.intersect1d(self.h[self.cut[i] : self.cut[i + 1]], self.h[self.cut[j] : self.cut[j + 1]], assume_unique=True))
-                    if self.rule.linked(c, a, b):
-                        self.link(i, j)
-
-
-def voronoi(d: np.ndarray, radius: float = CONTRACT.radius) -> list[np.ndarray]:
-    """Members (rows) of each pivot's region with its boundary; one region if some region holds all."""
-    if not len(d):
-        return []
+
+def apart(d: np.ndarray, rule: Rule) -> list[int]:
+    """Pivots (of those with distances d to each other) that are far enough from each other to part regions."""
+    out: list[int] = []
+    for k in range(len(d)):
+        if all(d[k, j] > 2 * rule.radius for j in out):
+            out.append(k)
+    return out
+
+
+def voronoi(d: np.ndarray, rule: Rule = CONTRACT) -> list[np.ndarray]:
+    """Members (rows of distances d) of each pivot's region with its boundary, and of the region out of reach.
+
+    Say x is linked with y, and p is nearest to x. Within reach, d(y, p) <= d(x, p) + radius, which is at most reach + radius
+    and, as no pivot is nearer to y than d(x, p) - radius, at most 2 * radius more than y's nearest: y is in p's region too.
+    Out of reach, y is beyond reach - radius from all pivots."""
     near = d.min(1)
-    needed = d <= near[:, None] + 2 * radius + 1e-9
-    if needed.all(0).any():
-        return [np.arange(len(d))]
-    home = d.argmin(1)
-    return [np.flatnonzero(needed[:, k]) for k in range(d.shape[1]) if (home == k).any()]
+    needed = d <= np.minimum(near + 2 * rule.radius, rule.reach + rule.radius)[:, None] + 1e-9
+    far = near > rule.reach
+    home = np.where(far, -1, d.argmin(1))
+    out = [np.flatnonzero(needed[:, k]) for k in range(d.shape[1]) if (home == k).any()]
+    return out + ([np.flatnonzero(near > rule.reach - rule.radius - 1e-9)] if far.any() else [])
 
 
 # ---------------------------------------------------------------------------------------------------- over a cluster
@@ -316,7 +324,7 @@ def _points(keyed: DataFrame, signs: bool, rule: Rule) -> DataFrame:
                 row, sig = signatures(h[at], np.append(0, np.cumsum(size)), rule)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(e[first][row])], ["sig", "e"])
 
-    return keyed.select("text", "k1", "k2").mapInArrow(run, "sig long, e long" if signs else "k1 long, k2 int, e long, n long")
+    return keyed.select("text", "k1", "k2").mapInArrow(tidy(run), "sig long, e long" if signs else "k1 long, k2 int, e long, n long")
 
 
 def _shared(signs: DataFrame) -> DataFrame:
@@ -337,22 +345,75 @@ def _shared(signs: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([e[other], smallest[other]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    return signs.repartition("sig").sortWithinPartitions("sig", "e").mapInArrow(run, "a long, b long")
+    return signs.repartition("sig").sortWithinPartitions("sig", "e").mapInArrow(tidy(run), "a long, b long")
 
 
-def _redeal(members: DataFrame, rule: Rule, deal: int) -> DataFrame:
-    """(e, region) of regions dealt anew: linked points share a part however shingles are dealt, chance meetings end."""
+def _by_rare_shingles(members: DataFrame, rule: Rule) -> DataFrame:
+    """(e, region): members of large regions that share one of their rarest shingles, by the order of their own region.
 
-    def run(batches):
-        for b in batches:
-            if len(b):
-                sets = [np.frombuffer(s, np.uint64) for s in b.column(2).to_pylist()]
-                row, sig = signatures(np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])), rule, deal)
-                within = mix(sig ^ mix(b.column(0).to_numpy().view(np.uint64))[row])
-                yield pa.RecordBatch.from_arrays([pa.array(within.view(np.int64)), pa.array(b.column(1).to_numpy()[row])], ["sig", "e"])
+    A region's shingles are dealt to stretches of bounded size, so that many tasks count them; shingles are known by 32 bits
+    within a stretch, as any order that is the same for all members will do."""
+    stretches = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
 
-    edges = _shared(members.select("region", "e", "set").mapInArrow(run, "sig long, e long"))
-    return components(edges).select(F.col("node").alias("e"), F.col("component").alias("region"))
+    def deal(batches):
+        for b in batches:
+            out = {"region": [], "b": [], "e": [], "ids": []}
+            for region, e, raw, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                h = mix(np.frombuffer(raw, np.uint64) ^ np.uint64(0x6A09E667F3BCC909))
+                part = (h >> np.uint64(32)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                part, ids = part[order], h[order].astype(np.uint32)
+                first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+                    for name, v in (("region", region), ("b", int(part[a])), ("e", e), ("ids", ids[a:z].tobytes())):
+                        out[name].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.int64()), pa.array(out["b"], pa.int32()), pa.array(out["e"], pa.int64()), pa.array(out["ids"], pa.binary())], list(out))
+
+    def count(key, rows):
+        """How many hold each shingle: of each member's, the number held by none else, and (holders, name) of the others."""
+        size = [len(r[1]) // 4 for r in rows]
+        ids = np.frombuffer(b"".join([r[1] for r in rows]), np.uint32)
+        _, inverse, df = np.unique(ids, return_inverse=True, return_counts=True)
+        df = df[inverse]
+        name = mix(ids.astype(np.uint64) ^ mix(np.array([key[0]]).view(np.uint64) + np.uint64(key[1])))
+        owner = np.repeat(np.arange(len(rows)), size)
+        alone = per_row(owner[df == 1], len(rows))
+        m = np.flatnonzero(df > 1)
+        held = np.zeros(len(m), [("df", "<u4"), ("name", "<u8")])
+        held["df"], held["name"] = df[m], name[m]
+        cut = np.searchsorted(owner[m], np.arange(len(rows) + 1)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(alone), pa.array([held[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["region", "e", "alone", "held"])
+
+    def counts(batches):
+        yield from _streamed(batches, 2, count)
+
+    def rare(key, rows):
+        held = np.sort(np.frombuffer(b"".join([r[2] for r in rows]), [("df", "<u4"), ("name", "<u8")]), order=("df", "name"))
+        some = max(0, rule.first(rows[0][0]) - sum(r[1] for r in rows))
+        return pa.RecordBatch.from_arrays([pa.array(held["name"][:some].astype(np.uint64).view(np.int64)), pa.array(np.full(len(held[:some]), key[1]))], ["sig", "e"])
+
+    def rarest(batches):
+        yield from _streamed(batches, 2, rare)
+
+    dealt = members.join(stretches, "region").select("region", "e", "set", "parts").mapInArrow(tidy(deal), "region long, b int, e long, ids binary")
+    known = dealt.repartition("region", "b").sortWithinPartitions("region", "b").mapInArrow(tidy(counts), "region long, e long, alone long, held binary")
+    known = known.join(members.select("region", "e", "n"), ["region", "e"]).select("region", "e", "n", "alone", "held")
+    signs = known.repartition("region", "e").sortWithinPartitions("region", "e").mapInArrow(tidy(rarest), "sig long, e long")
+    return components(_shared(signs)).select(F.col("node").alias("e"), F.col("component").alias("region"))
+
+
+def _streamed(batches, keys: int, work):
+    """``work(key, rows)`` of every run of rows that begin with one key; rows without it."""
+    rows, last = [], None
+    for b in batches:
+        for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+            if r[:keys] != last and rows:
+                yield work(last, rows)
+                rows = []
+            last = r[:keys]
+            rows.append(r[keys:])
+    if rows:
+        yield work(last, rows)
 
 
 def _with_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -366,78 +427,66 @@ def _with_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 e = b.column(2).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), e, e, pa.array(np.diff(cut)), pa.array([raw[a:z] for a, z in zip(at, at[1:])], pa.binary())], ["region", "e", "part", "n", "set"])
 
-    return keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "region", "e").mapInArrow(run, "region long, e long, part long, n long, set binary")
+    keyed = passing(keyed.select("text", "k1", "k2"), "k1", key_filter(wanted, "k1", wanted.count()))
+    return keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "region", "e").mapInArrow(tidy(run), "region long, e long, part long, n long, set binary")
 
 
 def _join_small(members: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) within regions that fit a task."""
 
-    def emit(held):
-        out: tuple[list, list] = ([], [])
-        for rows in held:
-            if len(rows) > 1:
-                for i, j in Region([np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows], rule).join():
-                    out[0].append(rows[i][0])
-                    out[1].append(rows[j][0])
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+    def join(_, rows):
+        links = Region([np.frombuffer(r[3], np.uint64) for r in rows], [r[1] for r in rows], rule).join() if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], ["a", "b"])
 
     def run(batches):
-        rows, last = [], None
-        for b in batches:
-            for region, *row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if region != last and rows:
-                    yield emit([rows])
-                    rows = []
-                rows.append(row)
-                last = region
-        if rows:
-            yield emit([rows])
+        yield from _streamed(batches, 1, join)
 
-    return members.repartition("region").sortWithinPartitions("region", "e").mapInArrow(run, "a long, b long")
+    return members.repartition("region").sortWithinPartitions("region", "e").mapInArrow(tidy(run), "a long, b long")
 
 
 def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """One round of pivots for large regions: (links, members of the new regions)."""
     parts = members.groupBy("region", "part").agg(F.count(F.lit(1)).alias("weight"))
     ranked = members.join(parts, ["region", "part"])
-    # the first pivots by size of part; a bounded state for each region
+    # pivots from the smallest parts, which are what is still to be connected; a bounded state for each region
     order = F.struct(F.col("weight"), F.xxhash64("e"), F.col("e"))
-    chosen = ranked.groupBy("region", (F.pmod(F.xxhash64("e"), F.lit(PIVOTS))).alias("seat")).agg(F.min_by(F.struct("e", "n", "set"), order).alias("p"))
-    pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list("p")).alias("pivots"))
-    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = members.withColumn("salt", F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"]).select("region", "e", "part", "n", "set", "pivots")
-
-    def run(batches):
-        for b in batches:
-            out = {c: [] for c in ("region", "e", "part", "n", "set", "a", "b")}
-
-            def put(region, e, part, n, s, a, z):
-                for c, v in zip(out, (region, e, part, n, s, a, z), strict=True):
-                    out[c].append(v)
-
-            for region, e, part, n, s, pivots in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                x = np.frombuffer(s, np.uint64)
-                d = np.empty(len(pivots))
-                is_pivot = False
-                for k, p in enumerate(pivots):
-                    is_pivot |= p["e"] == e
-                    c = len(np.intersect1d(x, np.frombuffer(p["set"], np.uint64), assume_unique=True))
-                    d[k] = 1 - c / (n + p["n"] - c)
-                    if p["e"] != e and rule.linked(c, n, p["n"]):
-                        put(None, None, None, None, None, e, p["e"])
-                if is_pivot:
-                    continue
-                needed = np.flatnonzero(d <= d.min() + 2 * rule.radius + 1e-9)
-                bin_ = int(np.floor(np.log(n) / -np.log(rule.numerator / rule.denominator) + 1e-9))
-                for k in needed.tolist():
-                    ring = int(np.floor(d[k] / (rule.radius + 1e-9)))
-                    for r in (ring, ring + 1):
-                        for c in (bin_, bin_ + 1):
-                            child = int.from_bytes(hashlib.blake2b(f"{region}/{pivots[k]['e']}/{r}/{c}".encode(), digest_size=8).digest(), "little", signed=True)
-                            put(child, e, part, n, s, None, None)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "set" else pa.int64()) for c in out], list(out))
-
-    done = shared_checkpoint(joined.mapInArrow(run, "region long, e long, part long, n long, set binary, a long, b long"))
+    chosen = ranked.groupBy("region", (F.pmod(F.xxhash64("e"), F.lit(ROUND_PIVOTS))).alias("seat")).agg(F.min_by(F.struct("e", "part", "n", "set"), order).alias("p"))
+    blocks = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    pivots = chosen.join(blocks, "region").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("region").alias("home"), F.col("block").alias("at"), F.col("p.e").alias("e"), F.col("p.part").alias("part"), F.col("p.n").alias("n"), F.col("p.set").alias("set"))
+    spread = members.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int")).select("region", "block", "e", "part", "n", "set")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("region", "e", "part", "n", "set", "a", "b")}
+        if not len(left) or not len(right):
+            return pa.table({c: pa.array([], pa.binary() if c == "set" else pa.int64()) for c in out})
+        right = right.sort_by("e")
+        ids, sets = left.column("e").to_pylist() + right.column("e").to_pylist(), left.column("set").to_pylist() + right.column("set").to_pylist()
+        part = np.concatenate([left.column("part").to_numpy(), right.column("part").to_numpy()])
+        all_ = Region([np.frombuffer(s, np.uint64) for s in sets], list(range(len(sets))), rule)
+        n = len(left)
+        d = np.empty((len(sets), len(right)))
+        for k in range(len(right)):
+            c = all_.common(n + k, np.arange(len(sets)))
+            d[:, k] = 1 - c / (all_.size + all_.size[n + k] - c)
+            for i in np.flatnonzero(rule.linked(c, all_.size, all_.size[n + k])[:n] & (part[:n] != part[n + k])).tolist():
+                for c_, v in zip(out, (None, None, None, None, None, ids[i], ids[n + k]), strict=True):
+                    out[c_].append(v)
+        done = set(ids[n:])
+        mine = np.flatnonzero([e not in done for e in ids[:n]])
+        far = apart(d[n:], rule)
+        region = left.column("region")[0].as_py()
+        name = lambda k: int.from_bytes(hashlib.blake2b(f"{region}/{ids[n + k] if k >= 0 else None}".encode(), digest_size=8).digest(), "little", signed=True)
+        near = d[mine][:, far].min(1)
+        for k in [*range(len(far)), -1]:
+            # whether a region is anybody's home is not known here: all boundaries are kept
+            needed = d[mine, far[k]] <= np.minimum(near + 2 * rule.radius, rule.reach + rule.radius) + 1e-9 if k >= 0 else near > rule.reach - rule.radius - 1e-9
+            for i in mine[needed].tolist():
+                for c_, v in zip(out, (name(far[k] if k >= 0 else -1), ids[i], int(part[i]), int(all_.size[i]), sets[i], None, None), strict=True):
+                    out[c_].append(v)
+        return pa.table({c: pa.array(out[c], pa.binary() if c == "set" else pa.int64()) for c in out})
+
+    made = spread.groupBy("region", "block").cogroup(pivots.groupBy("home", "at")).applyInArrow(run, "region long, e long, part long, n long, set binary, a long, b long")
+    done = shared_checkpoint(made)
     return done.where("a is not null").select("a", "b"), done.where("a is null").drop("a", "b")
 
 
@@ -449,6 +498,10 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(open_, "region", "left_semi")
 
 
+def _large(members: DataFrame, most: int) -> DataFrame:
+    return members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > most).select("region")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region_shingles: int = REGION_SHINGLES, rule: Rule = CONTRACT) -> tuple[DataFrame, DataFrame]:
     """(documents with keys k1, k2, decisions (k1, k2, id, n_shingles, component_id))."""
     spark = docs.sparkSession
@@ -458,34 +511,33 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reg
     ids = keyed.select("k1", "k2", F.col(doc_id).alias("id")).distinct()
     points = shared_checkpoint(_points(slim, False, rule).distinct().join(ids, ["k1", "k2"]))
 
-    signs = _points(slim, True, rule)
-    edges = _shared(signs)
-    regions = components(edges).select(F.col("node").alias("e"), F.col("component").alias("region"))
-
+    regions = components(_shared(_points(slim, True, rule))).select(F.col("node").alias("e"), F.col("component").alias("region"))
     one = points.groupBy("e").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    wanted = regions.join(one, "e").select("k.k1", "k.k2", "region", "e")
-    members = shared_checkpoint(_with_sets(slim, wanted, rule))
-    for deal in range(1, DEALS + 1):
-        large = members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > region_shingles).select("region")
-        if large.isEmpty():
-            break
-        hold = members.join(large, "region", "left_semi")
-        again = hold.drop("region").join(_redeal(hold, rule, deal), "e").select(*members.columns)
-        members = shared_checkpoint(members.join(large, "region", "left_anti").unionByName(again))
+    members = shared_checkpoint(_with_sets(slim, shared_table(regions.join(one, "e").select("k.k1", "k.k2", "region", "e")), rule))
+    del regions
     links = None
     while True:
-        sizes = members.groupBy("region").agg(F.sum("n").alias("total"))
-        large = sizes.where(F.col("total") > region_shingles).select("region")
+        free(spark)
+        large = shared_table(_large(members, region_shingles))
+        small, members = members.join(large, "region", "left_anti"), members.join(large, "region", "left_semi")
         some = not large.isEmpty()
-        small = _join_small(members.join(large, "region", "left_anti") if some else members, rule)
-        links = shared_checkpoint(small if links is None else links.unionByName(small))
+        if some:
+            members = members.drop("region").join(_by_rare_shingles(members, rule), "e").select(*small.columns)
+            members = shared_checkpoint(members)
+            large = shared_table(_large(members, region_shingles))
+            small = small.unionByName(members.join(large, "region", "left_anti"))
+            members, some = members.join(large, "region", "left_semi"), not large.isEmpty()
+        found = _join_small(small, rule)
+        links = shared_checkpoint(found if links is None else links.unionByName(found))
+        del small, found
         if not some:
             break
-        more, members = _round(members.join(large, "region", "left_semi"), rule)
+        more, members = _round(members, rule)
         links = shared_checkpoint(links.unionByName(more))
         members = shared_checkpoint(_relabel(members, links))
         if members.isEmpty():
             break
+    free(spark)
     found = components(links)
     # the smallest id of a group, nulls last
     grouped = points.join(found.withColumnRenamed("node", "e"), "e", "left").withColumn("g", F.coalesce("component", "e"))

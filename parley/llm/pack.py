@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import slices, tune
+from parley.llm.core import slices, tidy, tune
 from parley.llm.tokens import SLICE, default_vocabulary, encoder
 
 END_ID = 1
@@ -189,7 +189,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         yield flush()
 
     columns = [F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{loss}`").cast("long").alias("loss")] if loss else [])]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidy(run), schema)
 
 
 def op2_vector_packing(spark, sf_dir: str) -> DataFrame:

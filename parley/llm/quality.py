@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import NOT_SPACE, append_result, crc_mod, free_name, mix, per_row, slices, tune, word_hashes, words_of
+from parley.llm.core import NOT_SPACE, append_result, crc_mod, free_name, mix, per_row, slices, tidy, tune, word_hashes, words_of
 from parley.llm.labelled import code_points, labelled_sample, rows_of, sigmoid
 
 BITS = 17
@@ -81,7 +81,7 @@ def sampled_features(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarra
                 f, count = (keys & 0xFFFFFFFF).astype(np.int32), count.astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.string()), b.column(2).slice(lo, hi - lo), pa.array([f[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([count[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["id", "y", "f", "c"])
 
-    rows = sample.repartition(PARTS, "id").mapInArrow(run, "id string, y int, f binary, c binary").collect()
+    rows = sample.repartition(PARTS, "id").mapInArrow(tidy(run), "id string, y int, f binary, c binary").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["f"]))
     out = []
     for r in rows:

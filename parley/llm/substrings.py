@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import BASE, INVERSE, NOT_SPACE, as_struct, free_name, key_filter, mix, passing, powers, prefix_sums, shared_table, slices, text_buffers, tune, word_hashes, words_of
+from parley.llm.core import BASE, INVERSE, NOT_SPACE, as_struct, free, free_name, key_filter, mix, passing, powers, prefix_sums, shared_table, slices, text_buffers, tidy, tune, word_hashes, words_of
 from parley.llm.gsaca import common_prefixes, suffix_array
 
 LAYOUT_BYTES = 1 << 18
@@ -260,7 +260,7 @@ def _runs(keyed: DataFrame, units: tuple[Unit, ...], wanted=None) -> DataFrame:
                     m = np.flatnonzero(wanted.value.might(h)) if wanted is not None else np.arange(len(h))
                     yield pa.RecordBatch.from_arrays([pa.array(h[m]), pa.array(r["d1"][m]), pa.array(r["d2"][m]), pa.array(k1[lo:hi][r["row"][m]]), pa.array(k2[lo:hi][r["row"][m]], pa.int32()), pa.array(r["s"][m], pa.int32()), pa.array(r["n"][m], pa.int32()), pa.array(r["own"][m])], ["h", "d1", "d2", "k1", "k2", "s", "n", "own"])
 
-    return keyed.select("text", "k1", "k2").mapInArrow(run, RUN)
+    return keyed.select("text", "k1", "k2").mapInArrow(tidy(run), RUN)
 
 
 def _pieces(keyed: DataFrame, wanted: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
@@ -289,7 +289,7 @@ def _pieces(keyed: DataFrame, wanted: DataFrame, units: tuple[Unit, ...]) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["c"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int32()), pa.array(out["s"], pa.int32()), pa.array(out["piece"], pa.binary())], list(out))
 
     # repeated rows have the same keys and symbols: what they say twice is said once in the end
-    return joined.mapInArrow(run, "h long, c long, k1 long, k2 int, s int, piece binary")
+    return joined.mapInArrow(tidy(run), "h long, c long, k1 long, k2 int, s int, piece binary")
 
 
 def _compare(pieces: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
@@ -319,7 +319,7 @@ def _compare(pieces: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
         if held:
             yield emit(unit_of(last, units), held)
 
-    return pieces.repartition("h").sortWithinPartitions("h", "k1", "k2", "s").mapInArrow(run, "k1 long, k2 int, u int, s int, n int")
+    return pieces.repartition("h").sortWithinPartitions("h", "k1", "k2", "s").mapInArrow(tidy(run), "k1 long, k2 int, u int, s int, n int")
 
 
 def _count_windows(pieces: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
@@ -334,7 +334,7 @@ def _count_windows(pieces: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
                 n = len(one)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, c)), pa.array(np.full(n, k1)), pa.array(np.full(n, k2, np.int32)), pa.array(np.full(n, u, np.int32)), pa.array((s + np.arange(n)).astype(np.int32))], ["w1", "w2", "c", "k1", "k2", "u", "s"])
 
-    windows = pieces.dropDuplicates(["h", "k1", "k2", "s"]).mapInArrow(run, "w1 long, w2 long, c long, k1 long, k2 int, u int, s int")
+    windows = pieces.dropDuplicates(["h", "k1", "k2", "s"]).mapInArrow(tidy(run), "w1 long, w2 long, c long, k1 long, k2 int, u int, s int")
     twice = windows.groupBy("u", "w1", "w2").agg(F.sum("c").alias("total")).where("total > 1").select("u", "w1", "w2")
     return windows.where("c = 1").join(twice, ["u", "w1", "w2"]).select("k1", "k2", "u", "s", F.lit(1).alias("n"))
 
@@ -349,6 +349,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, units: tuple[Unit, .
     kept = shared_table(counts.where("m > 1 or self").select("h", F.expr("lo != hi or self").alias("several")))
     runs = _runs(keyed, units, key_filter(kept, "h", kept.count())).drop("own")
     runs = shared_table(runs.join(kept, "h"))
+    free(docs.sparkSession)
     unit = F.shiftrightunsigned("h", 62).cast("int").alias("u")
     whole = runs.where(~F.col("several")).select("k1", "k2", unit, "s", "n")
     mixed = runs.where("several")
@@ -420,6 +421,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
     keyed, spans = repeated_spans(plain, inner[doc_id], inner[text], units, hot_bytes)
     lists = shared_table(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("u", "s", "n")).alias("spans")))
+    del spans
+    free(docs.sparkSession)
     there = key_filter(lists, "k1", lists.count())
     name = free_name(docs.columns, "_repeats")
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -448,8 +451,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield rows(b, [None] * len(b))
 
     schema = T.StructType([*others, T.StructField(name, RESULT)])
-    found = passing(keyed, "k1", there).join(lists, ["k1", "k2"], "left").drop("k1", "k2").mapInArrow(touched, schema)
-    result = found.unionByName(keyed.drop("k2").mapInArrow(untouched, schema))
+    found = passing(keyed, "k1", there).join(lists, ["k1", "k2"], "left").drop("k1", "k2").mapInArrow(tidy(touched), schema)
+    result = found.unionByName(keyed.drop("k2").mapInArrow(tidy(untouched), schema))
     back = {n: c for c, n in inner.items()}
     return result.select(*(F.col(n).alias(back[n]) for n in names), name), name
 

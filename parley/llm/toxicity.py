@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import append_result, crc_mod, free_name, mix, slices, tune
+from parley.llm.core import append_result, crc_mod, free_name, mix, slices, tidy, tune
 from parley.llm.labelled import code_points, labelled_sample, rows_of, sigmoid
 
 ORDERS = (3, 4, 5, 6)
@@ -81,7 +81,7 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64()))], ["c", "n"])
 
     total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-    for r in sample.repartition(PARTS, "id").mapInArrow(run, "c binary, n array<long>").toLocalIterator():
+    for r in sample.repartition(PARTS, "id").mapInArrow(tidy(run), "c binary, n array<long>").toLocalIterator():
         total += np.frombuffer(r["c"], np.int32).reshape(2, -1)
         n += np.array(r["n"])
     return total, n
@@ -98,7 +98,7 @@ def _kept_features(sample: DataFrame, slot: np.ndarray) -> tuple[np.ndarray, np.
                 f = f.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([b.column(2).slice(lo, hi - lo), pa.array([f[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), b.column(0).slice(lo, hi - lo).cast(pa.string())], ["y", "f", "id"])
 
-    rows = sample.repartition(PARTS, "id").mapInArrow(run, "y int, f binary, id string").collect()
+    rows = sample.repartition(PARTS, "id").mapInArrow(tidy(run), "y int, f binary, id string").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["f"]))
     f = [np.frombuffer(r["f"], np.uint16) for r in rows]
     return np.array([r["y"] for r in rows], float), np.repeat(np.arange(len(f)), [len(x) for x in f]), np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64)
