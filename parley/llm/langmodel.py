@@ -1,41 +1,51 @@
 """Language model: hashed maximum entropy with n-gram and skip features and a class-factored softmax.
 
-Tokens are lower-cased words and one end a text. P(token | context) = P(class | context) * P(token | class). The most
-frequent tokens (``OWN``) are classes of their own; the other ``HEAD`` tokens, and all rarer ones, fall into classes by
-their endings. The class softmax has hashed features of the three tokens before: each by its distance (skips) and the
-nearest two together (n-gram). Within a class a softmax with one bias a token stands at its optimum, the smoothed counts.
-
-Training takes every training document once, in ``ROUNDS`` rounds over different documents: each task goes on from the
-shared weights with gradient steps over its documents, and the weights are averaged by tokens (first among groups of tasks,
-then on the driver; their size is fixed). Counts are exact and cover all training tokens: a bucket of documents
-(about ``BUCKET_BYTES`` of text, so its words fit a task) lists its distinct tokens once, the lists are summed by token,
-and the sums go back to the buckets. So a very frequent token is one row a bucket, never more.
-
-Defined results: a null or empty text is its end alone; without training documents every count is 0 and classes are equally
-likely; repeated rows score alike and count each; a null id counts as the empty text's crc; other columns are ignored; an
-empty table gives no rows. Tokens are known by 60-bit hashes.
+Tokens are lower-cased words and one end a text. Every token of the training texts has a class, by how often it occurs and
+how it ends, and within the class a leaf, by bits of its hash. P(token | context) = P(class | context) * P(leaf | class,
+context) * P(token | leaf). Classes and leaves are reached by two-way softmaxes down a tree; each of these, within classes
+too, has hashed features of the three tokens before: the nearest (n-gram), the second nearest (skip), the endings of all
+three (n-gram of endings), and none (bias). So all tokens count as context and all have weights of context, rare ones too. Within a leaf, tokens go by their exact counts. A token never seen in training is of the rare
+class; by endings, such tokens get what absolute discounting takes from the seen rare ones.
+
+Counts are exact and cover all training tokens: sums by token with map-side combination. The most frequent tokens, at most
+``HEAD``, are broadcast with their counts; all others are the rare class, and their counts are joined to the documents that
+hold them, token by token. No text is shuffled.
+
+Training is by distributed gradient updates: ``ROUNDS`` rounds over different training documents (all of them in the end).
+All tasks of a round work from the same weights and send the gradient and the curvature of each hashed weight; the sums,
+which do not depend on how documents are dealt to tasks, move the weights. Their number, at most 2**BITS, bounds memory.
+
+Defined results: a null or empty text is its end alone; without training documents every count is 0 and every way of the
+tree equally likely; repeated rows score alike and count each; a null id counts as the empty text's crc; other columns are
+ignored; an empty table gives no rows. Tokens are known by 60-bit hashes and four bits of their ending.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.core import NOT_SPACE, crc_mod, mix, per_row, shared_checkpoint, slices, tune, word_hashes, words_of
+from parley.llm.core import BASE, NOT_SPACE, crc_mod, free, mix, per_row, shared_table, slices, tidy, tune, word_hashes, words_of
 
 FOLDS, HELD = 10, 0
-BUCKET_BYTES = 24 << 20
-HEAD, OWN, ENDINGS = 2000, 24, 16
-CLASSES = OWN + 2 * ENDINGS
-BITS = 14
-ROUNDS = 2
-BATCH = 4096
-RATE = 0.15
-GROUPS = 16
+SMOOTH = 0.1  #: of the base
+HEAD = 1 << 20  #: most tokens that are broadcast
+BANDS, ENDINGS = 8, 16  #: classes: band 0 is the rare one
+CLASS_BITS = 7
+DEPTH, RARE_DEPTH = 7, 4  #: two-way steps within a class, at most
+BITS = 22  #: of hashed weights, at most
+ROUNDS = 3
+RATE = 0.6
+DAMPING, CROWD = 0.4, 8.0  #: of the curvature: a fixed part, and one for every so many uses that share a weight
+DISCOUNT = 0.5
+TASK_BYTES = 128 << 20  #: of text that a training task works on, at least
+BATCH = 32768
+STRETCH = 16  #: bits of a stretch of weights, as they are sent
 END = np.uint64(0xE9D0E9D0E9D0E9D0)  #: the end token; words with this hash would need 2**64 words
-SMOOTH = 0.1
+
+_STEP, _SLOT = np.uint64(BASE), np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,198 +62,266 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, rows
 
 
+def contexts(tokens: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Hashed features of what stands before each token of its own row; the last is the same for all."""
+    ago = []
+    for k in (1, 2, 3):
+        x = np.full(len(tokens), np.uint64(7))
+        same = rows[k:] == rows[:-k]
+        x[k:][same] = tokens[:-k][same]
+        ago.append(x)
+    a, b, c = ago
+    endings = (a & np.uint64(15)) << np.uint64(8) | (b & np.uint64(15)) << np.uint64(4) | (c & np.uint64(15))
+    return [mix(a ^ np.uint64(0x1111)), mix(b ^ np.uint64(0x2222222222)), mix(endings + np.uint64(0x5555 << 40)), np.full(len(tokens), np.uint64(0x123456789))]
+
+
 class Model:
-    """Head tokens with classes, log shares within classes, tail masses by ending, and the feature weights."""
-
-    def __init__(self, head: np.ndarray, count: np.ndarray, tail_tokens: np.ndarray, tail_types: np.ndarray, total: int, types: int):
-        order = np.lexsort((head, -count))
-        head, count = head[order], count[order]
-        own = np.arange(len(head))
-        kind = np.where(own < OWN, own, OWN + (head & np.uint64(15)).astype(np.int64))
-        mass = np.bincount(kind, count + SMOOTH, CLASSES)
-        self.by_hash = np.argsort(head)
-        self.head = head[self.by_hash]
-        self.id = self.by_hash
-        self.kind = kind
-        self.share = np.log10((count + SMOOTH) / mass[kind]) if len(head) else np.zeros(0)
-        self.tail = np.log10(tail_tokens + SMOOTH * (tail_types + 1))
-        self.total, self.types = total, types
-        share = mass.copy()
-        share[OWN + ENDINGS :] = tail_tokens + SMOOTH * (tail_types + 1)
-        share = np.maximum(share, SMOOTH)
-        self.bias = np.log(share / share.sum()).astype(np.float32)
-        self.weight = np.zeros((1 << BITS, CLASSES), np.float32)
-
-    def read(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, class) of each token; tail tokens share an id by ending."""
-        k = np.searchsorted(self.head, tokens)
-        k[k == len(self.head)] = 0
-        ending = (tokens & np.uint64(15)).astype(np.int64)
+    """Frequent tokens with their counts, classes and leaves, and the hashed weights."""
+
+    def __init__(self, head: np.ndarray, count: np.ndarray, rare: dict[int, tuple[int, int]], total: int, types: int, bits: int = BITS):
+        """rare: (tokens, types) of each leaf of the rare class, by its code."""
+        order = np.argsort(head)
+        self.head, self.count = head[order], count[order].astype(np.int64)
+        self.total, self.types, self.bits = total, types, bits
+        low, high = (np.log2(self.count.min()), np.log2(self.count.max())) if len(head) else (0.0, 0.0)
+        self.band = (1 + np.minimum(BANDS - 2, (np.log2(self.count) - low) / (high - low + 1e-9) * (BANDS - 1)).astype(np.int64)).astype(np.uint8)
+        members = np.bincount(self.band.astype(np.int64) * ENDINGS + (self.head & np.uint64(15)).astype(np.int64), minlength=BANDS * ENDINGS)
+        self.depth = np.minimum(DEPTH, np.ceil(np.log2(np.maximum(members, 1)))).astype(np.int64)
+        self.depth[:ENDINGS] = RARE_DEPTH
+        self.weight = np.zeros(1 << bits, np.float32)
+        leaf = self._leaf(*self._code(self.head, self.band))
+        mass = np.bincount(leaf, self.count, 1 << (CLASS_BITS + DEPTH))
+        self.share = np.log10(self.count / mass[leaf]) if len(head) else np.zeros(0)
+        self.rare = rare
+        self._prepare()
+
+    def _prepare(self) -> None:
+        self.first = np.searchsorted(self.head, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "first"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._prepare()
+
+    def _code(self, tokens: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class and bits of the hash, number of two-way steps)."""
+        kind = band.astype(np.int64) * ENDINGS + (tokens & np.uint64(15)).astype(np.int64)
+        return kind << DEPTH | (tokens >> np.uint64(4)).astype(np.int64) & ((1 << DEPTH) - 1), CLASS_BITS + self.depth[kind]
+
+    @staticmethod
+    def _leaf(code: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        unread = CLASS_BITS + DEPTH - steps
+        return code >> unread << unread
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """Index of each token among the frequent ones, -1 for others."""
+        out = np.full(len(tokens), -1, np.int64)
         if not len(self.head):
-            return HEAD + ending, OWN + ENDINGS + ending
-        known = self.head[k] == tokens
-        ids = self.id[k]
-        return np.where(known, ids, HEAD + ending), np.where(known, self.kind[ids], OWN + ENDINGS + ending)
-
-    def features(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Hashed features of each token's context: [tokens, 4]."""
-        n = len(ids)
-        ago = []
-        for k in (1, 2, 3):
-            x = np.full(n, HEAD + ENDINGS, np.int64)
-            if n > k:
-                same = rows[k:] == rows[:-k]
-                x[k:][same] = ids[:-k][same]
-            ago.append(x.astype(np.uint64))
-        wide = np.uint64(1 << 20)
-        keys = np.stack([ago[0] + wide, ago[1] + wide * np.uint64(2), ago[2] + wide * np.uint64(3), (ago[0] * wide + ago[1]) + (np.uint64(1) << np.uint64(60))], 1)
-        return (mix(keys) >> np.uint64(64 - BITS)).astype(np.int64)
-
-    def log_class(self, features: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Natural log of P(class | context) of the classes given."""
-        out = np.empty(len(kinds))
-        for a in range(0, len(kinds), BATCH):
-            f = features[a : a + BATCH]
-            z = self.logits(f)
-            z -= z.max(1, keepdims=True)
-            out[a : a + BATCH] = z[np.arange(len(f)), kinds[a : a + BATCH]] - np.log(np.exp(z).sum(1))
+            return out
+        at = self.first[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.int64)
+        live = np.arange(len(tokens))
+        while len(live):
+            k = at[live]
+            there = self.head[np.minimum(k, len(self.head) - 1)]
+            mine = tokens[live]
+            same = (there == mine) & (k < len(self.head))
+            out[live[same]] = k[same]
+            live = live[(there < mine) & (k < len(self.head))]
+            at[live] += 1
         return out
 
-    def logits(self, f: np.ndarray) -> np.ndarray:
-        w = self.weight
-        return w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]] + w[f[:, 3]] + self.bias
-
-    def learn(self, tokens: np.ndarray, rows: np.ndarray, memory: np.ndarray) -> None:
-        """Gradient steps over batches, each weight's step shrinking with its own past (memory)."""
-        ids, kinds = self.read(tokens)
-        features = self.features(ids, rows)
-        for a in range(0, len(ids), BATCH):
-            f, k = features[a : a + BATCH], kinds[a : a + BATCH]
-            p = self.logits(f)
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(f)), k] -= 1
-            flat = f.ravel()
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            g = np.add.reduceat(p[order // f.shape[1]], first, axis=0)
-            at = flat[first]
-            seen = memory[at] + g * g
-            memory[at] = seen
-            self.weight[at] -= RATE * g / np.sqrt(seen)
-
-
-def counted(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with bucket, distinct tokens (bucket, h, c, first) with their counts in training)."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-int(size) // bucket_bytes))
+    def rare_parts(self) -> list[tuple[int, float, float]]:
+        """(leaf, log10 share of one count of a seen token, of an unseen token) of the rare class, all by endings."""
+        tokens, types = np.zeros(ENDINGS << DEPTH), np.zeros(ENDINGS << DEPTH)
+        for leaf, (n, t) in self.rare.items():
+            tokens[leaf], types[leaf] = n, t
+        whole = tokens.reshape(ENDINGS, -1).sum(1)
+        unseen = np.where(whole > 0, DISCOUNT * types.reshape(ENDINGS, -1).sum(1) / np.maximum(whole, 1), 1.0)
+        return [(leaf, float(np.log10((1 - unseen[leaf >> DEPTH]) / (tokens[leaf] - DISCOUNT * types[leaf]))) if types[leaf] else 0.0, float(np.log10(unseen[leaf >> DEPTH]))) for leaf in range(0, ENDINGS << DEPTH, 1 << (DEPTH - RARE_DEPTH))]
+
+    def steps(self, tokens: np.ndarray, rows: np.ndarray, found: np.ndarray, gradient: np.ndarray | None = None, curvature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 of P(class | context) and P(leaf | class, context) of each token; adds to gradient and curvature of the
+        weights if these are given."""
+        code, steps = self._code(tokens, np.where(found >= 0, self.band[found] if len(self.head) else 0, 0))
+        return self.walk(code, steps, contexts(tokens, rows), gradient, curvature)
+
+    def walk(self, code: np.ndarray, steps: np.ndarray, features: list[np.ndarray], gradient: np.ndarray | None = None, curvature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for given codes, numbers of steps and contexts."""
+        order = np.argsort(-steps, kind="stable")  # tokens still on their way are in front at every step
+        features = [f[order] for f in features]
+        code, steps = code[order], steps[order]
+        out = np.zeros((2, len(code)), np.float32)
+        shift = np.uint64(64 - self.bits)
+        for a in range(0, len(code), BATCH):
+            c, n, some = code[a : a + BATCH], steps[a : a + BATCH], [f[a : a + BATCH] for f in features]
+            log = np.zeros((2, len(c)), np.float32)
+            for j in range(int(n[0])):
+                k = int(np.searchsorted(-n, -j, "left"))
+                left = CLASS_BITS + DEPTH - j
+                node = (c[:k] >> left | 1 << j).astype(np.uint64) * _STEP
+                right = (c[:k] >> (left - 1) & 1).astype(bool)
+                slots, z = [], None
+                # endings tell classes, which have endings, but no bits of a hash
+                for f in some if j < CLASS_BITS else (*some[:2], some[3]):
+                    s = f[:k] ^ node
+                    s *= _SLOT
+                    s >>= shift
+                    slots.append(s.view(np.int64))
+                    w = self.weight.take(slots[-1], mode="clip")
+                    z = w if z is None else z + w
+                np.negative(z, out=z, where=right)
+                other = np.exp(np.clip(z, -30, 30, out=z), out=z)  # odds of the way not taken
+                log[int(j >= CLASS_BITS), :k] -= np.log1p(other)
+                if gradient is not None:
+                    p = other / (1 + other)
+                    g, h = np.where(right, p, -p), p * (1 - p)
+                    for s in slots:
+                        np.add.at(gradient, s, g)
+                        np.add.at(curvature, s, h)
+            out[:, a : a + BATCH] = log
+        back = np.empty(out.shape)
+        back[:, order] = out
+        return back[0] / np.log(10), back[1] / np.log(10)
+
+
+# ---------------------------------------------------------------------------------------------------- over a cluster
+
+
+def keyed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     held = crc_mod(F.col(doc_id), FOLDS) == HELD
-    keyed = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held.alias("held")).withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)))
-
-    def distinct(table: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        column = table.column("text").combine_chunks()
-        held = table.column("held").to_numpy()
-        for lo, hi, data, offsets in slices(column, 4 << 20):
-            t, rows = tokens_of(data, offsets)
-            k, inverse = np.unique(t, return_inverse=True)
-            c = np.bincount(inverse, (~held[lo:hi][rows]).astype(float), len(k)).astype(np.int64)
-            keys, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, c]).astype(float), len(keys)).astype(np.int64)
-        return pa.table({"bucket": pa.array(np.full(len(keys), table.column("bucket")[0].as_py())), "h": pa.array(keys.view(np.int64)), "c": pa.array(counts)})
-
-    lists = keyed.groupBy("bucket").applyInArrow(distinct, "bucket long, h long, c long")
-    w = Window.partitionBy("h")
-    sums = lists.select("bucket", "h", F.sum("c").over(w).alias("c"), (F.col("bucket") == F.min("bucket").over(w)).alias("first"))
-    return keyed, shared_checkpoint(sums)
-
-
-def fit(keyed: DataFrame, counts: DataFrame) -> Model:
-    spark = keyed.sparkSession
-    once = counts.where("first and c > 0")
-    r = once.agg(F.count(F.lit(1)), F.sum("c")).first()
-    types, total = r[0], r[1] or 0
-    top = once.orderBy(F.desc("c"), "h").limit(HEAD).collect()
-    head, count = np.array([t["h"] for t in top], np.int64).view(np.uint64), np.array([t["c"] for t in top], float)
-    tail_tokens, tail_types = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for e, c, n in once.groupBy(F.col("h").bitwiseAND(F.lit(15)).alias("e")).agg(F.sum("c"), F.count(F.lit(1))).collect():
-        tail_tokens[e], tail_types[e] = c, n
-    np.subtract.at(tail_tokens, (head & np.uint64(15)).astype(int), count)
-    np.subtract.at(tail_types, (head & np.uint64(15)).astype(int), 1)
-    model = Model(head, count, tail_tokens, tail_types, total, types)
+    return docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held.alias("held")).withColumns({"k1": F.xxhash64("id", "text"), "k2": F.hash("id", "text")})
+
+
+def token_counts(keyed: DataFrame) -> DataFrame:
+    """(h, c): every token of the training documents and how often it occurs."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, offsets in slices(b.column(0), 4 << 20):
+                h, c = np.unique(tokens_of(data, offsets)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    return keyed.where(~F.col("held")).select("text").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _rare_leaf(h):
+    """Code of a rare token's leaf: its ending, and the first bits that the tree reads of its hash."""
+    read = ((1 << RARE_DEPTH) - 1) << (DEPTH - RARE_DEPTH)
+    return F.shiftleft(h.bitwiseAND(F.lit(15)), DEPTH).bitwiseOR(F.shiftright(h, 4).bitwiseAND(F.lit(read))).cast("int")
 
+
+def start(counts: DataFrame, head: int = HEAD, bits: int = BITS) -> Model:
+    """The model before training: exact counts, weights of 0. A token of the head occurs twice at least."""
+    size = {r["k"]: (r["types"], r["tokens"]) for r in counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("tokens")).collect()}
+    types, total = sum(n for n, _ in size.values()), sum(n for _, n in size.values())
+    least = 1
+    while sum(n for k, (n, _) in size.items() if k >= least) > head:
+        least += 1
+    frequent = counts.where(F.floor(F.log2("c")) >= least).toArrow()
+    rare = {r["leaf"]: (r["tokens"], r["types"]) for r in counts.where(F.floor(F.log2("c")) < least).groupBy(_rare_leaf(F.col("h")).alias("leaf")).agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types")).collect()}
+    # several weights for every token of the corpus, within the bound
+    return Model(frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy(), rare, total, types, min(bits, max(STRETCH, int(total).bit_length() + 3)))
+
+
+def train(keyed: DataFrame, model: Model) -> Model:
+    spark = keyed.sparkSession
+    training = keyed.where(~F.col("held"))
+    damping = DAMPING + model.total * (CLASS_BITS + DEPTH) / (CROWD) / (1 << model.bits)
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(1, min(-(-int(size) // TASK_BYTES), 8 * spark.sparkContext.defaultParallelism))
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches, shared=shared):
-            from pyspark import TaskContext
-
             m = shared.value
-            mine = Model.__new__(Model)
-            mine.__dict__.update(m.__dict__)
-            mine.weight = m.weight.copy()
-            memory, n = np.ones_like(mine.weight), 0
+            g, h, n = np.zeros(1 << m.bits, np.float32), np.zeros(1 << m.bits, np.float32), 0
             for b in batches:
                 for _, _, data, offsets in slices(b.column(0)):
                     t, rows = tokens_of(data, offsets)
-                    mine.learn(t, rows, memory)
+                    m.steps(t, rows, m.find(t), g, h)
                     n += len(t)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), pa.array([n], pa.int64()), pa.array([mine.weight.tobytes()], pa.binary())], ["g", "n", "w"])
-
-        def average(table: pa.Table) -> pa.Table:
-            total, weight = 0, np.zeros((1 << BITS) * CLASSES)
-            for n, w in zip(table.column("n"), table.column("w"), strict=True):
-                total += n.as_py()
-                weight += n.as_py() * np.frombuffer(w.as_buffer(), np.float32)
-            return pa.table({"n": pa.array([total], pa.int64()), "w": pa.array([(weight / total).astype(np.float32).tobytes()], pa.binary())})
-
-        some = keyed.where(~F.col("held") & (F.pmod(F.xxhash64("text", "id"), F.lit(ROUNDS)) == k)).select("text").mapInArrow(run, "g long, n long, w binary")
-        n, weight = 0, np.zeros((1 << BITS) * CLASSES)
-        for r in some.groupBy("g").applyInArrow(average, "n long, w binary").toLocalIterator():
-            n += r["n"]
-            weight += r["n"] * np.frombuffer(r["w"], np.float32).astype(float)
-        if n:
-            model.weight = (weight / n).astype(np.float32).reshape(1 << BITS, CLASSES)
+                for a in range(0, len(g), 1 << STRETCH):
+                    z = a + (1 << STRETCH)
+                    yield pa.RecordBatch.from_arrays([pa.array([a >> STRETCH], pa.int32()), pa.array([g[a:z].tobytes()], pa.binary()), pa.array([h[a:z].tobytes()], pa.binary())], ["s", "g", "h"])
+
+        def add(batches):
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for s, g, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    held.setdefault(s, np.zeros((2, 1 << STRETCH)))
+                    held[s] += np.stack([np.frombuffer(g, np.float32), np.frombuffer(h, np.float32)])
+            for s, (g, h) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([(RATE * g / (h + damping)).astype(np.float32).tobytes()], pa.binary())], ["s", "step"])
+
+        some = training.where(F.pmod(F.xxhash64("text", "id"), F.lit(ROUNDS)) == k).select("text").coalesce(tasks)
+        for r in some.mapInArrow(tidy(run), "s int, g binary, h binary").repartition("s").mapInArrow(tidy(add), "s int, step binary").toLocalIterator():
+            model.weight[r["s"] << STRETCH : (r["s"] + 1) << STRETCH] += np.frombuffer(r["step"], np.float32)
         shared.unpersist()
+        free(spark)
     return model
 
 
-SCORES = "id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
 def score_documents(keyed: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    shared = keyed.sparkSession.sparkContext.broadcast(model)
-    schema = SCORES.format(id=keyed.schema["id"].dataType.simpleString())
+    spark = keyed.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    kind = keyed.schema["id"].dataType.simpleString()
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(batches):
         m = shared.value
-        key = right.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, c = key[order], right.column("c").to_numpy()[order]
-        column = left.column("text").combine_chunks()
-        parts = []
-        for _, _, data, offsets in slices(column):
-            n = len(offsets) - 1
-            t, rows = tokens_of(data, offsets)
-            count = c[np.searchsorted(key, t)]
-            ids, kinds = m.read(t)
-            share = np.where(ids < HEAD, m.share[np.minimum(ids, len(m.share) - 1)] if len(m.share) else 0.0, np.log10(count + SMOOTH) - m.tail[ids - HEAD if not len(m.share) else np.maximum(ids - HEAD, 0)])
-            log = m.log_class(m.features(ids, rows), kinds) / np.log(10) + share
-            base = np.log10((count + SMOOTH) / (m.total + SMOOTH * (m.types + 1)))
-            parts.append((per_row(rows, n), per_row(rows, n, (count > 0).astype(float)).astype(np.int64), per_row(rows, n, base), per_row(rows, n, log)))
-        tokens, known, base, log = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"id": left.column("id"), "held_out": left.column("held"), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), m.total), "base_score": base, "score": log})
-
-    return keyed.groupBy("bucket").cogroup(counts.select("bucket", "h", "c").groupBy("bucket")).applyInArrow(score, schema)
-
-
-def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        known_base = np.log10(m.count + SMOOTH)
+        for b in batches:
+            for lo, hi, data, offsets in slices(b.column(0)):
+                n = len(offsets) - 1
+                t, rows = tokens_of(data, offsets)
+                k = m.find(t)
+                known = k >= 0
+                at = k[known]
+                log, path = m.steps(t, rows, k)
+                log[known] += path[known] + m.share[at]
+                base = np.zeros(len(t))
+                base[known] = known_base[at]
+                # the others' counts are not here
+                rare, rare_row, path = t[~known], rows[~known], path[~known]
+                order = np.lexsort((rare, rare_row))
+                rare, rare_row, path = rare[order], rare_row[order], path[order]
+                first = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1]))) if len(rare) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(rare)))
+                path = np.add.reduceat(path, first) if len(first) else path
+                cut = pa.array(np.searchsorted(rare_row[first], np.arange(n + 1)).astype(np.int32))
+                own = slice(lo, hi)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(b.column(i)[own] for i in (1, 2, 3, 4)), pa.array(per_row(rows, n)), pa.array(per_row(rows, n, known.astype(float)).astype(np.int64)), pa.array(per_row(rows, n, base)), pa.array(per_row(rows, n, log)),
+                        pa.ListArray.from_arrays(cut, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(path)),
+                    ], ["id", "held", "k1", "k2", "n", "known", "base", "score", "rare", "times", "path"],
+                )
+
+    schema = f"id {kind}, held boolean, k1 long, k2 int, n long, known long, base double, score double, rare array<long>, times array<int>, path array<double>"
+    parts = shared_table(keyed.select("text", "id", "held", "k1", "k2").mapInArrow(tidy(run), schema))
+    leaves = spark.createDataFrame(model.rare_parts(), "leaf int, seen double, unseen double")
+    uses = parts.where(F.size("rare") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode(F.arrays_zip("rare", "times", "path")).alias("u")).select("k1", "k2", F.col("u.rare").alias("h"), F.col("u.times").alias("times"), F.col("u.path").alias("path"))
+    # at most as many leaves as the tree has: a bounded table
+    uses = uses.join(counts, "h", "left").withColumn("leaf", _rare_leaf(F.col("h"))).join(F.broadcast(leaves), "leaf")
+    seen = F.col("c").isNotNull()
+    token = F.when(seen, F.col("path") + F.col("times") * (F.log10(F.col("c") - DISCOUNT) + F.col("seen"))).otherwise(F.col("times") * F.col("unseen"))
+    rest = uses.groupBy("k1", "k2").agg(F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("rare_base"), F.sum(token).alias("rare_score"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    all_ = float(np.log10(model.total + SMOOTH * (model.types + 1)))
+    return parts.drop("rare", "times", "path").join(rest, ["k1", "k2"], "left").select(
+        F.col("id").alias("doc_id"), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + zero("more")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("rare_base") - F.col("n") * F.lit(all_)).alias("base_score"), (F.col("score") + zero("rare_score")).alias("score"),
+    )
+
+
+def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, bits: int = BITS) -> DataFrame:
     tune(docs.sparkSession)
-    keyed, counts = counted(docs, doc_id, text, bucket_bytes)
-    return score_documents(keyed, counts, fit(keyed, counts)).withColumnRenamed("id", "doc_id")
+    keyed = keyed_documents(docs, doc_id, text)
+    counts = shared_table(token_counts(keyed))
+    free(docs.sparkSession)
+    return score_documents(keyed, counts, train(keyed, start(counts, head, bits)))
 
 
 def op9_maximum_entropy(spark, sf_dir: str) -> DataFrame:

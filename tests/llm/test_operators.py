@@ -369,30 +369,73 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(langid.forward(lattice, p)[0, -1, 0], total(0))
 
 
+def bigram_score(docs, weight):
+    """Held-out log10 probability of a bigram model, interpolated with the base's smoothed unigrams."""
+    import re
+    from collections import Counter
+
+    low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None]
+    toks = [(zlib.crc32(str(d).encode()) % 10 == 0, low(t)) for d, t in docs]
+    one = Counter(x for out, w in toks if not out for x in w)
+    two = Counter(p for out, w in toks if not out for p in zip(["", *w], w))
+    before = Counter(x for out, w in toks if not out for x in ["", *w[:-1]])
+    n, v = sum(one.values()), len(one)
+    p = lambda a, x: (two[a, x] + weight * (one[x] + 0.1) / (n + 0.1 * (v + 1))) / (before[a] + weight)
+    return sum(np.log10(p(a, x)) for out, w in toks if out for a, x in zip(["", *w], w))
+
+
 def test_language_model_base_and_gain(spark, tables):
     docs, _ = tables
     every = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x")], DOC))
-    rows = langmodel.score_corpus(every, bucket_bytes=1 << 20).collect()
-    want = langmodel.brute_base([(r["doc_id"], r["text"]) for r in every.collect()])
-    assert len(rows) == len(want)
-    for r in rows:
-        n, known, total, base = want[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and abs(r["base_score"] - base) < 1e-6 * abs(base)
-    out = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    texts = [(r["doc_id"], r["text"]) for r in every.collect()]
+    want = langmodel.brute_base(texts)
+    # all types but the rare ones are broadcast, or a few hundred
+    for head in (langmodel.HEAD, 500):
+        rows = langmodel.score_corpus(every, head=head).collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            n, known, total, base = want[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and abs(r["base_score"] - base) < 1e-6 * abs(base)
+        out = [r for r in rows if r["held_out"]]
+        gain = lambda other: (sum(r["score"] for r in out) - other) / sum(r["n_tokens"] for r in out)
+        assert gain(sum(r["base_score"] for r in out)) > 0.2
+        if head == langmodel.HEAD:
+            gains = {w: gain(bigram_score(texts, w)) for w in (5, 20, 50, 100, 200, 400)}
+            assert min(gains.values()) > 0.01, gains
+
+
+def test_language_model_does_not_depend_on_partitions_and_counts_repeated_rows(spark, sample):
+    rows = [*sample, *sample[:5], (None, "null id"), (7, None)]
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
+    got = [sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in langmodel.score_corpus(x).collect())) for x in (d.coalesce(1), d.repartition(7))]
+    assert len(got[0]) == len(rows) == len(got[1])
+    assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4 * abs(a[3]) for a, b in zip(*got))
+    twice = [x for x in got[0] if x[:2] == (False, sample[0][0])]
+    assert len(twice) == 2 and abs(twice[0][3] - twice[1][3]) < 1e-9
 
 
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(2)
-    head = np.unique(rng.integers(0, 2**62, 100).astype(np.uint64) | np.uint64(1 << 62))
-    count = rng.integers(1, 50, len(head)).astype(float)
-    m = langmodel.Model(head, count, np.full(16, 10.0), np.full(16, 5.0), 1000, 180)
+    head = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    count = rng.integers(2, 5000, len(head))
+    m = langmodel.Model(head, count, {}, 10_000, 4000, 16)
     m.weight = rng.normal(size=m.weight.shape).astype(np.float32)
-    classes = np.exp([m.log_class(np.zeros((1, 4), np.int64), np.array([k]))[0] for k in range(langmodel.CLASSES)])
-    assert np.isclose(classes.sum(), 1, atol=1e-5)
-    ids, kinds = m.read(head)
-    for k in set(kinds.tolist()):
-        assert np.isclose((10 ** m.share[ids[kinds == k]]).sum(), 1)
+    found = m.find(np.concatenate([head, head + np.uint64(16)]))
+    assert (found[: len(head)] == np.arange(len(head))).all() and (found[len(head) :] == -1).all()
+    # all leaves of the tree, behind one context
+    leaves = [(kind << langmodel.DEPTH | leaf << (langmodel.DEPTH - d), langmodel.CLASS_BITS + d) for kind, d in enumerate(m.depth.tolist()) for leaf in range(1 << d)]
+    code, steps = np.array(leaves).T
+    context = [f[-1:].repeat(len(code)) for f in langmodel.contexts(head[:4], np.zeros(4, int))]
+    p = 10 ** sum(m.walk(code, steps, context))
+    assert np.isclose(p.sum(), 1, atol=1e-4)
+    # and the tokens within a leaf
+    leaf = m._leaf(*m._code(m.head, m.band))
+    for k in set(leaf.tolist()):
+        assert np.isclose((10 ** m.share[leaf == k]).sum(), 1)
+    # rare tokens, seen and unseen, of one ending: the ways to all leaves are taken by seen ones only
+    m.rare = {leaf: (int(rng.integers(3, 9)), 3) for leaf in range(5 << langmodel.DEPTH, 6 << langmodel.DEPTH, 8)}
+    parts = {leaf: (10**a, 10**b) for leaf, a, b in m.rare_parts() if leaf >> langmodel.DEPTH == 5}
+    assert all(np.isclose((n - langmodel.DISCOUNT * 3) * parts[leaf][0] + parts[leaf][1], 1) for leaf, (n, _) in m.rare.items())
 
 
 def test_language_model_of_nothing(spark):
@@ -413,9 +456,9 @@ def test_units_match_brute_force(spark, sample):
 
     texts = dict(sample)
     rows = [*texts.items(), (100_001, None), (100_002, ""), (100_003, "Same line of words here.\nSAME  line of\twords here. Other end now"), (100_004, "x y\nx y"), (100_005, "one two three four five six " * 300)]
-    done, name = units.dedup_units(docs_of(spark, rows))
+    done, name = units.dedup_units(docs_of(spark, rows), min_words=5)
     got = {r["doc_id"]: r for r in done.select("doc_id", f"{name}.*").collect()}
-    want = units.brute(rows)
+    want = units.brute(rows, 5)
     assert {d: (r["n_units"], r["kept"]) for d, r in got.items()} == want
     assert got[100_003]["n_removed"] == 1 and got[100_004]["n_removed"] == 0
     for d, r in got.items():
