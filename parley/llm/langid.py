@@ -5,8 +5,9 @@ cut it into pieces, found by the forward algorithm; that of a text the product o
 by expectation maximisation (forward-backward over the same lattice) from at most ``SAMPLE`` training ids of each language;
 this is the only bound. Characters that no piece covers count as one unknown piece each.
 
-Words are lower-cased and marked at their start as the vocabulary does; more than ``CHUNK`` characters are scored in
-chunks. Distinct words are scored once in numpy batches and kept in a table of bounded size.
+Words are lower-cased and marked at their start as the vocabulary does. Distinct words are scored once, those of equal length
+together in numpy batches, and kept in a table of bounded size; words of more than ``SHORT`` characters go through the same
+recursion in logarithms, position by position, whatever their length.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing can be
 learned; ties go to the language that sorts first; documents without language are scored but not learned from; repeated
@@ -20,7 +21,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,13 +29,14 @@ from parley.llm.core import BASE, append_result, crc_mod, free_name, mix, per_ro
 from parley.llm.labelled import code_points
 
 MARK = "▁"
-CHUNK = 24
+SHORT = 32  #: characters of words whose sums fit plain numbers
 SAMPLE = 600
 ROUNDS = 3
 SMOOTH = 0.05
 FOLDS, HELD = 4, 2
 TABLE = 800_000
 BATCH = 20_000
+NONE = -1e30
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -53,7 +55,7 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = sorted({model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))})
-        pieces = [p for p in pieces if 0 < len(p) <= CHUNK + 1]
+        pieces = [p for p in pieces if p]
         self.longest = max(map(len, pieces))
         self.unknown, self.none = len(pieces), len(pieces) + 1
         kind = "utf-32-le" if sys.byteorder == "little" else "utf-32-be"
@@ -127,20 +129,74 @@ def expected(lattice: list[np.ndarray], p: np.ndarray, weight: np.ndarray) -> np
     return total
 
 
+def ending_at(lattice: list[np.ndarray]) -> np.ndarray:
+    """Of one word, the piece of each length that ends behind each position: [positions, lengths]; none where there is none."""
+    width = lattice[0].shape[1]
+    out = np.empty((width, len(lattice)), np.int32)
+    for l, ids in enumerate(lattice):
+        out[:l, l] = -1
+        out[l:, l] = ids[0]
+    return out
+
+
+def long_forward(ending: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Logarithms of ``forward`` for one word of any length: [length + 1, languages]; log_p has a last row for no piece."""
+    width, longest = ending.shape
+    out = np.full((longest + width, log_p.shape[1]), NONE)  # rows before the word's start, then its prefixes
+    out[longest - 1] = 0
+    for j in range(width):
+        # lengths 1, 2, ... end here and begin that many rows back
+        terms = out[j : j + longest][::-1] + log_p[ending[j]]
+        top = terms.max(0)
+        out[longest + j] = top + np.log(np.exp(terms - top).sum(0))
+    return out[longest - 1 :]
+
+
+def long_expected(lattice: list[np.ndarray], ending: np.ndarray, log_p: np.ndarray, weight: float) -> np.ndarray:
+    """``expected`` for one word of any length."""
+    a = long_forward(ending, log_p)[:, 0]
+    q, longest, width = log_p[:, 0], ending.shape[1], ending.shape[0]
+    begin = np.full((width, longest), len(q) - 1, np.int64)
+    for l, ids in enumerate(lattice):
+        begin[: ids.shape[1], l] = ids[0]
+    b = np.full(width + 1 + longest, NONE)
+    b[width] = 0
+    for i in range(width - 1, -1, -1):
+        terms = b[i + 1 : i + 1 + longest] + q[begin[i]]
+        top = terms.max()
+        b[i] = top + np.log(np.exp(terms - top).sum())
+    total = np.zeros(len(q))
+    for l in range(longest):
+        n = width - l
+        if n > 0:
+            total += np.bincount(begin[:n, l], weight * np.exp(np.minimum(a[:n] + q[begin[:n, l]] + b[l + 1 : l + 1 + n] - a[width], 0)), len(q))
+    total[-1] = 0
+    return total
+
+
+def logs(p: np.ndarray) -> np.ndarray:
+    """Logarithms of piece probabilities; the last row, no piece, never adds anything."""
+    out = np.log(np.maximum(p, 1e-300))
+    out[-1] = NONE
+    return out
+
+
 def by_length(words: list[str]):
-    """Words (chunks, marks included) grouped by length: (indexes, code matrix)."""
-    kind = "utf-32-le" if sys.byteorder == "little" else "utf-32-be"
+    """Words (marks included) of plain length, grouped: (indexes, code matrix)."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
-        groups[len(w)].append(i)
-    for n, at in sorted(groups.items()):
+        if len(w) <= SHORT:
+            groups[len(w)].append(i)
+    for _, at in sorted(groups.items()):
         for k in range(0, len(at), BATCH):
             part = at[k : k + BATCH]
-            yield np.array(part), np.frombuffer("".join([words[i] for i in part]).encode(kind, "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+            yield np.array(part), code_matrix([words[i] for i in part])
 
 
-def chunks_of(word: str) -> list[str]:
-    return [MARK + word[:CHUNK], *(word[i : i + CHUNK] for i in range(CHUNK, len(word), CHUNK))]
+def code_matrix(words: list[str]) -> np.ndarray:
+    """Code points of words of one length."""
+    kind = "utf-32-le" if sys.byteorder == "little" else "utf-32-be"
+    return np.frombuffer("".join(words).encode(kind, "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
 class Model:
@@ -156,17 +212,18 @@ def learn(path: str, counts: dict[str, Counter], documents: dict[str, int]) -> M
     vocabulary = Vocabulary(path)
     p = np.zeros((vocabulary.none + 1, len(languages)))
     for k, language in enumerate(languages):
-        chunks: Counter = Counter()
-        for w, c in counts[language].items():
-            for x in chunks_of(w):
-                chunks[x] += c
-        words = list(chunks)
-        weight = np.array([chunks[w] for w in words], float)
+        words = [MARK + w for w in counts[language]]
+        weight = np.array(list(counts[language].values()), float)
         q = np.zeros((vocabulary.none + 1, 1))
         q[: vocabulary.none] = 1 / vocabulary.none
         groups = [(at, vocabulary.lattice(codes)) for at, codes in by_length(words)]
+        long = [(i, vocabulary.lattice(code_matrix([w]))) for i, w in enumerate(words) if len(w) > SHORT]
+        long = [(i, lattice, ending_at(lattice)) for i, lattice in long]
         for _ in range(ROUNDS):
-            total = sum(expected(lattice, q, weight[at]) for at, lattice in groups)[: vocabulary.none] + SMOOTH
+            total = sum((expected(lattice, q, weight[at]) for at, lattice in groups), np.zeros(vocabulary.none + 1))
+            for i, lattice, ending in long:
+                total += long_expected(lattice, ending, logs(q), weight[i])
+            total = total[: vocabulary.none] + SMOOTH
             q[: vocabulary.none, 0] = total / total.sum()
         p[:, k] = q[:, 0]
     share = np.array([max(1, documents.get(k, 1)) for k in languages], float)
@@ -178,10 +235,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     tune(spark)
     training = docs.where(F.col(lang).isNotNull() & (crc_mod(F.col(doc_id), FOLDS) != HELD))
     documents = {r[0]: r[1] for r in training.groupBy(lang).count().collect()}
-    # the sampled ids alone are sorted and sent: at most ``sample`` a language
-    picked = []
-    for k in sorted(documents):
-        picked += [(r["_id"], k) for r in training.where(F.col(lang) == k).select(F.col(doc_id).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()]
+    # the sampled ids alone are sent: at most ``sample`` a language
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    ranked = training.select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id")).distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
+    picked = [(r["_id"], r["_lang"]) for r in ranked.collect()]
     ids = spark.createDataFrame(picked, f"_id {docs.schema[doc_id].dataType.simpleString()}, _lang string")
     drawn = training.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), ["_id", "_lang"])
 
@@ -214,6 +271,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.vocabulary = Vocabulary(model.path)
+        self.log_p = logs(model.p)
         self._empty()
 
     def _empty(self) -> None:
@@ -222,16 +280,14 @@ class Scorer:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
-        chunks, owner = [], []
-        for i, w in enumerate(words):
-            for c in chunks_of(w):
-                chunks.append(c)
-                owner.append(i)
-        owner = np.array(owner, np.int64)
+        words = [MARK + w for w in words]
         out = np.zeros((len(words), len(self.model.languages)))
-        for at, codes in by_length(chunks):
+        for at, codes in by_length(words):
             a = forward(self.vocabulary.lattice(codes), self.model.p)[:, -1]
-            np.add.at(out, owner[at], np.log(np.maximum(a, 1e-300)))
+            out[at] = np.log(np.maximum(a, 1e-300))
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = long_forward(ending_at(self.vocabulary.lattice(code_matrix([w]))), self.log_p)[-1]
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> list:

@@ -369,6 +369,23 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(langid.forward(lattice, p)[0, -1, 0], total(0))
 
 
+def test_long_words_are_summed_as_wholes():
+    vocabulary = langid.Vocabulary(langid.default_vocabulary())
+    rng = np.random.default_rng(0)
+    p = rng.random((vocabulary.none + 1, 3)) / 50
+    p[-1] = 0
+    for word in (langid.MARK, langid.MARK + "x", langid.MARK + "unbelievablythenandforwhich", langid.MARK + "aé" * 14):
+        lattice = vocabulary.lattice(langid.code_matrix([word]))
+        ending = langid.ending_at(lattice)
+        assert np.allclose(np.exp(langid.long_forward(ending, langid.logs(p))), langid.forward(lattice, p)[0])
+        assert np.allclose(langid.long_expected(lattice, ending, langid.logs(p[:, :1]), 2.0), langid.expected(lattice, p[:, :1], np.array([2.0])))
+    # many characters: no cut, no underflow; a word's sum is at least that of its halves
+    half = "donaudampfschifffahrt" * 40
+    score = langid.Scorer(langid.Model(langid.default_vocabulary(), ["a", "b", "c"], np.zeros(3), p)).word_scores([half + half, half])
+    lattice = vocabulary.lattice(langid.code_matrix([half]))
+    assert np.isfinite(score).all() and (score[0] >= score[1] + langid.long_forward(langid.ending_at(lattice), langid.logs(p))[-1] - 1e-6).all()
+
+
 def bigram_score(docs, weight):
     """Held-out log10 probability of a bigram model, interpolated with the base's smoothed unigrams."""
     import re
