@@ -1,9 +1,10 @@
 """Quality: supervised subword embeddings.
 
-Every word, every character n-gram inside a word (with its borders) and every immediate repetition of a word is hashed to
-one of 2**BITS learned vectors. A document is the average of its vectors; a softmax over two labels reads it. Vectors and
-softmax are trained by stochastic gradient descent in numpy, one document a step, on at most ``SAMPLE`` labelled ids of
-each class (the only bound). Scoring reads whole texts; as average and softmax are linear up to the end, each vector is
+Every word, every character n-gram inside a word (with its borders) and every word 2-gram of a word and itself (all of them
+one feature) is hashed to one of 2**BITS learned vectors. A document is the average of its vectors; a softmax over two labels
+reads it. Vectors and softmax are trained by stochastic gradient descent on the softmax's loss in numpy, one document a step,
+with one rate for the vectors (``VECTOR_RATE``, as each is a small share of an average) and one for the softmax, on at most
+``SAMPLE`` labelled ids of each class (the only bound). Scoring reads whole texts; as average and softmax are linear up to the end, each vector is
 scored once and a document is the mean of its features' scores.
 
 Defined results: a text without words scores the learned intercept; without labels of both classes the share of label 1
@@ -26,7 +27,7 @@ DIM = 12
 ORDERS = (2, 3, 4)
 SAMPLE = 1500
 EPOCHS = 6
-RATE = 0.6
+RATE, VECTOR_RATE = 0.6, 18.0
 PARTS = 12
 THRESHOLD = 0.3
 
@@ -102,7 +103,8 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], prior: float, seed
     for _ in range(EPOCHS):
         for i in rng.permutation(len(examples)):
             y, f, c = examples[i]
-            rate = np.float32(RATE * (1 - t / steps))
+            left = 1 - t / steps
+            rate = np.float32(RATE * left)
             t += 1
             rows = vector[f]
             hidden = c @ rows
@@ -114,8 +116,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], prior: float, seed
             back = p @ out
             out -= rate * np.outer(p, hidden)
             bias -= rate * p * np.float32(0.1)
-            # shares are small; the features' steps are scaled up so that they move as fast as the softmax
-            vector[f] = rows - (rate * 8) * np.outer(np.sqrt(c) * np.sqrt(c.max()), back)
+            vector[f] = rows - np.float32(VECTOR_RATE * left) * np.outer(c, back)
     return Model(vector @ (out[1] - out[0]).astype(np.float64), float(bias[1] - bias[0]))
 
 

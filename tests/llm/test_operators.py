@@ -297,6 +297,28 @@ def test_quality_held_out(spark, tables):
     assert sum(right) / len(right) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_steps_follow_the_gradient():
+    """One step's change of a vector against the loss measured on both sides of it."""
+    rng = np.random.default_rng(3)
+    vector, out, bias = rng.normal(size=(5, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    c, y = np.array([0.5, 0.3, 0.2]), 1
+    loss = lambda v: -np.log(np.exp((z := out @ (c @ v[:3]) + bias) - z.max())[y] / np.exp(z - z.max()).sum())
+    z = out @ (c @ vector[:3]) + bias
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    p[y] -= 1
+    step = np.outer(c, p @ out)
+    for i in range(3):
+        for j in range(4):
+            d = np.zeros_like(vector)
+            d[i, j] = 1e-5
+            assert np.isclose((loss(vector + d) - loss(vector - d)) / 2e-5, step[i, j], atol=1e-6)
+    # and such steps learn: a text of one feature is told from a text of the other
+    a, b = np.array([1], np.int32), np.array([2], np.int32)
+    one = np.ones(1, np.float32)
+    model = quality.train([(0, a, one), (1, b, one)] * 40, 0.5)
+    assert model.worth[2] + model.bias > 1 and model.worth[1] + model.bias < -1
+
+
 def test_toxicity_held_out_and_without_labels(spark, tables):
     docs, labels = tables
     scored, name = toxicity.score_documents(docs, toxicity.fit(docs, labels))
