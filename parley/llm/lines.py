@@ -6,8 +6,12 @@ ties neighbouring labels. Viterbi decoding marks the lines of a text; it is kept
 labelled lines are content and the base counts don't fail.
 
 Weights are trained by gradient ascent on the log-likelihood, with forward-backward over whole texts, on at most ``SAMPLE``
-labelled ids of each class (the only bound): the lines of texts of quality 1 count as content, those of quality 0 as
-boilerplate. Training starts from ``START``, which alone decides where there are no labels of both classes.
+labelled ids of each class (the only bound). Labels of lines are partly known and partly hidden. A line that stands between
+different neighbours in ``SETTINGS`` sampled texts or more is boilerplate (copies of a text have the same neighbours). The
+others are found by rounds of training and decoding: the best labels under the constraint that the text's verdict is its
+label, which a shift of all its lines' scores, as small as will do, enforces. The first round takes the text's label for every line and neighbours as unrelated, so that what lines look like in
+good and in bad texts decides, not that all lines of a text were given one label.
+Training starts from ``START``, which alone decides where there are no labels of both classes.
 
 Defined results: a null or empty text has no words, lines or verdict and fails; a text of one line is a chain of one;
 repeated rows are judged alike; other columns are carried along; an empty table gives no rows.
@@ -28,7 +32,9 @@ WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 SHARE = 0.5
 SAMPLE = 1500
-STEPS = 60
+STEPS, RECODED = 60, 3  #: of gradient ascent in a round; rounds of decoding between
+SETTINGS = 3
+SHIFTS = (0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 64.0)
 PARTS = 12
 
 FEATURES = ("bias", "symbols", "many_symbols", "capitals", "bars", "marks", "repeated_words", "same_as_earlier", "short", "long", "closed", "first", "last")
@@ -79,7 +85,7 @@ class Lines:
         line_of[keep] = np.arange(len(keep))
         self.lo, self.hi = lo[keep], hi[keep]
         self.row = np.searchsorted(offsets, self.lo, "right") - 1 if len(keep) else np.zeros(0, np.int64)
-        h = span_hashes(prefix_sums(data.astype(np.uint64) + np.uint64(1)), self.lo, self.hi)
+        h = self.hash = span_hashes(prefix_sums(data.astype(np.uint64) + np.uint64(1)), self.lo, self.hi)
         _, first = np.unique(mix(h ^ (self.row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
         dup = np.ones(len(keep), bool)
         dup[first] = False
@@ -123,8 +129,9 @@ class Chain:
     def __init__(self, weights: np.ndarray, move: np.ndarray):
         self.weights, self.move = weights, move
 
-    def viterbi(self, x: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        score = np.stack([np.zeros(len(x)), x @ self.weights], 1) if len(x) else np.zeros((0, 2))
+    def viterbi(self, x: np.ndarray, first: np.ndarray, length: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
+        """The best labels; ``more`` is added to each line's score of label 1."""
+        score = np.stack([np.zeros(len(x)), x @ self.weights + more], 1) if len(x) else np.zeros((0, 2))
         best, came = np.zeros((len(first), 2)), np.zeros((len(x), 2), np.int8)
         steps = list(steps_of(first, length))
         for t, (chain, at) in enumerate(steps):
@@ -168,11 +175,47 @@ def default_chain() -> Chain:
     return Chain(START.copy(), np.array([[START_SAME, 0.0], [0.0, START_SAME]]))
 
 
-def train(x: np.ndarray, y: np.ndarray, length: np.ndarray, l2: float = 0.01) -> Chain:
-    """Gradient ascent on the mean log-likelihood of a line; y is the label of each chain's lines."""
-    chain = default_chain()
+def set_lines(hashes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Lines (known by their hashes, texts one after the other) that stand in ``SETTINGS`` different settings or more."""
+    if not len(hashes):
+        return np.zeros(0, bool)
+    owner = np.repeat(np.arange(len(length)), length)
+    inner = owner[1:] == owner[:-1]
+    before, behind = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
+    before[1:][inner], behind[:-1][inner] = hashes[:-1][inner], hashes[1:][inner]
+    setting = mix(before ^ mix(behind + np.uint64(1)))
+    order = np.lexsort((setting, hashes))
+    h, k = hashes[order], setting[order]
+    line = np.append(True, h[1:] != h[:-1])
+    new = line | np.append(True, k[1:] != k[:-1])
+    number = np.cumsum(line) - 1
+    many = np.bincount(number, new) >= SETTINGS
+    out = np.zeros(len(hashes), bool)
+    out[order] = many[number]
+    return out
+
+
+def recoded(chain: Chain, x: np.ndarray, y: np.ndarray, length: np.ndarray, chars: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The best labels of lines by which each text (label y: 0 content, 1 boilerplate) has the verdict that its label says."""
     first = np.append(0, np.cumsum(length))[:-1]
-    label = np.repeat(y, length).astype(float)
+    owner = np.repeat(np.arange(len(length)), length)
+    label = np.repeat(y, length).astype(np.int8)
+    open_ = np.ones(len(length), bool)
+    for shift in SHIFTS:
+        found = chain.viterbi(x, first, length, np.where(known, 1e3, np.where(y == 1, shift, -shift)[owner]))
+        share = np.bincount(owner, chars * (found == 0), len(length)) / np.maximum(np.bincount(owner, chars, len(length)), 1)
+        fits = open_ & ((share >= SHARE) == (y == 0))
+        label[fits[owner]] = found[fits[owner]]
+        open_ &= ~fits
+    # texts that known lines decide against their label keep it for the other lines
+    label[known] = 1
+    return label
+
+
+def ascend(chain: Chain, x: np.ndarray, y: np.ndarray, label: np.ndarray, length: np.ndarray, moves: bool = True, l2: float = 0.01) -> Chain:
+    """Gradient ascent on the mean log-likelihood of a line, given the lines' labels; ``moves``: of neighbours too."""
+    first = np.append(0, np.cumsum(length))[:-1]
+    label = label.astype(float)
     # every text weighs the same, and each class half
     per_text = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.maximum(length, 1)
     m, v = np.zeros(len(START) + 4), np.zeros(len(START) + 4)
@@ -181,14 +224,22 @@ def train(x: np.ndarray, y: np.ndarray, length: np.ndarray, l2: float = 0.01) ->
         w = per_text[owner]
         g = x.T @ (w * (label - p)) - l2 * (chain.weights - START) / 10
         seen = np.zeros((2, 2))
-        for c in (0, 1):
-            seen[c, c] = w[inner][label[inner] == c].sum()
+        np.add.at(seen, (label[inner].astype(int), label[inner + 1].astype(int)), w[inner])
         gm = seen - (pair * w[inner][:, None, None]).sum(0) - l2 * chain.move
         g = np.concatenate([g, gm.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        chain.weights += step[: len(START)]
-        chain.move += step[len(START) :].reshape(2, 2)
+        chain = Chain(chain.weights + step[: len(START)], chain.move + step[len(START) :].reshape(2, 2) * moves)
+    return chain
+
+
+def train(x: np.ndarray, y: np.ndarray, length: np.ndarray, chars: np.ndarray, hashes: np.ndarray) -> Chain:
+    """A chain from texts with labels y (0 content, 1 boilerplate) and the lines of each."""
+    known = set_lines(hashes, length)
+    label = np.where(known, 1, np.repeat(y, length))
+    chain = ascend(Chain(START.copy(), np.zeros((2, 2))), x, y, label, length, moves=False)
+    for _ in range(RECODED):
+        chain = ascend(chain, x, y, recoded(chain, x, y, length, chars, known), length)
     return chain
 
 
@@ -200,14 +251,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
             for lo, hi, data, offsets in slices(b.column(1)):
                 lines = Lines(data, offsets)
                 x = lines.x.astype(np.int8)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.string()), b.column(2).slice(lo, hi - lo), pa.array([x[a : a + k].tobytes() for a, k in zip(lines.first, lines.length)], pa.binary())], ["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.string()), b.column(2).slice(lo, hi - lo), *(pa.array([v[a : a + k].tobytes() for a, k in zip(lines.first, lines.length)], pa.binary()) for v in (x, lines.chars.astype(np.int32), lines.hash))], ["id", "y", "x", "chars", "hash"])
 
-    rows = labelled_sample(docs, labels, label, sample, doc_id, text).repartition(PARTS, "id").mapInArrow(tidy(run), "id string, y int, x binary").collect()
+    rows = labelled_sample(docs, labels, label, sample, doc_id, text).repartition(PARTS, "id").mapInArrow(tidy(run), "id string, y int, x binary, chars binary, hash binary").collect()
     rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["id"], r["y"], r["x"]))
     if len({r["y"] for r in rows}) < 2:
         return default_chain()
     x = np.concatenate([np.frombuffer(r["x"], np.int8).reshape(-1, len(FEATURES)) for r in rows]).astype(float)
-    return train(x, np.array([1 - r["y"] for r in rows]), np.array([len(r["x"]) // len(FEATURES) for r in rows]))
+    joined = lambda name, kind: np.frombuffer(b"".join([bytes(r[name]) for r in rows]), kind)
+    return train(x, np.array([1 - r["y"] for r in rows]), np.array([len(r["x"]) // len(FEATURES) for r in rows]), joined("chars", np.int32).astype(float), joined("hash", np.uint64))
 
 
 def judge(data: np.ndarray, offsets: np.ndarray, chain: Chain) -> list:

@@ -340,11 +340,42 @@ def test_line_labels_base_and_verdict(spark, tables):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == lines.brute_base(r["text"])
         assert not (r["kept"] and r["base_failed"])
     known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    out = [(r["kept"], known[r["doc_id"]]) for r in rows if r["doc_id"] in known and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and not r["base_failed"]]
+    assert sum(k == (q == 1) for k, q in out) / len(out) > 0.95
     good = [r["kept"] for r in rows if known.get(r["doc_id"]) == 1 and not r["base_failed"]]
     bad = [r["kept"] for r in rows if known.get(r["doc_id"]) == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
 
 
+def test_line_labels_are_learned_within_texts(spark, tables):
+    rng = np.random.default_rng(5)
+    # boilerplate (symbols) inside good texts and prose inside bad ones, never labelled as lines
+    good, bad = lines.START * 0, lines.START * 0
+    good[0] = bad[0] = 1
+    good[lines.FEATURES.index("closed")] = good[lines.FEATURES.index("long")] = 1
+    bad[lines.FEATURES.index("symbols")] = bad[lines.FEATURES.index("short")] = 1
+    x, y, length, chars, truth = [], [], [], [], []
+    for k in range(300):
+        kinds = [0] * 6 + [1] * 2 if k % 2 else [1] * 6 + [0] * 2
+        rng.shuffle(kinds[1:-1])
+        x += [bad if c else good for c in kinds]
+        truth += kinds
+        chars += [10 if c else 60 for c in kinds] if k % 2 else [60 if c else 10 for c in kinds]
+        y.append(1 - k % 2)
+        length.append(len(kinds))
+    hashes = core.mix(np.arange(len(x)).astype(np.uint64) + np.uint64(9))
+    chain = lines.train(np.array(x), np.array(y), np.array(length), np.array(chars, float), hashes)
+    first = np.append(0, np.cumsum(length))[:-1]
+    found = chain.viterbi(np.array(x), first, np.array(length))
+    assert (found == truth).mean() > 0.99
+    # lines in many settings are known, lines of mere copies are not
+    copies = np.tile(core.mix(np.arange(5).astype(np.uint64)), 4)
+    assert not lines.set_lines(copies, np.array([5] * 4)).any()
+    foot = core.mix(np.arange(40).astype(np.uint64) + np.uint64(77))
+    foot[9::10] = 1234567
+    assert (np.flatnonzero(lines.set_lines(foot, np.array([10] * 4))) == [9, 19, 29, 39]).all()
+
+
 def test_viterbi_and_marginals_against_enumeration():
     from itertools import product
 
