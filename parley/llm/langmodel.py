@@ -42,6 +42,7 @@ DAMPING, CROWD = 0.4, 8.0  #: of the curvature: a fixed part, and one for every
 DISCOUNT = 0.5
 TASK_BYTES = 128 << 20  #: of text that a training task works on, at least
 BATCH = 32768
+FLUSH = 2 << 20  #: uses of weights that are added up at once
 STRETCH = 16  #: bits of a stretch of weights, as they are sent
 END = np.uint64(0xE9D0E9D0E9D0E9D0)  #: the end token; words with this hash would need 2**64 words
 
@@ -75,6 +76,13 @@ def contexts(tokens: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return [mix(a ^ np.uint64(0x1111)), mix(b ^ np.uint64(0x2222222222)), mix(endings + np.uint64(0x5555 << 40)), np.full(len(tokens), np.uint64(0x123456789))]
 
 
+def _add(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gradient: np.ndarray, curvature: np.ndarray) -> None:
+    """Add (slots, gradients, curvatures) up; one pass over many of them at once."""
+    slots = np.concatenate([s for s, _, _ in held])
+    for total, k in ((gradient, 1), (curvature, 2)):
+        total += np.bincount(slots, np.concatenate([x[k] for x in held]), len(total))
+
+
 class Model:
     """Frequent tokens with their counts, classes and leaves, and the hashed weights."""
 
@@ -153,6 +161,7 @@ class Model:
         features = [f[order] for f in features]
         code, steps = code[order], steps[order]
         out = np.zeros((2, len(code)), np.float32)
+        held, waiting = [], 0
         shift = np.uint64(64 - self.bits)
         for a in range(0, len(code), BATCH):
             c, n, some = code[a : a + BATCH], steps[a : a + BATCH], [f[a : a + BATCH] for f in features]
@@ -177,10 +186,14 @@ class Model:
                 if gradient is not None:
                     p = other / (1 + other)
                     g, h = np.where(right, p, -p), p * (1 - p)
-                    for s in slots:
-                        np.add.at(gradient, s, g)
-                        np.add.at(curvature, s, h)
+                    held += [(s, g, h) for s in slots]
+                    waiting += k * len(slots)
+                    if waiting > FLUSH:
+                        _add(held, gradient, curvature)
+                        held, waiting = [], 0
             out[:, a : a + BATCH] = log
+        if held:
+            _add(held, gradient, curvature)
         back = np.empty(out.shape)
         back[:, order] = out
         return back[0] / np.log(10), back[1] / np.log(10)
