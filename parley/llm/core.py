@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.session import ready as tune
+from parley.session import shared_dir
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
@@ -31,25 +31,34 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder that spark.checkpoint.dir names; only where that is unset (tests) in an own one."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+    """Materialise ``df`` in the shared folder; Spark removes it when nothing refers to it any more, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[str] = []
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark) -> int:
+    """Delete the shared tables made so far, once the results that read them are stored; how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_TABLES)
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def free(spark) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more; they else stay until the driver's JVM
     happens to collect its garbage."""
@@ -71,6 +80,17 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+HOT = 1000  #: keys whose rows are not dealt by key, at most
+
+
+def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, size: str = "n") -> DataFrame:
+    """``rows`` joined with their ``groups`` (one for each key, ``size`` rows of ``total``). A group of more than one in ``HOT``
+    of all rows is joined by broadcast, so its rows stay where they are; there are never more than ``HOT`` such groups."""
+    most = total / HOT
+    hot, cold = F.broadcast(groups.where(F.col(size) > most)), groups.where(F.col(size) <= most)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 class KeyFilter:
     """A table of bits over 64-bit keys: says no only to keys that were not put in. Broadcast; at most 2**MOST bits.
 

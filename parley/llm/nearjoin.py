@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.core import NOT_SPACE, free, gram_hashes, grams_inside, key_filter, mix, passing, per_row, shared_checkpoint, shared_table, slices, tidy, tune, word_hashes, words_of
+from parley.llm.core import NOT_SPACE, free, gram_hashes, grams_inside, join_back, key_filter, mix, passing, per_row, shared_checkpoint, shared_table, slices, tidy, tune, word_hashes, words_of
 from parley.llm.graph import components
 
 SHINGLE = 3
@@ -353,26 +353,25 @@ def _by_rare_shingles(members: DataFrame, rule: Rule) -> DataFrame:
 
     A region's shingles are dealt to stretches of bounded size, so that many tasks count them; shingles are known by 32 bits
     within a stretch, as any order that is the same for all members will do."""
-    stretches = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
 
     def deal(batches):
         for b in batches:
-            out = {"region": [], "b": [], "e": [], "ids": []}
-            for region, e, raw, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            out = {"region": [], "b": [], "e": [], "n": [], "ids": []}
+            for region, e, n, raw, parts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 h = mix(np.frombuffer(raw, np.uint64) ^ np.uint64(0x6A09E667F3BCC909))
                 part = (h >> np.uint64(32)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 part, ids = part[order], h[order].astype(np.uint32)
                 first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
-                    for name, v in (("region", region), ("b", int(part[a])), ("e", e), ("ids", ids[a:z].tobytes())):
+                    for name, v in (("region", region), ("b", int(part[a])), ("e", e), ("n", n), ("ids", ids[a:z].tobytes())):
                         out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.int64()), pa.array(out["b"], pa.int32()), pa.array(out["e"], pa.int64()), pa.array(out["ids"], pa.binary())], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.int64()), pa.array(out["b"], pa.int32()), pa.array(out["e"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.binary())], list(out))
 
     def count(key, rows):
         """How many hold each shingle: of each member's, the number held by none else, and (holders, name) of the others."""
-        size = [len(r[1]) // 4 for r in rows]
-        ids = np.frombuffer(b"".join([r[1] for r in rows]), np.uint32)
+        size = [len(r[2]) // 4 for r in rows]
+        ids = np.frombuffer(b"".join([r[2] for r in rows]), np.uint32)
         _, inverse, df = np.unique(ids, return_inverse=True, return_counts=True)
         df = df[inverse]
         name = mix(ids.astype(np.uint64) ^ mix(np.array([key[0]]).view(np.uint64) + np.uint64(key[1])))
@@ -382,7 +381,7 @@ def _by_rare_shingles(members: DataFrame, rule: Rule) -> DataFrame:
         held = np.zeros(len(m), [("df", "<u4"), ("name", "<u8")])
         held["df"], held["name"] = df[m], name[m]
         cut = np.searchsorted(owner[m], np.arange(len(rows) + 1)).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(alone), pa.array([held[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["region", "e", "alone", "held"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(alone), pa.array([held[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["region", "e", "n", "alone", "held"])
 
     def counts(batches):
         yield from _streamed(batches, 2, count)
@@ -395,9 +394,9 @@ def _by_rare_shingles(members: DataFrame, rule: Rule) -> DataFrame:
     def rarest(batches):
         yield from _streamed(batches, 2, rare)
 
-    dealt = members.join(stretches, "region").select("region", "e", "set", "parts").mapInArrow(tidy(deal), "region long, b int, e long, ids binary")
-    known = dealt.repartition("region", "b").sortWithinPartitions("region", "b").mapInArrow(tidy(counts), "region long, e long, alone long, held binary")
-    known = known.join(members.select("region", "e", "n"), ["region", "e"]).select("region", "e", "n", "alone", "held")
+    parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
+    dealt = members.select("region", "e", "n", "set", parts.alias("parts")).mapInArrow(tidy(deal), "region long, b int, e long, n long, ids binary")
+    known = dealt.repartition("region", "b").sortWithinPartitions("region", "b").mapInArrow(tidy(counts), "region long, e long, n long, alone long, held binary")
     signs = known.repartition("region", "e").sortWithinPartitions("region", "e").mapInArrow(tidy(rarest), "sig long, e long")
     return components(_shared(signs)).select(F.col("node").alias("e"), F.col("component").alias("region"))
 
@@ -416,8 +415,11 @@ def _streamed(batches, keys: int, work):
         yield work(last, rows)
 
 
+MEMBER = "region long, e long, part long, n long, total long, set binary"
+
+
 def _with_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(region, e, part, n, set) of the wanted (k1, k2, region, e)."""
+    """MEMBER rows of the wanted (k1, k2, region, e, total)."""
 
     def run(batches):
         for b in batches:
@@ -425,17 +427,22 @@ def _with_sets(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 h, cut = shingle_sets(data, offsets, rule.words)
                 raw, at = h.tobytes(), (cut * 8).tolist()
                 e = b.column(2).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), e, e, pa.array(np.diff(cut)), pa.array([raw[a:z] for a, z in zip(at, at[1:])], pa.binary())], ["region", "e", "part", "n", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), e, e, pa.array(np.diff(cut)), b.column(3).slice(lo, hi - lo), pa.array([raw[a:z] for a, z in zip(at, at[1:])], pa.binary())], ["region", "e", "part", "n", "total", "set"])
 
     keyed = passing(keyed.select("text", "k1", "k2"), "k1", key_filter(wanted, "k1", wanted.count()))
-    return keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "region", "e").mapInArrow(tidy(run), "region long, e long, part long, n long, set binary")
+    return keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "region", "e", "total").mapInArrow(tidy(run), MEMBER)
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows (region, n, ...) with the shingles of their region as ``total``; rows without sets, so joins are light."""
+    return rows.join(rows.groupBy("region").agg(F.sum("n").alias("total")), "region")
 
 
 def _join_small(members: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) within regions that fit a task."""
 
     def join(_, rows):
-        links = Region([np.frombuffer(r[3], np.uint64) for r in rows], [r[1] for r in rows], rule).join() if len(rows) > 1 else []
+        links = Region([np.frombuffer(r[4], np.uint64) for r in rows], [r[1] for r in rows], rule).join() if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], ["a", "b"])
 
     def run(batches):
@@ -446,14 +453,16 @@ def _join_small(members: DataFrame, rule: Rule) -> DataFrame:
 
 def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """One round of pivots for large regions: (links, members of the new regions)."""
-    parts = members.groupBy("region", "part").agg(F.count(F.lit(1)).alias("weight"))
-    ranked = members.join(parts, ["region", "part"])
+    slim = members.select("region", "e", "part", "total")
+    ranked = slim.join(slim.groupBy("region", "part").agg(F.count(F.lit(1)).alias("weight")), ["region", "part"])
     # pivots from the smallest parts, which are what is still to be connected; a bounded state for each region
     order = F.struct(F.col("weight"), F.xxhash64("e"), F.col("e"))
-    chosen = ranked.groupBy("region", (F.pmod(F.xxhash64("e"), F.lit(ROUND_PIVOTS))).alias("seat")).agg(F.min_by(F.struct("e", "part", "n", "set"), order).alias("p"))
-    blocks = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    pivots = chosen.join(blocks, "region").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("region").alias("home"), F.col("block").alias("at"), F.col("p.e").alias("e"), F.col("p.part").alias("part"), F.col("p.n").alias("n"), F.col("p.set").alias("set"))
-    spread = members.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int")).select("region", "block", "e", "part", "n", "set")
+    seats = ranked.groupBy("region", (F.pmod(F.xxhash64("e"), F.lit(ROUND_PIVOTS))).alias("seat")).agg(F.min_by("e", order).alias("e")).select("region", "e")
+    seats = shared_table(seats)
+    chosen = passing(members, "e", key_filter(seats, "e", seats.count())).join(seats, ["region", "e"])
+    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
+    pivots = chosen.withColumn("at", F.explode(F.sequence(F.lit(0), blocks - 1))).select(F.col("region").alias("home"), "at", "e", "part", "n", "set")
+    spread = members.withColumn("block", F.pmod(F.xxhash64("e"), blocks).cast("int")).select("region", "block", "e", "part", "n", "set")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {c: [] for c in ("region", "e", "part", "n", "set", "a", "b")}
@@ -493,13 +502,9 @@ def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with their connected part after all links so far; regions in one part are finished."""
     found = components(links)
-    members = members.drop("part").join(found.select(F.col("node").alias("e"), F.col("component").alias("part")), "e", "left").withColumn("part", F.coalesce("part", "e")).select("region", "e", "part", "n", "set")
-    open_ = members.groupBy("region").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("region")
-    return members.join(open_, "region", "left_semi")
-
-
-def _large(members: DataFrame, most: int) -> DataFrame:
-    return members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > most).select("region")
+    rows = members.select("region", "e", "n").join(found.select(F.col("node").alias("e"), F.col("component").alias("part")), "e", "left").withColumn("part", F.coalesce("part", "e"))
+    whole = rows.groupBy("region").agg((F.min("part") != F.max("part")).alias("open"), F.sum("n").alias("total")).where("open").select("region", "total")
+    return members.select("region", "e", "n", "set").join(rows.join(whole, "region").select("region", "e", "part", "total"), ["region", "e"]).select("region", "e", "part", "n", "total", "set")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region_shingles: int = REGION_SHINGLES, rule: Rule = CONTRACT) -> tuple[DataFrame, DataFrame]:
@@ -512,21 +517,21 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reg
     points = shared_checkpoint(_points(slim, False, rule).distinct().join(ids, ["k1", "k2"]))
 
     regions = components(_shared(_points(slim, True, rule))).select(F.col("node").alias("e"), F.col("component").alias("region"))
-    one = points.groupBy("e").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    members = shared_checkpoint(_with_sets(slim, shared_table(regions.join(one, "e").select("k.k1", "k.k2", "region", "e")), rule))
-    del regions
+    one = points.groupBy("e").agg(F.min(F.struct("k1", "k2")).alias("k"), F.min("n").alias("n"))
+    wanted = shared_table(_sized(regions.join(one, "e")).select("k.k1", "k.k2", "region", "e", "total"))
+    members = shared_checkpoint(_with_sets(slim, wanted, rule))
+    del regions, one, wanted
     links = None
+    fits = F.col("total") <= region_shingles
     while True:
         free(spark)
-        large = shared_table(_large(members, region_shingles))
-        small, members = members.join(large, "region", "left_anti"), members.join(large, "region", "left_semi")
-        some = not large.isEmpty()
+        small, members = members.where(fits), members.where(~fits)
+        some = not members.isEmpty()
         if some:
-            members = members.drop("region").join(_by_rare_shingles(members, rule), "e").select(*small.columns)
-            members = shared_checkpoint(members)
-            large = shared_table(_large(members, region_shingles))
-            small = small.unionByName(members.join(large, "region", "left_anti"))
-            members, some = members.join(large, "region", "left_semi"), not large.isEmpty()
+            fresh = _sized(_by_rare_shingles(members, rule).join(members.select("e", "n"), "e")).select("e", "region", "total")
+            members = shared_checkpoint(members.drop("region", "total").join(fresh, "e").select(*small.columns))
+            small, members = small.unionByName(members.where(fits)), members.where(~fits)
+            some = not members.isEmpty()
         found = _join_small(small, rule)
         links = shared_checkpoint(found if links is None else links.unionByName(found))
         del small, found
@@ -540,9 +545,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reg
     free(spark)
     found = components(links)
     # the smallest id of a group, nulls last
-    grouped = points.join(found.withColumnRenamed("node", "e"), "e", "left").withColumn("g", F.coalesce("component", "e"))
-    least = grouped.groupBy("g").agg(F.min("id").alias("component_id"))
-    named = grouped.join(least, "g").select("k1", "k2", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    grouped = shared_table(points.join(found.withColumnRenamed("node", "e"), "e", "left").select("k1", "k2", "id", "n", F.coalesce("component", "e").alias("g")))
+    least = shared_table(grouped.groupBy("g").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("many")))
+    named = join_back(grouped, least, ["g"], grouped.count(), "many").select("k1", "k2", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return keyed.drop("_text"), named
 
 
