@@ -26,5 +26,20 @@ OP4 = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format
   r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, ab.y FROM r JOIN ab ON ab.x = r.b)
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY 1, 2"""
 
+#: bytes covered by a 400-byte string that starts twice (as hexadecimal digits), and passages of 50 words that start twice
+OP5 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, regexp_extract_all({_LOWER.format(t="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+  b AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(greatest(length(h) // 2 - 399, 0))) AS i FROM d)),
+  bt AS (SELECT r, i FROM b WHERE k IN (SELECT k FROM b GROUP BY k HAVING count(*) > 1)),
+  bi AS (SELECT r, i, sum(n) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS n FROM bt)),
+  bs AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM bi GROUP BY r, g),
+  bg AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS z0 FROM bs),
+  bk AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * z0 + 1, 2 * (a - z0)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM bg JOIN d USING (r) GROUP BY r),
+  p AS (SELECT r, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS k FROM (SELECT r, w, unnest(range(greatest(len(w) - 49, 0))) AS i FROM d)),
+  pt AS (SELECT r, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+  pi AS (SELECT r, i, sum(n) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS n FROM pt)),
+  ps AS (SELECT r, count(*) AS n, sum(z - a) AS m FROM (SELECT r, min(i) AS a, max(i) + 50 AS z FROM pi GROUP BY r, g) GROUP BY r)
+  SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(ps.n, 0) AS n_passages, coalesce(ps.m, 0)::BIGINT AS n_passage_words
+  FROM d LEFT JOIN bk USING (r) LEFT JOIN ps USING (r)"""
+
 #: registered where the whole small tables take seconds
-SQL = {"op1_winnowing": OP1, "op4_jaccard_join": OP4}
+SQL = {"op1_winnowing": OP1, "op4_jaccard_join": OP4, "op5_suffix_array": OP5}

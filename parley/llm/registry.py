@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from parley.llm import oracles
 from parley.llm import oracles
 from parley.llm.decontaminate import op1_winnowing
 from parley.llm.langid import op8_language
