@@ -6,8 +6,8 @@ under ``min_words`` words always stay; by default there are none, so a repeated
 
 First only digests are counted (a sum with map-side combination); those met once, nearly all, are done: a broadcast key
 filter of the others keeps their places back, so they are never shuffled. What passes is grouped by the whole digest, again
-with map-side combination, for the earliest place: smallest id, then smallest offset. A join, split by adaptive execution
-where a digest is very frequent, marks the rest. Texts are shuffled only where something goes. No group is gathered.
+with map-side combination, for the earliest place: smallest id, then smallest offset. A join marks the rest; the places of
+very frequent digests stay where they are and get the earliest place by broadcast (``core.join_back``). Texts are shuffled only where something goes. No group is gathered.
 
 Defined results: a null or empty text has no units; ids equal in value and text are one document, so both rows stay as
 they are; a null id ranks last; ties go to the smaller text key; other columns are carried along; an empty table gives no
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import INVERSE, NOT_SPACE, as_struct, free, free_name, key_filter, passing, prefix_sums, shared_table, slices, span_hashes, text_buffers, tidy, tune, word_hashes, words_of
+from parley.llm.core import INVERSE, NOT_SPACE, as_struct, free, free_name, join_back, key_filter, passing, prefix_sums, shared_table, slices, span_hashes, text_buffers, tidy, tune, word_hashes, words_of
 from parley.llm.substrings import BASE2, INVERSE2
 
 MIN_WORDS = 1
@@ -95,10 +95,10 @@ def dedup_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     several = shared_table(_digests(keyed, min_words, sentences).groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1"))
     places = shared_table(_places(keyed, i, min_words, sentences, key_filter(several, "d1", several.count())))
     ranked = places.select("d1", "d2", F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "a").alias("rank"), "z")
-    earliest = ranked.groupBy("d1", "d2").agg(F.min("rank").alias("first"))
-    gone = ranked.join(earliest, ["d1", "d2"]).where("rank != first").groupBy("rank.k1", "rank.k2").agg(F.sort_array(F.collect_set(F.struct("rank.a", "z"))).alias("gone"))
-    gone = shared_table(gone)
-    del ranked, earliest, places
+    earliest = shared_table(ranked.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    lost = join_back(ranked, earliest, ["d1", "d2"], places.count())
+    gone = shared_table(lost.where("rank != first").groupBy("rank.k1", "rank.k2").agg(F.sort_array(F.collect_set(F.struct("rank.a", "z"))).alias("gone")))
+    del ranked, earliest, places, lost
     free(spark)
     there = key_filter(gone, "k1", gone.count())
     name = free_name(docs.columns, "_units")
