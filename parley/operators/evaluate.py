@@ -111,33 +111,39 @@ def diarization_error(gold: pd.DataFrame, ours: pd.DataFrame, collar: float = 0.
     The collar takes ``collar`` seconds around each gold boundary, half on each side, out of scoring. Speakers are mapped one
     to one with the most shared time.
     """
-    edges = set(gold["start"]) | set(gold["end"]) | set(ours["start"]) | set(ours["end"])
-    marks = sorted(set(gold["start"]) | set(gold["end"]))
-    edges |= {m + s for m in marks for s in (-collar / 2, collar / 2)}
-    edges = sorted(edges)
-    cells = []
-    for a, b in zip(edges, edges[1:]):
-        mid = (a + b) / 2
-        if collar and any(abs(mid - m) < collar / 2 for m in marks):
-            continue
-        g = set(gold.loc[(gold["start"] <= mid) & (gold["end"] > mid), "speaker"])
-        if skip_overlap and len(g) > 1:
-            continue
-        cells.append((b - a, g, set(ours.loc[(ours["start"] <= mid) & (ours["end"] > mid), "speaker"])))
-    shared: dict[tuple, float] = {}
-    for d, g, o in cells:
-        for x in o:
-            for y in g:
-                shared[x, y] = shared.get((x, y), 0.0) + d
-    mapping = {}
-    if shared:
-        mapping = {o: g for o, g, _ in best_mapping(pd.DataFrame([(*k, v) for k, v in shared.items()], columns=["speaker", "gold", "n"]))}
-    wrong = total = 0.0
-    for d, g, o in cells:
-        total += d * len(g)
-        right = len({mapping.get(x) for x in o} & g)
-        wrong += d * (max(len(g), len(o)) - right)
-    return wrong, total
+    marks = np.unique(np.concatenate([gold["start"], gold["end"]]).astype(float))
+    edges = np.unique(np.concatenate([marks, ours["start"], ours["end"], marks - collar / 2, marks + collar / 2]).astype(float))
+    if len(edges) < 2:
+        return 0.0, 0.0
+    size, mid = np.diff(edges), (edges[1:] + edges[:-1]) / 2
+
+    def voices(turns: pd.DataFrame) -> tuple[list, np.ndarray]:
+        """Speakers, and in which stretches between edges each of them speaks."""
+        names = sorted(set(turns["speaker"]))
+        row = {n: i for i, n in enumerate(names)}
+        steps = np.zeros((len(names), len(edges)))
+        at = [row[n] for n in turns["speaker"]]
+        good = np.array(turns["end"], float) > np.array(turns["start"], float)
+        np.add.at(steps, (at, np.searchsorted(edges, turns["start"])), good)
+        np.add.at(steps, (at, np.searchsorted(edges, turns["end"])), -1.0 * good)
+        return names, np.cumsum(steps, 1)[:, :-1] > 0.5
+
+    (theirs, g), (mine, o) = voices(gold), voices(ours)
+    scored = np.ones(len(mid), bool)
+    if collar and len(marks):
+        k = np.searchsorted(marks, mid)
+        gap = np.minimum(np.abs(mid - marks[np.maximum(k - 1, 0)]), np.abs(mid - marks[np.minimum(k, len(marks) - 1)]))
+        scored &= ~(gap < collar / 2)
+    if skip_overlap:
+        scored &= g.sum(0) <= 1
+    size, g, o = size[scored], g[:, scored], o[:, scored]
+    shared = (o * size) @ g.T
+    pairs = [(mine[i], theirs[j], shared[i, j]) for i, j in zip(*np.nonzero(shared), strict=True)]
+    mapping = best_mapping(pd.DataFrame(pairs, columns=["speaker", "gold", "n"])) if pairs else []
+    right = np.zeros(len(size))
+    for x, y, _ in mapping:
+        right += o[mine.index(x)] & g[theirs.index(y)]
+    return float((size * (np.maximum(g.sum(0), o.sum(0)) - right)).sum()), float((size * g.sum(0)).sum())
 
 
 def diarization_errors(gold: DataFrame, ours: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
@@ -156,3 +162,32 @@ def averages(scores: DataFrame) -> DataFrame:
     """Means of all numeric columns over the meetings."""
     numeric = [f.name for f in scores.schema if f.name != "meeting_id" and f.dataType.typeName() in ("double", "float", "long", "integer")]
     return scores.agg(*(F.avg(c).alias(c) for c in numeric), F.count(F.lit(1)).alias("meetings"))
+
+
+def score_runs(gold_words: DataFrame, gold_turns: DataFrame, lines: DataFrame, our_turns: DataFrame, speakers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row a meeting: wer, der_strict, der, right_speaker, speakers_found, speakers_true, named and named_correct.
+
+    gold_words: meeting_id, start, end, speaker, word; gold_turns and our_turns: meeting_id, start, end, speaker; lines:
+    meeting_id, line, text, speaker, words; speakers and evidence as a run has them. A name counts as correct if the line in
+    which a speaker introduced themself was mostly said by the gold speaker that they stand for; names that come from
+    elsewhere can't be checked this way and count as named only.
+    """
+    gold_text = gold_words.groupBy("meeting_id").agg(X.ordered_join("start", "word").alias("gold"))
+    wer = word_errors(gold_text.join(lines.groupBy("meeting_id").agg(X.ordered_join("line", "text").alias("heard")), "meeting_id")).select("meeting_id", "wer")
+    strict = diarization_errors(gold_turns, our_turns, 0.0, False).select("meeting_id", F.col("der").alias("der_strict"))
+    usual = diarization_errors(gold_turns, our_turns, 0.25, True).select("meeting_id", "der")
+    words = lines.select("meeting_id", "line", "speaker", F.posexplode("words").alias("pos", "w")).select("meeting_id", "line", "pos", "speaker", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    heard = gold_speakers(words, gold_words, ["meeting_id", "line", "pos"])
+    counts = pair_counts(heard)
+    found = speakers.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("speakers_found"), F.count_if(F.col("name") != "").alias("named"))
+    true = gold_turns.groupBy("meeting_id").agg(F.countDistinct("speaker").alias("speakers_true"))
+    said = heard.where("gold is not null").groupBy("meeting_id", "line", "gold").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    said = said.groupBy("meeting_id", "line").agg(F.max_by("gold", F.struct("n", (-F.col("pos")).alias("p"))).alias("said_by"))
+    selves = evidence.where("accepted and kind = 'self'").select("meeting_id", "speaker", "line", "ord", X.norm(F.col("name")).alias("k"))
+    shown = speakers.where("name != ''").select("meeting_id", "speaker", X.norm(F.col("name")).alias("k")).join(selves, ["meeting_id", "speaker", "k"]).groupBy("meeting_id", "speaker").agg(F.min_by("line", "ord").alias("line"))
+    shown = shown.join(said, ["meeting_id", "line"], "left").join(speaker_mapping(counts).select("meeting_id", "speaker", F.col("gold").alias("stands_for")), ["meeting_id", "speaker"], "left")
+    correct = shown.groupBy("meeting_id").agg(F.count_if(F.col("said_by") == F.col("stands_for")).alias("named_correct"))
+    out = wer
+    for part in (strict, usual, right_speaker(counts), found, true, correct):
+        out = out.join(part, "meeting_id", "left")
+    return out.na.fill(0, ["speakers_found", "speakers_true", "named", "named_correct"])
