@@ -47,9 +47,9 @@ def topic_words(c: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """mm:ss.ss; minutes are whole, seconds rounded half to even."""
+    """mm:ss.ss; minutes are whole, seconds rounded half to even; null stays null."""
     minutes = F.floor(seconds / 60)
-    return F.format_string("%02d:%05.2f", minutes, F.bround(seconds - minutes * 60, 2))
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%05.2f", minutes, F.bround(seconds - minutes * 60, 2)))
 
 
 def has_words(text: Column, words: Column) -> Column:

@@ -121,3 +121,31 @@ def stage_status(meetings: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
         stage(5, "record", F.when(n("drafts") > 0, "done").otherwise("failed"), F.when(n("drafts") > 0, "record verified").otherwise("no readable draft")),
     )
     return rows.select("meeting_id", F.explode(stages).alias("s")).select("meeting_id", "s.*")
+
+
+def run_header(meetings: DataFrame, lines: DataFrame, speakers: DataFrame, hotwords: DataFrame | None = None) -> DataFrame:
+    """(meeting_id, header): what a result was made from. meetings: meeting_id and, where known, path, model, llm, duration_s,
+    language, typed, packs."""
+    have = set(meetings.columns)
+    get = lambda c, otherwise: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(otherwise)) if c in have else F.lit(otherwise)
+    packs = F.coalesce(F.nullif(F.array_join("packs", ", "), F.lit("")), F.lit("(none)")) if "packs" in have else F.lit("(none)")
+    length = X.clock(F.col("duration_s")) if "duration_s" in have else F.lit("?")
+    n = lines.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("_n"))
+    voices = speakers.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(F.ltrim(F.col("speaker"), F.lit("S")).try_cast("int").alias("k"), X.label(F.col("speaker"), F.col("name")).alias("label")))).alias("_v"))
+    rows = meetings.join(n, "meeting_id", "left").join(voices, "meeting_id", "left")
+    rows = rows.join(hotwords.select("meeting_id", F.col("hotwords").alias("_h")), "meeting_id", "left") if hotwords is not None else rows.withColumn("_h", F.lit(None).cast("string"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    header = F.concat_ws(
+        "  \n",
+        text("**File:** ", get("path", "?"), " · **Whisper:** ", get("model", "?"), " · **LLM:** ", get("llm", "?")),
+        F.when(F.col("_n") > 0, text("**Audio:** ", F.coalesce(length, F.lit("?")), " (mm:ss) · **Language:** ", get("language", "?"), " · **Segments:** ", F.col("_n").cast("string"))),
+        F.when(F.col("_n") > 0, text("**Whisper hotwords:** ", F.coalesce(F.nullif(F.col("_h"), F.lit("")), F.lit("(none)")))),
+        F.when(F.size("_v") > 0, text("**Speakers:** ", F.size("_v").cast("string"), " found: ", F.array_join(F.transform("_v", lambda v: v["label"]), ", "))),
+        text("**Glossary typed:** ", get("typed", "(none)"), " · **Packs:** ", packs),
+    )
+    return rows.select("meeting_id", header.alias("header"))
+
+
+def usage_rows(calls: DataFrame) -> DataFrame:
+    """(meeting_id, ord, provider, model, input_tokens, output_tokens, seconds) of the model calls that were answered."""
+    return calls.where("status = 'ok'").select("meeting_id", "ord", "provider", "model", "input_tokens", "output_tokens", F.bround("seconds", 1).alias("seconds"))

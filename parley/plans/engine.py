@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators import flags, glossary, names, record, report, turns
+from parley.functions import wordlists as W
+from parley.operators import flags, glossary, names, prompts, record, report, turns
 from parley.session import ready, stored
 from parley.sources import readers, sinks
 
@@ -29,6 +30,8 @@ class Inputs:
     name_claims: DataFrame | None = None  #: meeting_id, ord, speaker, name, role, kind, line, quote
     draft_replies: DataFrame | None = None  #: meeting_id, part, reply
     speaker_edits: DataFrame | None = None  #: meeting_id, speaker, name, role
+    summaries: DataFrame | None = None  #: meeting_id, part, summary: of parts whose replies came before
+    part_tokens: int = W.PART_TOKENS  #: of a part that a model is shown
 
 
 @dataclass
@@ -41,6 +44,10 @@ class Run:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def files(self) -> DataFrame:
+        """The run itself, for inspection: transcripts, speakers, edits, record and details."""
+        return sinks.run_files(self.tables["status"], self.tables, self.record)
+
     def deliverables(self) -> DataFrame:
         t = self.tables
         raw = t["lines"].join(t["labels"], ["meeting_id", "line"], "left")
@@ -80,6 +87,7 @@ def run(inputs: Inputs, keep: Callable[[DataFrame], DataFrame] = stored) -> Run:
     t |= glossary.refine(lines, t["glossary"], t["hints"], inputs.line_replies if inputs.line_replies is not None else empty("meeting_id long, reply string"))
 
     refined = keep(lines.drop("text").join(t["refined"], ["meeting_id", "line"]))
+    t["naming_inputs"] = prompts.naming_inputs(refined, doubtful, inputs.part_tokens)
     claims = inputs.name_claims if inputs.name_claims is not None else empty("meeting_id long, ord int, speaker string, name string, role string, kind string, line string, quote string")
     attendees = inputs.meetings.select("meeting_id", "attendees") if "attendees" in inputs.meetings.columns else None
     t["evidence"] = keep(names.check_claims(claims, refined, doubtful, attendees))
@@ -93,6 +101,9 @@ def run(inputs: Inputs, keep: Callable[[DataFrame], DataFrame] = stored) -> Run:
     t["labels"] = labelled.select("meeting_id", "line", "label")
     t["roles"] = names.roles_view(t["speakers"], t["evidence"])
     t["conversation"] = turns.conversation_turns(labelled)
+    # what the record's model is to be shown, part by part; its replies are the drafts below
+    t["record_inputs"] = prompts.record_inputs(labelled, doubtful, t["roles"], inputs.summaries, inputs.part_tokens)
+    t["header"] = report.run_header(inputs.meetings, lines, t["speakers"], glossary.hotwords(t["glossary"].withColumn("ord", F.col("pos"))))
 
     out = Run(t)
     if inputs.draft_replies is not None:

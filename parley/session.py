@@ -26,12 +26,21 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that spark.checkpoint.dir names (an own one only where that is unset) and its lineage cut."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables that all executors share: the one that spark.checkpoint.dir names. Only a session
+    on one machine, as in tests, may go without and gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and its lineage cut."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -64,6 +64,17 @@ def cached_replies(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
     return keyed.join(cache, "key"), keyed.join(cache.select("key"), "key", "left_anti")
 
 
+def answered(calls: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each request: the first answer in the order of tries, who gave it, how many tries failed before it and why
+    the last of them did. calls: the key, ord, provider, status ('ok' or what went wrong), reply. Without an answer reply and
+    provider are null."""
+    ok = F.col("status") == "ok"
+    first = calls.groupBy(*key).agg(F.min_by(F.struct("provider", "reply", "ord"), F.when(ok, F.col("ord"))).alias("_a"), F.min(F.when(ok, F.col("ord"))).alias("_o"), F.collect_list(F.when(~ok, F.struct("ord", "status"))).alias("_f"))
+    lost = F.array_sort(F.filter("_f", lambda f: F.col("_o").isNull() | (f["ord"] < F.col("_o"))))
+    found = F.col("_o").isNotNull()
+    return first.select(*key, F.when(found, F.col("_a.provider")).alias("provider"), F.when(found, F.col("_a.reply")).alias("reply"), F.size(lost).alias("failed"), F.element_at(F.when(F.size(lost) > 0, lost), -1)["status"].alias("problem"))
+
+
 def json_replies(replies: DataFrame, schema: str, needed: str) -> DataFrame:
     """replies with data (the JSON object in reply) and problem: null, 'no JSON', 'bad JSON' or what is missing."""
     found = X.json_object(F.col("reply"))

@@ -106,6 +106,42 @@ def minutes_md(rows: DataFrame) -> DataFrame:
     return rows.select("meeting_id", F.array_join(parts, "\n\n").alias("md"))
 
 
+def record_md(record: dict[str, DataFrame], drafts: DataFrame, people: DataFrame) -> DataFrame:
+    """(meeting_id, md): the whole record of each meeting as one document. people: as ``participants`` gives them."""
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat(F.lit("\n  - ["), F.coalesce(X.clock(e["start"]), F.concat(F.lit("line "), e["line"])), F.lit("] "), F.coalesce(F.concat(F.nullif(e["speaker"], F.lit("")), F.lit(", ")), F.lit("")), e["role"], F.lit(': _"'), e["quote"], F.lit('"_'))), "")
+
+    def listed(rows: DataFrame, name: str, *parts) -> DataFrame:
+        item = F.concat(F.lit("- "), *(F.lit(p) if isinstance(p, str) else p for p in parts), shown)
+        return rows.select("meeting_id", "item", item.alias("x")).groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "x"))), lambda i: i["x"]), "\n").alias(name))
+
+    c = F.col
+    status = F.when(c("status") == "uncontested", W.REACHED["uncontested"]).otherwise(c("status"))
+    out = drafts.select("meeting_id", c("draft.summary").alias("summary"), c("draft.minutes").alias("points")).join(people, "meeting_id", "left")
+    for part in (
+        listed(record["given"], "given", c("fact")),
+        listed(record["assessments"], "assessments", c("topic"), ": ", c("verdict")),
+        listed(record["decisions"], "decisions", "**", status, "**: ", c("text")),
+        listed(record["action_items"], "actions", c("task"), " (owner: ", c("owner"), "; deadline: ", c("deadline"), "; status: ", c("status"), ")"),
+        listed(record["open_questions"], "questions", c("question")),
+    ):
+        out = out.join(part, "meeting_id", "left")
+    who = F.array_join(F.transform("participants", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(" ("), p["role"], F.lit(")")), F.lit("")))), ", ")
+    points = F.array_join(F.transform("points", lambda x: F.concat(F.lit("- "), x)), "\n")
+    section = lambda title, body: F.concat(F.lit(f"## {title}\n\n"), F.coalesce(F.nullif(body, F.lit("")), F.lit("- (none)")))
+    parts = F.array_compact(F.array(
+        F.lit("# Meeting record"),
+        F.when(F.size("participants") > 0, F.concat(F.lit("## Participants\n\n"), who)),
+        F.concat(F.lit("## Summary\n\n"), F.coalesce("summary", F.lit(""))),
+        section("Minutes", points),
+        section("Given (brief, budget, targets: not decided in this meeting)", c("given")),
+        section("Assessments (ratings and evaluations: not decisions)", c("assessments")),
+        section("Decisions", c("decisions")),
+        section("Action items", c("actions")),
+        section("Open questions", c("questions")),
+    ))
+    return out.select("meeting_id", F.concat(F.array_join(parts, "\n\n"), F.lit("\n")).alias("md"))
+
+
 FILES = ("raw_transcript.txt", "raw_transcript.json", "refined_transcript.txt", "refined_transcript.json", "meeting_minutes.md", "meeting_minutes.json", "key_decisions.md", "key_decisions.json", "action_items.md", "action_items.json")
 
 
@@ -165,3 +201,55 @@ def saved_files(files: DataFrame) -> DataFrame:
     return files.select("meeting_id", "file", F.when(place == 0, 99).otherwise(place).cast("int").alias("ord"))
 
 
+RUN_FILES = ("transcript_raw.txt", "transcript_refined.txt", "speakers.json", "edit_log.json", "minutes.md", "minutes.json", "run.json")
+
+
+def _listed(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """(meeting_id, name): the rows of each meeting as an array of structs, in order."""
+    fields = [c for c in rows.columns if c != "meeting_id"]
+    item = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), F.struct(*fields).alias("x"))
+    return rows.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias(name))
+
+
+def _joined(base: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Arrays of several tables beside each other; a meeting without rows of one has an empty array."""
+    for p in parts:
+        name = p.columns[-1]
+        base = base.join(p, "meeting_id", "left").withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), p.schema[name].dataType)))
+    return base
+
+
+def run_files(meetings: DataFrame, tables: dict[str, DataFrame], record: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(meeting_id, file, content): a meeting's run for inspection, as ``RUN_FILES``. tables are those of a run; a file whose
+    tables are missing is left out."""
+    keep = {"ignoreNullFields": "false"}
+    ids = meetings.select("meeting_id").distinct()
+    t = tables
+    files = []
+
+    def add(rows: DataFrame, name: str, content: Column) -> None:
+        files.append(rows.select("meeting_id", F.lit(name).alias("file"), content.alias("content")).where("content is not null"))
+
+    add(transcript_text(t["lines"].join(t["labels"], ["meeting_id", "line"], "left")), RUN_FILES[0], F.col("text"))
+    add(transcript_text(t["labelled"]), RUN_FILES[1], F.col("text"))
+    named = t["speakers"].withColumn("label", X.label(F.col("speaker"), F.col("name")))
+    speakers = _listed(named, "speakers", "speaker")
+    if "turns" in t:
+        found = _joined(speakers, _listed(t["evidence"], "name_evidence", "ord"), _listed(t["turns"], "turns", "turn_idx"))
+        add(found, RUN_FILES[2], F.to_json(F.struct("speakers", "name_evidence", "turns"), keep))
+    log = _joined(ids, _listed(t["edits"], "edits", "line", "ord"), _listed(t["possible_errors"], "possible_errors", "ord"), _listed(t["hints"], "hints", "line", "first"))
+    add(log, RUN_FILES[3], F.to_json(F.struct("edits", "possible_errors", "hints"), keep))
+    if record is not None:
+        people = participants(t["labelled"], t.get("roles"))
+        add(record_md(record, t["drafts"], people), RUN_FILES[4], F.col("md"))
+        minutes = minutes_json(record, t["drafts"], people)
+        add(minutes, RUN_FILES[5], F.to_json(F.struct(*(c for c in minutes.columns if c != "meeting_id")), keep))
+    flags = t["flags"].withColumn("reasons", F.array_join("reasons", ", "))
+    details = _joined(ids, _listed(t["status"], "stages", "ord"), _listed(t["lines"].drop("words"), "segments", "line"), _listed(flags, "flags", "line"), _listed(t["glossary"], "glossary", "pos"), speakers)
+    if record is not None:
+        details = _joined(details, _listed(record["notes"], "minutes_dropped", "rank", "item", "ord")).join(t["faithfulness"].select("meeting_id", F.struct(*(F.col(f"`{c}`") for c in t["faithfulness"].columns if c != "meeting_id")).alias("faithfulness")), "meeting_id", "left")
+    add(details, RUN_FILES[6], F.to_json(F.struct(*(c for c in details.columns if c != "meeting_id")), keep))
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    return out
