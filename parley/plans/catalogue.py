@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as X
 from parley.functions import wordlists as W
 from parley.operators import evaluate, flags, glossary, names, record, report, topics, turns
-from parley.session import ready
+from parley.session import ready, stored
 from parley.sources import readers as R
 from parley.sources import sinks
 
@@ -306,13 +306,13 @@ def _quotes(lines):
 @query(f"""WITH {DOCS}, n AS (SELECT meeting_id, line, {_norm('text')} AS n FROM doc), k AS (SELECT * FROM n WHERE n <> ''),
   o AS (SELECT *, coalesce(sum(length(n) + 1) OVER (PARTITION BY meeting_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM k),
   t AS (SELECT meeting_id, string_agg(n, ' ' ORDER BY line) AS text FROM k GROUP BY 1),
-  q AS (SELECT DISTINCT meeting_id, array_to_string(string_split(n, ' ')[2:6], ' ') AS quote FROM n WHERE line % 3 = 0),
+  q AS (SELECT DISTINCT meeting_id, array_to_string(string_split(n, ' ')[2:6], ' ') AS quote FROM n),
   f AS (SELECT meeting_id, quote, instr(text, quote) - 1 AS pos FROM q JOIN t USING (meeting_id) WHERE quote <> '')
   SELECT meeting_id, quote, CAST(pos AS INT) AS pos, CAST((SELECT max(o.line) FROM o WHERE o.meeting_id = f.meeting_id AND o.off <= f.pos) AS INT) AS line FROM f WHERE pos >= 0""")
 def quote_exact_line(spark, d):
     lines = R.document_lines(spark, d).withColumns({"start": F.lit(None).cast("double"), "label": F.lit(None).cast("string")})
     none = lines.select("meeting_id", "line").where("false")
-    return record.find_quotes(_quotes(lines.where("line % 3 = 0")), record.quote_index(lines, none), record.meeting_labels(lines), exact_only=True).select("meeting_id", "quote", "pos", "line")
+    return record.find_quotes(_quotes(lines), record.quote_index(lines, none), record.meeting_labels(lines), exact_only=True).select("meeting_id", "quote", "pos", "line")
 
 
 @query()
@@ -363,11 +363,14 @@ def support_rate(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("proposed"), F.count_if(F.col("n_chars") > 1000).alias("kept")).withColumn("rate", F.bround(F.col("kept") / F.nullif(F.col("proposed"), F.lit(0)), 3))
 
 
-@query(f"""WITH e AS (SELECT conv_id AS meeting_id, CAST(turn % 3 AS INT) AS line, turn, substr(text, 1, 2) AS quote FROM conversations),
+@query(f"""WITH e AS (SELECT conv_id AS meeting_id, CAST(turn % 3 AS INT) AS line, turn * 2 + k AS turn, text || ['', '!'][k + 1] AS quote FROM conversations, range(2) t(k)),
   u AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, line, {_norm('quote')} ORDER BY turn) AS r FROM e)
   SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY line, turn) - 1 AS INT) AS ord, line, quote FROM u WHERE r = 1""")
 def evidence_dedup(spark, d):
-    e = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("meeting_id"), "turn", F.struct(F.lit("task").alias("role"), F.substring("text", 1, 2).alias("quote"), (F.col("turn") % 3).cast("int").alias("line"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("string").alias("speaker")).alias("e"))
+    # every line is quoted twice, once with a mark behind it
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    quote = F.concat("text", F.when(F.col("k") == 1, "!").otherwise(""))
+    e = c.select(F.col("conv_id").alias("meeting_id"), (F.col("turn") * 2 + F.col("k")).alias("turn"), F.struct(F.lit("task").alias("role"), quote.alias("quote"), (F.col("turn") % 3).cast("int").alias("line"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("string").alias("speaker")).alias("e"))
     g = e.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "e"))), lambda x: x["e"]).alias("ev"))
     return g.select("meeting_id", F.posexplode(record.unique_evidence(F.col("ev"))).alias("ord", "e")).select("meeting_id", "ord", "e.line", "e.quote")
 
@@ -376,9 +379,9 @@ def _drafts(spark, d):
     """A draft for each conversation: every third turn is a proposal, the next one agrees or objects."""
     lines = R.conversation_lines(spark, d)
     nxt = lines.select("meeting_id", (F.col("line") - 1).alias("line"), F.col("text").alias("reply"))
-    rows = lines.join(nxt, ["meeting_id", "line"], "left").withColumn("q", F.substring("text", 1, 60))
-    item = F.struct(F.col("line"), F.struct(F.concat(F.lit("Decide "), F.col("line")).alias("text"), F.col("q").alias("proposal_quote"), F.array(F.substring(F.coalesce("reply", F.lit("")), 1, 50)).alias("agreement_quotes"), F.array(F.when(F.col("line") % 2 == 0, F.lit("never said this at all")).otherwise(F.lit("mm hmm"))).alias("rejection_quotes"), F.lit("").alias("settled_quote")).alias("x"))
-    act = F.struct(F.col("line"), F.struct(F.concat(F.lit("Do "), F.col("line")).alias("task"), F.col("q").alias("task_quote"), F.col("speaker").alias("owner"), F.lit("not there").alias("owner_quote"), F.lit("unspecified").alias("deadline"), F.lit("").alias("deadline_quote"), F.substring(F.coalesce("reply", F.lit("")), 1, 50).alias("agreement_quote")).alias("x"))
+    rows = lines.join(nxt, ["meeting_id", "line"], "left").withColumn("q", F.col("text"))
+    item = F.struct(F.col("line"), F.struct(F.concat(F.lit("Decide "), F.col("line")).alias("text"), F.col("q").alias("proposal_quote"), F.array(F.coalesce("reply", F.lit(""))).alias("agreement_quotes"), F.array(F.when(F.col("line") % 2 == 0, F.lit("never said this at all")).otherwise(F.lit("mm hmm"))).alias("rejection_quotes"), F.lit("").alias("settled_quote")).alias("x"))
+    act = F.struct(F.col("line"), F.struct(F.concat(F.lit("Do "), F.col("line")).alias("task"), F.col("q").alias("task_quote"), F.col("speaker").alias("owner"), F.lit("not there").alias("owner_quote"), F.lit("unspecified").alias("deadline"), F.lit("").alias("deadline_quote"), F.coalesce("reply", F.lit("")).alias("agreement_quote")).alias("x"))
     ask = F.struct(F.col("line"), F.struct(F.lit("What then").alias("question"), F.col("q").alias("quote")).alias("x"))
     take = lambda c, k: F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("line") % 3 == k, c)), lambda z: z.isNotNull())), lambda z: z["x"])
     one = rows.groupBy("meeting_id").agg(take(item, 0).alias("decisions"), take(act, 1).alias("action_items"), take(ask, 2).alias("open_questions"))
@@ -389,7 +392,7 @@ def _drafts(spark, d):
 
 def _record(spark, d):
     lines, drafts = _drafts(spark, d)
-    return lines, drafts, record.verify(drafts, lines, lines.select("meeting_id", "line").where("false"))
+    return lines, drafts, record.verify(drafts, lines, lines.select("meeting_id", "line").where("false"), keep=stored)
 
 
 @query()
@@ -410,9 +413,10 @@ def draft_merge(spark, d):
     return record.merge_drafts(parts).select("meeting_id", F.size("draft.decisions").alias("decisions"), F.size("draft.action_items").alias("actions"), F.size("draft.minutes").alias("points"))
 
 
-@query(r"""SELECT conv_id AS meeting_id, CAST(turn AS INT) AS line, regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', chr(1), 'g'), '\bde\b', 'the', 'g'), chr(1), 'de', 'g') AS text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F](the|de)|(the|de)[^\x00-\x7F]')""")
+# words end where a character is neither letter, digit nor _, in any script
+@query(r"""SELECT conv_id AS meeting_id, CAST(turn AS INT) AS line, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE x WHEN 'the' THEN 'de' WHEN 'de' THEN 'the' ELSE x END), '') AS text FROM conversations""")
 def label_replace(spark, d):
-    lines = R.conversation_lines(spark, d).select("meeting_id", "line", "text").where(~F.col("text").rlike(r"[^\x00-\x7F](the|de)|(the|de)[^\x00-\x7F]"))
+    lines = R.conversation_lines(spark, d).select("meeting_id", "line", "text")
     ids = lines.select("meeting_id").distinct()
     changes = ids.select("meeting_id", F.lit("the").alias("old"), F.lit("de").alias("new")).unionByName(ids.select("meeting_id", F.lit("de").alias("old"), F.lit("the").alias("new")))
     return names.replace_labels(lines, changes, "text")
@@ -478,6 +482,13 @@ def diarization_error(spark, d):
     return evaluate.diarization_errors(gold, ours, 0.25, True)
 
 
-@query()
+@query(f"""WITH {OVERLAP.format(reach=-REACH)}, cf AS (SELECT w.meeting_id, coalesce(a.sp, b.sp) AS s, e.event_type AS g, count(*) AS n FROM words w LEFT JOIN a USING (meeting_id, line) LEFT JOIN b USING (meeting_id, line) JOIN events e ON e.event_id = w.line WHERE coalesce(a.sp, b.sp) IS NOT NULL GROUP BY 1, 2, 3),
+  l AS (SELECT meeting_id, list_sort(list(DISTINCT s)) AS o, list_sort(list(DISTINCT g)) AS t FROM cf GROUP BY 1),
+  f AS (SELECT meeting_id, len(o) > len(t) AS sw, CASE WHEN len(o) > len(t) THEN t ELSE o END AS few, CASE WHEN len(o) > len(t) THEN o ELSE t END AS many FROM l),
+  pp AS (SELECT *, unnest(range(1, len(many) + 1)) AS i FROM f), qq AS (SELECT *, unnest(CASE WHEN len(few) = 2 THEN list_filter(range(1, len(many) + 1), lambda x: x <> i) ELSE [0] END) AS j FROM pp),
+  mm AS (SELECT *, CASE WHEN sw THEN many[i] ELSE few[1] END AS s1, CASE WHEN sw THEN few[1] ELSE many[i] END AS g1, CASE WHEN j = 0 THEN NULL WHEN sw THEN many[j] ELSE few[2] END AS s2, CASE WHEN j = 0 THEN NULL WHEN sw THEN few[2] ELSE many[j] END AS g2 FROM qq),
+  rr AS (SELECT mm.*, coalesce(x.n, 0) AS n1, coalesce(y.n, 0) AS n2 FROM mm LEFT JOIN cf x ON x.meeting_id = mm.meeting_id AND x.s = s1 AND x.g = g1 LEFT JOIN cf y ON y.meeting_id = mm.meeting_id AND y.s = s2 AND y.g = g2),
+  kk AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY n1 + n2 DESC, i, j) AS best FROM rr)
+  SELECT meeting_id, s1 AS speaker, g1 AS gold, n1 AS n FROM kk WHERE best = 1 UNION ALL SELECT meeting_id, s2, g2, n2 FROM kk WHERE best = 1 AND j > 0""")
 def speaker_mapping(spark, d):
     return evaluate.speaker_mapping(word_confusion(spark, d))
