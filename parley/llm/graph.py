@@ -15,6 +15,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     is an aggregation, and a join (split by adaptive execution where a node has very many) hands it to each. Rounds end
     when the edges no longer change; their number grows with the logarithm of the longest path. Written to the shared
     folder after each round.
+
+    Defined results: an edge from a node to itself, or one with a null end, says nothing; repeated edges count once; no edges
+    give no rows; of equal nodes there is one row.
     """
     now = shared_checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     mark = _mark(now)

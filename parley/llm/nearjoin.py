@@ -508,8 +508,10 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region_shingles: int = REGION_SHINGLES, rule: Rule = CONTRACT) -> tuple[DataFrame, DataFrame]:
-    """(documents with keys k1, k2, decisions (k1, k2, id, n_shingles, component_id))."""
+    """(documents with keys k1, k2, decisions (k1, k2, id, n_shingles, component_id)); docs has no columns of these names."""
     spark = docs.sparkSession
+    if {"k1", "k2", "_text"} & {c.lower() for c in docs.columns}:
+        raise ValueError("columns k1, k2 and _text are taken; keep_one takes any names")
     tune(spark)
     keyed = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns({"k1": F.xxhash64(doc_id, text), "k2": F.hash(doc_id, text)})
     slim = keyed.select(F.col("_text").alias("text"), "k1", "k2")
