@@ -6,10 +6,15 @@ return the columns of documents. ``run`` writes each result as Parquet in the sh
 1. toxicity: documents that the classifier rejects go.
 2. n-gram Jaccard join: of each group of near copies (eight tenths of their shingles of five words in common) the
    document with the smallest id stays.
-3. suffix-array dedup: bytes of strings of 400 bytes that occur elsewhere too are taken out of the texts.
+3. suffix-array dedup: strings of 400 bytes and passages of 50 words that occur elsewhere too are taken out of the texts.
 4. benchmark decontamination: documents that share ten words in a row with a benchmark item (or hold a whole shorter
    item) go.
 5. packing: the rest is cut and packed into sequences of 2048 ids.
+
+Defined results: a null text is empty, scores the classifier's intercept, is no copy of another and is packed as its end id;
+of repeated rows one stays; a null id is an id like any other and ranks last among copies; an id with two labels counts by
+the larger one; without labels of both classes toxicity rejects nothing unless all labels are 1; an empty benchmark rejects
+nothing; empty documents give no pieces; further columns are carried up to packing.
 """
 
 from __future__ import annotations
