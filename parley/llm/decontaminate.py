@@ -126,15 +126,28 @@ def gram_hashes_at(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The items in blocks of bounded size, by a hash of their texts (equal texts share a block)."""
-    items = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("id") + 64)).first()[0] or 0
-    parts = -(-size // max(1, block_bytes // 2)) if size > block_bytes else 1
-    for k in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
-        rows = part.collect()
-        if rows:
-            yield [r.id for r in rows], [r.text for r in rows]
+    """The items in blocks of bounded size, by a hash of their texts (equal texts share a block). A block's size is summed
+    before it is fetched, and one that is too large is parted again; only a single text can be larger."""
+    items = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).distinct()
+    size = F.sum(F.octet_length("text") + F.octet_length("id") + 64)
+
+    def parted(rows: DataFrame, total: int, depth: int):
+        if total <= block_bytes:
+            yield rows
+            return
+        parts = -(-total // max(1, block_bytes // 2))
+        part = F.pmod(F.xxhash64("text", F.lit(depth)), F.lit(parts))
+        for r in rows.groupBy(part.alias("k")).agg(size.alias("size"), (F.min("text") == F.max("text")).alias("one")).orderBy("k").collect():
+            some = rows.where(part == r["k"])
+            if r["one"]:
+                yield some
+            else:
+                yield from parted(some, r["size"], depth + 1)
+
+    for rows in parted(items, items.agg(size).first()[0] or 0, 0):
+        got = rows.collect()
+        if got:
+            yield [r.id for r in got], [r.text for r in got]
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str | None = None, keep_text: bool = True, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
