@@ -164,6 +164,13 @@ def averages(scores: DataFrame) -> DataFrame:
     return scores.agg(*(F.avg(c).alias(c) for c in numeric), F.count(F.lit(1)).alias("meetings"))
 
 
+def most_frequent(rows: DataFrame, key: list[str], value: str, order: str) -> DataFrame:
+    """The key, its most frequent value (on ties the one that comes first by ``order``) and how often it occurs (n)."""
+    counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_o"))
+    best = counts.groupBy(*key).agg(F.min(F.struct((-F.col("n")).alias("m"), "_o", value, "n")).alias("b"))
+    return best.select(*key, F.col(f"b.{value}").alias(value), F.col("b.n").alias("n"))
+
+
 def score_runs(gold_words: DataFrame, gold_turns: DataFrame, lines: DataFrame, our_turns: DataFrame, speakers: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row a meeting: wer, der_strict, der, right_speaker, speakers_found, speakers_true, named and named_correct.
 
@@ -181,8 +188,7 @@ def score_runs(gold_words: DataFrame, gold_turns: DataFrame, lines: DataFrame, o
     counts = pair_counts(heard)
     found = speakers.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("speakers_found"), F.count_if(F.col("name") != "").alias("named"))
     true = gold_turns.groupBy("meeting_id").agg(F.countDistinct("speaker").alias("speakers_true"))
-    said = heard.where("gold is not null").groupBy("meeting_id", "line", "gold").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    said = said.groupBy("meeting_id", "line").agg(F.max_by("gold", F.struct("n", (-F.col("pos")).alias("p"))).alias("said_by"))
+    said = most_frequent(heard.where("gold is not null"), ["meeting_id", "line"], "gold", "pos").select("meeting_id", "line", F.col("gold").alias("said_by"))
     selves = evidence.where("accepted and kind = 'self'").select("meeting_id", "speaker", "line", "ord", X.norm(F.col("name")).alias("k"))
     shown = speakers.where("name != ''").select("meeting_id", "speaker", X.norm(F.col("name")).alias("k")).join(selves, ["meeting_id", "speaker", "k"]).groupBy("meeting_id", "speaker").agg(F.min_by("line", "ord").alias("line"))
     shown = shown.join(said, ["meeting_id", "line"], "left").join(speaker_mapping(counts).select("meeting_id", "speaker", F.col("gold").alias("stands_for")), ["meeting_id", "speaker"], "left")

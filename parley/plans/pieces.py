@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as X
 from parley.functions import wordlists as W
-from parley.operators import flags, glossary, names, prompts, report, turns
+from parley.operators import evaluate, flags, glossary, names, prompts, report, turns
 from parley.plans.catalogue import CONV, FLAGS, TOKENS, _flagged, _in, _norm, query
 from parley.sources import readers as R
 from parley.sources import sinks
@@ -444,3 +444,48 @@ def quote_near_line(spark, d):
     claims = lines.where(X.norm(F.col("text")) != "").select("meeting_id", F.col("line").alias("ord"), (F.col("line") + F.length("text") % 7 - 3).cast("int").alias("line"), F.col("text").alias("quote"))
     return names.locate_quotes(claims, lines, lines.select("meeting_id", "line").where("false")).select("meeting_id", "ord", "line", "found")
 
+
+
+NAMES = ("Ann", "Ann Lee", "Bo", "Bo Ray", "ANN  lee", "Bo Kim")
+NAMED = f"""nv AS (SELECT conv_id AS meeting_id, turn AS ord, 'S' || (1 + turn % 3) AS speaker, [{_in(NAMES)}][1 + length(text) % {len(NAMES)}] AS name, CASE turn % 2 WHEN 0 THEN 'self' ELSE 'addressed' END AS kind FROM conversations WHERE length(text) % 5 <> 0)"""
+
+
+def _named(spark, d):
+    """Accepted and refused claims to a few names, some of them short for others."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    name = F.get(F.array(*map(F.lit, NAMES)), F.length("text") % len(NAMES))
+    return c.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("ord"), F.concat(F.lit("S"), 1 + F.col("turn") % 3).alias("speaker"), name.alias("name"), F.when(F.col("turn") % 2 == 0, "self").otherwise("addressed").alias("kind"), (F.length("text") % 5 != 0).alias("accepted"))
+
+
+@query(f"""WITH {NAMED}, n AS (SELECT *, {_norm('name')} AS key FROM nv), k AS (SELECT meeting_id, key, arg_max(name, ord) AS spelled FROM n GROUP BY 1, 2),
+  g AS (SELECT a.meeting_id, a.key, any_value(b.spelled) AS whole FROM k a JOIN k b ON a.meeting_id = b.meeting_id AND starts_with(b.key, a.key || ' ') GROUP BY 1, 2 HAVING count(*) = 1),
+  m AS (SELECT n.meeting_id, speaker, ord, kind, coalesce(whole, name) AS name FROM n LEFT JOIN g ON g.meeting_id = n.meeting_id AND g.key = n.key), x AS (SELECT *, {_norm('name')} AS key FROM m),
+  s AS (SELECT meeting_id, key, arg_min(name, ord) AS name FROM x GROUP BY 1, 2)
+  SELECT x.meeting_id, speaker, x.key, CAST(sum(CASE kind WHEN 'self' THEN {W.SELF_POINTS} ELSE {W.ADDRESSED_POINTS} END) AS INT) AS points, bool_or(kind = 'self') AS said_self, any_value(s.name) AS name FROM x JOIN s ON s.meeting_id = x.meeting_id AND s.key = x.key GROUP BY 1, 2, 3""")
+def name_points(spark, d):
+    return names.name_points(_named(spark, d))
+
+
+@query(f"""WITH {CONV}, w AS (SELECT meeting_id, line, speaker, unnest({TOKENS.format(c='text')}) AS word FROM conv), c AS (SELECT meeting_id, word, speaker, count(*) AS n, min(line) AS l FROM w GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, word ORDER BY n DESC, l, speaker) AS k FROM c) SELECT meeting_id, word, speaker, n FROM r WHERE k = 1""")
+def main_speaker(spark, d):
+    """Who says a word most often (the first to say it on ties), as a line is given to the voice most of its words have."""
+    w = R.conversation_lines(spark, d).select("meeting_id", "line", "speaker", F.explode(X.tokens(F.col("text"))).alias("word"))
+    return evaluate.most_frequent(w, ["meeting_id", "word"], "speaker", "line")
+
+
+@query(f"""WITH {FLAGS}, pm AS (SELECT meeting_id, count(*)::DOUBLE AS lines, count_if(score >= 2)::DOUBLE AS flagged, max("end") AS length_s FROM f GROUP BY 1) SELECT round(avg(lines), 6) AS lines, round(avg(flagged), 6) AS flagged, round(avg(length_s), 6) AS length_s, count(*) AS meetings FROM pm""")
+def averages(spark, d):
+    lines, flagged = _flagged(spark, d)
+    per = lines.join(flagged.select("meeting_id", "line", "flagged"), ["meeting_id", "line"]).groupBy("meeting_id").agg(F.count(F.lit(1)).cast("double").alias("lines"), F.count_if("flagged").cast("double").alias("flagged"), F.max("end").alias("length_s"))
+    out = evaluate.averages(per)
+    return out.select(*(F.round(c, 6).alias(c) if c != "meetings" else F.col(c) for c in out.columns))
+
+
+@query(f"""WITH {CONV}, t AS (SELECT meeting_id, line, {TOKENS.format(c='text')} AS w FROM conv), sp AS (SELECT meeting_id, line, w, unnest(range(len(w))) AS a FROM t), st AS (SELECT *, unnest(range(a + 1, least(a + {W.MAX_SPAN_WORDS}, len(w)) + 1)) AS z FROM sp),
+  ok AS (SELECT meeting_id, line, a, z, list_transform(w[a + 1 : z], lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS c FROM st WHERE NOT list_contains(list_transform(w[a + 1 : z - 1], lambda x: regexp_matches(x, '[.?!]["'')]*$')), true))
+  SELECT meeting_id, line, CAST(a AS INT) AS first, CAST(z AS INT) AS "end", array_to_string(c, '') AS joined FROM ok WHERE NOT (len(c) = 1 AND length(array_to_string(c, '')) < {W.MIN_SPAN_CHARS}) AND len(list_filter(c, lambda x: x NOT IN ({_in(W.COMMON_WORDS)}))) > 0""")
+def hint_spans(spark, d):
+    """The stretches of words that may be a misheard term, before they are compared with any."""
+    spans = glossary.candidate_spans(R.conversation_lines(spark, d))
+    return glossary.worth_hearing(spans).select("meeting_id", "line", "first", "end", F.col("_heard").alias("joined"))
