@@ -61,9 +61,18 @@ def drop_tables(spark) -> int:
 
 def free(spark) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more; they else stay until the driver's JVM
-    happens to collect its garbage."""
+    happens to collect its garbage. The driver's own free memory goes back too."""
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
+    _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another libc keeps no such arenas
+        pass
 
 
 def tidy(run: Callable) -> Callable:
@@ -71,11 +80,7 @@ def tidy(run: Callable) -> Callable:
 
     def tidied(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another libc keeps no such arenas
-            pass
+        _trim()
 
     return tidied
 

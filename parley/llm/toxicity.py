@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.core import append_result, crc_mod, free_name, mix, slices, tidy, tune
+from parley.llm.core import append_result, crc_mod, free, free_name, mix, slices, tidy, tune
 from parley.llm.labelled import code_points, labelled_sample, rows_of, sigmoid
 
 ORDERS = (3, 4, 5, 6)
@@ -121,7 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     slot = none.copy()
     slot[kept] = np.arange(len(kept))
     y, row, f = _kept_features(drawn, slot)
-    return Model(slot, *train(y, row, f, ratio[kept], prior_of(labels, label, doc_id)))
+    weights = train(y, row, f, ratio[kept], prior_of(labels, label, doc_id))
+    del y, row, f, count
+    free(docs.sparkSession)
+    return Model(slot, *weights)
 
 
 def prior_of(labels: DataFrame, label: str, doc_id: str) -> float:
