@@ -42,7 +42,7 @@ DAMPING, CROWD = 0.4, 8.0  #: of the curvature: a fixed part, and one for every
 DISCOUNT = 0.5
 TASK_BYTES = 128 << 20  #: of text that a training task works on, at least
 BATCH = 32768
-FLUSH = 2 << 20  #: uses of weights that are added up at once
+FLUSH = 4 << 20  #: uses of weights that are added up at once
 STRETCH = 16  #: bits of a stretch of weights, as they are sent
 END = np.uint64(0xE9D0E9D0E9D0E9D0)  #: the end token; words with this hash would need 2**64 words
 
