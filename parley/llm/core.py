@@ -96,6 +96,15 @@ def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, s
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
+def take_rows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` (k1, k2, ...), each as often as ``wanted`` (k1, k2, times, many) asks for; ``many`` rows have the key and
+    are alike, and ``times`` counts for all of them."""
+    again = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy")
+    one = keyed.join(wanted.where("many = 1"), ["k1", "k2"])
+    same = keyed.join(wanted.where("many > 1"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return one.unionByName(same).select("*", again).drop("times", "many", "_copy", "k1", "k2")
+
+
 class KeyFilter:
     """A table of bits over 64-bit keys: says no only to keys that were not put in. Broadcast; at most 2**MOST bits.
 

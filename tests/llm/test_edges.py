@@ -55,6 +55,8 @@ def test_odd_rows_one_by_one(spark, odd):
     for name in PER_ROW:
         got = registry.queries()[name](spark, path).collect()
         assert sorted(str(r["doc_id"]) for r in got) == ids, name
+        if name in ("op12_importance_resampling", "op13_systematic_mixing"):
+            continue  # there, repeated rows are documents of their own
         # repeated rows get the same result
         same = {repr(sorted(r.asDict().items(), key=str)) for r in got if r["doc_id"] == 0}
         assert len(same) == 1, (name, same)
