@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +22,16 @@ def lcs(a: str, b: str) -> int:
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
+    return _common(where, len(a), b)
+
+
+def _common(where: dict[str, int], n: int, b: str) -> int:
+    """Longest common subsequence of b and a text of n characters, given the places of each as bits."""
+    full = row = (1 << n) - 1
     for c in b:
         hit = row & where.get(c, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -71,6 +76,75 @@ def partial(needle: str, text: str, least: float = 0.0) -> tuple[float, int]:
     return (best, place) if best >= least else (0.0, -1)
 
 
+def _codes(text: str, g: int) -> np.ndarray:
+    """A number for each g characters of an ASCII text; equal numbers are equal strings."""
+    b = np.frombuffer(text.encode("ascii", "replace"), np.uint8).astype(np.int64)
+    n = len(b) - g + 1
+    out = np.zeros(max(n, 0), np.int64)
+    for k in range(g):
+        out = out << 7 | b[k : k + max(n, 0)]
+    return out
+
+
+def near_windows(needle: str, codes: np.ndarray, order: np.ndarray, g: int, lacking: int) -> np.ndarray:
+    """Starts of the windows, as long as the needle, that may lack ``lacking`` of its characters and hold as many others.
+
+    Each missing character breaks at most g of the needle's strings of g, each foreign one at most g - 1; the others stand in
+    the window, at most ``lacking`` from their place in the needle. ``codes`` are the text's strings in order, ``order`` is
+    where each stands."""
+    mine = _codes(needle, g)
+    lo, hi = np.searchsorted(codes, mine, "left"), np.searchsorted(codes, mine, "right")
+    n = hi - lo
+    if not n.sum():
+        return np.zeros(0, np.int64)
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    shift = np.sort(order[at] - np.repeat(np.arange(len(mine)), n))
+    least = max(1, len(mine) - lacking * (2 * g - 1))
+    first, last = shift[: max(0, len(shift) - least + 1)], shift[least - 1 :]
+    close = last - first <= 2 * lacking
+    first, last = first[close] + lacking, last[close] - lacking
+    return np.unique(np.concatenate([np.arange(a, z + 1) for a, z in zip(last.tolist(), first.tolist())])) if len(first) else first
+
+
+def near_places(text: str, needles: list[str], first: bool, last: bool, least: float) -> list[tuple[float, int]]:
+    """``partial`` of each normalised needle in a stretch of a text; (0, -1) where it doesn't reach ``least``. Windows that hang
+    over an end count where the text really begins (``first``) or ends (``last``)."""
+    index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    out = []
+    for q in needles:
+        m, n = len(q), len(text)
+        if m > n:
+            out.append(partial(q, text, least) if first and last else (0.0, -1))
+            continue
+        lacking = int(m * (100 - least) / 100 + 1e-9)
+        windows = []
+        if lacking:
+            g = min(4, m // (2 * lacking + 1))
+            if g not in index:
+                codes = _codes(text, g)
+                order = np.argsort(codes, kind="stable")
+                index[g] = codes[order], order
+            starts = near_windows(q, *index[g], g, lacking)
+            windows = starts[(starts >= 0) & (starts <= n - m)].tolist()
+        else:
+            at = text.find(q)
+            windows = [at] if at >= 0 else []
+        # a window of w characters scores at most 200 w / (m + w)
+        over = int(m - m * least / (200 - least) + 1e-9)
+        windows = [*(range(-over, 0) if first else ()), *windows, *(range(n - m + 1, n - m + over + 1) if last else ())]
+        where: dict[str, int] = {}
+        for i, c in enumerate(q):
+            where[c] = where.get(c, 0) | 1 << i
+        best, place = 0.0, -1
+        for s in windows:
+            lo, hi = max(0, s), min(n, s + m)
+            score = 200.0 * _common(where, m, text[lo:hi]) / (m + hi - lo)
+            if score > best:
+                best, place = score, lo
+        out.append((best, place) if best >= least else (0.0, -1))
+    return out
+
+
 def token_set(a: str, b: str) -> float:
     """Best ratio among the shared words and each side's shared and own words, all sorted."""
     x, y = set(a.split()), set(b.split())

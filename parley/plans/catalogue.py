@@ -279,12 +279,59 @@ def candidate_spans(spark, d):
 def _hint_inputs(spark, d):
     lines = R.conversation_lines(spark, d)
     # a meeting's glossary: its longest words, a letter doubled, as misheard terms
-    words = lines.select("meeting_id", F.explode(X.tokens(F.col("text"))).alias("w")).select("meeting_id", X.clean_token(F.col("w")).alias("w")).where(F.length("w") >= 12).distinct()
-    terms = words.select("meeting_id", F.xxhash64("w").alias("ord"), F.concat(F.substring("w", 1, 6), F.lit("e"), F.substring("w", 7, 99)).alias("text"), F.lit("user").alias("source"), F.lit("").alias("heard_as"))
+    words = lines.select("meeting_id", "line", F.posexplode(X.tokens(F.col("text"))).alias("p", "w")).select("meeting_id", X.clean_token(F.col("w")).alias("w"), (F.col("line") * 10000 + F.col("p")).alias("ord")).where(F.length("w") >= 12)
+    terms = words.groupBy("meeting_id", "w").agg(F.min("ord").alias("ord")).select("meeting_id", "ord", F.concat(F.substring("w", 1, 6), F.lit("e"), F.substring("w", 7, 99)).alias("text"), F.lit("user").alias("source"), F.lit("").alias("heard_as"))
     return lines, glossary.merge_terms(terms), _flagged(spark, d)[1].where("flagged").select("meeting_id", "line")
 
 
-@query()
+#: bit-parallel longest common subsequence of q (its characters' places as bits: masks) and w
+LCS = "CASE WHEN q = '' OR w = '' THEN 0 ELSE length(q) - bit_count(list_reduce(list_transform(string_split(w, ''), lambda c: coalesce(masks[c], 0::HUGEINT)), lambda r, h: ((r + (r & h)) | (r - (r & h))) & ((1::HUGEINT << length(q)) - 1), (1::HUGEINT << length(q)) - 1)) END"
+MASKS = "map_from_entries(list_transform(list_distinct(string_split({q}, '')), lambda c: {{'k': c, 'v': list_sum(list_transform(range(length({q})), lambda i: CASE WHEN substr({q}, (i + 1)::BIGINT, 1) = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT}}))"
+_VOWEL = "('A', 'E', 'I', 'O', 'U')"
+#: sound codes of the words x.w (upper case, first letters settled) by one pass over their letters; k: the next letter to be read
+METAPHONE = f"""list_reduce(range(1, length(w) + 1), lambda st, i: CASE WHEN i < st.k THEN st ELSE
+  {{{{'k': i + CASE WHEN w[i] = w[i - 1] AND w[i] <> 'C' THEN 1 WHEN (w[i] = 'C' AND ((w[i + 1] = 'H') OR (w[i + 1] = 'K'))) OR (w[i] = 'D' AND w[i + 1] = 'G' AND w[i + 2] IN ('E', 'I', 'Y')) OR (w[i] IN ('G', 'P', 'T') AND w[i + 1] = 'H') THEN 2 ELSE 1 END,
+    'o': st.o || CASE WHEN w[i] = w[i - 1] AND w[i] <> 'C' THEN ''
+      WHEN w[i] IN {_VOWEL} THEN CASE WHEN i = 1 THEN w[i] ELSE '' END
+      WHEN w[i] = 'B' THEN CASE WHEN w[i - 1] = 'M' AND i = length(w) THEN '' ELSE 'B' END
+      WHEN w[i] = 'C' THEN CASE WHEN w[i + 1] = 'I' AND w[i + 2] = 'A' THEN 'X' WHEN w[i + 1] = 'H' THEN CASE WHEN w[i - 1] = 'S' THEN 'K' ELSE 'X' END WHEN w[i + 1] IN ('I', 'E', 'Y') THEN CASE WHEN w[i - 1] = 'S' THEN '' ELSE 'S' END ELSE 'K' END
+      WHEN w[i] = 'D' THEN CASE WHEN w[i + 1] = 'G' AND w[i + 2] IN ('E', 'I', 'Y') THEN 'J' ELSE 'T' END
+      WHEN w[i] = 'G' THEN CASE WHEN w[i + 1] = 'H' THEN CASE WHEN i + 1 >= length(w) OR w[i + 2] IN {_VOWEL} THEN CASE WHEN i > 1 AND i + 1 >= length(w) AND w[i - 1] = 'U' THEN 'F' ELSE 'K' END ELSE '' END
+        WHEN w[i + 1] = 'N' THEN CASE WHEN i + 1 = length(w) OR substr(w, i + 2) = 'ED' THEN '' ELSE 'K' END WHEN w[i + 1] IN ('I', 'E', 'Y') AND w[i - 1] <> 'G' THEN 'J' ELSE 'K' END
+      WHEN w[i] = 'H' THEN CASE WHEN w[i + 1] IN {_VOWEL} AND w[i - 1] NOT IN ('C', 'S', 'P', 'T', 'G') THEN 'H' ELSE '' END
+      WHEN w[i] = 'K' THEN CASE WHEN w[i - 1] = 'C' THEN '' ELSE 'K' END
+      WHEN w[i] = 'P' THEN CASE WHEN w[i + 1] = 'H' THEN 'F' ELSE 'P' END WHEN w[i] = 'Q' THEN 'K'
+      WHEN w[i] = 'S' THEN CASE WHEN w[i + 1] = 'H' OR (w[i + 1] = 'I' AND w[i + 2] IN ('O', 'A')) THEN 'X' ELSE 'S' END
+      WHEN w[i] = 'T' THEN CASE WHEN w[i + 1] = 'I' AND w[i + 2] IN ('O', 'A') THEN 'X' WHEN w[i + 1] = 'H' THEN '0' WHEN w[i + 1] = 'C' AND w[i + 2] = 'H' THEN '' ELSE 'T' END
+      WHEN w[i] = 'V' THEN 'F' WHEN w[i] IN ('W', 'Y') THEN CASE WHEN w[i + 1] IN {_VOWEL} THEN w[i] ELSE '' END
+      WHEN w[i] = 'X' THEN 'KS' WHEN w[i] = 'Z' THEN 'S' ELSE w[i] END}}}} END, {{{{'k': 1::BIGINT, 'o': ''}}}}).o"""
+#: (text, snd) of the distinct texts of a table
+SOUNDS = f"""(SELECT text, {METAPHONE} AS snd FROM (SELECT text, CASE WHEN w[1:2] IN ('KN', 'GN', 'PN', 'AE', 'WR') THEN w[2:] WHEN w[1] = 'X' THEN 'S' || w[2:] WHEN w[1:2] = 'WH' THEN 'W' || w[3:] ELSE w END AS w FROM (SELECT DISTINCT {{c}} AS text, regexp_replace(upper({{c}}), '[^A-Z]', '', 'g') AS w FROM {{t}})))"""
+#: spans of undoubted lines that may be a misheard term: clean words ws, their letters h
+SPANS = rf"""dbt AS (SELECT meeting_id, line FROM f WHERE score >= 2), tk AS (SELECT meeting_id, line, {TOKENS.format(c='text')} AS w FROM conv),
+  te AS (SELECT *, list_transform(w, lambda x: regexp_matches(x, '[.?!]["'')]*$')) AS c, unnest(range(len(w))) AS a FROM tk ANTI JOIN dbt USING (meeting_id, line)),
+  tz AS (SELECT *, unnest(range(a + 1, least(a + 5, len(w)) + 1)) AS z FROM te),
+  tw AS (SELECT meeting_id, line, a, z, array_to_string(w[a + 1 : z], ' ') AS heard, list_transform(w[a + 1 : z], lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS ws FROM tz WHERE NOT list_contains(c[a + 1 : z - 1], true)),
+  sp AS (SELECT *, array_to_string(ws, '') AS h FROM tw WHERE NOT (len(ws) = 1 AND length(ws[1]) < 4) AND len(list_filter(ws, lambda x: x NOT IN ({_in(W.COMMON_WORDS)}))) > 0)"""
+#: pairs pr (q: letters of a span, w: of a term) scored: ss
+SCORED = f"""mk AS (SELECT q, {MASKS.format(q='q')} AS masks FROM (SELECT DISTINCT q FROM pr)),
+  s1 AS (SELECT pr.*, 200.0::DOUBLE * ({LCS}) / (length(q) + length(w)) AS spelling FROM pr JOIN mk USING (q)),
+  s2 AS (SELECT s1.* EXCLUDE (q, w), s1.q AS h, s1.w AS t, a.snd AS q, b.snd AS w FROM s1 JOIN {SOUNDS.format(c='q', t='pr')} a ON a.text = s1.q JOIN {SOUNDS.format(c='w', t='pr')} b ON b.text = s1.w WHERE spelling >= 60),
+  mq AS (SELECT q, {MASKS.format(q='q')} AS masks FROM (SELECT DISTINCT q FROM s2)),
+  ss AS (SELECT s2.* EXCLUDE (q, w), CASE WHEN q = '' AND w = '' THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * ({LCS}) / (length(q) + length(w)) END AS sound FROM s2 JOIN mq USING (q))"""
+HINTS = f"""{FLAGS}, {SPANS},
+  wd AS (SELECT meeting_id, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS c, min(line * 10000 + p) AS ord FROM (SELECT meeting_id, line, unnest(w) AS x, unnest(range(len(w))) AS p FROM tk) GROUP BY 1, 2 HAVING length(c) >= 12),
+  tm AS (SELECT meeting_id, term, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) - 1 AS pos FROM (SELECT meeting_id, substr(c, 1, 6) || 'e' || substr(c, 7) AS term, min(ord) AS ord FROM wd GROUP BY 1, 2)),
+  pr AS (SELECT DISTINCT meeting_id, h AS q, term AS w FROM (SELECT DISTINCT meeting_id, h FROM sp) JOIN tm USING (meeting_id) WHERE 2 * length(h) >= length(term) AND length(h) <= 2 * length(term) AND levenshtein(h, term) * 10 <= 4 * (length(h) + length(term))),
+  {SCORED},
+  fd AS (SELECT sp.meeting_id, line, a, z, heard, t AS term, pos, round_even((sound + spelling) / 2, 1) AS score, sound, spelling FROM sp JOIN ss USING (meeting_id, h) JOIN tm ON tm.meeting_id = sp.meeting_id AND tm.term = ss.t
+    WHERE (sound + spelling) / 2 > 82 AND NOT contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || t || ' ') AND len(list_filter(ws, lambda x: contains(x, t))) = 0),
+  ln AS (SELECT meeting_id, line, list({{'score': score, 'a': a, 'z': z, 'pos': pos, 'heard': heard, 'term': term, 'sound': sound, 'spelling': spelling}} ORDER BY score DESC, a, z, pos) AS x FROM fd GROUP BY 1, 2),
+  kp AS (SELECT meeting_id, line, x[unnest(list_reduce(range(1, len(x) + 1), lambda kept, i: CASE WHEN len(list_filter(kept, lambda j: x[j].a < x[i].z AND x[i].a < x[j].z)) = 0 THEN list_append(kept, i) ELSE kept END, []::BIGINT[]))] AS x FROM ln),
+  hints AS (SELECT meeting_id, line, x.a AS "first", x.z AS "end", x.heard AS heard, x.term AS term, x.pos AS term_pos, x.score AS score, x.sound AS sound, x.spelling AS spelling FROM kp QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY x.score DESC, line, x.a, x.z, x.pos) <= 15)"""
+
+
+@query(f'WITH {HINTS} SELECT *, false AS unsure FROM hints')
 def fuzzy_hints(spark, d):
     return glossary.find_hints(*_hint_inputs(spark, d))
 
@@ -299,15 +346,18 @@ def guard_edits(spark, d):
 
 
 def _quotes(lines):
+    """All of what was said, six words a quote."""
     words = F.split("n", " ")
-    return lines.withColumn("n", X.norm(F.col("text"))).select("meeting_id", F.array_join(F.slice(words, 2, 5), " ").alias("quote")).where("quote != ''").distinct()
+    cut = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(6)), lambda i: F.array_join(F.slice(words, i + 1, 6), " "))
+    return lines.withColumn("n", X.norm(F.col("text"))).where("n != ''").select("meeting_id", F.explode(cut).alias("quote")).distinct()
 
 
-@query(f"""WITH {DOCS}, n AS (SELECT meeting_id, line, {_norm('text')} AS n FROM doc), k AS (SELECT * FROM n WHERE n <> ''),
+QUOTED = f"""n AS (SELECT meeting_id, line, {_norm('text')} AS n FROM {{src}}), k AS (SELECT *, string_split(n, ' ') AS w FROM n WHERE n <> ''),
   o AS (SELECT *, coalesce(sum(length(n) + 1) OVER (PARTITION BY meeting_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM k),
   t AS (SELECT meeting_id, string_agg(n, ' ' ORDER BY line) AS text FROM k GROUP BY 1),
-  q AS (SELECT DISTINCT meeting_id, array_to_string(string_split(n, ' ')[2:6], ' ') AS quote FROM n),
-  f AS (SELECT meeting_id, quote, instr(text, quote) - 1 AS pos FROM q JOIN t USING (meeting_id) WHERE quote <> '')
+  q AS (SELECT DISTINCT meeting_id, array_to_string(w[i + 1 : i + 6], ' ') AS quote FROM (SELECT meeting_id, w, unnest(range(0, len(w), 6)) AS i FROM k))"""
+@query(f"""WITH {DOCS}, {QUOTED.format(src='doc')},
+  f AS (SELECT meeting_id, quote, instr(text, quote) - 1 AS pos FROM q JOIN t USING (meeting_id))
   SELECT meeting_id, quote, CAST(pos AS INT) AS pos, CAST((SELECT max(o.line) FROM o WHERE o.meeting_id = f.meeting_id AND o.off <= f.pos) AS INT) AS line FROM f WHERE pos >= 0""")
 def quote_exact_line(spark, d):
     lines = R.document_lines(spark, d).withColumns({"start": F.lit(None).cast("double"), "label": F.lit(None).cast("string")})
@@ -315,11 +365,25 @@ def quote_exact_line(spark, d):
     return record.find_quotes(_quotes(lines), record.quote_index(lines, none), record.meeting_labels(lines), exact_only=True).select("meeting_id", "quote", "pos", "line")
 
 
-@query()
+# every window of a quote's length, shorter at the ends of a text, that holds enough of the quote's short strings near their place
+@query(f"""WITH {CONV}, {QUOTED.format(src='conv')},
+  z AS (SELECT DISTINCT meeting_id, substr(quote, 1, 12) || substr(quote, 14) AS quote, {_norm('substr(quote, 1, 12) || substr(quote, 14)')} AS q FROM q),
+  x AS (SELECT meeting_id, quote, q, length(q) AS m, length(text) AS n, length(q) // 10 AS d, text, instr(text, q) - 1 AS pos FROM z JOIN t USING (meeting_id) WHERE q <> ''),
+  a AS (SELECT *, least(4, m // (2 * d + 1)) AS g FROM x WHERE pos < 0),
+  tg AS (SELECT meeting_id, g, i, substr(text, i + 1, g) AS s FROM (SELECT meeting_id, text, g, unnest(range(length(text) - g + 1)) AS i FROM t, range(3, 5) r(g))),
+  qg AS (SELECT meeting_id, quote, n, m, d, g, j, substr(q, j + 1, g) AS s FROM (SELECT *, unnest(range(m - g + 1)) AS j FROM a WHERE d > 0)),
+  e AS (SELECT meeting_id, quote, s FROM (SELECT meeting_id, quote, n, m, d, g, unnest(range(i - j - d, i - j + d + 1)) AS s FROM qg JOIN tg USING (meeting_id, g, s)) WHERE s BETWEEN 0 AND n - m GROUP BY ALL HAVING count(*) >= greatest(1, any_value(m - g + 1 - d * (2 * g - 1)))
+    UNION ALL SELECT meeting_id, quote, unnest(list_concat(range(-(m * 2 // 11), 0), range(n - m + 1, n - m + 1 + m * 2 // 11))) FROM a),
+  c AS (SELECT meeting_id, quote, q, s, greatest(s, 0) AS lo, substr(text, greatest(s, 0) + 1, least(s + m, n) - greatest(s, 0)) AS w FROM e JOIN a USING (meeting_id, quote)),
+  k2 AS (SELECT q, {MASKS.format(q='q')} AS masks FROM (SELECT DISTINCT q FROM c)),
+  r AS (SELECT meeting_id, quote, s, lo, 200.0::DOUBLE * ({LCS}) / (length(q) + length(w)) AS score FROM c JOIN k2 USING (q)),
+  f AS (SELECT meeting_id, quote, pos FROM x WHERE pos >= 0 UNION ALL SELECT meeting_id, quote, arg_min(lo, (-score, s)) FROM r WHERE score >= 90 GROUP BY 1, 2)
+  SELECT meeting_id, quote, CAST(pos AS INT) AS pos, CAST((SELECT max(o.line) FROM o WHERE o.meeting_id = f.meeting_id AND o.off <= f.pos) AS INT) AS line FROM f""")
 def quote_fuzzy_line(spark, d):
     lines = R.conversation_lines(spark, d)
     none = lines.select("meeting_id", "line").where("false")
-    quotes = _quotes(lines).withColumn("quote", F.concat(F.substring("quote", 1, 12), F.substring("quote", 14, 200)))
+    # a letter of each is lost
+    quotes = _quotes(lines).select("meeting_id", F.concat(F.substring("quote", 1, 12), F.expr("substring(quote, 14)")).alias("quote")).distinct()
     return record.find_quotes(quotes, record.quote_index(lines, none), record.meeting_labels(lines)).select("meeting_id", "quote", "pos", "line")
 
 
