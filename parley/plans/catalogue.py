@@ -223,19 +223,28 @@ def fill_gaps(spark, d):
     return turns.fill_gaps(e, "speaker", ["user_id"], "o").select("user_id", "event_id", "speaker")
 
 
-@query(f"""WITH {OVERLAP.format(reach=-0.5)}, w2 AS (SELECT w.*, floor(start / 21600) AS h, coalesce(a.sp, b.sp) AS sp FROM words w LEFT JOIN a USING (meeting_id, line) LEFT JOIN b USING (meeting_id, line)),
-  f AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, h ORDER BY start, line) AS pos FROM w2),
-  i AS (SELECT *, CASE WHEN pos > 1 AND sp IS NOT DISTINCT FROM lag(sp) OVER (PARTITION BY meeting_id, h ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM f),
-  j AS (SELECT *, sum(nw) OVER (PARTITION BY meeting_id, h ORDER BY pos) AS isl FROM i),
-  g AS (SELECT meeting_id, h, isl, any_value(sp) AS speaker, count(*) AS n FROM j GROUP BY 1, 2, 3), heard AS (SELECT DISTINCT meeting_id FROM turns)
-  SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY h, isl) - 1 AS INT) AS line, speaker, CAST(n AS INT) AS n_words FROM g JOIN heard USING (meeting_id)""")
+# every fifth word ends a sentence; borders move one after the other, then each stray run takes the label of the last run that isn't one
+@query(f"""WITH RECURSIVE {OVERLAP.format(reach=-0.5)}, w2 AS (SELECT w.*, floor(start / 21600) AS h, coalesce(a.sp, b.sp) AS sp FROM words w LEFT JOIN a USING (meeting_id, line) LEFT JOIN b USING (meeting_id, line) WHERE w.meeting_id IN (SELECT meeting_id FROM turns)),
+  w3 AS (SELECT *, coalesce(last_value(sp IGNORE NULLS) OVER (PARTITION BY meeting_id, h ORDER BY start, line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(sp IGNORE NULLS) OVER (PARTITION BY meeting_id, h ORDER BY start, line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM w2),
+  b0 AS (SELECT meeting_id, h, 1::BIGINT AS i, list(v ORDER BY start, line) AS x, list(line % 5 = 0 ORDER BY start, line) AS c, count(*) AS n FROM w3 GROUP BY 1, 2),
+  b1 AS (SELECT * FROM b0 UNION ALL SELECT meeting_id, h, i + 1, CASE WHEN to_ IS NULL OR c[i] OR x[i] IS NOT DISTINCT FROM x[i + 1] THEN x ELSE list_transform(range(1, n + 1), lambda k: CASE WHEN k > least(i, to_) AND k <= greatest(i, to_) THEN CASE WHEN to_ > i THEN x[i] ELSE x[i + 1] END ELSE x[k] END) END, c, n
+    FROM (SELECT *, list_filter([i - 1, i + 1, i - 2, i + 2], lambda k: k >= 1 AND k <= n AND c[k])[1] AS to_ FROM b1 WHERE i < n)),
+  b2 AS (SELECT meeting_id, h, unnest(x) AS v, unnest(range(1, n + 1)) AS pos, unnest(c) AS ends FROM b1 WHERE i = n),
+  b3 AS (SELECT *, CASE WHEN pos > 1 AND v IS NOT DISTINCT FROM lag(v) OVER (PARTITION BY meeting_id, h ORDER BY pos) THEN 0 ELSE 1 END AS nw, coalesce(lag(ends) OVER (PARTITION BY meeting_id, h ORDER BY pos), true) AS opens FROM b2),
+  b4 AS (SELECT meeting_id, h, isl, any_value(v) AS own, count(*) AS n, count(*) < 2 AND NOT (arg_min(opens, pos) AND arg_max(ends, pos)) AS stray FROM (SELECT *, sum(nw) OVER (PARTITION BY meeting_id, h ORDER BY pos) AS isl FROM b3) GROUP BY 1, 2, 3),
+  b5 AS (SELECT *, CASE WHEN NOT stray THEN {{'v': own}} WHEN isl = 1 THEN {{'v': coalesce(lead(own) OVER (PARTITION BY meeting_id, h ORDER BY isl), own)}} END AS s FROM b4),
+  b6 AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY meeting_id, h ORDER BY isl).v AS speaker FROM b5),
+  b7 AS (SELECT *, CASE WHEN isl > 1 AND speaker IS NOT DISTINCT FROM lag(speaker) OVER (PARTITION BY meeting_id, h ORDER BY isl) THEN 0 ELSE 1 END AS nw FROM b6),
+  g AS (SELECT meeting_id, h, run, any_value(speaker) AS speaker, sum(n) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY meeting_id, h ORDER BY isl) AS run FROM b7) GROUP BY 1, 2, 3)
+  SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY h, run) - 1 AS INT) AS line, speaker, CAST(n AS INT) AS n_words FROM g""")
 def split_at_change(spark, d):
     words = R.event_words(spark, d).withColumn("h", F.floor(F.col("start") / 21600))
     word = F.struct(F.col("start"), F.col("line").alias("id"), F.col("end"))
     lines = words.groupBy("meeting_id", "h").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    lines = lines.select("meeting_id", F.col("h").cast("int").alias("line"), F.get("w", F.lit(0))["start"].alias("start"), F.element_at("w", -1)["end"].alias("end"), F.lit("").alias("text"), F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["id"].cast("string").alias("text"), F.lit(1.0).alias("probability"))).alias("words"))
+    said = lambda x: F.concat(x["id"].cast("string"), F.when(x["id"] % 5 == 0, ".").otherwise(""))
+    lines = lines.select("meeting_id", F.col("h").cast("int").alias("line"), F.get("w", F.lit(0))["start"].alias("start"), F.element_at("w", -1)["end"].alias("end"), F.lit("").alias("text"), F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), said(x).alias("text"), F.lit(1.0).alias("probability"))).alias("words"))
     heard = R.event_turns(spark, d)
-    out = turns.assign_speakers(lines, heard, smooth=False).join(heard.select("meeting_id").distinct(), "meeting_id", "left_semi")
+    out = turns.assign_speakers(lines, heard).join(heard.select("meeting_id").distinct(), "meeting_id", "left_semi")
     return out.select("meeting_id", F.col("line").cast("int").alias("line"), "speaker", F.size("words").alias("n_words"))
 
 

@@ -72,8 +72,31 @@ def test_split_snap_blip_and_whole_sentence(spark):
     want = [("I propose we keep it.", 0.0, 5.0, "S1"), ("Yes, let's keep it.", 5.0, 9.0, "S2")]
     assert split(spark, text, 9, [(0, 5, "S1"), (5, 9, "S2")]) == want
     assert split(spark, text, 9, [(0, 6, "S1"), (6, 9, "S2")]) == want
-    assert turns.steady("so we should really go".split(), ["S1", "S1", "S2", "S1", "S1"]) == ["S1"] * 5
-    assert turns.steady("Keep it. Yes. Good.".split(), ["S1", "S1", "S2", "S1"]) == ["S1", "S1", "S2", "S1"]
+
+
+A, B, C = "S1", "S2", "S3"
+
+
+@pytest.mark.parametrize("said, voices, want", [
+    ("so we should really go", [A, A, B, A, A], [A] * 5),
+    ("Keep it. Yes. Good.", [A, A, B, A], [A, A, B, A]),
+    ("one two", [None, B], [B, B]),
+    ("one two three", [A, None, None], [A, A, A]),
+    ("one", [None], [None]),
+    # the nearest end, the earlier one of two as near; a border that moves right gives words to the voice before it
+    ("we go. there now then", [A, A, A, B, B], [A, A, B, B, B]),
+    ("we go there now. then we", [A, A, B, B, B, B], [A, A, A, A, B, B]),
+    ("we go. there now. then we", [A, A, A, B, B, B], [A, A, B, B, B, B]),
+    # short runs follow one another: each takes what the one before it took; the first takes the next one's own
+    ("a b c d e f", [A, A, B, C, A, A], [A] * 6),
+    ("a b c d", [B, A, A, A], [A] * 4),
+    ("a b", [A, B], [B, B]),
+])
+def test_steady_labels(spark, said, voices, want):
+    row = spark.createDataFrame([(said.split(), voices)], "t array<string>, labels array<string>")
+    for stage in turns.steady(F.col("t")):
+        row = row.withColumn("labels", stage(F.col("labels")))
+    assert row.first()["labels"] == want
 
 
 def test_nearest_none_and_ties(spark):
