@@ -421,14 +421,45 @@ def decision_status(spark, d):
     return record.decision_status(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("meeting_id"), (F.col("turn") % 2).alias("item"), kind.alias("kind"), size.alias("pos")))
 
 
-@query()
+#: claims from every word of four letters or more: names said and addressed, roles, and roles given to the next word's name
+CLAIMED = f"""{CONV}, vw AS (SELECT meeting_id, line, CASE speaker WHEN 'user' THEN 'S1' WHEN 'assistant' THEN 'S2' ELSE 'S3' END AS speaker, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS ws FROM conv),
+  ve AS (SELECT meeting_id, line * 10000 + i AS ord, speaker, ws[i + 1] AS w, coalesce(ws[i + 2], '') AS nx, ['self', 'addressed', 'role', 'assigned_role'][(line + i) % 4 + 1] AS kind FROM (SELECT *, unnest(range(len(ws))) AS i FROM vw))"""
+# names: level after level with lists of who is settled, who holds a name and which names are gone; roles likewise
+@query(f"""WITH RECURSIVE {CLAIMED}, sp AS (SELECT DISTINCT meeting_id, speaker FROM vw),
+  np AS (SELECT meeting_id, speaker, w AS key, sum(CASE kind WHEN 'self' THEN 3 ELSE 1 END) AS pts, bool_or(kind = 'self') AS self FROM ve WHERE kind IN ('self', 'addressed') GROUP BY 1, 2, 3),
+  nr AS (SELECT *, list_filter(list(speaker) OVER (PARTITION BY meeting_id, key, pts), lambda x: x <> speaker) AS riv FROM np),
+  ng AS (SELECT meeting_id, pts, speaker, list({{'key': key, 'name': upper(key[1]) || key[2:], 'self': self, 'riv': list_sort(riv)}} ORDER BY key) AS opt FROM nr GROUP BY 1, 2, 3),
+  nl AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY pts DESC, speaker) AS i FROM ng),
+  w0 AS (SELECT meeting_id, 0::BIGINT AS i, []::VARCHAR[] AS settled, []::VARCHAR[] AS holders, []::VARCHAR[] AS gone, []::VARCHAR[] AS who, NULL::VARCHAR AS name, NULL::VARCHAR AS source, NULL::VARCHAR AS confidence, NULL::VARCHAR AS note FROM (SELECT DISTINCT meeting_id FROM nl)),
+  w1 AS (SELECT * FROM w0 UNION ALL
+    SELECT meeting_id, i, CASE WHEN act = 'several' OR act = 'given' THEN list_append(settled, speaker) ELSE settled END, CASE WHEN act = 'given' THEN list_append(holders, speaker) ELSE holders END, CASE WHEN act IN ('given', 'shared') THEN list_append(gone, free[1].key) ELSE gone END,
+      CASE act WHEN 'shared' THEN list_prepend(speaker, rv) WHEN 'none' THEN [] ELSE [speaker] END, CASE WHEN act = 'given' THEN free[1].name END, CASE WHEN act = 'given' THEN CASE WHEN free[1].self THEN 'self-introduction' ELSE 'addressed' END END, CASE WHEN act = 'given' THEN CASE WHEN pts >= 2 THEN 'high' ELSE 'low' END END,
+      CASE act WHEN 'several' THEN 'unclear: ' || array_to_string(list_sort(list_transform(opt, lambda o: o.name)), ' or ') WHEN 'shared' THEN 'unclear: ' || free[1].name || ' could be ' || array_to_string(list_transform(list_prepend(speaker, rv), lambda x: 'Speaker ' || x[2:]), ' or ') END
+    FROM (SELECT *, CASE WHEN list_contains(settled, speaker) OR len(free) = 0 THEN 'none' WHEN len(free) > 1 THEN 'several' WHEN len(rv) > 0 THEN 'shared' ELSE 'given' END AS act
+      FROM (SELECT *, list_filter(free[1].riv, lambda x: NOT list_contains(holders, x)) AS rv FROM (SELECT nl.meeting_id, nl.i, pts, speaker, opt, settled, holders, gone, list_filter(opt, lambda o: NOT list_contains(gone, o.key)) AS free FROM w1 JOIN nl ON nl.meeting_id = w1.meeting_id AND nl.i = w1.i + 1)))),
+  wn AS (SELECT meeting_id, speaker, arg_max(name, i) FILTER (name IS NOT NULL) AS name, arg_max(source, i) FILTER (name IS NOT NULL) AS source, arg_max(confidence, i) FILTER (name IS NOT NULL) AS confidence, arg_max(note, i) FILTER (note IS NOT NULL) AS note FROM (SELECT *, unnest(who) AS speaker FROM w1) GROUP BY 1, 2),
+  rl AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY pts DESC, speaker) AS i FROM (SELECT meeting_id, speaker, pts, list(role ORDER BY role) AS roles FROM (SELECT meeting_id, speaker, w AS role, count(*) AS pts FROM ve WHERE kind = 'role' GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)),
+  r1 AS (SELECT meeting_id, 0::BIGINT AS i, []::VARCHAR[] AS settled, []::VARCHAR[] AS gone, NULL::VARCHAR AS speaker, NULL::VARCHAR AS role FROM (SELECT DISTINCT meeting_id FROM rl) UNION ALL
+    SELECT meeting_id, i, CASE WHEN act THEN list_append(settled, sp) ELSE settled END, CASE WHEN act AND len(free) = 1 THEN list_append(gone, free[1]) ELSE gone END, CASE WHEN act AND len(free) = 1 THEN sp END, CASE WHEN act AND len(free) = 1 THEN free[1] END
+    FROM (SELECT *, len(free) > 0 AND NOT list_contains(settled, sp) AS act FROM (SELECT rl.meeting_id, rl.i, rl.speaker AS sp, settled, gone, list_filter(roles, lambda x: NOT list_contains(gone, x)) AS free FROM r1 JOIN rl ON rl.meeting_id = r1.meeting_id AND rl.i = r1.i + 1))),
+  ro AS (SELECT meeting_id, speaker, role FROM r1 WHERE role IS NOT NULL),
+  gv AS (SELECT meeting_id, w AS key, arg_min(nx, ord) AS role, min(ord) AS ord FROM ve WHERE kind = 'assigned_role' GROUP BY 1, 2),
+  wi AS (SELECT gv.meeting_id, wn.speaker, gv.role, row_number() OVER (PARTITION BY gv.meeting_id ORDER BY ord) AS i FROM gv JOIN wn ON wn.meeting_id = gv.meeting_id AND lower(wn.name) = gv.key WHERE NOT EXISTS (SELECT 1 FROM ro WHERE ro.meeting_id = gv.meeting_id AND ro.speaker = wn.speaker)),
+  x1 AS (SELECT meeting_id, 0::BIGINT AS i, (SELECT coalesce(list(role), []) FROM ro WHERE ro.meeting_id = s.meeting_id) AS gone, []::VARCHAR[] AS had, NULL::VARCHAR AS speaker, NULL::VARCHAR AS role FROM (SELECT DISTINCT meeting_id FROM wi) s UNION ALL
+    SELECT wi.meeting_id, wi.i, CASE WHEN NOT list_contains(gone, wi.role) AND NOT list_contains(had, wi.speaker) THEN list_append(gone, wi.role) ELSE gone END, CASE WHEN NOT list_contains(gone, wi.role) AND NOT list_contains(had, wi.speaker) THEN list_append(had, wi.speaker) ELSE had END,
+      CASE WHEN NOT list_contains(gone, wi.role) AND NOT list_contains(had, wi.speaker) THEN wi.speaker END, wi.role FROM x1 JOIN wi ON wi.meeting_id = x1.meeting_id AND wi.i = x1.i + 1)
+  SELECT sp.meeting_id, sp.speaker, coalesce(name, '') AS name, coalesce(source, '') AS source, coalesce(confidence, '') AS confidence, coalesce(note, '') AS note, coalesce(ro.role, x1.role, '') AS role, CASE WHEN ro.role IS NOT NULL THEN 'self' WHEN x1.role IS NOT NULL THEN 'named by others' ELSE '' END AS role_source
+  FROM sp LEFT JOIN wn USING (meeting_id, speaker) LEFT JOIN ro USING (meeting_id, speaker) LEFT JOIN x1 ON x1.meeting_id = sp.meeting_id AND x1.speaker = sp.speaker""")
 def greedy_names(spark, d):
     lines = R.conversation_lines(spark, d)
-    speakers = lines.select("meeting_id", F.concat(F.lit("S"), F.when(F.col("speaker") == "user", 1).when(F.col("speaker") == "assistant", 2).otherwise(3)).alias("speaker")).distinct()
-    name = F.initcap(F.regexp_extract(F.lower("text"), r"([a-z]{4,})", 1))
-    claimed = F.concat(F.lit("S"), F.when(F.col("speaker") == "user", 1).when(F.col("speaker") == "assistant", 2).otherwise(3))
-    evidence = lines.select("meeting_id", F.col("line").alias("ord"), claimed.alias("speaker"), name.alias("name"), F.when(F.col("line") % 2 == 0, "self").otherwise("addressed").alias("kind"), F.lit(True).alias("accepted"), F.lit("").alias("role")).where("name != ''")
-    return names.assign_names_and_roles(speakers, evidence)
+    voice = F.concat(F.lit("S"), F.when(F.col("speaker") == "user", 1).when(F.col("speaker") == "assistant", 2).otherwise(3))
+    words = lines.select("meeting_id", "line", voice.alias("speaker"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)).alias("ws"))
+    kind = F.get(F.array(*map(F.lit, ("self", "addressed", "role", "assigned_role"))), F.pmod(F.col("line") + F.col("i"), F.lit(4)))
+    rows = words.select("*", F.posexplode("ws").alias("i", "w")).withColumn("kind", kind)
+    given = F.col("kind") == "assigned_role"
+    name = F.when(F.col("kind") == "role", F.col("w")).otherwise(F.initcap("w"))
+    evidence = rows.select("meeting_id", (F.col("line") * 10000 + F.col("i")).alias("ord"), F.when(given, "").otherwise(F.col("speaker")).alias("speaker"), name.alias("name"), "kind", F.lit(True).alias("accepted"), F.when(given, F.coalesce(F.get("ws", F.col("i") + 1), F.lit(""))).otherwise("").alias("role"))
+    return names.assign_names_and_roles(words.select("meeting_id", "speaker").distinct(), evidence)
 
 
 @query("""SELECT source, count(*) AS proposed, count_if(n_chars > 1000) AS kept, round_even(count_if(n_chars > 1000)::DOUBLE / nullif(count(*), 0), 3) AS rate FROM documents GROUP BY 1""")
