@@ -345,7 +345,31 @@ def fuzzy_hints(spark, d):
     return glossary.find_hints(*_hint_inputs(spark, d))
 
 
-@query()
+#: the longest common stretch of the words in every window, the earliest on ties, then of what lies before and behind it
+GUARD = rf"""{HINTS}, gl AS (SELECT meeting_id, line, arg_min({{'heard': heard, 'term': term}}, "first") AS h FROM hints GROUP BY 1, 2), gv AS (SELECT meeting_id, list(term) AS terms FROM tm GROUP BY 1), gh AS (SELECT meeting_id, line, list({{'a': "first", 'z': "end"}}) AS hs FROM hints GROUP BY 1, 2),
+  gt AS (SELECT meeting_id, line, {TOKENS.format(c='text')} AS o, {TOKENS.format(c='replace(text, h.heard, h.term)')} AS w FROM conv JOIN gl USING (meeting_id, line)),
+  gc AS (SELECT *, list_transform(o, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS oc, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS wc FROM gt),
+  ge AS (SELECT a.meeting_id, a.line, i, j FROM (SELECT meeting_id, line, unnest(oc) AS x, unnest(range(len(oc))) AS i FROM gc) a JOIN (SELECT meeting_id, line, unnest(wc) AS x, unnest(range(len(wc))) AS j FROM gc) b USING (meeting_id, line, x)),
+  gd AS (SELECT meeting_id, line, min(i) AS i0, min(j) AS j0, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY meeting_id, line, i - j ORDER BY i) AS run FROM ge) GROUP BY meeting_id, line, i - j, run),
+  gw AS (SELECT meeting_id, line, 0::BIGINT AS alo, len(oc)::BIGINT AS ahi, 0::BIGINT AS blo, len(wc)::BIGINT AS bhi FROM gc UNION ALL
+    SELECT meeting_id, line, x.a, x.b, x.c, x.d FROM (SELECT meeting_id, line, unnest([{{'a': alo, 'b': s, 'c': blo, 'd': s - i0 + j0}}, {{'a': s + k, 'b': ahi, 'c': s - i0 + j0 + k, 'd': bhi}}]) AS x
+      FROM (SELECT gw.*, i0, j0, greatest(i0, alo, i0 + blo - j0) AS s, least(i0 + n, ahi, i0 + bhi - j0) - greatest(i0, alo, i0 + blo - j0) AS k FROM gw JOIN gd USING (meeting_id, line)) WHERE k > 0
+      QUALIFY row_number() OVER (PARTITION BY meeting_id, line, alo, ahi, blo, bhi ORDER BY k DESC, s, s - i0 + j0) = 1) WHERE x.a < x.b AND x.c < x.d),
+  gm AS (SELECT meeting_id, line, s AS i, s - i0 + j0 AS j, k FROM (SELECT gw.*, i0, j0, greatest(i0, alo, i0 + blo - j0) AS s, least(i0 + n, ahi, i0 + bhi - j0) - greatest(i0, alo, i0 + blo - j0) AS k FROM gw JOIN gd USING (meeting_id, line)) WHERE k > 0
+    QUALIFY row_number() OVER (PARTITION BY meeting_id, line, alo, ahi, blo, bhi ORDER BY k DESC, s, s - i0 + j0) = 1 UNION ALL SELECT meeting_id, line, len(oc), len(wc), 0 FROM gc),
+  gg AS (SELECT meeting_id, line, lag(i + k, 1, 0) OVER p AS a, i AS b, lag(j + k, 1, 0) OVER p AS c, j AS d FROM gm WINDOW p AS (PARTITION BY meeting_id, line ORDER BY i, j, k DESC)),
+  gx AS (SELECT meeting_id, line, row_number() OVER (PARTITION BY meeting_id, line ORDER BY a, c) - 1 AS ord, o[a + 1 : b] AS bef, w[c + 1 : d] AS aft, list_concat(oc[a + 1 : b], wc[c + 1 : d]) AS cl, list_concat(o[a + 1 : b], w[c + 1 : d]) AS al, array_to_string(wc[c + 1 : d], '') AS res,
+    a < b AND len(list_filter(hs, lambda h: h.a <= gg.a AND gg.b <= h.z)) > 0 AS hinted FROM gg JOIN gc USING (meeting_id, line) JOIN gh USING (meeting_id, line) WHERE a < b OR c < d),
+  gp AS (SELECT DISTINCT res AS q, t AS w FROM (SELECT res, unnest(terms) AS t FROM gx JOIN gv USING (meeting_id) WHERE hinted AND res <> '')),
+  gk AS (SELECT q, {MASKS.format(q='q')} AS masks FROM (SELECT DISTINCT q FROM gp)),
+  gs AS (SELECT q, w, 200.0::DOUBLE * ({LCS}) / (length(q) + length(w)) AS score FROM gp JOIN gk USING (q)),
+  gr AS (SELECT DISTINCT meeting_id, q FROM gs JOIN tm ON tm.term = gs.w WHERE score >= 90),
+  gz AS (SELECT gx.*, CASE WHEN len(list_filter(cl, lambda x: x IN ({_in(W.NUMBER_WORDS)}))) > 0 OR len(list_filter(al, lambda x: regexp_matches(x, '\p{{Nd}}'))) > 0 THEN '{W.GUARD_REASONS[0]}'
+    WHEN len(list_filter(cl, lambda x: x IN ({_in(W.NEGATION_WORDS)}))) > 0 OR len(list_filter(al, lambda x: regexp_matches(lower(x), 'n''t[.,!?]*$'))) > 0 THEN '{W.GUARD_REASONS[1]}'
+    WHEN len(aft) = 0 THEN 'deletes words' WHEN NOT hinted THEN '{W.GUARD_REASONS[2]}' WHEN gr.q IS NULL THEN '{W.GUARD_REASONS[3]}' END AS no FROM gx LEFT JOIN gr ON gr.meeting_id = gx.meeting_id AND gr.q = gx.res)"""
+
+
+@query(f"""WITH RECURSIVE {GUARD} SELECT meeting_id, line, CAST(ord AS INT) AS ord, array_to_string(bef, ' ') AS before, array_to_string(aft, ' ') AS after, CASE WHEN no IS NULL THEN 'applied' ELSE 'blocked' END AS status, coalesce(no, 'matches a glossary term') AS reason FROM gz""")
 def guard_edits(spark, d):
     lines, terms, doubtful = _hint_inputs(spark, d)
     hints = glossary.find_hints(lines, terms, doubtful)

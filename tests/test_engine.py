@@ -167,7 +167,7 @@ def test_spans_stop_at_sentence_ends(spark):
     assert (2, 3) in spans and (2, 4) not in spans
 
 
-@pytest.mark.parametrize("raw, new, hint, want, reason", [
+GUARDED = [
     ("we run cube flow daily", "we run Kubeflow daily", (2, 4), "we run Kubeflow daily", "matches a glossary term"),
     ("do not ship", "do now ship", (1, 2), "do not ship", "touches a negation"),
     ("by the 15th ok", "by the 16th ok", (2, 3), "by the 15th ok", "touches a number"),
@@ -175,10 +175,16 @@ def test_spans_stop_at_sentence_ends(spark):
     ("and I cube flow", "and cube flow", (2, 4), "and I cube flow", "deletes words"),
     ("ok so cube flow", "OK, so Kubeflow.", (2, 4), "ok so Kubeflow.", "matches a glossary term"),
     ("then I see cube flow", "then see cube flow I", (3, 5), "then I see cube flow", "deletes words"),
-])
-def test_guard(raw, new, hint, want, reason):
-    line, edits = glossary.guard(raw, new, ["Kubeflow"], [hint])
-    assert line == want and edits[0]["reason"] == reason
+    ("we run cube flow", "we run cube flow", (2, 4), "we run cube flow", None),
+    ("a cube flow b done x", "a Kubeflow b dune x", (1, 3), "a Kubeflow b done x", "matches a glossary term"),
+]
+
+
+def test_guard(spark):
+    rows = spark.createDataFrame([(i, i, raw, new, [hint], ["Kubeflow"]) for i, (raw, new, hint, _, _) in enumerate(GUARDED)], "meeting_id int, line int, text string, corrected string, hints array<struct<first:int,end:int>>, terms array<string>")
+    done, edits = glossary.guarded(rows)
+    assert {r["line"]: r["refined"] for r in done.collect()} == {i: g[3] for i, g in enumerate(GUARDED)}
+    assert {r["line"]: r["reason"] for r in edits.where("ord = 0").collect()} == {i: g[4] for i, g in enumerate(GUARDED) if g[4]}
 
 
 def test_refine_tables(spark):
