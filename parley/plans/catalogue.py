@@ -534,11 +534,36 @@ def record_json(spark, d):
     return sinks.decisions_json(tables).select("meeting_id", F.to_json("decisions").alias("json"))
 
 
-@query()
+#: drafts of every meeting told twice, as two parts; titles compared by their sorted words, each item with the first alike that leads
+MERGED = f"""{CONV}, dl AS (SELECT c.meeting_id, c.line, c.text, c.speaker, coalesce(x.text, '') AS reply FROM conv c LEFT JOIN conv x ON x.meeting_id = c.meeting_id AND x.line = c.line + 1),
+  di AS (SELECT meeting_id, ['decisions', 'action_items', 'open_questions'][line % 3 + 1] AS kind, line AS k, [('Decide ' || line), ('Do ' || line), 'What then'][line % 3 + 1] AS title, text AS q, reply, speaker, CASE WHEN line % 2 = 0 THEN 'never said this at all' ELSE 'mm hmm' END AS no FROM dl
+    UNION ALL SELECT DISTINCT meeting_id, 'minutes', 0, 'One point', '', '', '', '' FROM conv),
+  dx AS (SELECT *, {_norm('title')} AS t, {_norm('q')} AS nq, row_number() OVER (PARTITION BY meeting_id, kind ORDER BY part, k) - 1 AS i FROM (SELECT di.*, p AS part FROM di, range(2) r(p))),
+  dt AS (SELECT DISTINCT a.t AS t1, b.t AS t2 FROM dx a JOIN dx b USING (meeting_id, kind)),
+  ds AS (SELECT *, list_sort(list_distinct(string_split(t1, ' '))) AS x, list_sort(list_distinct(string_split(t2, ' '))) AS y FROM dt),
+  dv AS (SELECT t1, t2, x, y, array_to_string(list_filter(x, lambda v: list_contains(y, v)), ' ') AS both_, array_to_string(list_concat(list_filter(x, lambda v: list_contains(y, v)), list_filter(x, lambda v: NOT list_contains(y, v))), ' ') AS l, array_to_string(list_concat(list_filter(y, lambda v: list_contains(x, v)), list_filter(y, lambda v: NOT list_contains(x, v))), ' ') AS r FROM ds),
+  dp AS (SELECT t1, t2, l AS q, r AS w FROM dv UNION ALL SELECT t1, t2, both_, l FROM dv WHERE both_ <> '' UNION ALL SELECT t1, t2, both_, r FROM dv WHERE both_ <> ''),
+  dk AS (SELECT q, {MASKS.format(q='q')} AS masks FROM (SELECT DISTINCT q FROM dp)),
+  dm AS (SELECT t1, t2 FROM dp JOIN dk USING (q) GROUP BY 1, 2 HAVING max(200.0::DOUBLE * ({LCS}) / (length(q) + length(w))) >= 85 UNION SELECT t1, t2 FROM dv WHERE both_ <> '' AND (list_has_all(x, y) OR list_has_all(y, x))),
+  dj AS (SELECT a.meeting_id, a.kind, a.i, coalesce(list(b.i ORDER BY b.i) FILTER (b.i IS NOT NULL), []) AS js FROM dx a LEFT JOIN dx b ON b.meeting_id = a.meeting_id AND b.kind = a.kind AND b.i < a.i AND (a.kind IN ('decisions', 'action_items') OR b.part < a.part)
+    AND ((a.t, b.t) IN (SELECT (t1, t2) FROM dm) OR (a.kind = 'decisions' AND a.nq = b.nq)) GROUP BY 1, 2, 3),
+  dr AS (SELECT meeting_id, kind, 0::BIGINT AS n, []::BIGINT[] AS leads FROM (SELECT DISTINCT meeting_id, kind FROM dx) UNION ALL
+    SELECT dj.meeting_id, dj.kind, n + 1, list_append(leads, coalesce(list_filter(js, lambda j: leads[j + 1] = j)[1], dj.i)) FROM dr JOIN dj ON dj.meeting_id = dr.meeting_id AND dj.kind = dr.kind AND dj.i = dr.n),
+  de AS (SELECT meeting_id, kind, unnest(arg_max(leads, n)) AS lead_, unnest(range(max(n))) AS i FROM dr GROUP BY 1, 2),
+  dg AS (SELECT dx.*, lead_, row_number() OVER (PARTITION BY meeting_id, kind, lead_, {_norm('reply')} ORDER BY i) AS yn, row_number() OVER (PARTITION BY meeting_id, kind, lead_, no ORDER BY i) AS nn FROM dx JOIN de USING (meeting_id, kind, i))"""
+
+
+@query(f"""WITH RECURSIVE {MERGED} SELECT meeting_id, kind, CAST(row_number() OVER (PARTITION BY meeting_id, kind ORDER BY lead_) - 1 AS INT) AS item, arg_min(title, i) AS title, CASE kind
+    WHEN 'decisions' THEN concat(arg_min(q, i), '#', string_agg(reply, '|' ORDER BY i) FILTER (yn = 1), '#', string_agg(no, '|' ORDER BY i) FILTER (nn = 1), '#')
+    WHEN 'action_items' THEN concat(arg_min(q, i), '#', arg_min(speaker, i), '#unspecified#', coalesce(arg_min(reply, i) FILTER (reply <> ''), ''))
+    WHEN 'open_questions' THEN arg_min(q, i) ELSE '' END AS details FROM dg GROUP BY meeting_id, kind, lead_""")
 def draft_merge(spark, d):
     _, drafts = _drafts(spark, d)
-    parts = drafts.withColumn("part", F.lit(0)).unionByName(drafts.withColumn("part", F.lit(1)))
-    return record.merge_drafts(parts).select("meeting_id", F.size("draft.decisions").alias("decisions"), F.size("draft.action_items").alias("actions"), F.size("draft.minutes").alias("points"))
+    merged = stored(record.merge_drafts(drafts.withColumn("part", F.lit(0)).unionByName(drafts.withColumn("part", F.lit(1)))))
+    one = lambda kind, title, details: merged.select("meeting_id", F.lit(kind).alias("kind"), F.posexplode(f"draft.{kind}").alias("item", "x")).select("meeting_id", "kind", "item", F.expr(title).alias("title"), F.expr(details).alias("details"))
+    rows = one("decisions", "x.text", "concat(x.proposal_quote, '#', array_join(x.agreement_quotes, '|'), '#', array_join(x.rejection_quotes, '|'), '#', x.settled_quote)")
+    rows = rows.unionByName(one("action_items", "x.task", "concat_ws('#', x.task_quote, x.owner, x.deadline, x.agreement_quote)"))
+    return rows.unionByName(one("open_questions", "x.question", "x.quote")).unionByName(one("minutes", "x", "''"))
 
 
 # words end where a character is neither letter, digit nor _, in any script
