@@ -19,7 +19,9 @@ pipeline joins by ``CORPUS``, 5 words and eight tenths. Wanted are the groups th
    finished. Where regions no longer part (all members near each other), members are compared within windows: two can only
    link if their distances to every pivot differ by no more than the radius.
 4. Regions of up to ``REGION_SHINGLES`` shingles recurse within a task. Larger ones do a round of steps 2 and 3 across the
-   cluster (members stay spread in blocks of bounded size; only the pivots' sets, a bounded number, go to all of them).
+   cluster (members stay spread in blocks of bounded size; only the pivots' sets, a bounded number, go to all of them). A round
+   counts only if it at least halves a region without copying much of it; where it doesn't, every two blocks of the region
+   meet in a task, so there are never more rounds than halvings.
 
 Nothing is dropped or capped. Shingles and sets are known by 64-bit hashes.
 
@@ -49,7 +51,7 @@ REGION_SHINGLES = 1 << 21
 PIVOTS = 8
 ROUND_PIVOTS = 32  #: of a region that is spread over the cluster
 BLOCK_SHINGLES = 1 << 18  #: of such a region's blocks and of the stretches its shingles are counted in
-COPIED = 1.5  #: regions that need more copies of their members than this do not part
+COPIED = 1.5  #: regions that need more copies of their members than this, in a task or across the cluster, do not part
 
 
 @dataclass(frozen=True)
@@ -349,7 +351,8 @@ def _shared(signs: DataFrame) -> DataFrame:
 
 
 def _by_rare_shingles(members: DataFrame, rule: Rule) -> DataFrame:
-    """(e, region): members of large regions that share one of their rarest shingles, by the order of their own region.
+    """(home, e, n, region): members of large regions that share one of their rarest shingles, by the order of their own region.
+    A point that stands in several regions is a member of each by itself, so that regions never run together.
 
     A region's shingles are dealt to stretches of bounded size, so that many tasks count them; shingles are known by 32 bits
     within a stretch, as any order that is the same for all members will do."""
@@ -395,10 +398,12 @@ def _by_rare_shingles(members: DataFrame, rule: Rule) -> DataFrame:
         yield from _streamed(batches, 2, rare)
 
     parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    dealt = members.select("region", "e", "n", "set", parts.alias("parts")).mapInArrow(tidy(deal), "region long, b int, e long, n long, ids binary")
+    member = F.xxhash64("region", "e").alias("e")
+    dealt = members.select("region", member, "n", "set", parts.alias("parts")).mapInArrow(tidy(deal), "region long, b int, e long, n long, ids binary")
     known = dealt.repartition("region", "b").sortWithinPartitions("region", "b").mapInArrow(tidy(counts), "region long, e long, n long, alone long, held binary")
     signs = known.repartition("region", "e").sortWithinPartitions("region", "e").mapInArrow(tidy(rarest), "sig long, e long")
-    return components(_shared(signs)).select(F.col("node").alias("e"), F.col("component").alias("region"))
+    found = components(_shared(signs)).select(F.col("node").alias("_m"), F.col("component").alias("region"))
+    return members.select(F.col("region").alias("home"), "e", "n", F.xxhash64("region", "e").alias("_m")).join(found, "_m").drop("_m")
 
 
 def _streamed(batches, keys: int, work):
@@ -452,7 +457,7 @@ def _join_small(members: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """One round of pivots for large regions: (links, members of the new regions)."""
+    """One round of pivots for large regions: (links, members of the new regions with the region they come from as home)."""
     slim = members.select("region", "e", "part", "total")
     ranked = slim.join(slim.groupBy("region", "part").agg(F.count(F.lit(1)).alias("weight")), ["region", "part"])
     # pivots from the smallest parts, which are what is still to be connected; a bounded state for each region
@@ -465,7 +470,7 @@ def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     spread = members.withColumn("block", F.pmod(F.xxhash64("e"), blocks).cast("int")).select("region", "block", "e", "part", "n", "set")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("region", "e", "part", "n", "set", "a", "b")}
+        out = {c: [] for c in ("home", "region", "e", "part", "n", "set", "a", "b")}
         if not len(left) or not len(right):
             return pa.table({c: pa.array([], pa.binary() if c == "set" else pa.int64()) for c in out})
         right = right.sort_by("e")
@@ -478,7 +483,7 @@ def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             c = all_.common(n + k, np.arange(len(sets)))
             d[:, k] = 1 - c / (all_.size + all_.size[n + k] - c)
             for i in np.flatnonzero(rule.linked(c, all_.size, all_.size[n + k])[:n] & (part[:n] != part[n + k])).tolist():
-                for c_, v in zip(out, (None, None, None, None, None, ids[i], ids[n + k]), strict=True):
+                for c_, v in zip(out, (None, None, None, None, None, None, ids[i], ids[n + k]), strict=True):
                     out[c_].append(v)
         done = set(ids[n:])
         mine = np.flatnonzero([e not in done for e in ids[:n]])
@@ -490,15 +495,51 @@ def _round(members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             # whether a region is anybody's home is not known here: all boundaries are kept
             needed = d[mine, far[k]] <= np.minimum(near + 2 * rule.radius, rule.reach + rule.radius) + 1e-9 if k >= 0 else near > rule.reach - rule.radius - 1e-9
             for i in mine[needed].tolist():
-                for c_, v in zip(out, (name(far[k] if k >= 0 else -1), ids[i], int(part[i]), int(all_.size[i]), sets[i], None, None), strict=True):
+                for c_, v in zip(out, (region, name(far[k] if k >= 0 else -1), ids[i], int(part[i]), int(all_.size[i]), sets[i], None, None), strict=True):
                     out[c_].append(v)
         return pa.table({c: pa.array(out[c], pa.binary() if c == "set" else pa.int64()) for c in out})
 
-    made = spread.groupBy("region", "block").cogroup(pivots.groupBy("home", "at")).applyInArrow(run, "region long, e long, part long, n long, set binary, a long, b long")
+    made = spread.groupBy("region", "block").cogroup(pivots.groupBy("home", "at")).applyInArrow(run, "home long, region long, e long, part long, n long, set binary, a long, b long")
     done = shared_checkpoint(made)
     return done.where("a is not null").select("a", "b"), done.where("a is null").drop("a", "b")
 
 
+def _pairwise(members: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) within large regions that don't part: a region's members are dealt to blocks of bounded size, and every two
+    blocks (and each by itself) meet in a task. Only links come out, at most one for every two parts that a task finds one."""
+    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("e"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "e", "part", "set")
+
+    def meet(key, rows):
+        if len(rows) < 2:
+            return links_of([], [])
+        if key[1] == key[2]:
+            return links_of(Region([np.frombuffer(r[3], np.uint64) for r in rows], [r[2] for r in rows], rule).join(), rows)
+        rows = sorted(rows, key=lambda r: (r[0] != key[1], len(r[3])))
+        both = Region([np.frombuffer(r[3], np.uint64) for r in rows], [r[2] for r in rows], rule)
+        cut = sum(r[0] == key[1] for r in rows)
+        size = both.size[cut:]
+        for i in range(cut):
+            n = both.size[i]
+            # sizes of linked sets differ by no more than the rule lets them
+            lo, hi = np.searchsorted(size, -(-n * rule.numerator // rule.denominator)), np.searchsorted(size, n * rule.denominator // rule.numerator, "right")
+            mine = both.root(i)
+            near = np.array([j for j in range(cut + int(lo), cut + int(hi)) if both.root(j) != mine], np.int64)
+            if len(near):
+                for j in near[rule.linked(both.common(i, near), n, both.size[near])].tolist():
+                    both.link(i, j)
+        return links_of(both.links, rows)
+
+    def links_of(links, rows):
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in links], pa.int64()), pa.array([rows[j][1] for _, j in links], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        yield from _streamed(batches, 3, meet)
+
+    return rows.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
+
+
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with their connected part after all links so far; regions in one part are finished."""
     found = components(links)
@@ -530,8 +571,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reg
         small, members = members.where(fits), members.where(~fits)
         some = not members.isEmpty()
         if some:
-            fresh = _sized(_by_rare_shingles(members, rule).join(members.select("e", "n"), "e")).select("e", "region", "total")
-            members = shared_checkpoint(members.drop("region", "total").join(fresh, "e").select(*small.columns))
+            fresh = _sized(_by_rare_shingles(members, rule)).select("home", "e", "region", "total")
+            members = shared_checkpoint(members.withColumnRenamed("region", "home").drop("total").join(fresh, ["home", "e"]).select(*small.columns))
             small, members = small.unionByName(members.where(fits)), members.where(~fits)
             some = not members.isEmpty()
         found = _join_small(small, rule)
@@ -539,9 +580,17 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reg
         del small, found
         if not some:
             break
-        more, members = _round(members, rule)
-        links = shared_checkpoint(links.unionByName(more))
-        members = shared_checkpoint(_relabel(members, links))
+        more, made = _round(members, rule)
+        # regions whose pivots part them go on by the new ones; of the others every two blocks meet
+        parted = made.groupBy("home").agg(F.sum("n").alias("s")).join(members.groupBy(F.col("region").alias("home")).agg(F.first("total").alias("t")), "home").where(F.col("s") <= COPIED * F.col("t"))
+        largest = made.groupBy("home", "region").agg(F.sum("n").alias("r")).groupBy("home").agg(F.max("r").alias("r"))
+        parted = shared_checkpoint(parted.join(largest, "home").where(F.col("r") <= F.col("t") / 2).select("home"))
+        stuck = members.join(parted.withColumnRenamed("home", "region"), "region", "left_anti")
+        links = shared_checkpoint(links.unionByName(more).unionByName(_pairwise(stuck, rule)))
+        made = made.join(parted, "home", "left_semi").drop("home")
+        if made.isEmpty():
+            break
+        members = shared_checkpoint(_relabel(made, links))
         if members.isEmpty():
             break
     free(spark)

@@ -179,3 +179,22 @@ def test_join_back_splits_hot_groups(spark):
 
 def test_held_out_fold_of_null_ids():
     assert core.crc_mod_py(None, 10) == zlib.crc32(b"") % 10
+
+
+@pytest.mark.parametrize("n, limit, blocks", [(120, 6000, 1 << 12), (40, 1 << 21, 1 << 18)])
+def test_form_letters_that_do_not_part(spark, monkeypatch, n, limit, blocks):
+    """Texts of one template lie near each other: no pivots part them and all share their rare shingles."""
+    rng = random.Random(8)
+    monkeypatch.setattr(nearjoin, "BLOCK_SHINGLES", blocks)
+    base = [f"w{i}" for i in range(200)]
+    slots = rng.sample(range(200), 10)
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in slots:
+            words[k] = f"v{rng.randrange(8)}"
+        rows.append((i, " ".join(words)))
+    want = nearjoin.brute(rows)
+    _, named = nearjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), region_shingles=limit)
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in named.collect()} == want
+    assert 1 < len({c for _, c in want.values()})
