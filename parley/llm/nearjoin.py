@@ -519,16 +519,18 @@ def _pairwise(members: DataFrame, rule: Rule) -> DataFrame:
         rows = sorted(rows, key=lambda r: (r[0] != key[1], len(r[3])))
         both = Region([np.frombuffer(r[3], np.uint64) for r in rows], [r[2] for r in rows], rule)
         cut = sum(r[0] == key[1] for r in rows)
-        size = both.size[cut:]
+        size, label = both.size[cut:], np.array([both.root(i) for i in range(len(rows))])
         for i in range(cut):
             n = both.size[i]
             # sizes of linked sets differ by no more than the rule lets them
             lo, hi = np.searchsorted(size, -(-n * rule.numerator // rule.denominator)), np.searchsorted(size, n * rule.denominator // rule.numerator, "right")
-            mine = both.root(i)
-            near = np.array([j for j in range(cut + int(lo), cut + int(hi)) if both.root(j) != mine], np.int64)
+            # members of one part need no comparison
+            near = np.flatnonzero(label[cut + int(lo) : cut + int(hi)] != label[i]) + cut + int(lo)
             if len(near):
                 for j in near[rule.linked(both.common(i, near), n, both.size[near])].tolist():
-                    both.link(i, j)
+                    if label[i] != label[j]:
+                        both.link(i, j)
+                        label[label == label[j]] = label[i]
         return links_of(both.links, rows)
 
     def links_of(links, rows):
@@ -585,12 +587,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reg
         parted = made.groupBy("home").agg(F.sum("n").alias("s")).join(members.groupBy(F.col("region").alias("home")).agg(F.first("total").alias("t")), "home").where(F.col("s") <= COPIED * F.col("t"))
         largest = made.groupBy("home", "region").agg(F.sum("n").alias("r")).groupBy("home").agg(F.max("r").alias("r"))
         parted = shared_checkpoint(parted.join(largest, "home").where(F.col("r") <= F.col("t") / 2).select("home"))
-        stuck = members.join(parted.withColumnRenamed("home", "region"), "region", "left_anti")
-        links = shared_checkpoint(links.unionByName(more).unionByName(_pairwise(stuck, rule)))
-        made = made.join(parted, "home", "left_semi").drop("home")
-        if made.isEmpty():
-            break
-        members = shared_checkpoint(_relabel(made, links))
+        links = shared_checkpoint(links.unionByName(more))
+        kept = members.join(parted.withColumnRenamed("home", "region"), "region", "left_anti")
+        stuck = shared_checkpoint(kept.select("region").distinct())
+        made = made.join(parted, "home", "left_semi").select("region", "e", "n", "set")
+        members = shared_checkpoint(_relabel(made.unionByName(kept.select(*made.columns)), links))
+        links = shared_checkpoint(links.unionByName(_pairwise(members.join(stuck, "region", "left_semi"), rule)))
+        members = members.join(stuck, "region", "left_anti")
         if members.isEmpty():
             break
     free(spark)
