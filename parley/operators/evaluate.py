@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,28 +34,61 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.where("speaker is not null and gold is not null").groupBy("meeting_id", "speaker", "gold").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cheapest_columns(cost: np.ndarray) -> np.ndarray:
+    """A column of its own for each row (no more rows than columns) at the least total cost: shortest augmenting paths over
+    reduced costs, cubic in all."""
+    n, m = cost.shape
+    row_price, column_price = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)
+    for r in range(n):
+        length, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, column, total = r, -1, 0.0
+        while True:
+            step = total + cost[row] - row_price[row] - column_price
+            better = ~done & (step < length - 1e-12)
+            length[better], came[better] = step[better], column
+            column = int(np.where(done, np.inf, length).argmin())
+            total = length[column]
+            done[column] = True
+            if owner[column] < 0:
+                break
+            row = owner[column]
+        # prices after the path, so that reduced costs stay at least 0
+        seen = done.copy()
+        seen[column] = False
+        row_price[r] += total
+        row_price[owner[seen]] += total - length[seen]
+        column_price[seen] -= total - length[seen]
+        while column >= 0:
+            before = came[column]
+            owner[column] = r if before < 0 else owner[before]
+            column = before
+    out = np.empty(n, int)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
 def best_mapping(counts: pd.DataFrame) -> list[tuple[str, str, int]]:
-    """One-to-one mapping of speakers to gold speakers with the most words in common."""
+    """One-to-one mapping of speakers to gold speakers with the most words in common; of equally good ones the first in the
+    order of names, speaker by speaker of the shorter side."""
     ours, theirs = sorted(set(counts["speaker"])), sorted(set(counts["gold"]))
-    n = {(r.speaker, r.gold): r.n for r in counts.itertuples()}
+    table = counts.pivot_table(index="speaker", columns="gold", values="n", aggfunc="sum", fill_value=0).reindex(index=ours, columns=theirs, fill_value=0).to_numpy(float)
     swap = len(ours) > len(theirs)
+    gain = table.T if swap else table
     few, many = (theirs, ours) if swap else (ours, theirs)
-    get = (lambda a, b: n.get((b, a), 0)) if swap else (lambda a, b: n.get((a, b), 0))
-    if len(few) <= 7:
-        best = max(permutations(many, len(few)), key=lambda p: sum(get(a, b) for a, b in zip(few, p)))
-    else:  # dynamic programming over sets of taken ones
-        table: dict[int, tuple[int, tuple]] = {0: (0, ())}
-        for a in few:
-            nxt: dict[int, tuple[int, tuple]] = {}
-            for taken, (score, chosen) in table.items():
-                for k, b in enumerate(many):
-                    if not taken >> k & 1:
-                        cand = (score + get(a, b), (*chosen, b))
-                        if cand[0] > nxt.get(taken | 1 << k, (-1, ()))[0]:
-                            nxt[taken | 1 << k] = cand
-            table = nxt
-        best = max(table.values())[1]
-    return [((b, a) if swap else (a, b)) + (get(a, b),) for a, b in zip(few, best)]
+    best = lambda g: g[np.arange(len(g)), cheapest_columns(-g)].sum() if len(g) else 0.0
+    left, chosen = list(range(len(many))), []
+    for i in range(len(few)):
+        # the first partner with which the rest still comes to as much
+        rest = best(gain[i:][:, left])
+        for k in left:
+            others = [x for x in left if x != k]
+            if gain[i, k] + best(gain[i + 1 :][:, others]) >= rest - 1e-6:
+                break
+        chosen.append(k)
+        left.remove(k)
+    rows = [(few[i], many[k], gain[i, k]) for i, k in enumerate(chosen)]
+    return [((b, a) if swap else (a, b)) + (int(n) if float(n).is_integer() else n,) for a, b, n in rows]
 
 
 def speaker_mapping(counts: DataFrame) -> DataFrame:

@@ -86,3 +86,26 @@ def test_gram_join_is_exact(spark):
         assert {(r["text"], r["term"]): r["score"] for r in soundalike.sound_alike(h, t, keys).collect()} == want
         pairs = soundalike.candidate_pairs(h.withColumn("least", F.col("least").cast("double")), t, keys).count()
         assert pairs < len(heard) * len(terms) / 10
+
+
+def test_mapping_is_the_best_of_all_permutations():
+    from itertools import permutations
+
+    import pandas as pd
+
+    from parley.operators import evaluate
+
+    rng = random.Random(3)
+    for _ in range(120):
+        a, b = rng.randint(1, 5), rng.randint(1, 6)
+        n = {(f"s{i}", f"g{j}"): rng.choice([1, 2, 3, 9]) for i in range(a) for j in range(b) if rng.random() < 0.7}
+        if not n:
+            continue
+        ours, theirs = sorted({x for x, _ in n}), sorted({y for _, y in n})
+        pair = (lambda x, y: (y, x)) if len(ours) > len(theirs) else (lambda x, y: (x, y))
+        few, many = (theirs, ours) if len(ours) > len(theirs) else (ours, theirs)
+        best = max(permutations(many, len(few)), key=lambda p: sum(n.get(pair(x, y), 0) for x, y in zip(few, p)))
+        want = [(*pair(x, y), n.get(pair(x, y), 0)) for x, y in zip(few, best)]
+        assert evaluate.best_mapping(pd.DataFrame([(*k, v) for k, v in n.items()], columns=["speaker", "gold", "n"])) == want
+    many = pd.DataFrame([(f"s{i:02}", f"g{j:02}", rng.randint(0, 99)) for i in range(30) for j in range(30)], columns=["speaker", "gold", "n"])
+    assert len(evaluate.best_mapping(many)) == 30
