@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parley.functions import text as X
 from parley.operators.turns import BUCKET_S
@@ -109,84 +108,110 @@ def right_speaker(counts: DataFrame) -> DataFrame:
     return counts.groupBy("meeting_id").agg(F.sum("n").alias("all")).join(right, "meeting_id").select("meeting_id", (F.col("right") / F.col("all")).alias("right_speaker"))
 
 
-def edit_distance(a: list[str], b: list[str]) -> int:
-    """Substitutions, deletions and insertions between two word lists, row by row in numpy."""
-    if not a or not b:
-        return len(a) + len(b)
+def _banded(x: np.ndarray, y: np.ndarray, reach: int, error: int) -> int:
+    """Least cost of turning x into y by ways that stay within ``reach`` diagonals of the table: ``error`` for another word,
+    one more for a word lost or added."""
+    far, gap, width = 1 << 50, error + 1, 2 * reach + 1
+    step = np.arange(width) * gap
+    # cell k of row i stands for column i + k - reach
+    shifted = np.full(len(x) + len(y) + width + 1, -1)
+    shifted[reach : reach + len(y)] = y
+    first = np.arange(width) - reach
+    row = np.where(first >= 0, first * gap, far)
+    for i, w in enumerate(x):
+        other = row + error * (shifted[i : i + width] != w)
+        lost = np.append(row[1:], far) + gap
+        row = np.minimum.accumulate(np.minimum(other, lost) - step) + step
+    return int(row[len(y) - len(x) + reach])
+
+
+def edit_counts(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """Words of a that b says otherwise, lost ones and added ones: the fewest in all, of equally few as many of the first kind
+    as can be. Work grows with the length times the errors: the table is filled near its diagonal, further from it only
+    where the errors found don't fit in."""
     code: dict[str, int] = {}
-    x = np.array([code.setdefault(w, len(code)) for w in a])
-    y = np.array([code.setdefault(w, len(code)) for w in b])
-    step = np.arange(len(y) + 1)
-    row = step.copy()
-    for i, w in enumerate(x, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        new = np.append(i, new)
-        row = np.minimum.accumulate(new - step) + step
-    return int(row[-1])
+    x, y = (np.array([code.setdefault(w, len(code)) for w in t], int) for t in (a, b))
+    n, m = len(x), len(y)
+    error = n + m + 1
+    reach = abs(n - m) + 16
+    while True:
+        errors, gaps = divmod(_banded(x, y, reach, error), error)
+        if errors <= reach:
+            lost = (gaps + n - m) // 2
+            return errors - gaps, lost, gaps - lost
+        reach = min(2 * reach, errors)
 
 
 def word_errors(pairs: DataFrame) -> DataFrame:
-    """(meeting_id, errors, words, wer) from (meeting_id, gold, heard): both texts normalised with apostrophes kept."""
-    @F.pandas_udf(T.LongType())
-    def errors(gold: pd.Series, heard: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance((g or "").split(), (h or "").split()) for g, h in zip(gold, heard, strict=True)])
+    """(meeting_id, substitutions, deletions, insertions, errors, words, wer) from (meeting_id, gold, heard): both texts
+    normalised with apostrophes kept; a missing text has no words, wer is null without gold words."""
+    @F.pandas_udf("substitutions long, deletions long, insertions long")
+    def counts(gold: pd.Series, heard: pd.Series) -> pd.DataFrame:
+        rows = [edit_counts((g or "").split(), (h or "").split()) for g, h in zip(gold, heard, strict=True)]
+        return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
 
-    rows = pairs.select("meeting_id", X.norm_apostrophe(F.trim("gold")).alias("g"), X.norm_apostrophe(F.trim("heard")).alias("h"))
-    rows = rows.select("meeting_id", errors("g", "h").alias("errors"), F.size(F.filter(F.split("g", " "), lambda w: w != "")).alias("words"))
-    return rows.withColumn("wer", F.col("errors") / F.nullif(F.col("words"), F.lit(0)))
+    rows = pairs.select("meeting_id", *(X.norm_apostrophe(F.trim(F.coalesce(c, F.lit("")))).alias(c) for c in ("gold", "heard")))
+    rows = rows.select("meeting_id", counts("gold", "heard").alias("c"), F.size(F.filter(F.split("gold", " "), lambda w: w != "")).alias("words"))
+    rows = rows.select("meeting_id", "c.*", "words").withColumn("errors", F.col("substitutions") + F.col("deletions") + F.col("insertions"))
+    return rows.select("meeting_id", "substitutions", "deletions", "insertions", "errors", "words", (F.col("errors") / F.nullif(F.col("words"), F.lit(0))).alias("wer"))
 
 
-def diarization_error(gold: pd.DataFrame, ours: pd.DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> tuple[float, float]:
-    """(error seconds, scored seconds) of turns (start, end, speaker): missed, false and confused speech over gold speech.
+#: microseconds of a meeting that are swept in one go
+SWEEP_US = 600_000_000
 
-    The collar takes ``collar`` seconds around each gold boundary, half on each side, out of scoring. Speakers are mapped one
-    to one with the most shared time.
-    """
-    marks = np.unique(np.concatenate([gold["start"], gold["end"]]).astype(float))
-    edges = np.unique(np.concatenate([marks, ours["start"], ours["end"], marks - collar / 2, marks + collar / 2]).astype(float))
-    if len(edges) < 2:
-        return 0.0, 0.0
-    size, mid = np.diff(edges), (edges[1:] + edges[:-1]) / 2
-
-    def voices(turns: pd.DataFrame) -> tuple[list, np.ndarray]:
-        """Speakers, and in which stretches between edges each of them speaks."""
-        names = sorted(set(turns["speaker"]))
-        row = {n: i for i, n in enumerate(names)}
-        steps = np.zeros((len(names), len(edges)))
-        at = [row[n] for n in turns["speaker"]]
-        good = np.array(turns["end"], float) > np.array(turns["start"], float)
-        np.add.at(steps, (at, np.searchsorted(edges, turns["start"])), good)
-        np.add.at(steps, (at, np.searchsorted(edges, turns["end"])), -1.0 * good)
-        return names, np.cumsum(steps, 1)[:, :-1] > 0.5
-
-    (theirs, g), (mine, o) = voices(gold), voices(ours)
-    scored = np.ones(len(mid), bool)
-    if collar and len(marks):
-        k = np.searchsorted(marks, mid)
-        gap = np.minimum(np.abs(mid - marks[np.maximum(k - 1, 0)]), np.abs(mid - marks[np.minimum(k, len(marks) - 1)]))
-        scored &= ~(gap < collar / 2)
-    if skip_overlap:
-        scored &= g.sum(0) <= 1
-    size, g, o = size[scored], g[:, scored], o[:, scored]
-    shared = (o * size) @ g.T
-    pairs = [(mine[i], theirs[j], shared[i, j]) for i, j in zip(*np.nonzero(shared), strict=True)]
-    mapping = best_mapping(pd.DataFrame(pairs, columns=["speaker", "gold", "n"])) if pairs else []
-    right = np.zeros(len(size))
-    for x, y, _ in mapping:
-        right += o[mine.index(x)] & g[theirs.index(y)]
-    return float((size * (np.maximum(g.sum(0), o.sum(0)) - right)).sum()), float((size * g.sum(0)).sum())
 
+def _voices(turns: DataFrame, kind: str) -> DataFrame:
+    us = lambda c: F.round(F.col(c).cast("double") * 1e6).cast("long")
+    return turns.where("speaker is not null").select("meeting_id", F.lit(kind).alias("kind"), F.col("speaker").cast("string").alias("speaker"), us("start").alias("a"), us("end").alias("b"))
 
-def diarization_errors(gold: DataFrame, ours: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
-    """(meeting_id, error_s, scored_s, der)."""
-    kind = gold.schema["meeting_id"].dataType.simpleString()
 
-    def one(g: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        wrong, total = diarization_error(g, o.rename(columns=lambda c: c[1:]), collar, skip_overlap)
-        return pd.DataFrame({"meeting_id": [(g["meeting_id"] if len(g) else o["_meeting_id"]).iloc[0]], "error_s": [wrong], "scored_s": [total], "der": [wrong / total if total else None]})
+def _dealt(intervals: DataFrame) -> DataFrame:
+    """Intervals cut where a sweep ends and dealt by sweep; those of one voice that touch or overlap are one."""
+    sweep = lambda c: ((c - F.pmod(c, F.lit(SWEEP_US))) / SWEEP_US).cast("long")
+    cut = intervals.where("b > a").withColumn("sweep", F.explode(F.sequence(sweep(F.col("a")), sweep(F.col("b") - 1))))
+    cut = cut.withColumns({"a": F.greatest("a", F.col("sweep") * SWEEP_US), "b": F.least("b", (F.col("sweep") + 1) * SWEEP_US)}).repartition("meeting_id", "sweep")
+    voice = ["meeting_id", "sweep", "kind", "speaker"]
+    w = Window.partitionBy(*voice).orderBy("a", "b")
+    opens = F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = cut.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*voice, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
 
-    cols = ["meeting_id", "start", "end", "speaker"]
-    return gold.select(cols).groupBy("meeting_id").cogroup(ours.select(*(F.col(c).alias(f"_{c}") for c in cols)).groupBy("_meeting_id")).applyInPandas(one, f"meeting_id {kind}, error_s double, scored_s double, der double")
+
+def diarization_errors(gold: DataFrame, ours: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
+    """(meeting_id, missed_s, false_s, confused_s, error_s, scored_s, der) of turns (meeting_id, start, end, speaker): missed,
+    false and confused speech over gold speech, in whole microseconds until the last step.
+
+    A sweep over the borders of all turns counts who speaks, ten minutes of a meeting at a time, so a long meeting is dealt
+    over many tasks. ``collar`` seconds around each gold border, half on each side, aren't scored, with ``skip_overlap`` nor
+    is what several gold speakers say at once. Speakers are mapped one to one with the most shared time. Turns without a
+    speaker don't count; der is null where no gold speech is scored."""
+    theirs, mine = _voices(gold, "gold"), _voices(ours, "ours")
+    meetings = theirs.select("meeting_id").union(mine.select("meeting_id")).distinct()
+    half = round(collar * 1e6 / 2)
+    border = theirs.select("meeting_id", F.lit("collar").alias("kind"), F.lit("").alias("speaker"), F.explode(F.array("a", "b")).alias("m"))
+    turns = _dealt(theirs.unionByName(mine).unionByName(border.select("meeting_id", "kind", "speaker", (F.col("m") - half).alias("a"), (F.col("m") + half).alias("b"))))
+
+    step = F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d"))))
+    steps = turns.select("meeting_id", "sweep", "kind", step.alias("x")).groupBy("meeting_id", "sweep", F.col("x.t").alias("a"))
+    steps = steps.agg(*(F.sum(F.when(F.col("kind") == k, F.col("x.d")).otherwise(0)).alias(k) for k in ("gold", "ours", "collar")))
+    w = Window.partitionBy("meeting_id", "sweep").orderBy("a")
+    open_ = lambda k: F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(k)
+    stretches = steps.select("meeting_id", "sweep", "a", F.lead("a").over(w).alias("b"), open_("gold"), open_("ours"), open_("collar")).where("collar = 0 and gold + ours > 0")
+    stretches = stretches.where("gold <= 1") if skip_overlap else stretches
+    for_ = lambda n: F.sum(n * (F.col("b") - F.col("a")))
+    g, o = F.col("gold"), F.col("ours")
+    totals = stretches.groupBy("meeting_id").agg(for_(g).alias("scored"), for_(F.greatest(g - o, F.lit(0))).alias("missed"), for_(F.greatest(o - g, F.lit(0))).alias("false"), for_(F.least(g, o)).alias("both"))
+
+    at = stretches.where("gold > 0 and ours > 0").select("meeting_id", "sweep", "a", "b")
+    for kind, name in (("gold", "gold"), ("ours", "speaker")):
+        said = turns.where(F.col("kind") == kind).select("meeting_id", "sweep", F.col("speaker").alias(name), F.col("a").alias("_a"), F.col("b").alias("_b"))
+        at = at.join(said, ["meeting_id", "sweep"]).where("_a <= a and b <= _b").drop("_a", "_b")
+    shared = at.groupBy("meeting_id", "speaker", "gold").agg(F.sum(F.col("b") - F.col("a")).alias("n"))
+    right = speaker_mapping(shared).groupBy("meeting_id").agg(F.sum("n").alias("right"))
+
+    rows = meetings.join(totals, "meeting_id", "left").join(right, "meeting_id", "left").na.fill(0, ["scored", "missed", "false", "both", "right"])
+    wrong = {"missed_s": F.col("missed"), "false_s": F.col("false"), "confused_s": F.col("both") - F.col("right"), "error_s": F.col("missed") + F.col("false") + F.col("both") - F.col("right"), "scored_s": F.col("scored")}
+    return rows.select("meeting_id", *((c / 1e6).alias(k) for k, c in wrong.items()), (wrong["error_s"] / F.nullif(F.col("scored"), F.lit(0))).alias("der"))
 
 
 def averages(scores: DataFrame) -> DataFrame:

@@ -620,19 +620,68 @@ def reply_cache_misses(spark, d):
     return missing.select(F.col("model").alias("lang"), F.col("user").alias("source"), "key")
 
 
-@query()
+def _word_errors(said: str) -> str:
+    """The table of all pairs of words, one diagonal after the other; an error weighs more than all lost and added words."""
+    return rf"""WITH {CONV}, tx AS (SELECT meeting_id, string_agg(trim(text), ' ' ORDER BY line) FILTER (trim(text) <> '') AS gold, string_agg(trim(said), ' ' ORDER BY line) FILTER (trim(said) <> '') AS heard
+    FROM (SELECT *, {said} AS said FROM conv) GROUP BY 1),
+  tk AS (SELECT meeting_id, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(coalesce(gold, '')), '-', ' '), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '') AS a, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(coalesce(heard, '')), '-', ' '), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '') AS b FROM tx),
+  sz AS (SELECT *, len(a)::BIGINT AS n, len(b)::BIGINT AS m, (len(a) + len(b) + 1)::BIGINT AS e FROM tk),
+  tb AS (SELECT *, list_reduce(range(1::BIGINT, n + m + 1), lambda st, s: {{'x': list_transform(range(0::BIGINT, n + 1), lambda i: CASE WHEN i > s OR s - i > m THEN 1000000000000::BIGINT
+      ELSE least(st.x[i + 1] + e + 1, CASE WHEN i > 0 THEN st.x[i] + e + 1 ELSE 1000000000000::BIGINT END, CASE WHEN i > 0 AND i < s THEN st.y[i] + CASE WHEN a[i] = b[s - i] THEN 0 ELSE e END ELSE 1000000000000::BIGINT END) END), 'y': st.x}},
+      {{'x': list_transform(range(0::BIGINT, n + 1), lambda i: CASE WHEN i = 0 THEN 0::BIGINT ELSE 1000000000000::BIGINT END), 'y': list_transform(range(0::BIGINT, n + 1), lambda i: 1000000000000::BIGINT)}}).x[n + 1] AS c FROM sz),
+  ct AS (SELECT *, c // e AS errors, c % e AS gaps, (c % e + n - m) // 2 AS deletions FROM tb)
+  SELECT meeting_id, errors - gaps AS substitutions, deletions, gaps - deletions AS insertions, errors, n::INT AS words, errors / nullif(n, 0)::DOUBLE AS wer FROM ct"""
+
+
+def _heard_texts(spark, d, said):
+    return R.conversation_lines(spark, d).withColumn("said", said).groupBy("meeting_id").agg(X.ordered_join("line", "text").alias("gold"), X.ordered_join("line", "said").alias("heard"))
+
+
+@query(_word_errors("CASE WHEN line >= 2 THEN text ELSE '' END"))
 def word_error_rate(spark, d):
-    lines = R.conversation_lines(spark, d)
     # all lines of a meeting against all but its first two
-    pairs = lines.withColumn("later", F.when(F.col("line") >= 2, F.col("text")).otherwise("")).groupBy("meeting_id").agg(X.ordered_join("line", "text").alias("gold"), X.ordered_join("line", "later").alias("heard"))
-    return evaluate.word_errors(pairs)
+    return evaluate.word_errors(_heard_texts(spark, d, F.when(F.col("line") >= 2, F.col("text")).otherwise("")))
+
+
+@query(_word_errors("CASE line % 4 WHEN 0 THEN '' WHEN 1 THEN replace(text, 'e', 'a') WHEN 2 THEN text || ' ' || text ELSE text END"))
+def word_error_kinds(spark, d):
+    # of four lines the first is lost, the second misheard, the third said twice
+    said = F.when(F.col("line") % 4 == 0, "").when(F.col("line") % 4 == 1, F.replace("text", F.lit("e"), F.lit("a"))).when(F.col("line") % 4 == 2, F.concat("text", F.lit(" "), "text")).otherwise(F.col("text"))
+    return evaluate.word_errors(_heard_texts(spark, d, said))
+
+
+def _diarization(collar: int, overlap: str) -> str:
+    """Who speaks between any two borders next to each other; two gold speakers at most, so the best mapping is the best pair."""
+    return f"""WITH {EVENTS}, g0 AS (SELECT meeting_id, speaker, CAST(round(start * 1e6::DOUBLE) AS BIGINT) AS a, CAST(round("end" * 1e6::DOUBLE) AS BIGINT) AS b FROM turns),
+  o0 AS (SELECT meeting_id, CASE WHEN turn_idx % 5 = 0 THEN 'other' ELSE upper(speaker) END AS speaker, CAST(round((start + 30) * 1e6::DOUBLE) AS BIGINT) AS a, CAST(round(("end" + 90) * 1e6::DOUBLE) AS BIGINT) AS b FROM turns),
+  mk AS (SELECT meeting_id, unnest([a, b]) AS m FROM g0), ed AS (SELECT meeting_id, unnest([m - {collar}, m, m + {collar}]) AS t FROM mk UNION SELECT meeting_id, unnest([a, b]) FROM o0),
+  st AS (SELECT meeting_id, t AS a, lead(t) OVER (PARTITION BY meeting_id ORDER BY t) AS b FROM ed),
+  gs AS (SELECT DISTINCT st.meeting_id, st.a, st.b, speaker FROM st JOIN g0 ON g0.meeting_id = st.meeting_id AND g0.a <= st.a AND st.b <= g0.b), os AS (SELECT DISTINCT st.meeting_id, st.a, st.b, speaker FROM st JOIN o0 ON o0.meeting_id = st.meeting_id AND o0.a <= st.a AND st.b <= o0.b),
+  nk AS (SELECT DISTINCT st.meeting_id, st.a FROM st JOIN mk ON mk.meeting_id = st.meeting_id AND mk.m - {collar} <= st.a AND st.b <= mk.m + {collar}),
+  ns AS (SELECT st.*, coalesce(g, 0) AS g, coalesce(o, 0) AS o FROM st LEFT JOIN (SELECT meeting_id, a, count(*) AS g FROM gs GROUP BY 1, 2) USING (meeting_id, a) LEFT JOIN (SELECT meeting_id, a, count(*) AS o FROM os GROUP BY 1, 2) USING (meeting_id, a) ANTI JOIN nk USING (meeting_id, a) WHERE b IS NOT NULL),
+  sc AS (SELECT * FROM ns WHERE {overlap}),
+  sh AS (SELECT meeting_id, os.speaker AS o, gs.speaker AS g, CAST(sum(sc.b - sc.a) AS BIGINT) AS n FROM sc JOIN gs USING (meeting_id, a) JOIN os USING (meeting_id, a) GROUP BY 1, 2, 3),
+  rt AS (SELECT meeting_id, max(n) AS n FROM (SELECT meeting_id, n FROM sh UNION ALL SELECT x.meeting_id, x.n + y.n FROM sh x JOIN sh y ON x.meeting_id = y.meeting_id AND x.o <> y.o AND x.g <> y.g) GROUP BY 1),
+  sm AS (SELECT meeting_id, coalesce(sum((b - a) * g), 0)::DOUBLE AS scored, coalesce(sum((b - a) * greatest(g - o, 0)), 0)::DOUBLE AS missed, coalesce(sum((b - a) * greatest(o - g, 0)), 0)::DOUBLE AS false_, coalesce(sum((b - a) * least(g, o)), 0)::DOUBLE AS both_ FROM sc GROUP BY 1),
+  al AS (SELECT meeting_id, coalesce(scored, 0) AS scored, coalesce(missed, 0) AS missed, coalesce(false_, 0) AS false_, coalesce(both_, 0) - coalesce(n, 0) AS confused FROM (SELECT DISTINCT meeting_id FROM g0) LEFT JOIN sm USING (meeting_id) LEFT JOIN rt USING (meeting_id))
+  SELECT meeting_id, missed / 1e6::DOUBLE AS missed_s, false_ / 1e6::DOUBLE AS false_s, confused / 1e6::DOUBLE AS confused_s, (missed + false_ + confused) / 1e6::DOUBLE AS error_s, scored / 1e6::DOUBLE AS scored_s, (missed + false_ + confused) / nullif(scored, 0) AS der FROM al"""
+
+
+def _heard_turns(spark, d):
+    """Gold turns, and what was heard of them: half a minute late, a minute too long, every fifth by another voice."""
+    gold = R.event_turns(spark, d)
+    speaker = F.when(F.col("turn_idx") % 5 == 0, "other").otherwise(F.upper("speaker"))
+    return gold, gold.withColumns({"start": F.col("start") + 30, "end": F.col("end") + 90, "speaker": speaker})
 
 
-@query()
+@query(_diarization(125_000, "g <= 1"))
 def diarization_error(spark, d):
-    gold = R.event_turns(spark, d)
-    ours = gold.withColumns({"start": F.col("start") + 30, "speaker": F.upper("speaker")})
-    return evaluate.diarization_errors(gold, ours, 0.25, True)
+    return evaluate.diarization_errors(*_heard_turns(spark, d), 0.25, True)
+
+
+@query(_diarization(0, "true"))
+def diarization_error_strict(spark, d):
+    return evaluate.diarization_errors(*_heard_turns(spark, d))
 
 
 @query(f"""WITH {OVERLAP.format(reach=-REACH)}, cf AS (SELECT w.meeting_id, coalesce(a.sp, b.sp) AS s, e.event_type AS g, count(*) AS n FROM words w LEFT JOIN a USING (meeting_id, line) LEFT JOIN b USING (meeting_id, line) JOIN events e ON e.event_id = w.line WHERE coalesce(a.sp, b.sp) IS NOT NULL GROUP BY 1, 2, 3),

@@ -291,15 +291,16 @@ def test_wording(spark):
     assert v("I'll send it") and v("Let me check") and not v("I can't") and not v("let me think") and not v("I can see why")
 
 
-def test_evaluation():
+def test_evaluation(spark):
     import pandas as pd
 
-    assert evaluate.edit_distance("a b c d".split(), "a x c".split()) == 2 and evaluate.edit_distance([], ["a"]) == 1
+    assert evaluate.edit_counts("a b c d".split(), "a x c".split()) == (1, 1, 0) and evaluate.edit_counts([], ["a"]) == (0, 0, 1)
     assert {x[:2] for x in evaluate.best_mapping(pd.DataFrame([("S1", "A", 5), ("S1", "B", 6), ("S2", "B", 9)], columns=["speaker", "gold", "n"]))} == {("S1", "A"), ("S2", "B")}
-    gold = pd.DataFrame({"start": [0.0, 5.0], "end": [5.0, 10.0], "speaker": ["A", "B"]})
-    assert evaluate.diarization_error(gold, gold.assign(speaker=["x", "y"]))[0] == 0
-    wrong, total = evaluate.diarization_error(gold, pd.DataFrame({"start": [0.0], "end": [10.0], "speaker": ["x"]}))
-    assert (wrong, total) == (5.0, 10.0)
+    cols = "meeting_id long, start double, end double, speaker string"
+    gold = spark.createDataFrame([(1, 0.0, 5.0, "A"), (1, 5.0, 10.0, "B"), (2, 0.0, 5.0, "A"), (2, 5.0, 10.0, "B")], cols)
+    ours = spark.createDataFrame([(1, 0.0, 5.0, "x"), (1, 5.0, 10.0, "y"), (2, 0.0, 10.0, "x")], cols)
+    got = {r["meeting_id"]: (r["error_s"], r["scored_s"]) for r in evaluate.diarization_errors(gold, ours).collect()}
+    assert got == {1: (0.0, 10.0), 2: (5.0, 10.0)}
 
 
 def test_word_error_rate_reads_every_line(spark, tmp_path):
