@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as X
 from parley.functions import wordlists as W
 from parley.operators import evaluate, flags, glossary, names, prompts, report, turns
-from parley.plans.catalogue import CONV, FLAGS, TOKENS, _flagged, _in, _norm, query
+from parley.plans.catalogue import CONV, FLAGS, LCS, MASKS, TOKENS, _flagged, _in, _norm, query
 from parley.sources import readers as R
 from parley.sources import sinks
 
@@ -489,3 +489,84 @@ def hint_spans(spark, d):
     """The stretches of words that may be a misheard term, before they are compared with any."""
     spans = glossary.candidate_spans(R.conversation_lines(spark, d))
     return glossary.worth_hearing(spans).select("meeting_id", "line", "first", "end", F.col("_heard").alias("joined"))
+
+
+# ---------------------------------------------------------------------------------------------------------- claims
+
+KINDS = ("self", "addressed", "role", "assigned_role", " Self ", "Addressed", "boss", "ROLE")
+
+
+def _clean_role(c: str) -> str:
+    """From the first word on that isn't a filler."""
+    words = f"string_split({_norm(c)}, ' ')"
+    at = f"list_filter(range(1, len({words}) + 1), lambda k: {words}[k] NOT IN ({_in(W.ROLE_FILLER)}))"
+    return f"CASE WHEN len({at}) = 0 THEN '' ELSE array_to_string({words}[{at}[1] :], ' ') END"
+
+
+def _role_words(c: str) -> str:
+    return f"list_filter(string_split({_norm(c)}, ' '), lambda x: x <> '' AND x NOT IN ({_in(W.ROLE_FILLER)}))"
+
+
+#: six words a claim, the last six of a line again where it doesn't part evenly; wrong lines, labels and names among them
+RAISED = f"""{CONV}, vo AS (SELECT meeting_id, line, text, {_norm('text')} AS n, length(text) % 7 = 0 AS dbt, CASE WHEN (line + length(text)) % 9 = 8 THEN NULL WHEN speaker = 'user' THEN 'S1' WHEN speaker = 'assistant' THEN 'S2' ELSE 'S3' END AS sid FROM conv),
+  cw AS (SELECT *, string_split(n, ' ') AS w, unnest(range(0, (len(string_split(n, ' ')) + 5) // 6)) AS k FROM vo WHERE n <> ''),
+  cu AS (SELECT *, w[least(6 * k, greatest(len(w) - 6, 0)) + 1 : least(6 * k, greatest(len(w) - 6, 0)) + 6] AS c, (line + k) % 8 AS h FROM cw),
+  cr AS (SELECT meeting_id, CAST(line * 10000 + k AS BIGINT) AS ord, [{_in(KINDS)}][h + 1] AS kind, CASE WHEN k % 4 = 3 THEN 's9' WHEN (h % 4 = 1) = (coalesce(sid, '') = 'S1') THEN 's2' ELSE ' S1' END AS speaker,
+    CASE WHEN h IN (2, 7) THEN CASE WHEN k % 5 = 4 THEN 'the team' ELSE 'the ' || coalesce(c[4], '') || ' ' || coalesce(c[5], '') END WHEN k % 9 = 8 THEN 'Everyone' WHEN k % 7 = 6 THEN 'Zzyzx' WHEN k % 3 = 2 THEN coalesce(c[2], '') || '  ' || coalesce(c[3], '') ELSE coalesce(c[2], '') || '!' END AS name,
+    CASE WHEN h = 3 THEN CASE WHEN k % 5 = 4 THEN 'our' ELSE 'our ' || coalesce(c[CASE WHEN k % 6 = 5 THEN 9 ELSE 4 END], 'unheard') END WHEN h = 4 THEN coalesce(c[5], '') ELSE '' END AS role,
+    CASE WHEN k % 2 = 0 THEN 'S1 : ' ELSE '' END || array_to_string(c, ' ') AS quote, CASE WHEN k % 11 = 10 THEN 'some line' ELSE CAST(line + k % 7 - 3 AS VARCHAR) END AS line FROM cu)"""
+CHECKED = f"""{RAISED}, tp AS (SELECT meeting_id, max(ord) AS top FROM cr GROUP BY 1),
+  ex AS (SELECT * FROM cr UNION ALL SELECT meeting_id, ord + top + 1, 'role', speaker, trim(role), role, quote, line FROM cr JOIN tp USING (meeting_id) WHERE trim(role) <> '' AND lower(trim(kind)) IN ('self', 'role')),
+  c0 AS (SELECT meeting_id, ord, lower(trim(kind)) AS kind, upper(trim(speaker)) AS speaker, name, role, regexp_replace(trim(quote), '^\\s*S\\d+\\s*:\\s*', '') AS quote, coalesce(TRY_CAST(line AS INT), -1) AS line FROM ex WHERE trim(name) <> ''),
+  c1 AS (SELECT meeting_id, ord, kind, CASE kind WHEN 'assigned_role' THEN '' ELSE speaker END AS speaker, CASE kind WHEN 'role' THEN {_clean_role('name')} ELSE trim(regexp_replace(trim(regexp_replace(name, '\\s+', ' ', 'g')), '^[ .,;:!?"'']+|[ .,;:!?"'']+$', '', 'g')) END AS name,
+    CASE kind WHEN 'assigned_role' THEN {_clean_role('role')} ELSE '' END AS role, quote, {_norm('quote')} AS q, line FROM c0),
+  ln AS (SELECT c1.meeting_id, ord, q, n, vo.line, list_position([0, -1, 1, -2, 2], vo.line - c1.line) AS pref FROM c1 JOIN vo ON vo.meeting_id = c1.meeting_id AND abs(vo.line - c1.line) <= 2 AND NOT dbt AND q <> '' AND length(q) <= length(n) + 3),
+  lp AS (SELECT DISTINCT q AS q0, n AS n0, CASE WHEN length(q) > length(n) THEN n ELSE q END AS q, CASE WHEN length(q) > length(n) THEN q ELSE n END AS long_ FROM ln WHERE n <> '' AND NOT contains(n, q)),
+  ls AS (SELECT *, length(q) AS m, length(long_) AS size, len(list_filter(range(length(q) // 10 + 1), lambda j: contains(long_, substr(q, j * length(q) // (length(q) // 10 + 1) + 1, (j + 1) * length(q) // (length(q) // 10 + 1) - j * length(q) // (length(q) // 10 + 1))))) > 0 AS inner_ FROM lp),
+  lw AS (SELECT *, unnest(list_concat(range(-(m * 2 // 11), 0), CASE WHEN inner_ THEN range(size - m + 1) ELSE [] END, range(size - m + 1, size - m + 1 + m * 2 // 11))) AS s FROM ls),
+  lv AS (SELECT q0, n0, q, substr(long_, greatest(s, 0) + 1, least(s + m, size) - greatest(s, 0)) AS w FROM lw), lm AS (SELECT q, {MASKS.format(q='q')} AS masks FROM (SELECT DISTINCT q FROM lv)),
+  lf AS (SELECT DISTINCT q0, n0 FROM lv JOIN lm USING (q) WHERE 200.0::DOUBLE * ({LCS}) / (length(q) + length(w)) >= {W.QUOTE_SCORE}),
+  lc AS (SELECT meeting_id, ord, arg_min(line, pref) AS found FROM ln LEFT JOIN lf ON q0 = q AND n0 = n WHERE contains(n, q) OR q0 IS NOT NULL GROUP BY 1, 2),
+  c2 AS (SELECT c1.*, found, v.sid AS said, string_split(q, ' ') AS qw, {_norm('name')} AS nn,
+      (SELECT arg_max(b.sid, b.line) FROM vo b WHERE b.meeting_id = v.meeting_id AND b.line BETWEEN v.line - {W.REPLY_LINES} AND v.line - 1 AND NOT b.dbt AND b.sid IS NOT NULL AND b.sid IS DISTINCT FROM v.sid) AS before,
+      (SELECT arg_min(b.sid, b.line) FROM vo b WHERE b.meeting_id = v.meeting_id AND b.line BETWEEN v.line + 1 AND v.line + {W.REPLY_LINES} AND NOT b.dbt AND b.sid IS NOT NULL AND b.sid IS DISTINCT FROM v.sid AND b.n NOT IN ({_in(W.NAMING_BACKCHANNELS)})) AS after
+    FROM c1 LEFT JOIN lc USING (meeting_id, ord) LEFT JOIN vo v ON v.meeting_id = c1.meeting_id AND v.line = found),
+  c3 AS (SELECT *, len(list_filter(string_split(nn, ' '), lambda x: length(x) >= 2 AND list_contains(qw, x))) > 0 AS named, name = '' OR nn IN ({_in(W.NOT_NAMES)}) AS nobody,
+    CASE WHEN before = speaker THEN 'spoke just before' WHEN after = speaker THEN 'answered right after' END AS how, EXISTS (SELECT 1 FROM vo WHERE vo.meeting_id = c2.meeting_id AND vo.sid = c2.speaker) AS known FROM c2),
+  c4 AS (SELECT *, CASE WHEN kind = 'assigned_role' THEN CASE WHEN nobody THEN 'not a person''s name' WHEN len({_role_words('role')}) = 0 THEN 'not a role' WHEN found IS NULL THEN 'quote not found in the transcript' WHEN NOT named THEN 'the quote does not contain the name'
+      WHEN NOT list_has_all(qw, {_role_words('role')}) THEN 'the quote does not contain the role' END
+    WHEN NOT known THEN 'unknown speaker label ''' || speaker || '''' WHEN kind = 'role' AND len({_role_words('name')}) = 0 THEN 'not a role' WHEN kind <> 'role' AND (nobody OR NOT regexp_matches(name, '[A-Za-z]')) THEN 'not a person''s name'
+    WHEN kind NOT IN ('self', 'addressed', 'role') THEN 'unknown kind ''' || kind || '''' WHEN found IS NULL THEN 'quote not found in the transcript'
+    WHEN kind = 'role' AND NOT list_has_all(qw, {_role_words('name')}) THEN 'the quote does not contain the role' WHEN kind <> 'role' AND NOT named THEN 'the quote does not contain the name'
+    WHEN kind IN ('self', 'role') AND said IS DISTINCT FROM speaker THEN 'said by ' || coalesce(said, 'None') || ', not by ' || speaker WHEN kind = 'addressed' AND said = speaker THEN 'a speaker cannot address themself' WHEN kind = 'addressed' AND how IS NULL THEN speaker || ' neither spoke just before nor answered right after' END AS no FROM c3),
+  hd AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY line) AS pos, upper(w[2][1]) || w[2][2:] || 'e' || CASE WHEN line % 2 = 0 THEN ' Smith' ELSE '' END AS person, w[2] || 'e' AS first_, {_norm("w[2] || 'e' || CASE WHEN line % 2 = 0 THEN ' Smith' ELSE '' END")} AS whole FROM cw WHERE k = 0 AND len(w) > 1),
+  cn AS (SELECT DISTINCT meeting_id, name, nn FROM c4 WHERE no IS NULL AND kind <> 'role'), pr AS (SELECT DISTINCT nn AS q, unnest([first_, whole]) AS w FROM cn JOIN hd USING (meeting_id)),
+  mk AS (SELECT q, {MASKS.format(q='q')} AS masks FROM (SELECT DISTINCT q FROM pr)), sc AS (SELECT q, w FROM pr JOIN mk USING (q) WHERE 200.0::DOUBLE * ({LCS}) / (length(q) + length(w)) >= {W.ATTENDEE_SCORE}),
+  ca AS (SELECT cn.meeting_id, cn.name, arg_min(person, pos) FILTER (a.q IS NOT NULL) AS p1, arg_min(person, pos) FILTER (b.q IS NOT NULL) AS p2 FROM cn JOIN hd USING (meeting_id) LEFT JOIN sc a ON a.q = nn AND a.w = whole LEFT JOIN sc b ON b.q = nn AND b.w = first_ GROUP BY 1, 2),
+  c5 AS (SELECT c4.* EXCLUDE (line, name), coalesce(found, line) AS line, CASE WHEN no IS NULL AND kind <> 'role' THEN coalesce(p1, p2, array_to_string(list_transform(string_split(c4.name, ' '), lambda x: upper(x[1]) || x[2:]), ' ')) ELSE c4.name END AS name,
+    coalesce(no, CASE kind WHEN 'assigned_role' THEN 'role given by name' WHEN 'role' THEN 'said their own role' WHEN 'self' THEN 'said their own name' ELSE 'addressed by ' || coalesce(said, 'None') || '; ' || speaker || ' ' || how END) AS reason FROM c4 LEFT JOIN ca ON ca.meeting_id = c4.meeting_id AND ca.name = c4.name)"""
+
+
+@query(f"""WITH {CHECKED} SELECT meeting_id, ord, speaker, name, kind, CAST(line AS INT) AS line, quote, no IS NULL AS accepted, reason, role FROM c5 QUALIFY row_number() OVER (PARTITION BY meeting_id, speaker, {_norm('name')}, kind, line, role ORDER BY ord) = 1""")
+def checked_claims(spark, d):
+    """Claims of every kind from all that was said, against undoubted lines and the attendees."""
+    text = F.col("text")
+    voice = F.when((F.col("line") + F.length("text")) % 9 == 8, F.lit(None)).when(F.col("speaker") == "user", "S1").when(F.col("speaker") == "assistant", "S2").otherwise("S3")
+    lines = R.conversation_lines(spark, d).select("meeting_id", "line", "text", voice.alias("speaker"))
+    doubtful = lines.where(F.length("text") % 7 == 0).select("meeting_id", "line")
+    rows = lines.withColumn("w", F.split(X.norm(text), " ")).where(X.norm(text) != "")
+    attendees = rows.where(F.size("w") > 1).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("line", F.concat(F.initcap(F.get("w", F.lit(1))), F.lit("e"), F.when(F.col("line") % 2 == 0, " Smith").otherwise("")).alias("person")))).getField("person").alias("attendees"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), ((F.size("w") + 5) / 6).cast("int") - 1)))
+    rows = rows.withColumn("c", F.slice("w", F.least(F.col("k") * 6, F.greatest(F.size("w") - 6, F.lit(0))) + 1, 6)).withColumn("h", (F.col("line") + F.col("k")) % 8)
+    k, h = F.col("k"), F.col("h")
+    word = lambda i: F.coalesce(F.get("c", F.lit(i)), F.lit(""))
+    role_name = F.when(k % 5 == 4, "the team").otherwise(F.concat(F.lit("the "), word(3), F.lit(" "), word(4)))
+    name = F.when(h.isin(2, 7), role_name).when(k % 9 == 8, "Everyone").when(k % 7 == 6, "Zzyzx").when(k % 3 == 2, F.concat(word(1), F.lit("  "), word(2))).otherwise(F.concat(word(1), F.lit("!")))
+    given = F.when(k % 5 == 4, "our").otherwise(F.concat(F.lit("our "), F.coalesce(F.get("c", F.when(k % 6 == 5, 8).otherwise(3)), F.lit("unheard"))))
+    claims = rows.select(
+        "meeting_id", (F.col("line").cast("long") * 10000 + k).alias("ord"), F.get(F.array(*map(F.lit, KINDS)), h).alias("kind"),
+        F.when(k % 4 == 3, "s9").when((h % 4 == 1) == (F.coalesce("speaker", F.lit("")) == "S1"), "s2").otherwise(" S1").alias("speaker"), name.alias("name"),
+        F.when(h == 3, given).when(h == 4, word(4)).otherwise("").alias("role"), F.concat(F.when(k % 2 == 0, "S1 : ").otherwise(""), F.array_join("c", " ")).alias("quote"),
+        F.when(k % 11 == 10, "some line").otherwise((F.col("line") + k % 7 - 3).cast("string")).alias("line"),
+    )
+    return names.check_claims(claims, lines, doubtful, attendees)
