@@ -523,9 +523,97 @@ def _record(spark, d):
     return lines, drafts, record.verify(drafts, lines, lines.select("meeting_id", "line").where("false"), keep=stored)
 
 
-@query()
+def _volunteers(n: str) -> str:
+    """The pattern told without looking ahead: what is only thought or can't be done is taken out first."""
+    head, thought = W.VOLUNTEER.split("(?! (just", 1)
+    head = head.replace(r"(?! t\b)", "")
+    return rf"regexp_matches(regexp_replace(regexp_replace({n}, '\bi can t\b', ' # ', 'g'), '{head} (just{thought[:-1]}', ' # ', 'g'), '{head}')"
+
+
+def _same(a: str, b: str) -> str:
+    return f"coalesce({a} <> '' AND {b} <> '' AND {_norm(a)} = {_norm(b)}, false)"
+
+
+def _in_quote(value: str, quote: str) -> str:
+    return f"(trim({value}) <> '' AND lower(trim({value})) <> '{W.UNSPECIFIED}' AND contains({_norm(quote)}, {_norm(value)}))"
+
+
+MISSED = "never said this at all"
+#: drafts of every meeting, where its quotes stand, and what the rules make of the items: dk decisions, ak actions, qk questions
+RECORD = f"""{CONV}, rn AS (SELECT *, {_norm('text')} AS n FROM (SELECT meeting_id, line, speaker, CASE line % 4 WHEN 1 THEN 'I''ll do it. ' || text WHEN 3 THEN 'Okay.' ELSE text END AS text FROM conv)),
+  rk AS (SELECT *, coalesce(sum(length(n) + 1) OVER (PARTITION BY meeting_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM rn WHERE n <> ''), rt AS (SELECT meeting_id, string_agg(n, ' ' ORDER BY line) AS txt FROM rk GROUP BY 1),
+  rd AS (SELECT a.meeting_id, a.line, row_number() OVER (PARTITION BY a.meeting_id, a.line % 3 ORDER BY a.line) - 1 AS item, a.line % 3 AS kind, a.text AS t, a.speaker, coalesce(b.text, '') AS r1, coalesce(c.text, '') AS r2, coalesce(string_split(a.n, ' ')[3], '') AS w3
+    FROM rn a LEFT JOIN rn b ON b.meeting_id = a.meeting_id AND b.line = a.line + 1 LEFT JOIN rn c ON c.meeting_id = a.meeting_id AND c.line = a.line + 2),
+  de AS (SELECT meeting_id, item, 'Decide ' || line AS title, CASE WHEN line % 9 = 6 THEN '{MISSED}' ELSE t END AS p, [r1, 'mm hmm', t] AS yes, CASE WHEN line % 2 = 0 THEN [r2] ELSE ['{MISSED}'] END AS no, CASE line % 4 WHEN 0 THEN r2 WHEN 2 THEN r1 || '?' ELSE '' END AS settled FROM rd WHERE kind = 0),
+  ac AS (SELECT meeting_id, item, 'Do ' || line AS title, t, speaker AS owner, CASE WHEN line % 2 = 0 THEN t ELSE 'not there' END AS oq, CASE WHEN line % 4 < 2 THEN w3 WHEN line % 8 = 2 THEN 'tomorrow' ELSE 'Unspecified' END AS deadline, r1 AS aq FROM rd WHERE kind = 1),
+  qu AS (SELECT meeting_id, item, 'What then' AS title, CASE WHEN line % 5 = 0 THEN '{MISSED}' ELSE t END AS q FROM rd WHERE kind = 2),
+  dq AS (SELECT meeting_id, item, 'yes' AS side, unnest(yes) AS q FROM de UNION ALL SELECT meeting_id, item, 'no', unnest(no) FROM de),
+  qs AS (SELECT meeting_id, q FROM dq UNION SELECT meeting_id, unnest([p, settled]) FROM de UNION SELECT meeting_id, unnest([t, oq, aq]) FROM ac UNION SELECT meeting_id, q FROM qu),
+  pl AS (SELECT meeting_id, q, instr(txt, {_norm('q')}) - 1 AS pos FROM qs JOIN rt USING (meeting_id) WHERE {_norm('q')} <> '' AND contains(txt, {_norm('q')})),
+  ps AS (SELECT *, (SELECT arg_max(rk.speaker, rk.line) FROM rk WHERE rk.meeting_id = pl.meeting_id AND rk.off <= pl.pos) AS who FROM pl),
+  dj AS (SELECT dq.*, s.pos, CASE WHEN {_norm('dq.q')} IN ({_in(W.RECORD_BACKCHANNELS)}) THEN 'backchannel' WHEN s.pos IS NULL THEN 'not found' WHEN side = 'yes' AND {_same('s.who', 'o.who')} THEN 'own' END AS note
+    FROM dq JOIN de USING (meeting_id, item) LEFT JOIN ps s ON s.meeting_id = dq.meeting_id AND s.q = dq.q LEFT JOIN ps o ON o.meeting_id = dq.meeting_id AND o.q = p),
+  dl AS (SELECT meeting_id, item, coalesce(max(pos) FILTER (side = 'yes' AND note IS NULL), -1) AS ly, coalesce(max(pos) FILTER (side = 'no' AND note IS NULL), -1) AS ln, count(note) AS nn FROM dj GROUP BY 1, 2),
+  ds AS (SELECT de.*, ly, ln, nn, ly <= ln AND trim(settled) <> '' AS asked, {_norm('settled')} <> '' AND NOT regexp_matches({_norm('settled')}, '{W.HEDGED}') AND NOT contains(settled, '?') AND (NOT regexp_matches({_norm('settled')}, '{W.NEGATED}') OR regexp_matches({_norm('title')}, '{W.NEGATED}')) AS worded, s.pos AS sp, o.pos IS NOT NULL AS kept
+    FROM de JOIN dl USING (meeting_id, item) LEFT JOIN ps s ON s.meeting_id = de.meeting_id AND s.q = settled LEFT JOIN ps o ON o.meeting_id = de.meeting_id AND o.q = p),
+  dk AS (SELECT meeting_id, item, title, kept, CASE WHEN ly > ln THEN 'agreed' WHEN asked AND worded AND coalesce(sp > ln, false) THEN 'uncontested' WHEN ln >= 0 THEN 'rejected' ELSE 'open' END AS status, nn + CASE WHEN asked AND (NOT worded OR sp IS NULL) THEN 1 ELSE 0 END AS notes FROM ds),
+  a1 AS (SELECT ac.*, x.pos IS NOT NULL AS kept, o.who IS NOT NULL AND ({_in_quote('owner', 'oq')} OR ({_volunteers(_norm('oq'))} AND {_same('o.who', 'owner')})) AS shown, x.pos IS NOT NULL AND {_in_quote('deadline', 't')} AS dated,
+      coalesce(CASE WHEN {_volunteers(_norm('aq'))} THEN y.who END, CASE WHEN {_volunteers(_norm('oq'))} THEN o.who END, CASE WHEN {_volunteers(_norm('t'))} THEN x.who END) AS offered, CASE WHEN {_norm('aq')} NOT IN ({_in(W.RECORD_BACKCHANNELS)}) THEN y.who END AS accepted
+    FROM ac LEFT JOIN ps x ON x.meeting_id = ac.meeting_id AND x.q = t LEFT JOIN ps o ON o.meeting_id = ac.meeting_id AND o.q = oq LEFT JOIN ps y ON y.meeting_id = ac.meeting_id AND y.q = aq),
+  a2 AS (SELECT *, CASE WHEN shown THEN owner ELSE coalesce(offered, '{W.UNSPECIFIED}') END AS who, NOT shown AND offered IS NOT NULL AS instead, NOT dated AND lower(trim(deadline)) <> '{W.UNSPECIFIED}' AS undated, trim(aq) <> '' AS answered FROM a1),
+  ak AS (SELECT meeting_id, item, title, kept, who AS owner, CASE WHEN dated THEN deadline ELSE '{W.UNSPECIFIED}' END AS deadline, instead, undated, (NOT shown)::INT - instead::INT AS lost,
+      CASE WHEN who = '{W.UNSPECIFIED}' THEN 'unassigned' WHEN answered AND {_same('accepted', 'who')} THEN 'agreed' ELSE 'proposed' END AS status,
+      (NOT shown)::INT + undated::INT + instead::INT + (who <> '{W.UNSPECIFIED}' AND answered AND NOT {_same('accepted', 'who')})::INT AS notes FROM a2),
+  qk AS (SELECT qu.*, ps.pos IS NOT NULL AS kept FROM qu LEFT JOIN ps ON ps.meeting_id = qu.meeting_id AND ps.q = qu.q)"""
+
+
+def _told(spark, d):
+    """Lines some of which agree or volunteer, and a draft of each meeting whose quotes are right, somebody else's or never said."""
+    lines = R.conversation_lines(spark, d)
+    text = F.when(F.col("line") % 4 == 1, F.concat(F.lit("I'll do it. "), "text")).when(F.col("line") % 4 == 3, "Okay.").otherwise(F.col("text"))
+    lines = lines.withColumn("text", text)
+    later = lambda k: lines.select("meeting_id", (F.col("line") - k).alias("line"), F.col("text").alias(f"r{k}"))
+    rows = lines.join(later(1), ["meeting_id", "line"], "left").join(later(2), ["meeting_id", "line"], "left").na.fill("", ["r1", "r2"])
+    n, missed, none = F.col("line"), F.lit(MISSED), F.lit("")
+    named = lambda **fields: F.struct("line", F.struct(*(c.alias(k) for k, c in fields.items())).alias("x"))
+    decision = named(
+        text=F.concat(F.lit("Decide "), n), proposal_quote=F.when(n % 9 == 6, missed).otherwise(F.col("text")), agreement_quotes=F.array(F.col("r1"), F.lit("mm hmm"), F.col("text")),
+        rejection_quotes=F.when(n % 2 == 0, F.array("r2")).otherwise(F.array(missed)), settled_quote=F.when(n % 4 == 0, F.col("r2")).when(n % 4 == 2, F.concat("r1", F.lit("?"))).otherwise(none),
+    )
+    third = F.coalesce(F.get(F.split(X.norm(F.col("text")), " "), F.lit(2)), none)
+    action = named(
+        task=F.concat(F.lit("Do "), n), task_quote=F.col("text"), owner=F.col("speaker"), owner_quote=F.when(n % 2 == 0, F.col("text")).otherwise("not there"),
+        deadline=F.when(n % 4 < 2, third).when(n % 8 == 2, "tomorrow").otherwise("Unspecified"), deadline_quote=F.col("text"), agreement_quote=F.col("r1"),
+    )
+    question = named(question=F.lit("What then"), quote=F.when(n % 5 == 0, missed).otherwise(F.col("text")))
+    take = lambda c, k, kind: F.transform(F.array_sort(F.collect_list(F.when(n % 3 == k, c))), lambda z: z["x"]).cast(record.kind_of(kind)).alias(kind)
+    listed = rows.groupBy("meeting_id").agg(take(decision, 0, "decisions"), take(action, 1, "action_items"), take(question, 2, "open_questions"))
+    empty = lambda kind: F.array().cast(record.kind_of(kind)).alias(kind)
+    draft = F.struct(empty("given"), F.lit("A summary").alias("summary"), F.array(F.lit("One point")).alias("minutes"), empty("assessments"), "decisions", "action_items", "open_questions")
+    return record.verify(listed.select("meeting_id", draft.cast(record.DRAFT).alias("draft")), lines, lines.select("meeting_id", "line").where("false"), keep=stored)
+
+
+@query(f"""WITH {RECORD}, dc AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (kept) AS k, count(*) FILTER (kept AND status = 'agreed') AS a, count(*) FILTER (kept AND status = 'uncontested') AS u, CAST(coalesce(sum(notes) FILTER (kept), 0) AS BIGINT) AS i FROM dk GROUP BY 1),
+  aa AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (kept) AS k, count(*) FILTER (kept AND status = 'agreed') AS a, CAST(coalesce(sum(lost) FILTER (kept), 0) AS BIGINT) AS lost, count(*) FILTER (kept AND undated) AS undated, count(*) FILTER (kept AND instead) AS instead FROM ak GROUP BY 1), qq AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (kept) AS k FROM qk GROUP BY 1)
+  SELECT meeting_id, coalesce(d.n, 0) AS decisions_proposed, coalesce(d.k, 0) AS decisions_kept, coalesce(d.a, 0) AS decisions_agreed, coalesce(d.u, 0) AS decisions_uncontested, coalesce(d.i, 0) AS quotes_ignored, coalesce(a.n, 0) AS actions_proposed, coalesce(a.k, 0) AS actions_kept, coalesce(a.a, 0) AS actions_agreed,
+    coalesce(a.lost, 0) AS owners_removed, coalesce(a.undated, 0) AS deadlines_removed, coalesce(a.instead, 0) AS owners_from_speaker, 0::BIGINT AS owners_from_role, coalesce(q.n, 0) AS open_questions_proposed, coalesce(q.k, 0) AS open_questions_kept, 0::BIGINT AS given_proposed, 0::BIGINT AS given_kept, 0::BIGINT AS assessments_proposed, 0::BIGINT AS assessments_kept,
+    round_even((coalesce(d.k, 0) + coalesce(a.k, 0) + coalesce(q.k, 0))::DOUBLE / nullif(coalesce(d.n, 0) + coalesce(a.n, 0) + coalesce(q.n, 0), 0), 3) AS evidence_support_rate
+  FROM (SELECT DISTINCT meeting_id FROM conv) LEFT JOIN dc d USING (meeting_id) LEFT JOIN aa a USING (meeting_id) LEFT JOIN qq q USING (meeting_id)""")
 def record_checks(spark, d):
-    return _record(spark, d)[2]["checks"]
+    return _told(spark, d)["checks"]
+
+
+@query(f"""WITH {RECORD} SELECT meeting_id, 'decisions' AS kind, CAST(item AS INT) AS item, title, status, '' AS owner, '' AS deadline, notes FROM dk WHERE kept
+  UNION ALL SELECT meeting_id, 'action_items', CAST(item AS INT), title, status, owner, deadline, notes FROM ak WHERE kept UNION ALL SELECT meeting_id, 'open_questions', CAST(item AS INT), title, '', '', '', 0 FROM qk WHERE kept""")
+def record_items(spark, d):
+    tables = _told(spark, d)
+    shown = {"decisions": ("text", F.col("status"), F.lit(""), F.lit("")), "action_items": ("task", F.col("status"), F.col("owner"), F.col("deadline")), "open_questions": ("question", F.lit(""), F.lit(""), F.lit(""))}
+    rows = None
+    for kind, (title, *rest) in shown.items():
+        own = tables[kind].select("meeting_id", F.lit(kind).alias("kind"), "item", F.col(title).alias("title"), *(c.alias(k) for k, c in zip(("status", "owner", "deadline"), rest, strict=True)))
+        rows = own if rows is None else rows.unionByName(own)
+    said = tables["notes"].groupBy("meeting_id", "kind", "item").agg(F.count(F.lit(1)).alias("notes"))
+    return rows.join(said, ["meeting_id", "kind", "item"], "left").na.fill(0, ["notes"])
 
 
 @query()

@@ -511,7 +511,7 @@ def _role_words(c: str) -> str:
 RAISED = f"""{CONV}, vo AS (SELECT meeting_id, line, text, {_norm('text')} AS n, length(text) % 7 = 0 AS dbt, CASE WHEN (line + length(text)) % 9 = 8 THEN NULL WHEN speaker = 'user' THEN 'S1' WHEN speaker = 'assistant' THEN 'S2' ELSE 'S3' END AS sid FROM conv),
   cw AS (SELECT *, string_split(n, ' ') AS w, unnest(range(0, (len(string_split(n, ' ')) + 5) // 6)) AS k FROM vo WHERE n <> ''),
   cu AS (SELECT *, w[least(6 * k, greatest(len(w) - 6, 0)) + 1 : least(6 * k, greatest(len(w) - 6, 0)) + 6] AS c, (line + k) % 8 AS h FROM cw),
-  cr AS (SELECT meeting_id, CAST(line * 10000 + k AS BIGINT) AS ord, [{_in(KINDS)}][h + 1] AS kind, CASE WHEN k % 4 = 3 THEN 's9' WHEN (h % 4 = 1) = (coalesce(sid, '') = 'S1') THEN 's2' ELSE ' S1' END AS speaker,
+  cr AS (SELECT meeting_id, CAST(line * 10000 + k AS BIGINT) AS ord, [{_in(KINDS)}][h + 1] AS kind, CASE WHEN k % 4 = 3 THEN 's9' WHEN ((h % 4 = 1) = (coalesce(sid, '') = 'S1')) <> (k % 10 = 5) THEN 's2' ELSE ' S1' END AS speaker,
     CASE WHEN h IN (2, 7) THEN CASE WHEN k % 5 = 4 THEN 'the team' ELSE 'the ' || coalesce(c[4], '') || ' ' || coalesce(c[5], '') END WHEN k % 9 = 8 THEN 'Everyone' WHEN k % 7 = 6 THEN 'Zzyzx' WHEN k % 3 = 2 THEN coalesce(c[2], '') || '  ' || coalesce(c[3], '') ELSE coalesce(c[2], '') || '!' END AS name,
     CASE WHEN h = 3 THEN CASE WHEN k % 5 = 4 THEN 'our' ELSE 'our ' || coalesce(c[CASE WHEN k % 6 = 5 THEN 9 ELSE 4 END], 'unheard') END WHEN h = 4 THEN coalesce(c[5], '') ELSE '' END AS role,
     CASE WHEN k % 2 = 0 THEN 'S1 : ' ELSE '' END || array_to_string(c, ' ') AS quote, CASE WHEN k % 11 = 10 THEN 'some line' ELSE CAST(line + k % 7 - 3 AS VARCHAR) END AS line FROM cu)"""
@@ -565,7 +565,7 @@ def checked_claims(spark, d):
     given = F.when(k % 5 == 4, "our").otherwise(F.concat(F.lit("our "), F.coalesce(F.get("c", F.when(k % 6 == 5, 8).otherwise(3)), F.lit("unheard"))))
     claims = rows.select(
         "meeting_id", (F.col("line").cast("long") * 10000 + k).alias("ord"), F.get(F.array(*map(F.lit, KINDS)), h).alias("kind"),
-        F.when(k % 4 == 3, "s9").when((h % 4 == 1) == (F.coalesce("speaker", F.lit("")) == "S1"), "s2").otherwise(" S1").alias("speaker"), name.alias("name"),
+        F.when(k % 4 == 3, "s9").when(((h % 4 == 1) == (F.coalesce("speaker", F.lit("")) == "S1")) != (k % 10 == 5), "s2").otherwise(" S1").alias("speaker"), name.alias("name"),
         F.when(h == 3, given).when(h == 4, word(4)).otherwise("").alias("role"), F.concat(F.when(k % 2 == 0, "S1 : ").otherwise(""), F.array_join("c", " ")).alias("quote"),
         F.when(k % 11 == 10, "some line").otherwise((F.col("line") + k % 7 - 3).cast("string")).alias("line"),
     )
