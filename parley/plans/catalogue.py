@@ -540,12 +540,12 @@ def _in_quote(value: str, quote: str) -> str:
 
 MISSED = "never said this at all"
 #: drafts of every meeting, where its quotes stand, and what the rules make of the items: dk decisions, ak actions, qk questions
-RECORD = f"""{CONV}, rn AS (SELECT *, {_norm('text')} AS n FROM (SELECT meeting_id, line, speaker, CASE line % 4 WHEN 1 THEN 'I''ll do it. ' || text WHEN 3 THEN 'Okay.' ELSE text END AS text FROM conv)),
+RECORD = f"""{CONV}, rn AS (SELECT *, {_norm('text')} AS n FROM (SELECT meeting_id, line, speaker, CASE WHEN line % 4 = 0 AND meeting_id % 2 = 0 THEN text || ' So the ' || speaker || ' does it by Friday.' WHEN line % 4 = 1 THEN 'I''ll do it. ' || text WHEN line % 4 = 3 THEN 'Okay.' ELSE text END AS text FROM conv)),
   rk AS (SELECT *, coalesce(sum(length(n) + 1) OVER (PARTITION BY meeting_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM rn WHERE n <> ''), rt AS (SELECT meeting_id, string_agg(n, ' ' ORDER BY line) AS txt FROM rk GROUP BY 1),
   rd AS (SELECT a.meeting_id, a.line, row_number() OVER (PARTITION BY a.meeting_id, a.line % 3 ORDER BY a.line) - 1 AS item, a.line % 3 AS kind, a.text AS t, a.speaker, coalesce(b.text, '') AS r1, coalesce(c.text, '') AS r2, coalesce(string_split(a.n, ' ')[3], '') AS w3
     FROM rn a LEFT JOIN rn b ON b.meeting_id = a.meeting_id AND b.line = a.line + 1 LEFT JOIN rn c ON c.meeting_id = a.meeting_id AND c.line = a.line + 2),
-  de AS (SELECT meeting_id, item, 'Decide ' || line AS title, CASE WHEN line % 9 = 6 THEN '{MISSED}' ELSE t END AS p, [r1, 'mm hmm', t] AS yes, CASE WHEN line % 2 = 0 THEN [r2] ELSE ['{MISSED}'] END AS no, CASE line % 4 WHEN 0 THEN r2 WHEN 2 THEN r1 || '?' ELSE '' END AS settled FROM rd WHERE kind = 0),
-  ac AS (SELECT meeting_id, item, 'Do ' || line AS title, t, speaker AS owner, CASE WHEN line % 2 = 0 THEN t ELSE 'not there' END AS oq, CASE WHEN line % 4 < 2 THEN w3 WHEN line % 8 = 2 THEN 'tomorrow' ELSE 'Unspecified' END AS deadline, r1 AS aq FROM rd WHERE kind = 1),
+  de AS (SELECT meeting_id, item, 'Decide ' || line AS title, CASE WHEN line % 9 = 6 THEN '{MISSED}' ELSE t END AS p, CASE WHEN line % 6 = 0 THEN ['mm hmm', t] ELSE [r1, 'mm hmm', t] END AS yes, CASE WHEN line % 4 = 2 OR meeting_id % 3 = 0 THEN [r2] ELSE ['{MISSED}'] END AS no, CASE line % 4 WHEN 0 THEN r2 WHEN 2 THEN r1 || '?' ELSE '' END AS settled FROM rd WHERE kind = 0),
+  ac AS (SELECT meeting_id, item, 'Do ' || line AS title, t, speaker AS owner, CASE WHEN line % 2 = 0 THEN t ELSE 'not there' END AS oq, CASE line % 4 WHEN 0 THEN 'Friday' WHEN 1 THEN w3 WHEN 2 THEN 'tomorrow' ELSE 'Unspecified' END AS deadline, r1 AS aq FROM rd WHERE kind = 1),
   qu AS (SELECT meeting_id, item, 'What then' AS title, CASE WHEN line % 5 = 0 THEN '{MISSED}' ELSE t END AS q FROM rd WHERE kind = 2),
   dq AS (SELECT meeting_id, item, 'yes' AS side, unnest(yes) AS q FROM de UNION ALL SELECT meeting_id, item, 'no', unnest(no) FROM de),
   qs AS (SELECT meeting_id, q FROM dq UNION SELECT meeting_id, unnest([p, settled]) FROM de UNION SELECT meeting_id, unnest([t, oq, aq]) FROM ac UNION SELECT meeting_id, q FROM qu),
@@ -570,20 +570,20 @@ RECORD = f"""{CONV}, rn AS (SELECT *, {_norm('text')} AS n FROM (SELECT meeting_
 def _told(spark, d):
     """Lines some of which agree or volunteer, and a draft of each meeting whose quotes are right, somebody else's or never said."""
     lines = R.conversation_lines(spark, d)
-    text = F.when(F.col("line") % 4 == 1, F.concat(F.lit("I'll do it. "), "text")).when(F.col("line") % 4 == 3, "Okay.").otherwise(F.col("text"))
+    text = F.when((F.col("line") % 4 == 0) & (F.col("meeting_id") % 2 == 0), F.concat("text", F.lit(" So the "), "speaker", F.lit(" does it by Friday."))).when(F.col("line") % 4 == 1, F.concat(F.lit("I'll do it. "), "text")).when(F.col("line") % 4 == 3, "Okay.").otherwise(F.col("text"))
     lines = lines.withColumn("text", text)
     later = lambda k: lines.select("meeting_id", (F.col("line") - k).alias("line"), F.col("text").alias(f"r{k}"))
     rows = lines.join(later(1), ["meeting_id", "line"], "left").join(later(2), ["meeting_id", "line"], "left").na.fill("", ["r1", "r2"])
     n, missed, none = F.col("line"), F.lit(MISSED), F.lit("")
     named = lambda **fields: F.struct("line", F.struct(*(c.alias(k) for k, c in fields.items())).alias("x"))
     decision = named(
-        text=F.concat(F.lit("Decide "), n), proposal_quote=F.when(n % 9 == 6, missed).otherwise(F.col("text")), agreement_quotes=F.array(F.col("r1"), F.lit("mm hmm"), F.col("text")),
-        rejection_quotes=F.when(n % 2 == 0, F.array("r2")).otherwise(F.array(missed)), settled_quote=F.when(n % 4 == 0, F.col("r2")).when(n % 4 == 2, F.concat("r1", F.lit("?"))).otherwise(none),
+        text=F.concat(F.lit("Decide "), n), proposal_quote=F.when(n % 9 == 6, missed).otherwise(F.col("text")), agreement_quotes=F.when(n % 6 == 0, F.array(F.lit("mm hmm"), F.col("text"))).otherwise(F.array(F.col("r1"), F.lit("mm hmm"), F.col("text"))),
+        rejection_quotes=F.when((n % 4 == 2) | (F.col("meeting_id") % 3 == 0), F.array("r2")).otherwise(F.array(missed)), settled_quote=F.when(n % 4 == 0, F.col("r2")).when(n % 4 == 2, F.concat("r1", F.lit("?"))).otherwise(none),
     )
     third = F.coalesce(F.get(F.split(X.norm(F.col("text")), " "), F.lit(2)), none)
     action = named(
         task=F.concat(F.lit("Do "), n), task_quote=F.col("text"), owner=F.col("speaker"), owner_quote=F.when(n % 2 == 0, F.col("text")).otherwise("not there"),
-        deadline=F.when(n % 4 < 2, third).when(n % 8 == 2, "tomorrow").otherwise("Unspecified"), deadline_quote=F.col("text"), agreement_quote=F.col("r1"),
+        deadline=F.when(n % 4 == 0, "Friday").when(n % 4 == 1, third).when(n % 4 == 2, "tomorrow").otherwise("Unspecified"), deadline_quote=F.col("text"), agreement_quote=F.col("r1"),
     )
     question = named(question=F.lit("What then"), quote=F.when(n % 5 == 0, missed).otherwise(F.col("text")))
     take = lambda c, k, kind: F.transform(F.array_sort(F.collect_list(F.when(n % 3 == k, c))), lambda z: z["x"]).cast(record.kind_of(kind)).alias(kind)
