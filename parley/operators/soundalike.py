@@ -12,17 +12,26 @@ common. So
 3. candidates are counted in full, and only those with enough in common are scored.
 
 Distinct texts take part once, however often they were said.
+
+A meeting's own glossary is short: there ``alike_in_line`` scores all stretches of a line against ``TERMS`` of its terms at a
+time, with bit-parallel rows for all places where a stretch may begin. A row goes on from word to word, so the stretches that
+begin at one place cost as much as the longest of them; only what is spelled alike enough gets sound codes. No stretch
+becomes a row.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import wordlists as W
-from parley.functions.similarity import match_score, metaphone
+from parley.functions.similarity import match_score, metaphone, ratio
+
+#: terms of a meeting that meet a line at once
+TERMS = 64
 
 
 def neighbour_pairs(text: str) -> list[str]:
@@ -109,3 +118,73 @@ def sound_alike(heard: DataFrame, terms: DataFrame, keys: list[str]) -> DataFram
     pairs = candidate_pairs(heard, terms.select(*keys, "text").where("text != ''").distinct(), keys)
     scored = pairs.withColumn("m", match_score("text", "term"))
     return scored.where((F.col("m.score") > F.col("least")) & (F.col("m.spelling") >= W.MIN_SPELLING)).select(*keys, "text", "term", "m.score", "m.sound", "m.spelling")
+
+
+def _spelled(letters: np.ndarray, begin: np.ndarray, size: np.ndarray, terms: list[str]) -> np.ndarray:
+    """Longest common subsequences of stretches of letters (begin, size) with terms of 64 letters at most."""
+    out = np.zeros((len(begin), len(terms)), np.int64)
+    masks = np.zeros((256, len(terms)), np.uint64)
+    for t, term in enumerate(terms):
+        for i, c in enumerate(term):
+            masks[ord(c), t] |= np.uint64(1 << i)
+    full = np.array([(1 << len(t)) - 1 for t in terms], np.uint64)
+    places, row_of = np.unique(begin, return_inverse=True)
+    row = np.repeat(full[None, :], len(places), 0)
+    ends = np.argsort(size, kind="stable")
+    at = np.searchsorted(size[ends], np.arange(size.max(initial=0) + 2))
+    # behind the last letter stands one that no term has
+    padded = np.append(letters, np.zeros(len(at), np.uint8))
+    for k in range(1, len(at) - 1):
+        here = masks[padded[places + k - 1]]
+        hit = row & here
+        row = (row + hit) | (row ^ hit)
+        if at[k] < at[k + 1]:
+            done = ends[at[k] : at[k + 1]]
+            out[done] = np.bitwise_count(~row[row_of[done]] & full)
+    return out
+
+
+def alike_in_line(words: list[str], closes: list[bool], unsure: list[bool], terms: list[str]) -> list[tuple[int, int, str, float, float, float]]:
+    """(first, end, term, score, sound, spelling) of the stretches within a sentence that are like a term, by the rules of
+    ``sound_alike``; words and terms are plain letters and digits, ``unsure`` tells whose score may be lower."""
+    spans = []
+    for a in range(len(words)):
+        for z in range(a + 1, min(a + W.MAX_SPAN_WORDS, len(words)) + 1):
+            spans.append((a, z, W.MATCH_SCORE_UNSURE if any(unsure[a:z]) else W.MATCH_SCORE))
+            if closes[z - 1]:
+                break
+    if not spans or not terms:
+        return []
+    a, z, least = (np.array(x) for x in zip(*spans, strict=True))
+    offset = np.cumsum([0, *map(len, words)])
+    begin, size = offset[a], offset[z] - offset[a]
+    length = np.array([len(t) for t in terms])
+    keep = (size > 0) & (2 * size >= length.min()) & (size <= 2 * length.max())
+    a, z, least, begin, size = (x[keep] for x in (a, z, least, begin, size))
+    if not len(a):
+        return []
+    letters = "".join(words)
+    common = np.zeros((len(a), len(terms)), np.int64)
+    short = np.flatnonzero(length <= 64)
+    common[:, short] = _spelled(np.frombuffer(letters.encode(), np.uint8), begin, size, [terms[t] for t in short])
+    fits = (2 * size[:, None] >= length) & (size[:, None] <= 2 * length)
+    spelling = 200.0 * common / (size[:, None] + length)
+    for i, t in np.argwhere(fits & (length > 64)):
+        spelling[i, t] = ratio(letters[begin[i] : begin[i] + size[i]], terms[t])
+    out = []
+    for i, t in np.argwhere(fits & (spelling >= W.MIN_SPELLING) & ((100 + spelling) / 2 > least[:, None])):
+        span, like = words[a[i] : z[i]], float(spelling[i, t])
+        if (len(span) == 1 and len(span[0]) < W.MIN_SPAN_CHARS) or all(w in W.COMMON_WORDS for w in span):
+            continue
+        sound = ratio(metaphone("".join(span)), metaphone(terms[t]))
+        if (sound + like) / 2 > least[i]:
+            out.append((int(a[i]), int(z[i]), terms[t], (sound + like) / 2, sound, like))
+    return out
+
+
+ALIKE = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("score", "sound", "spelling"))])
+
+
+@F.pandas_udf(T.ArrayType(ALIKE))
+def alike(words: pd.Series, closes: pd.Series, unsure: pd.Series, terms: pd.Series) -> pd.Series:
+    return pd.Series([alike_in_line(list(w), list(c), list(u), list(t)) for w, c, u, t in zip(words, closes, unsure, terms, strict=True)], dtype=object)

@@ -126,3 +126,28 @@ def test_a_long_quote_is_scored_in_few_passes(monkeypatch):
             assert len(calls) <= 40
             assert found == scan(x, t, 90.0)
         assert S.near_places(q[:300], [q[:302]], True, True, 90.0)[0] == (S.partial(q[:302], q[:300], 90.0)[0], 0)
+
+
+def test_stretches_of_a_line_against_all_pairs(monkeypatch):
+    rng, found = random.Random(4), 0
+    calls = []
+    ratio = soundalike.ratio
+    monkeypatch.setattr(soundalike, "ratio", lambda a, b: calls.append(1) or ratio(a, b))
+    for _ in range(40):
+        words = ["".join(rng.choice("abdeikrst") for _ in range(rng.randint(0, 7))) for _ in range(30)]
+        terms = sorted({("".join(words[k : k + rng.randint(1, 3)])[1:] + rng.choice("aek")) * rng.choice((1, 1, 1, 9)) for k in range(0, 28, 4)} - {""})
+        closes, unsure = [rng.random() < 0.1 for _ in words], [rng.random() < 0.1 for _ in words]
+        want = set()
+        for a in range(len(words)):
+            for z in range(a + 1, min(a + 5, len(words)) + 1):
+                text, least = "".join(words[a:z]), 75 if any(unsure[a:z]) else 82
+                if not any(closes[a : z - 1]) and text and not (z == a + 1 and len(text) < 4):
+                    for t in terms:
+                        sound, spelling, score = S.sound_and_spelling(text, t)
+                        if score > least and spelling >= 60 and 2 * len(text) >= len(t) and len(text) <= 2 * len(t):
+                            want.add((a, z, t, score, sound, spelling))
+        assert set(soundalike.alike_in_line(words, closes, unsure, terms)) == want
+        found += len(want)
+    assert found > 100
+    # few pairs of the 40 lines' some 30,000 get to the slow comparison
+    assert len(calls) < 9000
