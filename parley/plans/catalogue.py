@@ -372,7 +372,8 @@ GUARD = rf"""{HINTS}, gl AS (SELECT meeting_id, line, arg_min({{'heard': heard,
 @query(f"""WITH RECURSIVE {GUARD} SELECT meeting_id, line, CAST(ord AS INT) AS ord, array_to_string(bef, ' ') AS before, array_to_string(aft, ' ') AS after, CASE WHEN no IS NULL THEN 'applied' ELSE 'blocked' END AS status, coalesce(no, 'matches a glossary term') AS reason FROM gz""")
 def guard_edits(spark, d):
     lines, terms, doubtful = _hint_inputs(spark, d)
-    hints = glossary.find_hints(lines, terms, doubtful)
+    # read several times below
+    hints = stored(glossary.find_hints(lines, terms, doubtful))
     answer = hints.groupBy("meeting_id", "line").agg(F.min_by(F.struct("heard", "term"), "first").alias("h")).join(lines.select("meeting_id", "line", "text"), ["meeting_id", "line"])
     answer = answer.groupBy("meeting_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("line").cast("string"), F.replace("text", F.col("h.heard"), F.col("h.term"))))).alias("lines"))).alias("reply"))
     return glossary.refine(lines, terms, hints, answer)["edits"]
