@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators.turns import BUCKET_S
+from parley.operators.turns import BUCKET_S, near_pairs
 
 GOLD_REACH = 0.5
 
@@ -18,12 +18,9 @@ def gold_speakers(words: DataFrame, gold: DataFrame, key: list[str], reach: floa
 
     gold: meeting_id, start, end, speaker. Of equal ones the earliest gold word counts.
     """
-    bucket = lambda c: F.floor(c / F.lit(BUCKET_S))
-    w = words.withColumns({"_lo": bucket(F.col("start")), "_b": F.explode(F.sequence(bucket(F.col("start")), bucket(F.greatest("start", "end"))))})
-    g = gold.select("meeting_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("speaker").alias("_g"))
-    g = g.withColumns({"_glo": bucket(F.col("_s") - reach), "_b": F.explode(F.sequence(bucket(F.col("_s") - reach), bucket(F.greatest("_s", "_e") + reach)))})
+    pairs = near_pairs(words.select("meeting_id", *(k for k in key if k != "meeting_id"), "start", "end"), gold.select("meeting_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("speaker").alias("_g")), reach, BUCKET_S)
     score = F.least("end", "_e") - F.greatest("start", "_s")
-    pairs = w.join(g, ["meeting_id", "_b"]).where(F.col("_b") == F.greatest("_lo", "_glo")).withColumn("_score", score).where(F.col("_score") > -reach)
+    pairs = pairs.withColumn("_score", score).where(F.col("_score") > -reach)
     best = pairs.groupBy(*key).agg(F.max_by("_g", F.struct("_score", (-F.col("_s")).alias("s"), (-F.col("_e")).alias("e"))).alias("gold"))
     return words.join(best, key, "left")
 

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pandas as pd
 
-from parley.operators import evaluate
+from pyspark.sql import functions as F
+
+from parley.operators import evaluate, turns
 
 
 def swept(gold: pd.DataFrame, ours: pd.DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> tuple[float, float]:
@@ -89,3 +91,15 @@ def test_sweep_of_turns(spark):
             r = got[m]
             assert abs(r["error_s"] - wrong) < 1e-5 and abs(r["scored_s"] - total) < 1e-5 and (r["der"] is None) == (total < 1e-9)
             assert abs(r["missed_s"] + r["false_s"] + r["confused_s"] - r["error_s"]) < 1e-5
+
+
+def test_gold_words_are_dealt_out_by_length_and_not_by_half_minutes(spark):
+    day = 86400.0
+    gold = spark.createDataFrame([(1, 0.0, day, "A"), (1, day, 2 * day, "B"), (1, 2 * day + 400, 2 * day + 401, "C")], "meeting_id long, start double, end double, speaker string")
+    words = spark.createDataFrame([(1, 0, 10.0, 11.0), (1, 1, day - 5, day + 9), (1, 2, 2 * day + 100, 2 * day + 101), (1, 3, 0.0, 3 * day), (1, 4, 5 * day, 6 * day)], "meeting_id long, line int, start double, end double")
+    assert {r["line"]: r["gold"] for r in evaluate.gold_speakers(words, gold, ["meeting_id", "line"], 900.0).collect()} == {0: "A", 1: "B", 2: "B", 3: "A", 4: None}
+    pairs = turns.near_pairs(words, gold.select("meeting_id", F.col("start").alias("_s"), F.col("end").alias("_e")), 900.0, 30.0)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "_b" in plan
+    # thousands of half minutes, but few meetings of a word and a gold word
+    assert pairs.count() <= 15
