@@ -115,25 +115,41 @@ def _banded(x: np.ndarray, y: np.ndarray, reach: int, error: int) -> int:
     shifted[reach : reach + len(y)] = y
     first = np.arange(width) - reach
     row = np.where(first >= 0, first * gap, far)
+    lost = np.empty_like(row)
     for i, w in enumerate(x):
         other = row + error * (shifted[i : i + width] != w)
-        lost = np.append(row[1:], far) + gap
-        row = np.minimum.accumulate(np.minimum(other, lost) - step) + step
+        np.add(row[1:], gap, out=lost[:-1])
+        lost[-1] = far
+        np.minimum(other, lost, out=other)
+        other -= step
+        np.minimum.accumulate(other, out=row)
+        row += step
     return int(row[len(y) - len(x) + reach])
 
 
+#: diagonals beside the main ones that are tried first
+REACH = 160
+
+
 def edit_counts(a: list[str], b: list[str]) -> tuple[int, int, int]:
     """Words of a that b says otherwise, lost ones and added ones: the fewest in all, of equally few as many of the first kind
     as can be. Work grows with the length times the errors: the table is filled near its diagonal, further from it only
     where the errors found don't fit in."""
     code: dict[str, int] = {}
     x, y = (np.array([code.setdefault(w, len(code)) for w in t], int) for t in (a, b))
+    # what both begin and end with costs nothing
+    short = min(len(x), len(y))
+    same = int(np.argmin(np.append(x[:short] == y[:short], False)))
+    x, y, short = x[same:], y[same:], short - same
+    same = int(np.argmin(np.append(x[::-1][:short] == y[::-1][:short], False)))
+    x, y = x[: len(x) - same], y[: len(y) - same]
     n, m = len(x), len(y)
     error = n + m + 1
-    reach = abs(n - m) + 16
+    # up to so wide a row costs little more than a narrow one, and the table is filled once
+    reach = min(max(n, m), abs(n - m) + REACH)
     while True:
         errors, gaps = divmod(_banded(x, y, reach, error), error)
-        if errors <= reach:
+        if errors <= reach or reach >= max(n, m):
             lost = (gaps + n - m) // 2
             return errors - gaps, lost, gaps - lost
         reach = min(2 * reach, errors)

@@ -103,3 +103,14 @@ def test_gold_words_are_dealt_out_by_length_and_not_by_half_minutes(spark):
     assert "SortMergeJoin" in plan and "_b" in plan
     # thousands of half minutes, but few meetings of a word and a gold word
     assert pairs.count() <= 15
+
+
+def test_word_errors_fill_the_table_once(monkeypatch):
+    calls, banded = [], evaluate._banded
+    monkeypatch.setattr(evaluate, "_banded", lambda *a: calls.append(len(a[0])) or banded(*a))
+    words = [f"w{i % 61}" for i in range(400)]
+    heard = words[80:160] + [w + "x" for w in words[160:240]] + words[240:320] * 2
+    evaluate.edit_counts(words, heard)
+    assert len(calls) == 1
+    calls.clear()
+    assert evaluate.edit_counts(words, words[:200] + ["y"] + words[201:]) == (1, 0, 0) and calls == [1]
