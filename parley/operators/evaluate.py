@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as X
 from parley.operators.turns import BUCKET_S, near_pairs
@@ -67,8 +68,16 @@ def cheapest_columns(cost: np.ndarray) -> np.ndarray:
 def best_mapping(counts: pd.DataFrame) -> list[tuple[str, str, int]]:
     """One-to-one mapping of speakers to gold speakers with the most words in common; of equally good ones the first in the
     order of names, speaker by speaker of the shorter side."""
-    ours, theirs = sorted(set(counts["speaker"])), sorted(set(counts["gold"]))
-    table = counts.pivot_table(index="speaker", columns="gold", values="n", aggfunc="sum", fill_value=0).reindex(index=ours, columns=theirs, fill_value=0).to_numpy(float)
+    return mapped_pairs(list(zip(counts["speaker"], counts["gold"], counts["n"], strict=True)))
+
+
+def mapped_pairs(counts: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """``best_mapping`` of (speaker, gold, n)."""
+    ours, theirs = sorted({s for s, _, _ in counts}), sorted({g for _, g, _ in counts})
+    row, column = {s: i for i, s in enumerate(ours)}, {g: i for i, g in enumerate(theirs)}
+    table = np.zeros((len(ours), len(theirs)))
+    for s, g, n in counts:
+        table[row[s], column[g]] += n
     swap = len(ours) > len(theirs)
     gain = table.T if swap else table
     few, many = (theirs, ours) if swap else (ours, theirs)
@@ -87,16 +96,15 @@ def best_mapping(counts: pd.DataFrame) -> list[tuple[str, str, int]]:
     return [((b, a) if swap else (a, b)) + (int(n) if float(n).is_integer() else n,) for a, b, n in rows]
 
 
-def speaker_mapping(counts: DataFrame) -> DataFrame:
-    """(meeting_id, speaker, gold, n): few speakers a meeting, so a meeting's counts fit a task."""
-    kind = counts.schema["meeting_id"].dataType.simpleString()
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("speaker", T.StringType()), T.StructField("gold", T.StringType()), T.StructField("n", T.LongType())])))
+def mapped(counts: pd.Series) -> pd.Series:
+    return pd.Series([mapped_pairs([(x["speaker"], x["gold"], x["n"]) for x in c]) for c in counts], dtype=object)
 
-    def mapped(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(best_mapping(pdf), columns=["speaker", "gold", "n"])
-        out.insert(0, "meeting_id", pdf["meeting_id"].iloc[0])
-        return out
 
-    return counts.groupBy("meeting_id").applyInPandas(mapped, f"meeting_id {kind}, speaker string, gold string, n long")
+def speaker_mapping(counts: DataFrame) -> DataFrame:
+    """(meeting_id, speaker, gold, n): few speakers a meeting, so a meeting's counts are one row, and many meetings a batch."""
+    said = counts.groupBy("meeting_id").agg(F.collect_list(F.struct("speaker", "gold", F.col("n").cast("double").alias("n"))).alias("c"))
+    return said.select("meeting_id", F.explode(mapped("c")).alias("x")).select("meeting_id", "x.*")
 
 
 def right_speaker(counts: DataFrame) -> DataFrame:

@@ -114,3 +114,12 @@ def test_word_errors_fill_the_table_once(monkeypatch):
     assert len(calls) == 1
     calls.clear()
     assert evaluate.edit_counts(words, words[:200] + ["y"] + words[201:]) == (1, 0, 0) and calls == [1]
+
+
+def test_speakers_of_many_meetings_are_mapped_in_a_batch(spark):
+    rows = [(m, s, g, (m * 7 + i * j) % 5 + 1) for m in range(40) for i, s in enumerate("AB") for j, g in enumerate("xyz")]
+    counts = spark.createDataFrame(rows, "meeting_id long, speaker string, gold string, n long")
+    out = evaluate.speaker_mapping(counts)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    want = {(m, *x) for m in range(40) for x in evaluate.best_mapping(pd.DataFrame([r[1:] for r in rows if r[0] == m], columns=["speaker", "gold", "n"]))}
+    assert {tuple(r) for r in out.collect()} == want
