@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,60 +179,141 @@ def word_errors(pairs: DataFrame) -> DataFrame:
     return rows.select("meeting_id", "substitutions", "deletions", "insertions", "errors", "words", (F.col("errors") / F.nullif(F.col("words"), F.lit(0))).alias("wer"))
 
 
-#: microseconds of a meeting that are swept in one go
-SWEEP_US = 600_000_000
+#: microseconds of a meeting that are swept in one go: a day
+SWEEP_US = 86_400_000_000
+_SWEPT = ("n", "scored", "missed", "false", "both")
 
 
-def _voices(turns: DataFrame, kind: str) -> DataFrame:
+def _turn_rows(turns: DataFrame, gold: bool, half: int) -> DataFrame:
+    """(meeting_id, sweep, gold, speaker, a, b): turns in microseconds, one row for each sweep that they or their collars touch."""
     us = lambda c: F.round(F.col(c).cast("double") * 1e6).cast("long")
-    return turns.where("speaker is not null").select("meeting_id", F.lit(kind).alias("kind"), F.col("speaker").cast("string").alias("speaker"), us("start").alias("a"), us("end").alias("b"))
-
-
-def _dealt(intervals: DataFrame) -> DataFrame:
-    """Intervals cut where a sweep ends and dealt by sweep; those of one voice that touch or overlap are one."""
-    sweep = lambda c: ((c - F.pmod(c, F.lit(SWEEP_US))) / SWEEP_US).cast("long")
-    cut = intervals.where("b > a").withColumn("sweep", F.explode(F.sequence(sweep(F.col("a")), sweep(F.col("b") - 1))))
-    cut = cut.withColumns({"a": F.greatest("a", F.col("sweep") * SWEEP_US), "b": F.least("b", (F.col("sweep") + 1) * SWEEP_US)}).repartition("meeting_id", "sweep")
-    voice = ["meeting_id", "sweep", "kind", "speaker"]
-    w = Window.partitionBy(*voice).orderBy("a", "b")
-    opens = F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = cut.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*voice, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
+    rows = turns.where("speaker is not null").select("meeting_id", F.lit(gold).alias("gold"), F.col("speaker").cast("string").alias("speaker"), us("start").alias("a"), us("end").alias("b"))
+    sweep = lambda c: F.floor((c - F.pmod(c, F.lit(SWEEP_US))) / SWEEP_US)
+    low, high = (F.coalesce(c, F.lit(0)) for c in (F.least("a", "b") - half, F.greatest("a", "b") + half - 1))
+    return rows.withColumn("sweep", F.explode(F.sequence(sweep(low), sweep(F.greatest(low, high)))))
+
+
+def _unions(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals that touch or overlap made one, in order."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    apart = a[1:] > b[:-1]
+    return a[np.append(True, apart)[: len(a)]], b[np.append(apart, True)[: len(b)]]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) for every place from low to high, row by row."""
+    n = np.maximum(high - low, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+
+
+def sweep_turns(group: np.ndarray, gold: np.ndarray, speaker: np.ndarray, a: np.ndarray, b: np.ndarray, half: int, skip_overlap: bool) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
+    """Turns of many groups (0, 1, ...) at once, times within 0..SWEEP_US once they are cut: sums a group (scored, missed, false,
+    both), and (group, our speaker, gold speaker, n) of the pairs that share scored time."""
+    span = SWEEP_US + 1
+    groups = int(group[-1]) + 1 if len(group) else 0
+    cut = lambda x: np.clip(x, 0, SWEEP_US)
+    # a voice's turns are one where they touch; one line of time for all voices, then one for all groups
+    real = cut(b) > cut(a)
+    names = int(speaker.max()) + 1 if len(speaker) else 1
+    voice, of = np.unique((2 * group[real] + gold[real]) * names + speaker[real], return_inverse=True)
+    va, vb = _unions(cut(a[real]) + of * span, cut(b[real]) + of * span)
+    of = va // span
+    side_of, who = np.divmod(voice[of], names)
+    place, theirs = side_of // 2 * span, side_of % 2 == 1
+    va, vb = va - of * span + place, vb - of * span + place
+    side = {}
+    for name, mine in (("gold", theirs), ("ours", ~theirs)):
+        order = np.flatnonzero(mine)[np.argsort(va[mine], kind="stable")]
+        side[name] = va[order], vb[order], who[order]
+    marks = np.concatenate([a[gold == 1], b[gold == 1]])
+    at = np.concatenate([group[gold == 1]] * 2) * span
+    low, high = cut(marks - half), cut(marks + half)
+    side["collar"] = (at + low)[high > low], (at + high)[high > low], None
+
+    times = np.unique(np.concatenate([x for s in side.values() for x in s[:2]]))
+    where = lambda t: np.searchsorted(times, t)
+    open_ = {k: np.cumsum(np.bincount(where(x), minlength=len(times)) - np.bincount(where(y), minlength=len(times))) for k, (x, y, _) in side.items()}
+    g, o = open_["gold"], open_["ours"]
+    scored = (open_["collar"] == 0) & (g + o > 0) & ((g <= 1) | (not skip_overlap))
+    length = np.where(scored, np.diff(times, append=times[-1:]), 0)
+    # below 2^53, so sums of doubles are exact
+    total = lambda n: np.bincount(times // span, weights=n * length, minlength=groups).astype(np.int64)
+    sums = {"scored": total(g), "missed": total(np.maximum(g - o, 0)), "false": total(np.maximum(o - g, 0)), "both": total(np.minimum(g, o))}
+
+    # two voices meet where the later one begins
+    (ga, gb, gs), (oa, ob, os_) = side["gold"], side["ours"]
+    i, j = _ranges(np.searchsorted(ga, oa, "left"), np.searchsorted(ga, ob, "left"))
+    k, m = _ranges(np.searchsorted(oa, ga, "right"), np.searchsorted(oa, gb, "left"))
+    x, y = np.concatenate([i, m]), np.concatenate([j, k])
+    before = np.append(0, np.cumsum(length))
+    n = before[where(np.minimum(ob[x], gb[y]))] - before[where(np.maximum(oa[x], ga[y]))]
+    x, y, n = x[n > 0], y[n > 0], n[n > 0]
+    pair, of = np.unique((oa[x] // span * names + os_[x]) * names + gs[y], return_inverse=True)
+    n = np.bincount(of, weights=n, minlength=len(pair)).astype(np.int64)
+    return sums, (pair // names // names, pair // names % names, pair % names, n)
+
+
+def _swept(half: int, skip_overlap: bool):
+    """Rows in order of meeting and sweep to sums and shared times; a sweep may reach over several batches."""
+    def swept(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(pieces).combine_chunks()
+        meeting = t["meeting_id"].combine_chunks().dictionary_encode()
+        sweep = t["sweep"].to_numpy()
+        code = meeting.indices.fill_null(-1).to_numpy()
+        begins = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (sweep[1:] != sweep[:-1])))
+        group = np.zeros(len(sweep), np.int64)
+        group[begins[1:]] = 1
+        group = np.cumsum(group)
+        names = t["speaker"].combine_chunks().dictionary_encode()
+        # without a begin or an end a turn is no more than its mark
+        ends = [pc.coalesce(t[c], t[d]).fill_null(-(1 << 60)).to_numpy() - sweep * SWEEP_US for c, d in (("a", "b"), ("b", "a"))]
+        sums, (g, speaker, gold, n) = sweep_turns(group, t["gold"].to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64), *ends, half, skip_overlap)
+        rows = np.concatenate([begins, begins[g]])
+        none, zero = pa.nulls(len(begins), pa.string()), np.zeros(len(g), np.int64)
+        said = [pa.concat_arrays([none, names.dictionary.take(pa.array(x))]) for x in (speaker, gold)]
+        numbers = [pa.array(np.concatenate([np.zeros(len(begins), np.int64), n]))] + [pa.array(np.concatenate([sums[k], zero])) for k in _SWEPT[1:]]
+        return pa.RecordBatch.from_arrays([t["meeting_id"].combine_chunks().take(pa.array(rows)), *said, *numbers], ["meeting_id", "speaker", "gold", *_SWEPT])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = lambda batch, i: (batch["meeting_id"][i].as_py(), batch["sweep"][i].as_py())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = key(batch, batch.num_rows - 1)
+            if key(batch, 0) == last:
+                begin = 0
+            else:
+                sweep, code = batch["sweep"].to_numpy(), batch["meeting_id"].dictionary_encode().indices.fill_null(-1).to_numpy()
+                begin = int(np.flatnonzero((sweep != sweep[-1]) | (code != code[-1]))[-1]) + 1
+            if begin or held and key(held[-1], held[-1].num_rows - 1) != last:
+                yield swept(held + ([batch.slice(0, begin)] if begin else []))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield swept(held)
+
+    return run
 
 
 def diarization_errors(gold: DataFrame, ours: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
     """(meeting_id, missed_s, false_s, confused_s, error_s, scored_s, der) of turns (meeting_id, start, end, speaker): missed,
     false and confused speech over gold speech, in whole microseconds until the last step.
 
-    A sweep over the borders of all turns counts who speaks, ten minutes of a meeting at a time, so a long meeting is dealt
-    over many tasks. ``collar`` seconds around each gold border, half on each side, aren't scored, with ``skip_overlap`` nor
-    is what several gold speakers say at once. Speakers are mapped one to one with the most shared time. Turns without a
-    speaker don't count; der is null where no gold speech is scored."""
-    theirs, mine = _voices(gold, "gold"), _voices(ours, "ours")
-    meetings = theirs.select("meeting_id").union(mine.select("meeting_id")).distinct()
+    A sweep over the borders of all turns counts who speaks, a day of a meeting at a time and many meetings in a batch of numpy;
+    a turn is shuffled once. ``collar`` seconds around each gold border, half on each side, aren't scored, with
+    ``skip_overlap`` nor is what several gold speakers say at once. Speakers are mapped one to one with the most shared
+    time. Turns without a speaker don't count; der is null where no gold speech is scored."""
     half = round(collar * 1e6 / 2)
-    border = theirs.select("meeting_id", F.lit("collar").alias("kind"), F.lit("").alias("speaker"), F.explode(F.array("a", "b")).alias("m"))
-    turns = _dealt(theirs.unionByName(mine).unionByName(border.select("meeting_id", "kind", "speaker", (F.col("m") - half).alias("a"), (F.col("m") + half).alias("b"))))
-
-    step = F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d"))))
-    steps = turns.select("meeting_id", "sweep", "kind", step.alias("x")).groupBy("meeting_id", "sweep", F.col("x.t").alias("a"))
-    steps = steps.agg(*(F.sum(F.when(F.col("kind") == k, F.col("x.d")).otherwise(0)).alias(k) for k in ("gold", "ours", "collar")))
-    w = Window.partitionBy("meeting_id", "sweep").orderBy("a")
-    open_ = lambda k: F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(k)
-    stretches = steps.select("meeting_id", "sweep", "a", F.lead("a").over(w).alias("b"), open_("gold"), open_("ours"), open_("collar")).where("collar = 0 and gold + ours > 0")
-    stretches = stretches.where("gold <= 1") if skip_overlap else stretches
-    for_ = lambda n: F.sum(n * (F.col("b") - F.col("a")))
-    g, o = F.col("gold"), F.col("ours")
-    totals = stretches.groupBy("meeting_id").agg(for_(g).alias("scored"), for_(F.greatest(g - o, F.lit(0))).alias("missed"), for_(F.greatest(o - g, F.lit(0))).alias("false"), for_(F.least(g, o)).alias("both"))
-
-    at = stretches.where("gold > 0 and ours > 0").select("meeting_id", "sweep", "a", "b")
-    for kind, name in (("gold", "gold"), ("ours", "speaker")):
-        said = turns.where(F.col("kind") == kind).select("meeting_id", "sweep", F.col("speaker").alias(name), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        at = at.join(said, ["meeting_id", "sweep"]).where("_a <= a and b <= _b").drop("_a", "_b")
-    shared = at.groupBy("meeting_id", "speaker", "gold").agg(F.sum(F.col("b") - F.col("a")).alias("n"))
-    right = speaker_mapping(shared).groupBy("meeting_id").agg(F.sum("n").alias("right"))
-
-    rows = meetings.join(totals, "meeting_id", "left").join(right, "meeting_id", "left").na.fill(0, ["scored", "missed", "false", "both", "right"])
+    rows = _turn_rows(gold, True, half).unionByName(_turn_rows(ours, False, 0))
+    kept = T.StructType([rows.schema["meeting_id"], T.StructField("speaker", T.StringType()), T.StructField("gold", T.StringType()), *(T.StructField(k, T.LongType()) for k in _SWEPT)])
+    swept = rows.repartition("meeting_id", "sweep").sortWithinPartitions("meeting_id", "sweep").mapInArrow(_swept(half, skip_overlap), kept)
+    swept = swept.groupBy("meeting_id", "speaker", "gold").agg(*(F.sum(k).alias(k) for k in _SWEPT))
+    shared = F.collect_list(F.when(F.col("speaker").isNotNull(), F.struct("speaker", "gold", F.col("n").cast("double").alias("n"))))
+    rows = swept.groupBy("meeting_id").agg(shared.alias("c"), *(F.sum(k).alias(k) for k in _SWEPT[1:])).withColumn("m", mapped("c"))
+    rows = rows.withColumn("right", F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
     wrong = {"missed_s": F.col("missed"), "false_s": F.col("false"), "confused_s": F.col("both") - F.col("right"), "error_s": F.col("missed") + F.col("false") + F.col("both") - F.col("right"), "scored_s": F.col("scored")}
     return rows.select("meeting_id", *((c / 1e6).alias(k) for k, c in wrong.items()), (wrong["error_s"] / F.nullif(F.col("scored"), F.lit(0))).alias("der"))
 

@@ -93,6 +93,33 @@ def test_sweep_of_turns(spark):
             assert abs(r["missed_s"] + r["false_s"] + r["confused_s"] - r["error_s"]) < 1e-5
 
 
+def test_turns_are_shuffled_once_and_sweeps_reach_over_batches(spark):
+    dice = random.Random(8)
+    turn = lambda m, who: (m, start := round(dice.uniform(86300, 86500) if dice.random() < 0.5 else dice.uniform(0, 4000), 3), round(start + dice.choice([0, 0.2, 5, 90, 3600]), 3), dice.choice(who))
+    gold = [turn(m, "ABC") for m in range(5) for _ in range(30)]
+    ours = [turn(m, "wxyz") for m in range(5) for _ in range(30)]
+    kind = "meeting_id long, start double, end double, speaker string"
+    frames = [spark.createDataFrame(x, kind) for x in (gold + [(7, None, None, "A")], ours)]
+    plain = [pd.DataFrame(x, columns=["meeting_id", "start", "end", "speaker"]) for x in (gold, ours)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        for collar, skip in ((0.0, False), (0.25, True)):
+            out = evaluate.diarization_errors(*frames, collar, skip)
+            got = {r["meeting_id"]: r for r in out.collect()}
+            assert set(got) == {*range(5), 7} and got[7]["scored_s"] == 0 and got[7]["der"] is None
+            for m in range(5):
+                wrong, total = swept(*(x[x["meeting_id"] == m] for x in plain), collar, skip)
+                assert abs(got[m]["error_s"] - wrong) < 1e-5 and abs(got[m]["scored_s"] - total) < 1e-5
+    finally:
+        spark.conf.set(key, before)
+    # nothing is joined, and an hour's turn isn't cut into parts of ten minutes
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    hour = spark.createDataFrame([(1, 100.0, 3700.0, "A")], kind)
+    assert evaluate._turn_rows(hour, True, 125_000).count() == 1
+
+
 def test_gold_words_are_dealt_out_by_length_and_not_by_half_minutes(spark):
     day = 86400.0
     gold = spark.createDataFrame([(1, 0.0, day, "A"), (1, day, 2 * day, "B"), (1, 2 * day + 400, 2 * day + 401, "C")], "meeting_id long, start double, end double, speaker string")
