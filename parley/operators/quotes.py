@@ -2,19 +2,21 @@
 
 The normalised undoubted lines of a meeting, joined by spaces, are its text; a quote is found where it reads best, at
 ``QUOTE_SCORE`` percent or more, earliest on ties. No row holds a meeting's text: it is cut into parts of ``PART`` characters
-(and as many more as its longest quote has, so that a place lies whole in the part where it begins). Parts meet quotes in
-batches of ``BATCH``:
+(and as many more as its longest quote has, so that a place lies whole in the part where it begins). Quotes and lines are
+shuffled once, by meeting; parts meet quotes in batches of ``BATCH``, and a batch carries all that is known of its quotes, so
+that nothing is joined back:
 
-1. Exact places are found in the JVM; most quotes end there.
+1. Exact places are found first; most quotes end there.
 2. What is left goes by a seed index of the part (``similarity.near_places``): a quote that lacks at most d characters, with
    as many foreign ones between, is cut into 2d + 1 pieces, one of which must stand there whole. So short strings of the
    quote are looked up among the part's, and only windows near enough of them are scored.
-3. Over parts, the best score wins.
+3. Over parts, the best score wins. A part knows where its lines begin, so a place comes with its line.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,47 +37,78 @@ def quote_index(lines: DataFrame, doubtful: DataFrame) -> DataFrame:
 
 
 def text_parts(index: DataFrame, longest: DataFrame, part: int = PART) -> DataFrame:
-    """(meeting_id, part, base, text, first, last): stretches of the text from every multiple of ``part`` on, each with what
-    the longest quote (meeting_id, longest) needs behind it; meetings without quotes have none."""
+    """(meeting_id, part, base, text, first, last, lines): stretches of the text from every multiple of ``part`` on, each with
+    what the longest quote (meeting_id, longest) needs behind it, and the lines (at, line, start, speaker) in it; meetings
+    without quotes have none."""
     size = F.length("n") + 1
-    rows = index.join(longest, "meeting_id").select("meeting_id", "longest", "offset", F.concat("n", F.lit(" ")).alias("t"), F.max(F.col("offset") + size).over(Window.partitionBy("meeting_id")).alias("total"))
+    rows = index.join(longest, "meeting_id").select("meeting_id", "longest", "offset", "line", "start", "speaker", F.concat("n", F.lit(" ")).alias("t"), F.max(F.col("offset") + size).over(Window.partitionBy("meeting_id")).alias("total"))
     # a very long line is cut as well
     cut = F.sequence(F.lit(0), F.length("t") - 1, F.lit(part))
-    rows = rows.withColumn("c", F.explode(cut)).select("meeting_id", "longest", "total", (F.col("offset") + F.col("c")).alias("at"), F.expr(f"substring(t, c + 1, {part})").alias("t"))
+    rows = rows.withColumn("c", F.explode(cut)).select("meeting_id", "longest", "total", "line", "start", "speaker", (F.col("offset") + F.col("c")).alias("at"), F.expr(f"substring(t, c + 1, {part})").alias("t"))
     low = F.greatest(F.lit(0), F.floor((F.col("at") - F.col("longest")) / part))
     rows = rows.withColumn("part", F.explode(F.sequence(low, F.floor((F.col("at") + F.length("t") - 1) / part))))
-    pieces = F.array_sort(F.collect_list(F.struct("at", "t")))
-    made = rows.groupBy("meeting_id", "part").agg(F.min("at").alias("base"), F.array_join(F.transform(pieces, lambda p: p["t"]), "").alias("text"), F.first("total").alias("total"))
+    pieces = F.array_sort(F.collect_list(F.struct("at", "t", "line", "start", "speaker")))
+    made = rows.groupBy("meeting_id", "part").agg(F.min("at").alias("base"), pieces.alias("p"), F.first("total").alias("total"))
+    made = made.withColumns({"text": F.array_join("p.t", ""), "lines": F.arrays_zip("p.at", "p.line", "p.start", "p.speaker")})
     last = F.col("base") + F.length("text") >= F.col("total")
-    return made.select("meeting_id", "part", "base", F.when(last, F.rtrim("text")).otherwise(F.col("text")).alias("text"), (F.col("base") == 0).alias("first"), last.alias("last"))
+    return made.select("meeting_id", "part", "base", F.when(last, F.rtrim("text")).otherwise(F.col("text")).alias("text"), (F.col("base") == 0).alias("first"), last.alias("last"), "lines")
 
 
-def _batched(asked: DataFrame, batch: int) -> DataFrame:
-    """(meeting_id, qs): a meeting's distinct normalised quotes, some at a time."""
+def _batched(rows: DataFrame, batch: int) -> DataFrame:
+    """(meeting_id, _b, asked): a meeting's quotes with all their columns, some at a time; rows without a quote are left out."""
     n = F.count(F.lit(1)).over(Window.partitionBy("meeting_id"))
-    return asked.withColumn("_b", F.pmod(F.xxhash64("q"), F.ceil(n / batch))).groupBy("meeting_id", "_b").agg(F.collect_list("q").alias("qs")).drop("_b")
-
-
-def _near(least: float):
-    @F.pandas_udf("array<struct<score:double,pos:int>>")
-    def near(text: pd.Series, first: pd.Series, last: pd.Series, qs: pd.Series) -> pd.Series:
-        return pd.Series([[{"score": s, "pos": p} for s, p in near_places(t, list(q), a, z, least)] for t, a, z, q in zip(text, first, last, qs, strict=True)])
-
-    return near
+    columns = [c for c in rows.columns if c != "meeting_id"]
+    # behind the window, so that q isn't made twice
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("q"), F.ceil(n / batch))).where("q != ''")
+    return rows.groupBy("meeting_id", "_b").agg(F.collect_list(F.struct(*columns)).alias("asked"))
+
+
+FOUND = "array<struct<lost:double,pos:int,piece:int>>"
+
+
+def _look(least: float | None):
+    """Where each quote stands in its part: 100 less its score, place and number of the piece there; null if it isn't found."""
+    @F.arrow_udf(FOUND)
+    def look(text: pa.Array, first: pa.Array, last: pa.Array, ats: pa.Array, qs: pa.Array) -> pa.Array:
+        lost, pos, piece, ends = [], [], [], [0]
+        for t, a, z, at, asked in zip(*(x.to_pylist() for x in (text, first, last, ats, qs)), strict=True):
+            places = [t.find(q) for q in asked]
+            scores = [100.0] * len(asked)
+            if least is not None and (left := [i for i, p in enumerate(places) if p < 0]):
+                for i, (score, p) in zip(left, near_places(t, [asked[i] for i in left], a, z, least), strict=True):
+                    scores[i], places[i] = score, p
+            piece.append(np.searchsorted(np.array(at, np.int64) - at[0], np.array(places, np.int64), "right") - 1)
+            lost += scores
+            pos += places
+            ends.append(len(pos))
+        pos, piece = np.array(pos, np.int32), np.concatenate([np.zeros(0, np.int64), *piece]).astype(np.int32)
+        fields = [pa.array(100.0 - np.array(lost, float)), pa.array(pos), pa.array(piece)]
+        found = pa.StructArray.from_arrays(fields, ["lost", "pos", "piece"], mask=pa.array(pos < 0))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+    return look
+
+
+def _found(rows: DataFrame, longest: DataFrame, index: DataFrame, exact_only: bool, least: float, part: int, batch: int) -> DataFrame:
+    """rows (meeting_id, q, ...) with pos, line, start and speaker; only those that are found. longest: as ``text_parts`` has it."""
+    tried = text_parts(index, longest, part).join(_batched(rows, batch), "meeting_id")
+    tried = tried.withColumn("found", _look(None if exact_only else least)("text", "first", "last", "lines.at", "asked.q"))
+
+    def placed(x):
+        line = F.get("lines", x["piece"])
+        return F.when(x.isNotNull(), F.struct(x["lost"].alias("lost"), (F.col("base") + x["pos"]).cast("int").alias("pos"), line["line"].alias("line"), line["start"].alias("start"), line["speaker"].alias("speaker")))
+
+    each = tried.select("meeting_id", "_b", "asked", F.transform("found", placed).alias("found")).groupBy("meeting_id", "_b").agg(F.first("asked").alias("asked"), F.collect_list("found").alias("f"))
+    # the least lost, the earliest place on ties
+    best = F.reduce(F.slice("f", 2, F.size("f")), F.get("f", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: F.least(a, b)))
+    out = each.select("meeting_id", F.explode(F.arrays_zip("asked", best.alias("found"))).alias("x")).where("x.found is not null")
+    return out.select("meeting_id", "x.asked.*", *(F.col(f"x.found.{c}").alias(c) for c in ("pos", "line", "start", "speaker")))
 
 
 def places(asked: DataFrame, index: DataFrame, exact_only: bool = False, least: float = W.QUOTE_SCORE, part: int = PART, batch: int = BATCH) -> DataFrame:
     """(meeting_id, q, pos) of the distinct normalised quotes (meeting_id, q) that are found."""
-    parts = text_parts(index, asked.groupBy("meeting_id").agg(F.max(F.length("q")).alias("longest")), part)
-    hits = parts.join(_batched(asked, batch), "meeting_id").select("meeting_id", "base", F.explode(F.transform("qs", lambda q: F.struct(q.alias("q"), F.position(q, F.col("text")).alias("p")))).alias("x"))
-    exact = hits.where("x.p > 0").groupBy("meeting_id", "x.q").agg(F.min(F.col("base") + F.col("x.p") - 1).cast("int").alias("pos"))
-    if exact_only:
-        return exact
-    left = asked.join(exact, ["meeting_id", "q"], "left_anti")
-    tried = parts.join(_batched(left, batch), "meeting_id").withColumn("found", _near(least)("text", "first", "last", "qs"))
-    near = tried.select("meeting_id", "base", F.explode(F.arrays_zip("qs", "found")).alias("x")).where("x.found.pos >= 0")
-    best = F.min_by(F.col("base") + F.col("x.found.pos"), F.struct(-F.col("x.found.score"), F.col("base") + F.col("x.found.pos")))
-    return exact.unionByName(near.groupBy("meeting_id", F.col("x.qs").alias("q")).agg(best.cast("int").alias("pos")))
+    longest = asked.groupBy("meeting_id").agg(F.max(F.length("q")).alias("longest"))
+    return _found(asked, longest, index, exact_only, least, part, batch).select("meeting_id", "q", "pos")
 
 
 def at_lines(found: DataFrame, index: DataFrame, part: int = PART) -> DataFrame:
@@ -89,7 +122,9 @@ def at_lines(found: DataFrame, index: DataFrame, part: int = PART) -> DataFrame:
 def find_quotes(quotes: DataFrame, index: DataFrame, labels: DataFrame, exact_only: bool = False) -> DataFrame:
     """quotes (meeting_id, quote) with pos, line, start, speaker and the bare quote; only those that are found. Of labels
     (meeting_id, keys), a copied one in front of a quote is left out."""
+    # normalising makes a quote no longer than its lower case
+    longest = quotes.groupBy("meeting_id").agg(F.max(F.length(F.lower("quote"))).alias("longest"))
     bare = X.without_label(F.col("quote"), F.col("keys"))
-    rows = quotes.join(labels.select("meeting_id", "keys"), "meeting_id", "left").withColumn("bare", bare).withColumn("q", X.norm(F.col("bare"))).where("q != ''").drop("keys")
-    found = at_lines(places(rows.select("meeting_id", "q").distinct(), index, exact_only), index)
-    return rows.join(found, ["meeting_id", "q"]).select("meeting_id", "quote", "pos", "line", "start", "speaker", F.trim("bare").alias("bare"))
+    rows = quotes.join(labels.select("meeting_id", "keys"), "meeting_id", "left").select("meeting_id", "quote", bare.alias("bare")).withColumn("q", X.norm(F.col("bare")))
+    found = _found(rows, longest, index, exact_only, W.QUOTE_SCORE, PART, BATCH)
+    return found.select("meeting_id", "quote", "pos", "line", "start", "speaker", F.trim("bare").alias("bare"))

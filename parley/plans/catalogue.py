@@ -381,9 +381,11 @@ def guard_edits(spark, d):
 
 def _quotes(lines):
     """All of what was said, six words a quote."""
-    words = F.split("n", " ")
-    cut = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(6)), lambda i: F.array_join(F.slice(words, i + 1, 6), " "))
-    return lines.withColumn("n", X.norm(F.col("text"))).where("n != ''").select("meeting_id", F.explode(cut).alias("quote")).distinct()
+    # split once a line, not once a quote
+    said = lines.select("meeting_id", F.split(X.norm(F.col("text")), " ").alias("w"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(6)), lambda i: F.array_join(F.slice("w", i + 1, 6), " "))
+    # by meeting, as they are looked up; a line without words gives an empty quote
+    return said.select("meeting_id", F.explode(cut).alias("quote")).where("quote != ''").repartition("meeting_id").distinct()
 
 
 QUOTED = f"""n AS (SELECT meeting_id, line, {_norm('text')} AS n FROM {{src}}), k AS (SELECT *, string_split(n, ' ') AS w FROM n WHERE n <> ''),

@@ -151,3 +151,22 @@ def test_stretches_of_a_line_against_all_pairs(monkeypatch):
     assert found > 100
     # few pairs of the 40 lines' some 30,000 get to the slow comparison
     assert len(calls) < 9000
+
+
+def test_quotes_are_shuffled_by_meeting_once_and_carry_their_lines(spark, tmp_path):
+    from parley.plans import catalogue
+
+    said = ["Ann: the old plan; the new plan.", "", "the new plan costs more than the old one did last year, " * 30, "no"]
+    rows = [(m, "\n".join(said[m % 2 :])) for m in range(1, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalogue.queries()["quote_exact_line"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # lines, quotes (read twice), labels and batches; labels, lengths and parts are joined, nothing is joined back
+    assert plan.count("Exchange hashpartitioning") <= 6 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 4
+    # a line is split into words once, not once a quote
+    assert catalogue._quotes(catalogue.R.document_lines(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    text = lambda m: " ".join(filter(None, (" ".join("".join(c if c.isalnum() else " " for c in x.lower()).split()) for x in said[m % 2 :])))
+    got = {(r["meeting_id"], r["quote"]): (r["pos"], r["line"]) for r in out.collect()}
+    assert len(got) > 40 and all(text(m).find(q) == p for (m, q), (p, _) in got.items())
+    assert got[2, "ann the old plan the new"] == (0, 0) and got[2, "plan"] == (8, 0) and got[2, "the new plan costs more than"] == (30, 2)
+    assert got[1, "the new plan costs more than"] == (0, 1)
