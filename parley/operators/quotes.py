@@ -7,7 +7,7 @@ shuffled once, by meeting; parts meet quotes in batches of ``BATCH``, and a batc
 that nothing is joined back:
 
 1. Exact places are found first; most quotes end there.
-2. What is left goes by a seed index of the part (``similarity.near_places``): a quote that lacks at most d characters, with
+2. What is left goes by a seed index of the parts (``similarity.near_places_at_once``): a quote that lacks at most d characters, with
    as many foreign ones between, is cut into 2d + 1 pieces, one of which must stand there whole. So short strings of the
    quote are looked up among the part's, and only windows near enough of them are scored.
 3. Over parts, the best score wins. A part knows where its lines begin, so a place comes with its line.
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as X
 from parley.functions import wordlists as W
-from parley.functions.similarity import near_places
+from parley.functions.similarity import near_places_at_once
 
 PART = 1 << 14
 BATCH = 64
+#: characters of texts times quotes that are looked up in one pass
+AT_ONCE = 1 << 22
 
 
 def quote_index(lines: DataFrame, doubtful: DataFrame) -> DataFrame:
@@ -66,20 +68,38 @@ def _batched(rows: DataFrame, batch: int) -> DataFrame:
 FOUND = "array<struct<lost:double,pos:int,piece:int>>"
 
 
+def _some(sizes: list[int]) -> list[list[int]]:
+    """Numbers of rows, in order, together of at most ``AT_ONCE`` or single; those of size 0 are left out."""
+    out, held = [], AT_ONCE
+    for r, size in enumerate(sizes):
+        if size:
+            if held + size > AT_ONCE:
+                out.append([])
+                held = 0
+            out[-1].append(r)
+            held += size
+    return out
+
+
 def _look(least: float | None):
     """Where each quote stands in its part: 100 less its score, place and number of the piece there; null if it isn't found."""
     @F.arrow_udf(FOUND)
     def look(text: pa.Array, first: pa.Array, last: pa.Array, ats: pa.Array, qs: pa.Array) -> pa.Array:
+        texts, asked = text.to_pylist(), qs.to_pylist()
+        places = [[t.find(q) for q in x] for t, x in zip(texts, asked, strict=True)]
+        scores = [[100.0] * len(x) for x in asked]
+        if least is not None:
+            left = [[i for i, p in enumerate(x) if p < 0] for x in places]
+            for some in _some([len(t) * len(x) for t, x in zip(texts, left, strict=True)]):
+                near = near_places_at_once([texts[r] for r in some], [[asked[r][i] for i in left[r]] for r in some], [first[r].as_py() for r in some], [last[r].as_py() for r in some], least)
+                for r, found in zip(some, near, strict=True):
+                    for i, (score, p) in zip(left[r], found, strict=True):
+                        scores[r][i], places[r][i] = score, p
         lost, pos, piece, ends = [], [], [], [0]
-        for t, a, z, at, asked in zip(*(x.to_pylist() for x in (text, first, last, ats, qs)), strict=True):
-            places = [t.find(q) for q in asked]
-            scores = [100.0] * len(asked)
-            if least is not None and (left := [i for i, p in enumerate(places) if p < 0]):
-                for i, (score, p) in zip(left, near_places(t, [asked[i] for i in left], a, z, least), strict=True):
-                    scores[i], places[i] = score, p
-            piece.append(np.searchsorted(np.array(at, np.int64) - at[0], np.array(places, np.int64), "right") - 1)
-            lost += scores
-            pos += places
+        for at, p, score in zip(ats.to_pylist(), places, scores, strict=True):
+            piece.append(np.searchsorted(np.array(at, np.int64) - at[0], np.array(p, np.int64), "right") - 1)
+            lost += score
+            pos += p
             ends.append(len(pos))
         pos, piece = np.array(pos, np.int32), np.concatenate([np.zeros(0, np.int64), *piece]).astype(np.int32)
         fields = [pa.array(100.0 - np.array(lost, float)), pa.array(pos), pa.array(piece)]

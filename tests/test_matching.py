@@ -170,3 +170,44 @@ def test_quotes_are_shuffled_by_meeting_once_and_carry_their_lines(spark, tmp_pa
     assert len(got) >= 16 and all(text(m).find(q) == p for (m, q), (p, _) in got.items())
     assert got[2, "ann the old plan the new"] == (0, 0) and got[2, "plan"] == (12, 0) and got[2, "the new plan costs more than"] == (30, 2)
     assert got[1, "the new plan costs more than"] == (0, 1)
+
+
+def test_many_texts_at_once_find_what_each_finds_alone(monkeypatch):
+    rng, near, over = random.Random(9), 0, 0
+    for round_ in range(120):
+        monkeypatch.setattr(S, "HITS", rng.choice((1, 50, 1 << 19)))
+        texts, asked = [], []
+        for _ in range(rng.randint(1, 6)):
+            alphabet = rng.choice(["ab ", "abcdefgh ", "etaoinshrdlu 019", "etaoinshrdlué "])
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(5, 300))).strip() or "a"
+            t = t[:9] * 25 if rng.random() < 0.1 else t
+            qs = [garbled(rng, t, rng.choice((rng.randint(1, 45), rng.randint(60, 68), 90)), alphabet) for _ in range(rng.randint(0, 8))]
+            # over the ends too
+            qs += ["zz" + t[:20], t[-20:] + "zz", t[-64:], t[:40] + "z" + t[40:63]]
+            texts.append(t)
+            asked.append([q for q in qs if q])
+        first, last = ([rng.random() < 0.7 for _ in texts] for _ in range(2))
+        for least in (90, 80):
+            got = S.near_places_at_once(texts, asked, first, last, least)
+            assert got == [S.near_places(t, qs, f, z, least) for t, qs, f, z in zip(texts, asked, first, last)]
+            near += sum(0 < score < 100 for x in got for score, _ in x)
+            over += sum(score > 0 and p == 0 for x in got for score, p in x)
+    assert near > 1000 and over > 300
+
+
+def test_quotes_of_a_batch_are_not_looked_up_one_by_one(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng, calls = random.Random(10), []
+    for name in ("near_windows", "_hanging"):
+        f = getattr(S, name)
+        monkeypatch.setattr(S, name, lambda *x, f=f: calls.append(1) or f(*x))
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(300)) for _ in range(4)]
+    asked = [[t[k : k + 12] + t[k + 13 : k + 38] for k in range(0, len(t) - 40, 40)] for t in texts]
+    monkeypatch.setattr(quotes, "AT_ONCE", 2 * len(texts[0]) * len(asked[0]), raising=False)
+    yes = pa.array([True] * 4)
+    found = quotes._look(90.0).func(pa.array(texts), yes, yes, pa.array([[0, 700]] * 4), pa.array(asked)).to_pylist()
+    assert [[(100.0 - x["lost"], x["pos"]) for x in row] for row in found] == [[scan(q, t, 90) for q in qs] for t, qs in zip(texts, asked)]
+    assert all(x["piece"] == (x["pos"] >= 700) for row in found for x in row)
+    # only some at the ends
+    assert sum(map(len, asked)) > 150 and len(calls) <= 16
