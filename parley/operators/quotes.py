@@ -109,6 +109,42 @@ def _look(least: float | None):
     return look
 
 
+def first_holding(least: float | None):
+    """UDF: for each quote the number of the first text, of the row's, that holds it exactly or in a window that reaches ``least``
+    percent, or null. Empty quotes, and those longer than the text by more than three, stand nowhere."""
+
+    @F.arrow_udf("array<int>")
+    def holding(texts: pa.Array, quotes: pa.Array) -> pa.Array:
+        texts, asked = [x or [] for x in texts.to_pylist()], quotes.to_pylist()
+        out = [[None] * len(qs) for qs in asked]
+        left = [[i for i, q in enumerate(qs) if q] for qs in asked]
+        for k in range(max(map(len, texts), default=0)):
+            tried = [[]] * len(texts)
+            for r, x in enumerate(texts):
+                if k < len(x) and left[r]:
+                    t, qs, missed = x[k], asked[r], []
+                    for i in left[r]:
+                        if qs[i] in t:
+                            out[r][i] = k
+                        else:
+                            missed.append(i)
+                    left[r] = missed
+                    tried[r] = [i for i in missed if len(qs[i]) <= len(t) + 3]
+            if least is None:
+                continue
+            for some in _some([len(x[k]) * len(m) if m else 0 for x, m in zip(texts, tried, strict=True)]):
+                yes = [True] * len(some)
+                near = near_places_at_once([texts[r][k] for r in some], [[asked[r][i] for i in tried[r]] for r in some], yes, yes, least)
+                for r, places in zip(some, near, strict=True):
+                    there = {i for i, (_, place) in zip(tried[r], places, strict=True) if place >= 0}
+                    for i in there:
+                        out[r][i] = k
+                    left[r] = [i for i in left[r] if i not in there]
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return holding
+
+
 def _found(rows: DataFrame, longest: DataFrame, index: DataFrame, exact_only: bool, least: float, part: int, batch: int) -> DataFrame:
     """rows (meeting_id, q, ...) with pos, line, start and speaker; only those that are found. longest: as ``text_parts`` has it."""
     tried = text_parts(index, longest, part).join(_batched(rows, batch), "meeting_id")

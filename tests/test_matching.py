@@ -264,3 +264,70 @@ def test_a_line_nearly_like_another_one_is_found_as_its_sql_says(spark, tmp_path
     none = lines.select("meeting_id", "line").where("false")
     assert {r["found"] for r in names.locate_quotes(claims, lines, none).collect()} == {4}
     assert {r["found"] for r in names.locate_quotes(claims, lines, none, exact_only=True).collect()} == {2}
+
+
+def test_claims_of_a_line_meet_the_texts_around_it_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from parley.operators import names
+
+    rng, words = random.Random(11), "anna bo costs did for last met more new old one plan said see than that the wait we when year".split()
+    said = {(m, k): " ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 4, 25)))) for m in range(3) for k in range(8)}
+    claims = []
+    for m, k in said:
+        for _ in range(40):
+            q = garbled(rng, said[m, k], rng.randint(1, 80), "etaoin ")
+            claims.append((m, len(claims), k + rng.randint(-3, 3), q.upper() + rng.choice(("", "!"))))
+    doubtful = {(0, 3), (2, 0)}
+
+    def plain(m, line, q):
+        for at in (line, line - 1, line + 1, line - 2, line + 2):
+            t = said.get((m, at), "") if (m, at) not in doubtful else ""
+            if q and t and len(q) <= len(t) + 3 and scan(q, t, 90)[1] >= 0:
+                return at
+
+    normal = lambda q: " ".join("".join(c if c.isalnum() else " " for c in q.lower()).split())
+    want = {i: plain(m, line, normal(q)) for m, i, line, q in claims}
+    lines = spark.createDataFrame([(*k, t) for k, t in said.items()] + [(1, 99, None)], "meeting_id int, line int, text string")
+    df = spark.createDataFrame([(*c, "x") for c in claims], "meeting_id int, ord int, line int, quote string, more string")
+    for asked in (7, names.ASKED):
+        monkeypatch.setattr(names, "ASKED", asked)
+        got = names.locate_quotes(df, lines, spark.createDataFrame(sorted(doubtful), "meeting_id int, line int"))
+        assert got.columns == [*df.columns, "found"] and {r["ord"]: r["found"] for r in got.collect()} == want
+    assert sum(x is None for x in want.values()) > 50 and len({x - c[2] for c, x in zip(claims, want.values()) if x is not None}) == 5
+    # a near find in an earlier text counts before an exact one in a later; none may be longer than its text by more than three
+    holding = quotes.first_holding(90).func
+    t = pa.array([["the new plan costs mure than", "the new plan costs more than"], None, ["abcdefghijklmnopqrstuvwxyz"]])
+    q = pa.array([["the new plan costs more than", "s more", "", "zz"], ["a"], ["xabcdefghijklmnopqrstuvwxyzy", "xyabcdefghijklmnopqrstuvwxyzxy"]])
+    assert holding(t, q).to_pylist() == [[0, 1, None, None], [None], [0, None]]
+
+
+def test_claims_are_checked_without_joining_them_back(spark):
+    from parley.plans import catalogue, pieces  # noqa: F401
+
+    plan = catalogue.queries()["checked_claims"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # labels of lines and their neighbours (3), texts, voices, attendees; claims aren't joined with themselves
+    assert plan.count("Join ") <= 6, plan.count("Join ")
+
+
+def test_a_name_is_compared_with_few_attendees(monkeypatch):
+    from parley.operators import names
+
+    rng, calls = random.Random(12), []
+    ratio = names.ratio
+    word = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(n))
+    people = [word(rng.randint(3, 9)).title() + rng.choice(("", " Smith", " " + word(6))) for _ in range(400)] + ["", "É!", "Élan Vital"]
+
+    def plain(name):
+        heard = names._normal(name)
+        whole = [a for a in people if ratio(names._normal(a), heard) >= 85]
+        first = [a for a in people if names._normal(a) and ratio(names._normal(a).split()[0], heard) >= 85]
+        return (whole or first or [" ".join(w[:1].upper() + w[1:] for w in name.split())])[0]
+
+    asked = [garbled(rng, rng.choice(people).lower(), 30, "aeiou") for _ in range(150)] + ["", "é", word(300), "Smith", "nobody  here"]
+    want = [plain(x) for x in asked]
+    monkeypatch.setattr(names, "ratio", lambda a, b: calls.append(1) or ratio(a, b))
+    assert [names.canonical(x, people) for x in asked] == want and names.canonical("bo ray", []) == "Bo Ray"
+    assert len({x for x in want if x in people}) > 60
+    # of some 800 spellings each
+    assert len(calls) <= 60 * len(asked), len(calls) / len(asked)
